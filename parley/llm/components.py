@@ -1,0 +1,43 @@
+"""Connected components of a table of links, by alternating large-star and small-star rounds.
+
+Each round makes every vertex point at a smaller neighbour; the number of rounds grows with the logarithm of the longest
+path, not with its length. Sums before each shuffle keep a vertex with very many links from being a hot spot, and each
+round is written to the shared folder. No link is collected on the driver; only a count and a checksum are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from parley.llm._common import drop, materialize
+
+
+def _large(e: DataFrame) -> DataFrame:
+    """Greater neighbours of each vertex point at its least neighbour (or itself)."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small(e: DataFrame) -> DataFrame:
+    """Each vertex and its lesser neighbours point at the least of them."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    to_least = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return to_least.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links: u, v (long, any direction) -> node, comp (the least node of its component); nodes without links are left out."""
+    e = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
+    e = materialize(e, "links")
+    state = None
+    while True:
+        n, check = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if (n, check) == state:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        if not n:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        state, last = (n, check), e
+        e = materialize(_small(_large(e)), "links")
+        drop(last)
