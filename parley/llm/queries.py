@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, secrets
+from parley.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, secrets, substrings
 from parley.llm._common import table
 
 
@@ -32,6 +32,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -42,5 +46,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
+    "op8_substrings": op8_substrings,
     "op9_secrets": op9_secrets,
 }
