@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, exact_dedup, langid, mixing, near_dedup, pii, secrets, substrings
+from parley.llm import chat, decontaminate, exact_dedup, langid, mixing, near_dedup, pii, secrets, substrings, warc
 from parley.llm._common import table
 
 
@@ -19,6 +19,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    held_out = F.coalesce(F.crc32(F.col("conv_id").cast("string")) % 3 == 1, F.lit(False))
+    told = chat.recover_roles(rows, chat.fit(rows.where(~held_out)), role_col="role")
+    return told.select(F.col("conv").alias("conv_id"), F.col("pos").alias("turn"), "role", "role_pred", "rendered", F.coalesce(F.crc32(F.col("conv").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix, sized = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixing.taken_words(mix, sized).select("doc_id", "size", "source_size", "target", "taken")
@@ -33,6 +40,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.read(spark, warc.archive(table(spark, sf_dir, "pages"))))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -51,9 +62,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
+    "op7_warc": op7_warc,
     "op8_substrings": op8_substrings,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
