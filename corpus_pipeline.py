@@ -5,15 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, exact_dedup, mixing
+from parley.llm import decontaminate, exact_dedup, langid, mixing, near_dedup
 from parley.llm._common import materialize, row_key, table
 
 
+#: Below this share of known n-grams a text is in none of the learned languages.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters or in none of the labelled languages go."""
+    return langid.keep(docs, langid.fit(docs), LEAST_SCORE)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.keep_first(docs, exact_dedup.exact_dedup(docs))
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8 or more)."""
+    return near_dedup.keep_one(docs, near_dedup.near_dedup(docs))
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -27,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.join(got, on).drop("__i", "rk")
 
 
-STAGES = [("exact dedup", exact), ("benchmark decontamination", benchmark), ("mixing sources to target weights", mixing_stage)]
+STAGES = [("language ID", language), ("exact dedup", exact), ("MinHash near-dedup", near), ("benchmark decontamination", benchmark), ("mixing sources to target weights", mixing_stage)]
 #: Language prediction, near-duplicate signatures and the schedule are not expressible in SQL.
 ORACLE_SQL = None
 

@@ -180,3 +180,25 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = raw.schema["doc_id"].dataType.simpleString()
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return raw.select("doc_id", row_key(F.col("text")).alias("rk"), letter.alias("letter"), "text").mapInArrow(run, f"doc_id {kind}, rk long, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is known with a score of `least` or more.
+
+    A model without languages can reject nothing: all rows stay."""
+    if not model.languages:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+    letter = F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            ok = b.columns[-1].to_numpy(zero_copy_only=False).astype(bool)
+            for i, j, data, bounds in _batches(b.columns[at]):
+                best, score = m.score(data, bounds)
+                ok[i:j] &= (best >= 0) & (score >= least)
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(pa.array(ok))
+
+    return docs.select("*", letter.alias("__letter")).mapInArrow(run, docs.schema)
