@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from parley.llm._common import SPACE, documents, materialize, row_key, scratch
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keyed state on disk; without files allocated ahead, which would cost megabytes for each of many partitions.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -40,8 +43,9 @@ def _state(keyed: DataFrame, files_per_batch: int) -> DataFrame:
     # ~id grows as id shrinks, so the greatest struct is the longest text and then the smallest id; null loses
     best = F.max(F.struct("n", (F.bitwise_not("doc_id")).alias("inv"), "rk"))
     seen = stream.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         # a batch that runs again after a failure overwrites its own folder
         query = (
@@ -53,10 +57,8 @@ def _state(keyed: DataFrame, files_per_batch: int) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     changes = spark.read.schema(seen.schema).parquet(f"{out}/*") if query.lastProgress else spark.createDataFrame([], seen.schema)
     # a digest is written anew by each batch that changes it; its size only grows
     return changes.groupBy("digest").agg(F.max(F.struct("size", "best")).alias("s")).select("digest", "s.best", "s.size")
