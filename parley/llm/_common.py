@@ -72,6 +72,13 @@ def _quietly_drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Let Arrow batches have `most` rows at most: a row here is a whole text, and a worker holds a batch at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
+
+
 def row_key(text: Column) -> Column:
     """Tells apart rows that repeat an id with another text."""
     return F.xxhash64(text)

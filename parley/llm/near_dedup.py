@@ -4,13 +4,14 @@ A signature has chunks x width symbols of 16 bits (the low bits of MinHash value
 differ in at most (errors + 1) * chunks - 1 symbols one chunk differs in at most `errors`; so each signature is filed,
 chunk by chunk, under the key of every way to leave `errors` symbols out. All pairs within that distance share a key.
 With the defaults (16 chunks of 5, one error) the distance is 31 of 80: two sets of similarity 0.8 differ in 16 on
-average and in more than 31 with a chance of 3e-5. A pair that shares a key is compared by signature within the join and
-confirmed on the full shingle sets, recomputed from whole texts.
+average and in more than 31 with a chance of 3e-5. Candidates alone get a second, longer sketch, which two sets of
+similarity 0.8 fail with a chance of 2e-6; what passes is confirmed on the full shingle sets of whole texts.
 
-No group is expanded into pairs: equal sets are one node; each key first links its members to the least and the greatest
-of them (a star); components of those links are formed; then only members of one key that are still in different
-components meet, and only those within the distance leave the join. So every link between components is found, while a
-group of n copies costs n links.
+No group is expanded into pairs. Equal sets are one node. Each key first links its members to the least and the greatest
+of them (a star), then those still in other components to a member drawn for the key. Only where a key's members are
+apart even then do all of them meet, in blocks of bounded size inside a numpy kernel that puts out the pairs of different
+components within the distances, each at the first key the two share. So no link between components is lost, while a
+group of n copies costs in the order of n links.
 
 Defined cases: null or empty texts and texts of white space have no shingles and no links. A text of fewer words than a
 shingle is one shingle. A null id is linked with nothing (component null) and stays. Rows that repeat an id each take the
@@ -24,14 +25,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import _words
-from parley.llm._common import documents, materialize, row_key
+from parley.llm._common import documents, drop, materialize, row_key, small_batches
 from parley.llm.components import components
 
-SIGNED = "doc_id long, rk long, n_shingles long, s1 long, s2 long, lanes array<long>, keys array<long>"
+SIGNED = "doc_id long, rk long, n_shingles long, s1 long, s2 long, keys array<long>"
 
 
 def shingle_sets(w: _words.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,55 +62,188 @@ def shingle_sets(w: _words.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Signer:
-    """Signatures, their keys and lanes (8 bits a symbol, 8 symbols a long) of shingle sets."""
+    """MinHash signatures (16-bit symbols), the keys of their chunks, and longer sketches (8-bit symbols)."""
 
-    def __init__(self, chunks: int, width: int, errors: int, seed: int = 7):
+    def __init__(self, chunks: int, width: int, errors: int, sketch: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.size = chunks * width
-        self.mul = rng.integers(0, 1 << 31, self.size, np.uint32) * np.uint32(2) + np.uint32(1)
-        self.add = rng.integers(0, 1 << 32, self.size, np.uint32)
-        self.parts = [[c * width + i for i in range(width) if i not in out] for c in range(chunks) for out in combinations(range(width), errors)]
+        self.width, self.size, self.sketch = width, chunks * width, sketch
+        n = self.size + sketch
+        self.mul = rng.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1)
+        self.add = rng.integers(0, 1 << 32, n, np.uint32)
+        #: What each key leaves in, in the order of `part`: chunk by chunk, all ways to leave `errors` symbols out.
+        self.left_out = list(combinations(range(width), errors))
+        self.parts = [[c * width + i for i in range(width) if i not in out] for c in range(chunks) for out in self.left_out]
         self.salt = _words.mix(rng.integers(0, 1 << 63, len(self.parts), np.uint64))
 
-    def __call__(self, sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _least(self, sets: np.ndarray, at: np.ndarray, which: range) -> np.ndarray:
         h = (sets >> np.uint64(32)).astype(np.uint32)
-        sig = np.empty((len(at) - 1, self.size), np.uint64)
-        for k in range(self.size):
-            least = np.minimum.reduceat(h * self.mul[k] + self.add[k], at[:-1])
-            sig[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
-        keys = np.empty((len(sig), len(self.parts)), np.uint64)
+        out = np.empty((len(at) - 1, len(which)), np.uint32)
+        for x, k in enumerate(which):
+            out[:, x] = np.minimum.reduceat(h * self.mul[k] + self.add[k], at[:-1])
+        return out * np.uint32(0x9E3779B1)
+
+    def signature(self, sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (self._least(sets, at, range(self.size)) >> np.uint32(16)).astype(np.uint16)
+
+    def sketches(self, sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (self._least(sets, at, range(self.size, self.size + self.sketch)) >> np.uint32(24)).astype(np.uint8)
+
+    def keys(self, sig: np.ndarray) -> np.ndarray:
+        out = np.empty((len(sig), len(self.parts)), np.uint64)
         for x, part in enumerate(self.parts):
             acc = np.full(len(sig), self.salt[x])
             for i in part:
-                acc = (acc ^ sig[:, i]) * np.uint64(0x9FB21C651E98DF25)
+                acc = (acc ^ sig[:, i].astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
                 acc ^= acc >> np.uint64(29)
-            keys[:, x] = _words.mix(acc)
-        low = np.zeros((len(sig), -(-self.size // 8) * 8), np.uint8)
-        low[:, : self.size] = sig
-        return keys.view(np.int64), low.view(np.int64)
+            out[:, x] = _words.mix(acc)
+        return out.view(np.int64)
+
+    def first_shared(self, a: np.ndarray, b: np.ndarray, errors: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distance, part) of rows of two signature tables: the first key that both are filed under, -1 without one."""
+        differ = (a != b).reshape(len(a), self.size // self.width, self.width)
+        per = differ.sum(2)
+        able = per <= errors
+        chunk = able.argmax(1)
+        inside = differ[np.arange(len(a)), chunk]
+        part = np.full(len(a), -1)
+        for m in reversed(range(len(self.left_out))):
+            out = np.zeros(self.width, bool)
+            out[list(self.left_out[m])] = True
+            part = np.where(~(inside & ~out).any(1), chunk * len(self.left_out) + m, part)
+        return per.sum(1), np.where(able.any(1), part, -1)
+
+
+def tolerance(n: int, percent: int) -> int:
+    """How many of n symbols may differ: what sets of that similarity differ in on average and 4.75 deviations more."""
+    p = 1 - percent / 100
+    return int(n * p + 4.75 * (n * p * (1 - p)) ** 0.5)
+
+
+def _blobs(m: np.ndarray) -> pa.Array:
+    """A binary array of the rows of a table of bytes."""
+    m = np.ascontiguousarray(m).view(np.uint8).reshape(len(m), -1)
+    at = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(at), pa.py_buffer(m.reshape(-1))])
+
+
+def _table(blobs: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), kind).reshape(-1, width)
 
 
-def _sign(shingle: int, chunks: int, width: int, errors: int):
+def _sign(shingle: int, signer: Signer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(chunks, width, errors)
         for b in batches:
             for i, j, w in _words.chunks(b.column("text"), fold=True):
                 sets, at = shingle_sets(w, shingle)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
                 s1, s2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
-                keys, lanes = np.empty((0, len(signer.parts)), np.int64), np.empty((0, -(-signer.size // 8)), np.int64)
+                keys = np.zeros((0, len(signer.parts)), np.int64)
                 if len(full):
                     first = at[:-1][full]
                     s1[full] = np.add.reduceat(_words.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), first)
                     s2[full] = np.add.reduceat(_words.mix(sets ^ np.uint64(0x14057B7EF767814F)), first)
-                    keys, lanes = signer(sets, np.append(first, len(sets)))
-                lists = []
-                for m in (lanes, keys):
-                    sizes = np.zeros(j - i, np.int32)
-                    sizes[full] = m.shape[1]
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(m.reshape(-1))))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("rk")[i:j], pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *lists], ["doc_id", "rk", "n_shingles", "s1", "s2", "lanes", "keys"])
+                    keys = signer.keys(signer.signature(sets, np.append(first, len(sets))))
+                sizes = np.zeros(j - i, np.int32)
+                sizes[full] = keys.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("rk")[i:j], pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists], ["doc_id", "rk", "n_shingles", "s1", "s2", "keys"])
+
+    return run
+
+
+def _sketch(shingle: int, signer: Signer):
+    """Texts with their sketches, and their sets as sorted 16-bit prints (n: the sets' sizes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, w in _words.chunks(b.column("text"), fold=True):
+                sets, at = shingle_sets(w, shingle)
+                full = np.flatnonzero(np.diff(at))
+                out, sig = np.zeros((j - i, signer.sketch), np.uint8), np.zeros((j - i, signer.size), np.uint16)
+                if len(full):
+                    first = np.append(at[:-1][full], len(sets))
+                    out[full], sig[full] = signer.sketches(sets, first), signer.signature(sets, first)
+                prints = [np.unique((sets[x:y] >> np.uint64(16)).astype(np.uint16)).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("text")[i:j], _blobs(sig), _blobs(out), pa.array(np.diff(at), pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "text", "sig", "sketch", "n", "prints"])
+
+    return run
+
+
+def _near(signer: Signer, most: int):
+    """Keeps the rows (u, v) whose sketches are within the tolerance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (_table(b.column(x), np.uint8, signer.sketch) for x in ("ku", "kv"))
+            yield b.select(["u", "v"]).filter(pa.array((a != c).sum(1) <= most))
+
+    return run
+
+
+def _bitmaps(prints: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """2**16 bits for each set of prints, and how many are set."""
+    out = np.zeros((len(prints), 1 << 16), bool)
+    for k, x in enumerate(prints):
+        out[k, np.frombuffer(x or b"", np.uint16)] = True
+    return np.packbits(out, axis=1).view(np.uint64), out.sum(1)
+
+
+def _meet(signer: Signer, errors: int, most: int, most_sketch: int, percent: int):
+    """Blocks of members of one key -> pairs (u, v) of different components within both distances, each pair once.
+
+    part, a, b: members as list<struct<node, comp, sig, sketch, n, prints>>; b is null where a block meets itself. Where
+    members bring their prints (they do in large keys), the number of prints two sets share, and of shingles that fell
+    on one print, bounds the sets' intersection from above: a pair that the bound keeps below the similarity goes."""
+
+    def flat(column: pa.Array) -> tuple:
+        sizes = column.value_lengths().fill_null(0).to_numpy()
+        m = column.flatten()
+        return (np.concatenate([[0], np.cumsum(sizes)]), m.field("node").to_numpy(), m.field("comp").to_numpy(), _table(m.field("sig"), np.uint16, signer.size), _table(m.field("sketch"), np.uint8, signer.sketch), m.field("n").to_numpy(), m.field("prints").to_pylist())
+
+    def able(i: np.ndarray, j: np.ndarray, a: list, b: list) -> np.ndarray:
+        """Pairs that can be similar by their prints; those without prints can."""
+        has = np.array([a[5][x] is not None and b[5][y] is not None for x, y in zip(i, j, strict=True)], bool)
+        ok = np.ones(len(i), bool)
+        told = np.flatnonzero(has)
+        for s in range(0, len(told), 1 << 10):
+            k = told[s : s + (1 << 10)]
+            (ui, ri), (uj, rj) = (np.unique(x[k], return_inverse=True) for x in (i, j))
+            (ba, pa_), (bb, pb) = _bitmaps([a[5][x] for x in ui]), _bitmaps([b[5][y] for y in uj])
+            shared = np.bitwise_count(ba[ri] & bb[rj]).sum(1).astype(np.int64)
+            na, nb = a[4][i[k]], b[4][j[k]]
+            both = np.minimum(shared + np.minimum(na - pa_[ri], nb - pb[rj]), np.minimum(na, nb))
+            ok[k] = 100 * both >= percent * (na + nb - both)
+        return ok
+
+    def judged(parts, i, j, a, b) -> Iterator[pa.RecordBatch]:
+        u, v = a[0][i], b[0][j]
+        ok = np.flatnonzero((u != v) & (a[1][i] != b[1][j]))
+        for s in range(0, len(ok), 1 << 14):
+            k = ok[s : s + (1 << 14)]
+            k = k[(a[3][i[k]] != b[3][j[k]]).sum(1) <= most_sketch]
+            d, part = signer.first_shared(a[2][i[k]], b[2][j[k]], errors)
+            k = k[(d <= most) & (part == parts[k])]
+            k = k[able(i[k], j[k], a, b)]
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u[k], v[k])), pa.array(np.maximum(u[k], v[k]))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (at, *a), (bt, *b) = flat(batch.column("a")), flat(batch.column("b"))
+            own = batch.column("b").is_null().to_numpy(zero_copy_only=False)
+            parts = batch.column("part").to_numpy()
+            for alone in (True, False):
+                held, n = [], 0
+                rows = np.flatnonzero(own == alone)
+                for x, r in enumerate(rows):
+                    size = at[r + 1] - at[r]
+                    i, j = np.triu_indices(size, 1) if alone else (np.repeat(np.arange(size), bt[r + 1] - bt[r]), np.tile(np.arange(bt[r + 1] - bt[r]), size))
+                    held.append((np.full(len(i), parts[r]), i + at[r], j + (at[r] if alone else bt[r])))
+                    n += len(i)
+                    if n > 1 << 18 or x + 1 == len(rows):
+                        yield from judged(*map(np.concatenate, zip(*held, strict=True)), a, a if alone else b)
+                        held, n = [], 0
 
     return run
 
@@ -137,63 +271,81 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
-def distance(a: Column, b: Column, size: int) -> Column:
-    """In how many symbols two signatures' lanes differ, without leaving generated code."""
-    total = None
-    for i in range(-(-size // 8)):
-        x = a[i].bitwiseXOR(b[i])
-        for s in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, s))
-        one = F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-        total = one if total is None else total + one
-    return total
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunks: int = 16, width: int = 5, errors: int = 1, sketch: int = 256, block: int = 1024, crowd: int = 32) -> DataFrame:
+    """doc_id, rk, n_shingles, component_id, kept for each row of docs.
 
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunks: int = 16, width: int = 5, errors: int = 1) -> DataFrame:
-    """doc_id, rk, n_shingles, component_id, kept for each row of docs."""
-    size, most = chunks * width, (errors + 1) * chunks - 1
+    sketch: symbols of the second, longer signature that candidates alone get. block: members of a key that meet at once. crowd: in keys of more members,
+    these bring the prints of their whole sets, which rule pairs out without a look at the texts."""
+    small_batches(docs.sparkSession)
+    most = (errors + 1) * chunks - 1
+    signer = Signer(chunks, width, errors, sketch)
     raw = documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("rk"), "text")
-    signed = materialize(raw.mapInArrow(_sign(shingle, chunks, width, errors), SIGNED), "signatures")
+    signed = materialize(raw.mapInArrow(_sign(shingle, signer), SIGNED), "signatures")
     # equal sets are one node, named by its least id
     sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = materialize(sets.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node")), "nodes")
     named = reps.select(F.col("node").alias("doc_id"), "s1", "s2", "n_shingles")
-    nodes = materialize(sets.join(named, ["doc_id", "s1", "s2", "n_shingles"], "left_semi").select(F.col("doc_id").alias("node"), "lanes", "keys"), "node-signatures")
+    nodes = materialize(sets.join(named, ["doc_id", "s1", "s2", "n_shingles"], "left_semi").select(F.col("doc_id").alias("node"), "keys"), "node-keys")
+    rows = materialize(signed.select("doc_id", "rk", "n_shingles", "s1", "s2"), "rows")
+    drop(signed)
 
-    filed = nodes.select("node", F.explode("keys").alias("key"))
+    filed = nodes.select("node", F.posexplode("keys").alias("part", "key"))
     shared = materialize(filed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "keys")
     members = materialize(filed.join(shared, "key"), "members")
-    lanes = nodes.select("node", "lanes")
-
-    def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    drop(nodes)
+    ids = materialize(members.select(F.col("node").alias("doc_id")).distinct(), "member-ids")
+    texts = materialize(raw.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sketch(shingle, signer), "doc_id long, text string, sig binary, sketch binary, n long, prints binary"), "candidate-texts")
+    sketches = texts.select(F.col("doc_id").alias("node"), "sketch")
+    within = tolerance(sketch, percent)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (u, v), on the full shingle sets of whole texts."""
         tu, tv = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(t)) for c, t in (("u", "tu"), ("v", "tv")))
         return materialize(pairs.join(tu, "u").join(tv, "v").select("u", "v", "tu", "tv").mapInArrow(_confirm(shingle, percent), "u long, v long"), "confirmed")
 
-    ids = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = materialize(raw.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "candidate-texts")
-    star = members.where("node > lo").select(F.col("lo").alias("u"), F.col("node").alias("v")).unionByName(members.where("node < hi").select(F.col("node").alias("u"), F.col("hi").alias("v"))).distinct()
-    lu, lv = (lanes.select(F.col("node").alias(c), F.col("lanes").alias(x)) for c, x in (("u", "lu"), ("v", "lv")))
-    near = star.join(lu, "u").join(lv, "v").where(distance(F.col("lu"), F.col("lv"), size) <= most).select("u", "v").distinct()
-    links = confirmed(near, texts)
+    def near(pairs: DataFrame) -> DataFrame:
+        ku, kv = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(k)) for c, k in (("u", "ku"), ("v", "kv")))
+        return pairs.join(ku, "u").join(kv, "v").select("u", "v", "ku", "kv").mapInArrow(_near(signer, within), "u long, v long").distinct()
+
+    def placed(comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their component, and the keys whose members are in several, with their number of members."""
+        own = members.select("key", "part", "node").join(comps, "node", "left").select("key", "part", "node", F.coalesce("comp", "node").alias("comp"))
+        own = materialize(own, "placed")
+        mixed = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("node", "key"), "node", "comp")).alias("hub")).where("a < b")
+        return own, materialize(mixed.select("key", "n", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "mixed-keys")
+
+    # 1. a star in each key: its least and its greatest member
+    pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    star = members.where("node > lo").select(*pair("node", "lo")).unionByName(members.where("node < hi").select(*pair("node", "hi"))).distinct()
+    links = confirmed(near(star))
     comps = materialize(components(links), "components")
-
-    # members of one key in different components: every pair of them within the distance
-    placed = members.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-    left = materialize(placed.join(mixed, "key", "left_semi").join(lanes, "node"), "unsettled")
-    a, b = (left.select("key", F.col("node").alias(c), F.col("comp").alias(f"c{c}"), F.col("lanes").alias(f"l{c}")) for c in ("u", "v"))
-    apart = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & (distance(F.col("lu"), F.col("lv"), size) <= most)
-    rest = materialize(a.join(b, (a["key"] == b["key"]) & apart).select("u", "v").distinct(), "unsettled-pairs")
+    # 2. another in the keys whose members are still apart, about a member of each key's own: members get many hubs
+    own, mixed = placed(comps)
+    again = own.join(mixed, "key").where("comp <> hub_comp").select(*pair("node", "hub")).distinct()
+    links = links.unionByName(confirmed(near(again)))
+    drop(own)
+    comps = materialize(components(links), "components")
+    # 3. what is still apart: all members of a key meet, block by block
+    own, mixed = placed(comps)
+    dealt = own.join(mixed.select("key", F.ceil(F.col("n") / block).alias("blocks"), (F.col("n") > crowd).alias("many")), "key").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.join(texts.select(F.col("doc_id").alias("node"), "sig", "sketch", "n", "prints"), "node")
+    member = F.struct("node", "comp", "sig", "sketch", "n", F.when(F.col("many"), F.col("prints")).alias("prints"))
+    blocks = materialize(dealt.groupBy("key", "part", "blocks", "blk").agg(F.collect_list(member).alias("a")), "blocks")
+    alone = blocks.select("part", "a", F.lit(None).cast(blocks.schema["a"].dataType).alias("b"))
+    left, right = blocks.where("blocks > 1").select("key", "part", "blk", "a"), blocks.where("blocks > 1").select("key", F.col("blk").alias("other"), F.col("a").alias("b"))
+    meeting = alone.unionByName(left.join(right, "key").where("blk < other").select("part", "a", "b"))
+    rest = materialize(meeting.mapInArrow(_meet(signer, errors, most, within, percent), "u long, v long").distinct(), "unsettled-pairs")
+    drop(own)
+    drop(blocks)
     if not rest.isEmpty():
-        more = confirmed(rest, texts)
-        comps = materialize(components(links.unionByName(more)), "components")
+        links = links.unionByName(confirmed(rest))
+        comps = materialize(components(links), "components")
 
     of = reps.join(comps, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("comp", "node").alias("comp"))
     of = materialize(of, "set-components").withColumnsRenamed({"s1": "t1", "s2": "t2", "n_shingles": "m"})
     on = (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_shingles") == F.col("m"))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
-    return signed.select("doc_id", "rk", "n_shingles", "s1", "s2").join(of, on, "left").select("doc_id", "rk", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.join(of, on, "left").select("doc_id", "rk", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
