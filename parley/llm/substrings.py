@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import _words
-from parley.llm._common import documents, materialize, row_key
+from parley.llm._common import documents, materialize, row_key, small_batches
 
 THIN = "doc_id long, rk long, mini long, s int, n int, sha string"
 PACKED = "mini long, doc_id long, rk long, s int, packed binary"
@@ -91,27 +91,34 @@ def _rows(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _pack(size: int):
+    """The super-k-mers of minimisers that are not hot, packed."""
     schema = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("s", pa.int32()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in schema]
             held = 0
-            for d, rk, text, segs in zip(b.column("doc_id").to_pylist(), b.column("rk").to_pylist(), _texts(b.column("text")), b.column("segs"), strict=True):
-                words = text.split()
-                for seg in segs.as_py():
-                    packed = b" ".join(words[seg["s"] : seg["s"] + seg["n"] + size - 1])
-                    held += len(packed)
-                    for c, v in zip(out, (seg["mini"], d, rk, seg["s"], packed), strict=True):
-                        c.append(v)
-                    if held > 1 << 22:
-                        yield _rows(out, schema)
-                        out, held = [[] for _ in schema], 0
+            for d, rk, s, _, mini, packed in _stretches(b, size, hot=False):
+                held += len(packed)
+                for c, v in zip(out, (mini, d, rk, s, packed), strict=True):
+                    c.append(v)
+                if held > 1 << 22:
+                    yield _rows(out, schema)
+                    out, held = [[] for _ in schema], 0
             yield _rows(out, schema)
 
     return run
 
 
+def _stretches(b: pa.RecordBatch, size: int, hot: bool) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(doc_id, rk, first window, windows, minimiser, words) of each listed super-k-mer of the kind."""
+    for d, rk, text, segs in zip(b.column("doc_id").to_pylist(), b.column("rk").to_pylist(), _texts(b.column("text")), b.column("segs"), strict=True):
+        words = text.split()
+        for seg in segs.as_py():
+            if seg["hot"] == hot:
+                yield d, rk, seg["s"], seg["n"], seg["mini"], b" ".join(words[seg["s"] : seg["s"] + seg["n"] + size - 1])
+
+
 def _windows(packed: bytes, size: int) -> list[bytes]:
     ends, at = [], -1
     while (at := packed.find(b" ", at + 1)) >= 0:
@@ -185,21 +192,26 @@ def _unpack(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                digests, docs, rks, starts = [], [], [], []
-                for d, rk, s, p in zip(*(part.column(c).to_pylist() for c in ("doc_id", "rk", "s", "packed")), strict=True):
-                    ws = _windows(p, size)
-                    digests += [hashlib.blake2b(w, digest_size=16).digest() for w in ws]
-                    docs += [d] * len(ws)
-                    rks += [rk] * len(ws)
-                    starts += range(s, s + len(ws))
-                h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array(c, f.type) for c, f in zip((docs, rks, starts), list(schema)[2:], strict=True))], schema=schema)
+            digests: list[bytes] = []
+            rows: list[tuple[int, int, int]] = []
+            for d, rk, s, _, _, packed in _stretches(b, size, hot=True):
+                ws = _windows(packed, size)
+                digests += [hashlib.blake2b(w, digest_size=16).digest() for w in ws]
+                rows += [(d, rk, s + k) for k in range(len(ws))]
+                if len(rows) > 1 << 15:
+                    yield _hashed(digests, rows, schema)
+                    digests, rows = [], []
+            if rows:
+                yield _hashed(digests, rows, schema)
 
     return run
 
 
+def _hashed(digests: list[bytes], rows: list[tuple[int, int, int]], schema: pa.Schema) -> pa.RecordBatch:
+    h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[2:], strict=True))], schema=schema)
+
+
 def _finish():
     schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
@@ -226,22 +238,18 @@ def _finish():
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, gram: int = 16, hot: int = 1000) -> DataFrame:
     """doc_id, rk, n_words, n_removed, kept_sha256, kept_text; kept_text is null where nothing is removed (the text stands)."""
+    small_batches(docs.sparkSession)
     raw = documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("rk"), "text")
     scanned = materialize(raw.mapInArrow(_scan(size, gram), THIN), "super-kmers")
     thin = scanned.where("mini IS NOT NULL AND doc_id IS NOT NULL")
     shared = materialize(thin.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("mini", "c"), "shared-minimisers")
-    segs = thin.join(shared, "mini").groupBy(F.col("doc_id").alias("i"), F.col("rk").alias("k")).agg(F.collect_list(F.struct("s", "n", "mini")).alias("segs"))
+    segs = thin.join(shared, "mini").groupBy(F.col("doc_id").alias("i"), F.col("rk").alias("k")).agg(F.collect_list(F.struct("s", "n", "mini", (F.col("c") > hot).alias("hot"))).alias("segs"))
     cand = materialize(raw.join(segs, (raw["doc_id"] == F.col("i")) & (raw["rk"] == F.col("k"))).select("doc_id", "rk", "text", "segs"), "substring-candidates")
-    packed = cand.mapInArrow(_pack(size), PACKED)
-    very = shared.where(F.col("c") > hot).select("mini")  # few: each stands for more than `hot` rows
-    some = not very.isEmpty()
-    cool = packed.join(very, "mini", "left_anti") if some else packed
-    cover = cool.repartition("mini").sortWithinPartitions("mini").mapInArrow(_count(size), COVERED)
-    if some:
-        windows = materialize(packed.join(very, "mini", "left_semi").mapInArrow(_unpack(size), "h1 long, h2 long, doc_id long, rk long, a int"), "hot-windows")
-        first = materialize(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first"), "hot-firsts")
-        late = windows.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "rk", "a", (F.col("a") + size).alias("b"))
-        cover = cover.unionByName(late)
+    cover = cand.mapInArrow(_pack(size), PACKED).repartition("mini").sortWithinPartitions("mini").mapInArrow(_count(size), COVERED)
+    windows = materialize(cand.where(F.exists("segs", lambda x: x["hot"])).mapInArrow(_unpack(size), "h1 long, h2 long, doc_id long, rk long, a int"), "hot-windows")
+    first = materialize(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first"), "hot-firsts")
+    late = windows.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "rk", "a", (F.col("a") + size).alias("b"))
+    cover = cover.unionByName(late)
     mine = cover.groupBy(F.col("doc_id").alias("i"), F.col("rk").alias("k")).agg(F.collect_list(F.struct("a", "b")).alias("cover"))
     cut = cand.select("doc_id", "rk", "text").join(mine, (F.col("doc_id") == F.col("i")) & (F.col("rk") == F.col("k"))).select("doc_id", "rk", "text", "cover")
     cut = materialize(cut.mapInArrow(_finish(), DONE), "substring-cut")
