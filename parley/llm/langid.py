@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import _words
-from parley.llm._common import documents, row_key
+from parley.llm._common import documents, row_key, small_batches
 
 ORDERS = (2, 3, 5)
 _MAP = np.arange(256, dtype=np.uint8)
@@ -144,6 +144,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 40_000, min_share: float = 0.02) -> Model:
     """The model of the labelled rows. sample: bound on the rows learned from (an average; drawn by a hash of id and text)."""
+    small_batches(labelled.sparkSession)
     rows = documents(labelled, id_col, text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL")
     n = rows.count()
     if n > sample:
@@ -163,6 +164,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rk, lang_pred, score for each row of docs."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +190,7 @@ def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
     A model without languages can reject nothing: all rows stay."""
     if not model.languages:
         return docs
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     letter = F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False))
