@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from parley.plans import annotate, dedup, dialogue, speech
+
+_PARTS = (dialogue, dedup, annotate, speech)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _PARTS for k, f in m.Q.items()}
+ORACLES: dict[str, str] = {k: s for m in _PARTS for k, s in m.SQL.items()}
