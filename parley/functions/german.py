@@ -141,7 +141,7 @@ def learn_compounds(words_of: DataFrame, words_col: str = "words", least: int =
     words_of: one array of words per text. Bigrams and candidate splits meet in an equi-join; nothing is broadcast
     unless it is small."""
     w = F.col(words_col)
-    pairs = words_of.where(F.size(w) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct(F.element_at(w, i).alias("a"), F.element_at(w, i + 1).alias("b")))).alias("p"))
+    pairs = words_of.where(F.size(w) > 1).select(F.explode_outer(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct(F.element_at(w, i).alias("a"), F.element_at(w, i + 1).alias("b")))).alias("p"))
     bigrams = pairs.select("p.a", "p.b").distinct()
     long = words_of.select(F.explode(w).alias("word")).where(F.length("word") >= least).distinct()
     cut = long.select("word", F.explode(F.sequence(F.lit(2), F.length("word") - 2)).alias("i"))
