@@ -104,11 +104,12 @@ def fit(labelled: DataFrame, id_col: str = "conv_id", pos_col: str = "turn", tex
         else:
             move[at[r["before"]], at[r["role"]]] += r["count"]
     emit = {k: np.full((len(roles), n), weight) for k, n in SIZES.items()}
-    for x, role in enumerate(roles):  # a marker speaks for its role even if no labelled unit carries one
-        for m, name in enumerate(sorted(MARKERS)):
-            emit["marker"][x, m + 1] = weight * (50 if name == role else 1)
     for r in seen:
         emit[r["k"]][at[r["role"]], r["v"]] += r["count"]
+    # a marker speaks for its role even if no labelled unit carries one: a fifth of what is expected of a role's markers
+    for x, role in enumerate(roles):
+        told = np.array([0.0, *(0.999 if name == role else 0.0005 for name in sorted(MARKERS))])
+        emit["marker"][x] = 0.8 * emit["marker"][x] / emit["marker"][x].sum() + 0.2 * told / told.sum()
     log = lambda m: np.log(m / m.sum(-1, keepdims=True)) if m.size else m
     return Model(roles, log(start), log(move), {k: log(m) for k, m in emit.items()})
 

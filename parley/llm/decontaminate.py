@@ -86,7 +86,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
             ok = at.join(put(wins.where(F.col("n") == x).select("window", "item_id")), "window").select("doc_id", "rk", (F.col("base") + F.col("p")).cast("long").alias("pos"), F.lit(x).alias("n"), "item_id")
             hits = ok if hits is None else hits.unionByName(ok)
     if hits is None:
-        hits = raw.sparkSession.createDataFrame([], first.select("doc_id", "rk").schema.add("pos", "long").add("n", "int").add("item_id", wins.schema["item_id"].dataType))
+        hits = raw.sparkSession.createDataFrame([], first.select("doc_id", "rk").schema.add("pos", "long").add("n", "integer").add("item_id", wins.schema["item_id"].dataType))
     return sizes, materialize(hits.distinct(), "bench-hits")
 
 

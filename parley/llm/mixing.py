@@ -89,7 +89,7 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """(mix, sized). mix: slot, doc_id, rk, src, from_word, to_word: the pieces of documents in their places, in order of
+    """(mix, sized). mix: slot, doc_id, rk, off (place in the stream), src, from_word, to_word: the pieces of documents in their places, in order of
     (slot, from_word). sized: doc_id, rk, source, size, source_size, target, off for every row of docs.
 
     weights repeat over the sources in the order of their names. most <= 2: the stream passes twice at most.
@@ -109,13 +109,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     passes = passes.withColumn("a", F.col("off") + F.col("turn") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), last)).where("a < b")
     pieces = passes.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
     low, high = F.greatest("a", F.col("block_no") * block), F.least("b", (F.col("block_no") + 1) * block)
-    mix = pieces.select("doc_id", "rk", "src", "block_no", (low - F.col("a")).alias("from_word"), (high - F.col("a")).alias("to_word"))
-    mix = mix.join(schedule(plan, block), ["src", "block_no"]).select("slot", "doc_id", "rk", "src", "from_word", "to_word")
+    mix = pieces.select("doc_id", "rk", "off", "src", "block_no", (low - F.col("a")).alias("from_word"), (high - F.col("a")).alias("to_word"))
+    mix = mix.join(schedule(plan, block), ["src", "block_no"]).select("slot", "doc_id", "rk", "off", "src", "from_word", "to_word")
     return mix, placed.select("doc_id", "rk", "source", "size", "source_size", "target", "off")
 
 
 def taken_words(mix: DataFrame, sized: DataFrame) -> DataFrame:
     """For each row: doc_id, rk, source, size, source_size, target, taken, first_slot."""
-    got = mix.groupBy(F.col("doc_id").alias("__i"), F.col("rk").alias("__k")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("got"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("__n"))
-    same = sized.join(got, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("rk") == F.col("__k")), "left")
+    got = mix.groupBy(F.col("doc_id").alias("__i"), F.col("rk").alias("__k"), F.col("off").alias("__o")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("got"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("__n"))
+    same = sized.join(got, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("rk") == F.col("__k")) & (F.col("off") == F.col("__o")), "left")
     return same.select("doc_id", "rk", "source", "size", "source_size", "target", "off", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "first_slot")
