@@ -103,7 +103,7 @@ def fit(labelled: DataFrame, id_col: str = "conv_id", pos_col: str = "turn", tex
             start[at[r["role"]]] += r["count"]
         else:
             move[at[r["before"]], at[r["role"]]] += r["count"]
-    emit = {k: np.full((len(roles), n), weight) for k, n in SIZES.items()}
+    emit = {k: np.full((len(roles), n), 0.0 if k == "marker" else weight) for k, n in SIZES.items()}
     for r in seen:
         emit[r["k"]][at[r["role"]], r["v"]] += r["count"]
     # a marker speaks for its role even if no labelled unit carries one: a fifth of what is expected of a role's markers

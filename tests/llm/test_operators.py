@@ -275,7 +275,7 @@ def test_chat(spark, empty):
         roles = (["system"] if c % 4 == 0 else []) + ["user", "assistant"] * rng.randint(1, 3)
         rows += [(c, t, r, say[r]()) for t, r in enumerate(roles)]
     rows += [(500, t, ("user", "assistant")[t % 2], say[("user", "assistant")[t % 2]]()) for t in range(60)]
-    rows += [(600, 0, None, None), (None, 0, None, "User: hi"), (None, None, None, "[Assistant] ho")]
+    rows += [(600, 0, None, None), (601, None, None, "x"), (None, 0, None, "User: hi"), (None, 1, None, "[Assistant] " + "y " * 80)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, block string")
     model = chat.fit(df)
     for block in (256, 7):  # one pass, and blocks that are chained
@@ -294,8 +294,8 @@ def test_chat(spark, empty):
         path.append(int(back[t, path[-1]]))
     assert [model.roles[x] for x in reversed(path)] == [whole[500, t] for t in range(60)]
     marked = {r["rendered"] for r in got if r["conv"] is None}
-    assert marked == {"<|user|>\nhi<|end|>\n", "<|assistant|>\nho<|end|>\n"}
-    text = spark.createDataFrame([(1, "User: hello\nthere?\n\nAssistant: " + "yes " * 60)], "conv_id long, text string")
+    assert marked == {"<|user|>\nhi<|end|>\n", "<|assistant|>\n" + "y " * 80 + "<|end|>\n"}
+    text = spark.createDataFrame([(1, "User: What hello?\nthere?\n\nAssistant: " + "yes " * 60)], "conv_id long, text string")
     turns = chat.merged(chat.recover_roles(chat.lines(text, "conv_id", "text"), model)).orderBy("turn").collect()
     assert turns[0]["role_pred"] == "user" and turns[-1]["role_pred"] == "assistant"
     none = chat.fit(df.limit(0))
