@@ -35,7 +35,7 @@ def read_hypotheses(spark: SparkSession, root: str) -> DataFrame:
 
 def read_references(spark: SparkSession, root: str) -> DataFrame:
     """root/<eid>_<role>.txt -> doc, eid, role, line, text; blank lines are left out, lines stay numbered from 0 without them."""
-    df = spark.read.option("wholetext", True).text(f"{root}/*.txt").select(_stem(F.col("_metadata.file_path"), "txt").alias("doc"), "value")
+    df = spark.read.text(f"{root}/*.txt", wholetext=True).select(_stem(F.col("_metadata.file_path"), "txt").alias("doc"), "value")
     full = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     return df.select("doc", F.split_part("doc", F.lit("_"), F.lit(1)).alias("eid"), F.split_part("doc", F.lit("_"), F.lit(2)).alias("role"), F.posexplode(full).alias("line", "text"))
 
