@@ -10,14 +10,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parley.functions import lexicon as lx
 
+def _timeout(idle: int | None) -> str:
+    """With a timeout a query never runs out of work, so a bounded run (availableNow) needs idle=None."""
+    return GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+
+
 PACKED = "user_id long, start double, end double"
 PACKING = "start double, end double"
 
 
-def pack_stream(regions: DataFrame, most: float = lx.MAX_WINDOW_S, gap: float = lx.MAX_GAP_S, idle: int = 600_000) -> DataFrame:
+def pack_stream(regions: DataFrame, most: float = lx.MAX_WINDOW_S, gap: float = lx.MAX_GAP_S, idle: int | None = 600_000) -> DataFrame:
     """Regions (user_id, start, end, in order per user) -> windows, put out once the next region starts another.
 
-    State is one open window per user; it is put out when the user is silent for `idle` milliseconds."""
+    State is one open window per user; it is put out when the user is silent for `idle` milliseconds (None: never)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done = []
@@ -35,17 +40,18 @@ def pack_stream(regions: DataFrame, most: float = lx.MAX_WINDOW_S, gap: float =
                         done.append((key[0], *open_))
                     open_ = (s, e)
             state.update(open_)
-            state.setTimeoutDuration(idle)
+            if idle:
+                state.setTimeoutDuration(idle)
         yield pd.DataFrame(done, columns=["user_id", "start", "end"])
 
-    return regions.groupBy("user_id").applyInPandasWithState(step, PACKED, PACKING, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return regions.groupBy("user_id").applyInPandasWithState(step, PACKED, PACKING, "append", _timeout(idle))
 
 
 TURNS = "interview_id long, role string, text string, first_pos long"
 OPEN_TURN = "role string, text string, first_pos long"
 
 
-def merge_stream(turns: DataFrame, idle: int = 600_000) -> DataFrame:
+def merge_stream(turns: DataFrame, idle: int | None = 600_000) -> DataFrame:
     """Turns (interview_id, pos, role, text, in order per interview) -> merged turns, put out when the role changes."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -68,10 +74,11 @@ def merge_stream(turns: DataFrame, idle: int = 600_000) -> DataFrame:
                     open_ = (role, text, int(pos))
             if open_:
                 state.update(open_)
-                state.setTimeoutDuration(idle)
+                if idle:
+                    state.setTimeoutDuration(idle)
         yield pd.DataFrame(done, columns=["interview_id", "role", "text", "first_pos"])
 
-    return turns.groupBy("interview_id").applyInPandasWithState(step, TURNS, OPEN_TURN, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("interview_id").applyInPandasWithState(step, TURNS, OPEN_TURN, "append", _timeout(idle))
 
 
 def score_arrivals(arrivals: DataFrame, score, out: str, checkpoint: str):

@@ -110,6 +110,6 @@ def test_streaming_pack_equals_batch(spark, tmp_path):
     rows = [(1, 0.0, 5.0), (1, 6.0, 10.0), (1, 20.0, 25.0), (1, 25.5, 40.0), (1, 41.0, 55.0), (1, 100.0, 101.0)]
     spark.createDataFrame(rows, "user_id long, start double, end double").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("user_id long, start double, end double").parquet(str(tmp_path / "in"))
-    q = sd.pack_stream(stream).writeStream.format("memory").queryName("packed").outputMode("append").trigger(availableNow=True).start()
+    q = sd.pack_stream(stream, idle=None).writeStream.format("memory").queryName("packed").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["start"], r["end"]) for r in spark.table("packed").collect()) == [(0, 10), (20, 40), (41, 55)]
