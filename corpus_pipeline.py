@@ -10,7 +10,7 @@ from parley.llm._common import materialize, row_key, table
 
 
 #: Below this share of known n-grams a text is in none of the learned languages.
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
