@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -183,6 +184,35 @@ def paired_difference(blocks: DataFrame, draws: DataFrame, n: int) -> DataFrame:
     return seen.crossJoin(F.broadcast(ends))
 
 
+def paired_resampled(blocks: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """side (a, b), run, key, tp, fp, fn -> delta_f1, lo, hi as paired_difference() gives them, over n resamples of all keys.
+
+    What a resample gives depends only on how often it takes keys of each kind (keys of one kind have equal counts), and
+    that is a multinomial draw: the driver draws it for a table whose size follows the distinct counts, not the keys."""
+    counts = F.array_sort(F.collect_list(F.struct("side", "run", "tp", "fp", "fn")))
+    kinds = sorted((tuple(map(tuple, r["counts"])), r["k"]) for r in blocks.groupBy("key").agg(counts.alias("counts")).groupBy("counts").agg(F.count(F.lit(1)).alias("k")).collect())
+    keys = sum(k for _, k in kinds)
+    if not keys:
+        return blocks.sparkSession.createDataFrame([], "delta_f1 double, lo double, hi double")
+    runs = {x: i for i, x in enumerate(sorted({c[:2] for counts, _ in kinds for c in counts}))}
+    worth = np.zeros((len(kinds), len(runs), 3))
+    for i, (counts, _) in enumerate(kinds):
+        for side, run, *x in counts:
+            worth[i, runs[side, run]] += x
+    of = {s: [i for (side, _), i in runs.items() if side == s] for s in "ab"}
+
+    def delta(taken: np.ndarray) -> np.ndarray:
+        tp, fp, fn = np.moveaxis(np.tensordot(taken, worth, 1), 2, 0)
+        f1 = 2 * tp / np.maximum(2 * tp + fp + fn, 1)
+        return f1[:, of["a"]].mean(1) - f1[:, of["b"]].mean(1)
+
+    share_of, rng = np.array([k / keys for _, k in kinds]), np.random.default_rng(seed)
+    step = max(1, 2_000_000 // len(kinds))
+    v = np.sort(np.concatenate([delta(rng.multinomial(keys, share_of, min(step, n - i)).astype(float)) for i in range(0, n, step)]))
+    seen = delta(np.array([[k for _, k in kinds]], float))[0]
+    return blocks.sparkSession.createDataFrame([(float(seen), float(v[int(0.025 * n)]), float(v[int(0.975 * n) - 1]))], "delta_f1 double, lo double, hi double")
+
+
 def kendall_tau(ranks: DataFrame) -> DataFrame:
     """system, a, b -> tau over all pairs of systems (a row per system)."""
     x, y = (ranks.select(F.col("system").alias(f"s{k}"), F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}")) for k in "xy")

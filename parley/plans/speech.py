@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -239,12 +239,26 @@ dr AS (SELECT CAST(i // k AS INTEGER) AS rep, {_RANK} AS rank FROM (SELECT k, un
 _N = 200
 
 
-@query(f"""WITH {_PAIRS}, {_draws('conv_id AS key FROM dist', _N)}, p AS (SELECT conv_id AS key, sum(e) AS num, sum(n) AS den FROM dist GROUP BY 1), st AS (SELECT rep, CAST(sum(num * mult) AS DOUBLE) / sum(den * mult) AS v FROM p JOIN draws USING (key) GROUP BY 1),
-k AS (SELECT v, row_number() OVER (ORDER BY v, rep) - 1 AS k FROM st) SELECT 'all' AS system, round(max(v) FILTER (WHERE k = {int(0.025 * _N)}), 6) AS lo, round(max(v) FILTER (WHERE k = {int(0.975 * _N) - 1}), 6) AS hi FROM k""")
-def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+def _ci(n: int) -> str:
+    return f"""WITH {_PAIRS}, {_draws('conv_id AS key FROM dist', n)}, p AS (SELECT conv_id AS key, sum(e) AS num, sum(n) AS den FROM dist GROUP BY 1), st AS (SELECT rep, CAST(sum(num * mult) AS DOUBLE) / sum(den * mult) AS v FROM p JOIN draws USING (key) GROUP BY 1),
+k AS (SELECT v, row_number() OVER (ORDER BY v, rep) - 1 AS k FROM st) SELECT 'all' AS system, round(max(v) FILTER (WHERE k = {int(0.025 * n)}), 6) AS lo, round(max(v) FILTER (WHERE k = {int(0.975 * n) - 1}), 6) AS hi FROM k"""
+
+
+def interval(spark: SparkSession, d: str, n: int) -> DataFrame:
     f = line_pairs(spark, d).select(F.lit("all").alias("system"), F.col("conv_id").alias("key"), F.col("e").alias("num"), F.col("n").alias("den"))
-    draws = mt.lcg_resamples(f.select("key").distinct(), _N)
-    return mt.ratio_interval(f, draws, _N).select("system", r6("lo", "lo"), r6("hi", "hi"))
+    draws = mt.lcg_resamples(f.select("key").distinct(), n)
+    return mt.ratio_interval(f, draws, n).select("system", r6("lo", "lo"), r6("hi", "hi"))
+
+
+@query(_ci(_N))
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    return interval(spark, d, _N)
+
+
+@query(_ci(1000))
+def bootstrap_ci_1000(spark: SparkSession, d: str) -> DataFrame:
+    """As many resamples of conversations as the reference draws."""
+    return interval(spark, d, 1000)
 
 
 def _f1(x: str, m: str) -> str:
@@ -255,17 +269,27 @@ _B = "CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END"
 _SIDES = f"""b AS (SELECT lang AS key, CAST(sum(quality * toxic) AS BIGINT) AS tpa, CAST(sum((1 - quality) * toxic) AS BIGINT) AS fpa, CAST(sum(quality * (1 - toxic)) AS BIGINT) AS fna, CAST(sum(quality * ({_B})) AS BIGINT) AS tpb, CAST(sum((1 - quality) * ({_B})) AS BIGINT) AS fpb, CAST(sum(quality * (1 - ({_B}))) AS BIGINT) AS fnb FROM (SELECT l.*, concat(source, lang) AS lang FROM labels l JOIN documents USING (doc_id)) GROUP BY 1)"""
 
 
+def sides(spark: SparkSession, d: str, key: Column) -> DataFrame:
+    l = fx.table(spark, d, "labels").join(fx.table(spark, d, "documents").select("doc_id", key.alias("key")), "doc_id")
+    two = l.select("key", F.col("quality").alias("g"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("toxic").cast("long").alias("p")), F.struct(F.lit("b").alias("side"), F.expr(_B).cast("long").alias("p")))).alias("x"))
+    p, g = F.col("x.p"), F.col("g")
+    return two.groupBy("key", F.col("x.side").alias("side"), F.lit(0).alias("run")).agg(F.sum(g * p).alias("tp"), F.sum((1 - g) * p).alias("fp"), F.sum(g * (1 - p)).alias("fn"))
+
+
 @query(f"""WITH {_SIDES}, {_draws('key FROM b', _N)}, o AS (SELECT {_f1('a', '')} - {_f1('b', '')} AS delta FROM b), st AS (SELECT rep, {_f1('a', ' * mult')} - {_f1('b', ' * mult')} AS v FROM b JOIN draws USING (key) GROUP BY 1),
 k AS (SELECT v, row_number() OVER (ORDER BY v, rep) - 1 AS k FROM st) SELECT CAST(round(any_value(delta), 6) AS DOUBLE) AS delta_f1, CAST(round(max(v) FILTER (WHERE k = {int(0.025 * _N)}), 6) AS DOUBLE) AS lo, CAST(round(max(v) FILTER (WHERE k = {int(0.975 * _N) - 1}), 6) AS DOUBLE) AS hi FROM k, o""")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    l = fx.table(spark, d, "labels").join(fx.table(spark, d, "documents").select("doc_id", F.concat("source", "lang").alias("key")), "doc_id")
-    two = l.select("key", F.col("quality").alias("g"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("toxic").cast("long").alias("p")), F.struct(F.lit("b").alias("side"), F.expr(_B).cast("long").alias("p")))).alias("x"))
-    p, g = F.col("x.p"), F.col("g")
-    blocks = two.groupBy("key", F.col("x.side").alias("side"), F.lit(0).alias("run")).agg(F.sum(g * p).alias("tp"), F.sum((1 - g) * p).alias("fp"), F.sum(g * (1 - p)).alias("fn"))
+    blocks = sides(spark, d, F.concat("source", "lang"))
     draws = mt.lcg_resamples(blocks.select("key").distinct(), _N)
     return mt.paired_difference(blocks, draws, _N).select(r6("delta_f1", "delta_f1"), r6("lo", "lo"), r6("hi", "hi"))
 
 
+@query()
+def paired_bootstrap_10000(spark: SparkSession, d: str) -> DataFrame:
+    """Single documents, as many resamples as the reference draws."""
+    return mt.paired_resampled(sides(spark, d, F.col("doc_id")), 10_000).select(r6("delta_f1", "delta_f1"), r6("lo", "lo"), r6("hi", "hi"))
+
+
 @query("""WITH s AS (SELECT lang AS system, avg(n_chars) AS a, avg(CAST(doc_id % 97 AS DOUBLE)) AS b FROM documents GROUP BY 1 UNION ALL SELECT source, avg(n_chars), avg(CAST(doc_id % 97 AS DOUBLE)) FROM documents GROUP BY 1)
 SELECT round(sum(sign((x.a - y.a) * (x.b - y.b))) / CAST(count(*) AS DOUBLE), 6) AS tau FROM s x JOIN s y ON x.system < y.system""")
 def kendall_tau(spark: SparkSession, d: str) -> DataFrame:

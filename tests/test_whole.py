@@ -36,3 +36,38 @@ def test_char_errors_fall_back_where_the_bounds_differ(spark):
     rows = [tuple("".join(rng.choice("thonx") for _ in range(rng.randrange(12))) for _ in "ab") for _ in range(200)]
     df = spark.createDataFrame(rows, "a string, b string").withColumn("e", asr.char_errors(F.col("a"), F.col("b"), F.greatest(F.length("a"), F.length("b")), "thon"))
     assert all(r["e"] == distance(r["a"], r["b"]) for r in df.collect())
+
+
+def test_paired_resampling_takes_single_documents(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    n = 300
+    q, t = rng.integers(0, 2, n), rng.integers(0, 2, n)
+    spark.createDataFrame([(i, "s", "de") for i in range(n)], "doc_id long, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(q[i]), int(t[i])) for i in range(n)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    b = np.where(np.arange(n) % 3 == 0, 1 - q, q)
+    f1 = lambda g, p: 2 * (g * p).sum(-1) / np.maximum((g + p).sum(-1), 1)
+    at = rng.integers(0, n, (10_000, n))
+    v = np.sort(f1(q[at], t[at]) - f1(q[at], b[at]))
+    got = __spark_entry__.queries()["paired_bootstrap_10000"](spark, str(tmp_path)).first()
+    assert got["delta_f1"] == pytest.approx(f1(q, t) - f1(q, b), abs=1e-6)
+    # one group of source and lang holds all documents: resampling groups would give an interval of no width
+    assert got["lo"] == pytest.approx(v[250], abs=0.01) and got["hi"] == pytest.approx(v[9749], abs=0.01)
+
+
+def test_interval_of_a_thousand_resamples(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(c, 0, "user", ". ".join(" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 9))) for _ in range(4))) for c in range(30)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    num, den = np.zeros(30), np.zeros(30)
+    for c, _, _, text in rows:
+        ln = ["".join(x.split()) for x in text.split(".")]
+        for ref, hyp in zip(ln, ln[1:]):
+            num[c] += distance(ref, hyp)
+            den[c] += len(ref)
+    x = (np.arange(1000 * 30) * 48271 + 42 * 69621 + 12345) % 2147483647
+    for _ in range(2):
+        x = x * 48271 % 2147483647
+    at = (x // 7 % 30).reshape(1000, 30)
+    v = np.sort(num[at].sum(1) / den[at].sum(1))
+    got = __spark_entry__.queries()["bootstrap_ci_1000"](spark, str(tmp_path)).first()
+    assert (got["lo"], got["hi"]) == pytest.approx((v[25], v[974]), abs=1e-6)
