@@ -9,7 +9,7 @@ have their own block size. Built-in functions only.
 The set is broadcast while its measured size is below `most_broadcast` entries; beyond, the same joins are shuffled.
 
 Defined cases: null or empty texts have no words and no hits; items without words are left out; repeated items count
-once per item_id; a null item_id is not listed. Rows that repeat an id are told apart by their text.
+once per item_id; an item with a null item_id counts as any other, but is not listed. Rows that repeat an id are told apart by their text.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def block_size(n: int) -> int:
 
 def windows(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, window, n: all windows of n words, or the whole item where it is shorter."""
-    items = documents(benchmark, id_col, text_col).select(F.col("doc_id").alias("item_id"), _words(normal(F.col("text"))).alias("w")).where("size(w) > 0 AND item_id IS NOT NULL")
+    items = documents(benchmark, id_col, text_col).select(F.col("doc_id").alias("item_id"), _words(normal(F.col("text"))).alias("w")).where("size(w) > 0")
     size = F.least(F.lit(n), F.size("w"))
     return items.select("item_id", size.alias("n"), F.explode(_runs(F.col("w"), size)).alias("window")).distinct()
 
