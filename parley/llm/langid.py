@@ -4,8 +4,8 @@ Row p of the filter is a bitmask with one bit per language, so one look-up of an
 returns all languages that contain it. A text's score for a language is the share of its n-grams that the language
 contains, corrected for the filter's rate of false positives; n-grams that fewer languages share weigh more.
 
-The n-gram sets are learned from a bounded sample of labelled rows (`sample` rows at most on average, drawn by a hash of
-the id); those that at least `min_share` of a language's sampled texts contain are kept, so the model's size does not
+The n-gram sets are learned from a bounded sample of labelled rows (`sample` rows at most on average, an equal share for
+each language and all rows of one that has fewer, drawn by a hash of the id); those that at least `min_share` of a language's sampled texts contain are kept, so the model's size does not
 follow the corpus. Every text is scored whole.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, and so is a text none of whose n-grams is
@@ -142,13 +142,25 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([back.take(pa.array(lang[at_first])), pa.array(h[at_first].view(np.int64)), pa.array(np.diff(np.append(at_first, len(h))))], ["lang", "h", "n"])
 
 
+def shares(have: dict[str, int], sample: int) -> dict[str, float]:
+    """How many rows of each language to learn from: equal shares of the bound; what a language lacks goes to the larger ones."""
+    out: dict[str, float] = {}
+    for k, (lang, n) in enumerate(sorted(have.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, (sample - sum(out.values())) / (len(have) - k))
+    return out
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 40_000, min_share: float = 0.02) -> Model:
     """The model of the labelled rows. sample: bound on the rows learned from (an average; drawn by a hash of id and text)."""
     small_batches(labelled.sparkSession)
     rows = documents(labelled, id_col, text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL")
-    n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * (sample / n)))
+    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(have.values()) > sample:
+        take = shares(have, sample)
+        most = F.lit(None).cast("long")
+        for lang, n in have.items():
+            most = F.when(F.col("lang") == lang, F.lit(int((1 << 30) * (take[lang] / n)))).otherwise(most)
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < most)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = rows.select("lang", "text").mapInArrow(_learn, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     # a text of average length has some thousand n-grams, so at most that / min_share reach it in a language

@@ -1,6 +1,6 @@
 """Rows that a bound or a missing id must not lose."""
 
-from parley.llm import decontaminate
+from parley.llm import decontaminate, langid
 
 
 def test_items_without_an_id_contaminate(spark):
@@ -9,3 +9,16 @@ def test_items_without_an_id_contaminate(spark):
     got = {r["doc_id"]: r for r in decontaminate.digest(decontaminate.verdicts(*decontaminate.scan(docs, bench))).collect()}
     assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [(11, 0, True), (0, 0, False), (20, 1, True)]
     assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [2]
+
+
+def test_a_rare_language_is_learned_from_a_large_table(spark):
+    rows = [(i, f"the house and the garden {i}", "en") for i in range(3000)] + [(9000 + i, f"żółta łódź płynie wąską rzeką {i}", "pl") for i in range(6)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100)
+    assert model.languages == ["en", "pl"]
+    told = langid.predict(spark.createDataFrame([(1, "łódź płynie rzeką"), (2, "the garden")], "doc_id long, text string"), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in told.collect()} == {1: "pl", 2: "en"}
+
+
+def test_shares_keep_the_bound():
+    assert langid.shares({"a": 1000, "b": 5, "c": 40}, 100) == {"b": 5, "c": 40, "a": 55}
+    assert langid.shares({"a": 1000, "b": 1000}, 100) == {"a": 50, "b": 50}
