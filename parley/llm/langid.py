@@ -8,8 +8,9 @@ The n-gram sets are learned from a bounded sample of labelled rows (`sample` row
 each language and all rows of one that has fewer, drawn by a hash of the id); those that at least `min_share` of a language's sampled texts contain are kept, so the model's size does not
 follow the corpus. Every text is scored whole.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0, and so is a text none of whose n-grams is
-known. Ties go to the language that sorts first. Without labelled rows everything is `und`. Rows are independent.
+Defined cases: a null text, or one without a letter, is `und` with score 0. Ties go to the language that sorts first, also
+at score 0 where none of a text's n-grams is known; keep() rejects such a text. Without labelled rows everything is `und`.
+Rows are independent.
 """
 
 from __future__ import annotations
@@ -186,6 +187,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             letter = b.column("letter").to_numpy(zero_copy_only=False).astype(bool)
             for i, j, data, at in _batches(b.column("text")):
                 best, score = m.score(data, at)
+                if m.languages:
+                    best = np.maximum(best, 0)  # no known n-gram: all tie at 0
                 best = np.where(letter[i:j], best, -1)
                 pick = pa.array(np.where(best < 0, len(m.languages), best))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("rk")[i:j], names.take(pick), pa.array(np.where(best < 0, 0.0, score))], ["doc_id", "rk", "lang_pred", "score"])

@@ -22,3 +22,10 @@ def test_a_rare_language_is_learned_from_a_large_table(spark):
 def test_shares_keep_the_bound():
     assert langid.shares({"a": 1000, "b": 5, "c": 40}, 100) == {"b": 5, "c": 40, "a": 55}
     assert langid.shares({"a": 1000, "b": 1000}, 100) == {"a": 50, "b": 50}
+
+
+def test_a_letter_gets_a_learned_language(spark):
+    model = langid.fit(spark.createDataFrame([(i, f"the house {i}", "en") for i in range(9)] + [(50 + i, f"das haus {i}", "de") for i in range(9)], "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "x"), (2, "ひらがな"), (3, "12"), (4, None)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()} == {1: ("de", 0), 2: ("de", 0), 3: ("und", 0), 4: ("und", 0)}
+    assert langid.keep(docs, model, 0.0).count() == 0
