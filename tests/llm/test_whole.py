@@ -13,7 +13,7 @@ def test_items_without_an_id_contaminate(spark):
 
 def test_a_rare_language_is_learned_from_a_large_table(spark):
     rows = [(i, f"the house and the garden {i}", "en") for i in range(3000)] + [(9000 + i, f"żółta łódź płynie wąską rzeką {i}", "pl") for i in range(6)]
-    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100)
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=30)
     assert model.languages == ["en", "pl"]
     told = langid.predict(spark.createDataFrame([(1, "łódź płynie rzeką"), (2, "the garden")], "doc_id long, text string"), model)
     assert {r["doc_id"]: r["lang_pred"] for r in told.collect()} == {1: "pl", 2: "en"}
