@@ -1,49 +1,40 @@
 """Connected components of a table of links by alternating large-star and small-star rounds.
 
 Few rounds for any shape (logarithmic in the longest path); each is written to the folder that all executors share
-(spark.checkpoint.dir), so lineage stays short and lost executors cost one round.
+(spark.checkpoint.dir), so lineage stays short and lost executors cost one round. A hub's links meet its least neighbour
+by broadcast (`spread_join`), so no vertex, whatever its share of the links, puts them all in one task. Only a count and
+a checksum come to the driver.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none, as in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="parley-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession)}/parley-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from parley.shared import drop, materialize, spread_join
 
 
-def _stars(e: DataFrame) -> DataFrame:
+def _stars(e: DataFrame, n: int) -> DataFrame:
+    """One round: greater neighbours of each vertex to its least one (or itself), then all but the least to the least."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    root = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("r"))
-    wide = both.join(root, "a").where("b > a").select(F.col("b").alias("a"), F.col("r").alias("b")).distinct()
-    least = wide.groupBy("a").agg(F.min("b").alias("r"))
-    narrow = wide.join(least, "a").where("b <> r").select(F.col("b").alias("a"), F.col("r").alias("b"))
-    return narrow.unionByName(least.select("a", F.col("r").alias("b"))).distinct()
+    root = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("r"), F.count(F.lit(1)).alias("n")), "roots")
+    wide = materialize(spread_join(both.where("b > a"), root, ["a"], 2 * n, "n").select(F.col("b").alias("a"), F.col("r").alias("b")).distinct(), "large-star")
+    least = materialize(wide.groupBy("a").agg(F.min("b").alias("r"), F.count(F.lit(1)).alias("n")), "roots")
+    narrow = spread_join(wide, least, ["a"], n, "n").where("b <> r").select(F.col("b").alias("a"), F.col("r").alias("b"))
+    out = materialize(narrow.unionByName(least.select("a", F.col("r").alias("b"))).distinct(), "links")
+    for x in (root, wide, least):
+        drop(x)
+    return out
 
 
 def connected(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """links: a, b -> node, component (its least node). nodes: node, also those without links."""
-    e = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     while (now := tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())) != state and now[0]:
-        state, e = now, written(_stars(e))
+        state, last = now, e
+        e = _stars(e, now[0])
+        drop(last)
     found = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
     if nodes is None:
         return found
