@@ -1,14 +1,12 @@
-"""Shared plumbing: the shared scratch folder, cut lineage, safe column access."""
+"""Column access that extra columns cannot disturb, and what the rest of the library shares."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.shared import drop, materialize, scratch, spread_join, swept  # noqa: F401
+
 #: The white space that separates words in every contract of this folder: space, tab, LF, VT, FF, CR.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -27,51 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Only where the session names none, as in local tests, a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="parley-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/parley-{tag}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_quietly_drop, spark, path)
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._parley_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_parley_path", None)
-    if path:
-        _drop(df.sparkSession, path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _quietly_drop(spark: SparkSession, path: str) -> None:
-    try:
-        if spark._jsc is not None:
-            _drop(spark, path)
-    except Exception:  # noqa: BLE001  the session has ended; nothing is left to clean with
-        pass
-
-
 def small_batches(spark: SparkSession, most: int = 1000) -> None:
     """Let Arrow batches have `most` rows at most: a row here is a whole text, and a worker holds a batch at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -195,8 +195,8 @@ def test_secrets(spark, empty):
     assert secrets.digest(secrets.scan_secrets(empty)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1000, 1], ids=["buckets", "all hot"])
-def test_substring_dedup(docs, rows, empty, hot):
+def covered(rows):
+    """Brute force of the removed words: {id: (words, removed, digest of the rest)}."""
     first, words = {}, {i: SPACE.findall(t or "") for i, t, *_ in rows}
     for i in sorted(words):
         for k in range(len(words[i]) - 49):
@@ -208,11 +208,35 @@ def test_substring_dedup(docs, rows, empty, hot):
             if first[tuple(w[k : k + 50])] < i:
                 gone[k : k + 50] = [True] * 50
         want[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
-    got = substrings.substring_dedup(docs, hot=hot).collect()
+    return want
+
+
+@pytest.mark.parametrize("crowd", [1000, 1], ids=["buckets", "all crowded"])
+def test_substring_dedup(docs, rows, empty, crowd):
+    want = covered(rows)
+    got = substrings.substring_dedup(docs, crowd=crowd, piece=30).collect()
     assert len(got) == len(rows) and {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
     assert any(w[1] for w in want.values())
-    if hot == 1:
+    if crowd == 1:
         assert substrings.substring_dedup(empty).count() == 0
+        named = substrings.substring_dedup(docs.where("doc_id > 9").withColumn("doc_id", F.format_string("%05d", "doc_id")), crowd=crowd)
+        assert {int(r["doc_id"]): r["n_removed"] for r in named.collect() if r["n_removed"]} == {i: w[1] for i, w in covered([r for r in rows if r[0] > 9]).items() if w[1]}
+
+
+def test_windows_are_sorted_by_content():
+    rng = random.Random(8)
+    texts = [[rng.choice("ab") for _ in range(rng.randint(1, 40))] for _ in range(60)]
+    row, k, cls = substrings.sorted_windows([" ".join(t).encode() for t in texts], 7)
+    windows = [tuple(t[i : i + 7]) for t in texts for i in range(len(t) - 6)]
+    assert len(windows) == len(cls) and len(set(windows)) == len(set(cls.tolist())) == len(set(zip(windows, cls.tolist(), strict=True)))
+    assert [(r, i) for r, t in enumerate(texts) for i in range(len(t) - 6)] == list(zip(row.tolist(), k.tolist(), strict=True))
+
+
+def test_substrings_of_long_repetitive_texts(spark):
+    n = 1_200_000
+    rows = [(1, "a " * n), (2, "b " + "a " * n), (3, "a " * 49 + "c")]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (n, 0), 2: (n + 1, n), 3: (50, 0)}
 
 
 def test_warc_round_trip(spark, tmp_path):
