@@ -81,12 +81,12 @@ def _last() -> None:
 HEAVY = 10_000
 
 
-def spread_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, count: str) -> DataFrame:
-    """rows join table (one row for each key; `count`: how many of the `total` rows have it), whatever a key's share of the rows.
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, count: str, how: str = "inner") -> DataFrame:
+    """rows join table, inner or left (one row for each key; `count`: how many of the `total` rows have it), whatever a key's share of the rows.
 
     Keys above total / HEAVY rows are fewer than HEAVY, so their part of the table is broadcast and their rows stay where
     they are; the others are shuffled. `count` is left out of the result. Both inputs are read twice: write them first."""
     most = total // HEAVY
     heavy = F.broadcast(table.where(F.col(count) > most).drop(count))
-    few = rows.join(F.broadcast(table.where(F.col(count) > most).select(*on)), on, "left_anti").join(table.where(F.col(count) <= most).drop(count), on)
+    few = rows.join(F.broadcast(table.where(F.col(count) > most).select(*on)), on, "left_anti").join(table.where(F.col(count) <= most).drop(count), on, how)
     return rows.join(heavy, on).unionByName(few)

@@ -7,13 +7,14 @@ from parley import shared
 from parley.operators.graph import connected
 
 
-def test_spread_join_equals_a_join(spark, monkeypatch):
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_a_join(spark, monkeypatch, how):
     monkeypatch.setattr(shared, "HEAVY", 3)
     rows = spark.createDataFrame([(0 if i % 2 else i % 7, i) for i in range(100)], "k int, v int")
     table = rows.where("k <> 5").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
-    got = shared.spread_join(rows, table, ["k"], 100, "n")
-    want = rows.join(table.drop("n"), "k")
-    assert sorted(map(tuple, got.select("k", "v", "top").collect())) == sorted(map(tuple, want.select("k", "v", "top").collect()))
+    got = shared.spread_join(rows, table, ["k"], 100, "n", how)
+    want = rows.join(table.drop("n"), "k", how)
+    assert sorted(map(str, got.select("k", "v", "top").collect())) == sorted(map(str, want.select("k", "v", "top").collect()))
 
 
 @pytest.mark.parametrize("heavy", [10_000, 2], ids=["no hub", "hubs"])
