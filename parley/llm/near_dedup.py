@@ -4,18 +4,23 @@ A signature has chunks x width symbols of 16 bits (the low bits of MinHash value
 differ in at most (errors + 1) * chunks - 1 symbols one chunk differs in at most `errors`; so each signature is filed,
 chunk by chunk, under the key of every way to leave `errors` symbols out. All pairs within that distance share a key.
 With the defaults (16 chunks of 5, one error) the distance is 31 of 80: two sets of similarity 0.8 differ in 16 on
-average and in more than 31 with a chance of 3e-5. Candidates alone get a second, longer sketch, which two sets of
-similarity 0.8 fail with a chance of 2e-6; what passes is confirmed on the full shingle sets of whole texts.
+average and in more than 31 with a chance of 3e-5. Every pair within the distance is confirmed on the full shingle sets
+of whole texts; the only thing that may spare it the look is a bound that no similar pair can fail.
 
 No group is expanded into pairs. Equal sets are one node. Each key first links its members to the least and the greatest
 of them (a star), then those still in other components to a member drawn for the key. Only where a key's members are
 apart even then do all of them meet, in blocks of bounded size inside a numpy kernel that puts out the pairs of different
-components within the distances, each at the first key the two share. So no link between components is lost, while a
-group of n copies costs in the order of n links.
+components within the distance, each at the first key the two share. So no link between components is lost, while a
+group of n copies costs in the order of n links. (A key of n members that are all apart costs in the order of n squared
+comparisons of signatures, spread over all tasks.)
+
+Nodes are sets, not ids, so rows that repeat an id with another text are in no way linked by it. Keys, sets and components
+that a large share of the rows has are joined without a shuffle (`spread_join`).
 
 Defined cases: null or empty texts and texts of white space have no shingles and no links. A text of fewer words than a
 shingle is one shingle. A null id is linked with nothing (component null) and stays. Rows that repeat an id each take the
-component of their own text. An empty table gives an empty result.
+component of their own text; `stays` is true for one of them. Ids are of any type with an order. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import _words
-from parley.llm._common import documents, drop, materialize, row_key, small_batches
-from parley.llm.components import components
-
-SIGNED = "doc_id long, rk long, n_shingles long, s1 long, s2 long, keys array<long>"
+from parley.llm._common import documents, drop, materialize, row_key, small_batches, spread_join
+from parley.operators.graph import connected
 
 
 def shingle_sets(w: _words.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,31 +65,24 @@ def shingle_sets(w: _words.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Signer:
-    """MinHash signatures (16-bit symbols), the keys of their chunks, and longer sketches (8-bit symbols)."""
+    """MinHash signatures (16-bit symbols) and the keys of their chunks."""
 
-    def __init__(self, chunks: int, width: int, errors: int, sketch: int, seed: int = 7):
+    def __init__(self, chunks: int, width: int, errors: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.width, self.size, self.sketch = width, chunks * width, sketch
-        n = self.size + sketch
-        self.mul = rng.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1)
-        self.add = rng.integers(0, 1 << 32, n, np.uint32)
+        self.width, self.size = width, chunks * width
+        self.mul = rng.integers(0, 1 << 31, self.size, np.uint32) * np.uint32(2) + np.uint32(1)
+        self.add = rng.integers(0, 1 << 32, self.size, np.uint32)
         #: What each key leaves in, in the order of `part`: chunk by chunk, all ways to leave `errors` symbols out.
         self.left_out = list(combinations(range(width), errors))
         self.parts = [[c * width + i for i in range(width) if i not in out] for c in range(chunks) for out in self.left_out]
         self.salt = _words.mix(rng.integers(0, 1 << 63, len(self.parts), np.uint64))
 
-    def _least(self, sets: np.ndarray, at: np.ndarray, which: range) -> np.ndarray:
-        h = (sets >> np.uint64(32)).astype(np.uint32)
-        out = np.empty((len(at) - 1, len(which)), np.uint32)
-        for x, k in enumerate(which):
-            out[:, x] = np.minimum.reduceat(h * self.mul[k] + self.add[k], at[:-1])
-        return out * np.uint32(0x9E3779B1)
-
     def signature(self, sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return (self._least(sets, at, range(self.size)) >> np.uint32(16)).astype(np.uint16)
-
-    def sketches(self, sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return (self._least(sets, at, range(self.size, self.size + self.sketch)) >> np.uint32(24)).astype(np.uint8)
+        h = (sets >> np.uint64(32)).astype(np.uint32)
+        out = np.empty((len(at) - 1, self.size), np.uint32)
+        for k in range(self.size):
+            out[:, k] = np.minimum.reduceat(h * self.mul[k] + self.add[k], at[:-1])
+        return (out * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
 
     def keys(self, sig: np.ndarray) -> np.ndarray:
         out = np.empty((len(sig), len(self.parts)), np.uint64)
@@ -113,12 +109,6 @@ class Signer:
         return per.sum(1), np.where(able.any(1), part, -1)
 
 
-def tolerance(n: int, percent: int) -> int:
-    """How many of n symbols may differ: what sets of that similarity differ in on average and 4.75 deviations more."""
-    p = 1 - percent / 100
-    return int(n * p + 4.75 * (n * p * (1 - p)) ** 0.5)
-
-
 def _blobs(m: np.ndarray) -> pa.Array:
     """A binary array of the rows of a table of bytes."""
     m = np.ascontiguousarray(m).view(np.uint8).reshape(len(m), -1)
@@ -152,30 +142,29 @@ def _sign(shingle: int, signer: Signer):
     return run
 
 
-def _sketch(shingle: int, signer: Signer):
-    """Texts with their sketches, and their sets as sorted 16-bit prints (n: the sets' sizes)."""
+def _signatures(shingle: int, signer: Signer):
+    """Texts with their signatures, and their sets as sorted 16-bit prints (n: the sets' sizes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w in _words.chunks(b.column("text"), fold=True):
                 sets, at = shingle_sets(w, shingle)
                 full = np.flatnonzero(np.diff(at))
-                out, sig = np.zeros((j - i, signer.sketch), np.uint8), np.zeros((j - i, signer.size), np.uint16)
+                sig = np.zeros((j - i, signer.size), np.uint16)
                 if len(full):
-                    first = np.append(at[:-1][full], len(sets))
-                    out[full], sig[full] = signer.sketches(sets, first), signer.signature(sets, first)
+                    sig[full] = signer.signature(sets, np.append(at[:-1][full], len(sets)))
                 prints = [np.unique((sets[x:y] >> np.uint64(16)).astype(np.uint16)).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("text")[i:j], _blobs(sig), _blobs(out), pa.array(np.diff(at), pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "text", "sig", "sketch", "n", "prints"])
+                yield pa.RecordBatch.from_arrays([b.column("node")[i:j], b.column("text")[i:j], _blobs(sig), pa.array(np.diff(at), pa.int64()), pa.array(prints, pa.binary())], ["node", "text", "sig", "n", "prints"])
 
     return run
 
 
 def _near(signer: Signer, most: int):
-    """Keeps the rows (u, v) whose sketches are within the tolerance."""
+    """Keeps the rows (u, v) whose signatures are within the distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = (_table(b.column(x), np.uint8, signer.sketch) for x in ("ku", "kv"))
+            a, c = (_table(b.column(x), np.uint16, signer.size) for x in ("ku", "kv"))
             yield b.select(["u", "v"]).filter(pa.array((a != c).sum(1) <= most))
 
     return run
@@ -189,29 +178,29 @@ def _bitmaps(prints: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(out, axis=1).view(np.uint64), out.sum(1)
 
 
-def _meet(signer: Signer, errors: int, most: int, most_sketch: int, percent: int):
-    """Blocks of members of one key -> pairs (u, v) of different components within both distances, each pair once.
+def _meet(signer: Signer, errors: int, most: int, percent: int):
+    """Blocks of members of one key -> pairs (u, v) of different components within the distance, each pair once.
 
-    part, a, b: members as list<struct<node, comp, sig, sketch, n, prints>>; b is null where a block meets itself. Where
+    part, a, b: members as list<struct<node, comp, sig, n, prints>>; b is null where a block meets itself. Where
     members bring their prints (they do in large keys), the number of prints two sets share, and of shingles that fell
     on one print, bounds the sets' intersection from above: a pair that the bound keeps below the similarity goes."""
 
     def flat(column: pa.Array) -> tuple:
         sizes = column.value_lengths().fill_null(0).to_numpy()
         m = column.flatten()
-        return (np.concatenate([[0], np.cumsum(sizes)]), m.field("node").to_numpy(), m.field("comp").to_numpy(), _table(m.field("sig"), np.uint16, signer.size), _table(m.field("sketch"), np.uint8, signer.sketch), m.field("n").to_numpy(), m.field("prints").to_pylist())
+        return (np.concatenate([[0], np.cumsum(sizes)]), m.field("node").to_numpy(), m.field("comp").to_numpy(), _table(m.field("sig"), np.uint16, signer.size), m.field("n").to_numpy(), m.field("prints").to_pylist())
 
     def able(i: np.ndarray, j: np.ndarray, a: list, b: list) -> np.ndarray:
         """Pairs that can be similar by their prints; those without prints can."""
-        has = np.array([a[5][x] is not None and b[5][y] is not None for x, y in zip(i, j, strict=True)], bool)
+        has = np.array([a[4][x] is not None and b[4][y] is not None for x, y in zip(i, j, strict=True)], bool)
         ok = np.ones(len(i), bool)
         told = np.flatnonzero(has)
         for s in range(0, len(told), 1 << 10):
             k = told[s : s + (1 << 10)]
             (ui, ri), (uj, rj) = (np.unique(x[k], return_inverse=True) for x in (i, j))
-            (ba, pa_), (bb, pb) = _bitmaps([a[5][x] for x in ui]), _bitmaps([b[5][y] for y in uj])
+            (ba, pa_), (bb, pb) = _bitmaps([a[4][x] for x in ui]), _bitmaps([b[4][y] for y in uj])
             shared = np.bitwise_count(ba[ri] & bb[rj]).sum(1).astype(np.int64)
-            na, nb = a[4][i[k]], b[4][j[k]]
+            na, nb = a[3][i[k]], b[3][j[k]]
             both = np.minimum(shared + np.minimum(na - pa_[ri], nb - pb[rj]), np.minimum(na, nb))
             ok[k] = 100 * both >= percent * (na + nb - both)
         return ok
@@ -221,7 +210,6 @@ def _meet(signer: Signer, errors: int, most: int, most_sketch: int, percent: int
         ok = np.flatnonzero((u != v) & (a[1][i] != b[1][j]))
         for s in range(0, len(ok), 1 << 14):
             k = ok[s : s + (1 << 14)]
-            k = k[(a[3][i[k]] != b[3][j[k]]).sum(1) <= most_sketch]
             d, part = signer.first_shared(a[2][i[k]], b[2][j[k]], errors)
             k = k[(d <= most) & (part == parts[k])]
             k = k[able(i[k], j[k], a, b)]
@@ -271,84 +259,90 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunks: int = 16, width: int = 5, errors: int = 1, sketch: int = 256, block: int = 1024, crowd: int = 32) -> DataFrame:
-    """doc_id, rk, n_shingles, component_id, kept for each row of docs.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunks: int = 16, width: int = 5, errors: int = 1, block: int = 1024, crowd: int = 32) -> DataFrame:
+    """doc_id, rk, n_shingles, component_id, kept, stays for each row of docs.
 
-    sketch: symbols of the second, longer signature that candidates alone get. block: members of a key that meet at once. crowd: in keys of more members,
-    these bring the prints of their whole sets, which rule pairs out without a look at the texts."""
+    kept: the id is the component's; stays: so is the text, where ids repeat. block: members of a key that meet at once.
+    crowd: in keys of more members, these bring the prints of their whole sets, which rule pairs out without a look at the texts."""
     small_batches(docs.sparkSession)
     most = (errors + 1) * chunks - 1
-    signer = Signer(chunks, width, errors, sketch)
-    raw = documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("rk"), "text")
-    signed = materialize(raw.mapInArrow(_sign(shingle, signer), SIGNED), "signatures")
-    # equal sets are one node, named by its least id
+    signer = Signer(chunks, width, errors)
+    raw = documents(docs, id_col, text_col).select("doc_id", row_key(F.col("text")).alias("rk"), "text")
+    kind = raw.schema["doc_id"].dataType.simpleString()
+    signed = materialize(raw.mapInArrow(_sign(shingle, signer), f"doc_id {kind}, rk long, n_shingles long, s1 long, s2 long, keys array<long>"), "signatures")
+    # equal sets are one node, shown by the text of the least id
     sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = materialize(sets.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node")), "nodes")
-    named = reps.select(F.col("node").alias("doc_id"), "s1", "s2", "n_shingles")
-    nodes = materialize(sets.join(named, ["doc_id", "s1", "s2", "n_shingles"], "left_semi").select(F.col("doc_id").alias("node"), "keys"), "node-keys")
+    reps = sets.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "rk")).alias("first"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("c"))
+    nodes = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the numbers are as written
     rows = materialize(signed.select("doc_id", "rk", "n_shingles", "s1", "s2"), "rows")
     drop(signed)
 
     filed = nodes.select("node", F.posexplode("keys").alias("part", "key"))
-    shared = materialize(filed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "keys")
-    members = materialize(filed.join(shared, "key"), "members")
-    drop(nodes)
-    ids = materialize(members.select(F.col("node").alias("doc_id")).distinct(), "member-ids")
-    texts = materialize(raw.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sketch(shingle, signer), "doc_id long, text string, sig binary, sketch binary, n long, prints binary"), "candidate-texts")
-    sketches = texts.select(F.col("doc_id").alias("node"), "sketch")
-    within = tolerance(sketch, percent)
+    shared = materialize(filed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi"), "keys")
+    members = materialize(spread_join(filed, shared, ["key"], nodes.count() * len(signer.parts), "c"), "members")
+    n_members = members.count()
+    ids = materialize(members.select(F.col("node").alias("m")).distinct(), "member-ids")
+    first = nodes.join(ids, F.col("node") == F.col("m"), "left_semi").select("node", F.col("first.doc_id").alias("i"), F.col("first.rk").alias("k"))
+    shown = raw.join(first, (raw["doc_id"] == F.col("i")) & (raw["rk"] == F.col("k"))).dropDuplicates(["i", "k"]).select("node", "text")
+    texts = materialize(shown.mapInArrow(_signatures(shingle, signer), "node long, text string, sig binary, n long, prints binary"), "candidate-texts")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        ku, kv = (texts.select(F.col("node").alias(c), F.col("sig").alias(k)) for c, k in (("u", "ku"), ("v", "kv")))
+        return pairs.join(ku, "u").join(kv, "v").select("u", "v", "ku", "kv").mapInArrow(_near(signer, most), "u long, v long").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links among pairs (u, v), on the full shingle sets of whole texts."""
-        tu, tv = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(t)) for c, t in (("u", "tu"), ("v", "tv")))
+        tu, tv = (texts.select(F.col("node").alias(c), F.col("text").alias(t)) for c, t in (("u", "tu"), ("v", "tv")))
         return materialize(pairs.join(tu, "u").join(tv, "v").select("u", "v", "tu", "tv").mapInArrow(_confirm(shingle, percent), "u long, v long"), "confirmed")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        ku, kv = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(k)) for c, k in (("u", "ku"), ("v", "kv")))
-        return pairs.join(ku, "u").join(kv, "v").select("u", "v", "ku", "kv").mapInArrow(_near(signer, within), "u long, v long").distinct()
+    def grouped(links: DataFrame) -> DataFrame:
+        return materialize(connected(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("component", "comp"), "components")
 
     def placed(comps: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members with their component, and the keys whose members are in several, with their number of members."""
         own = members.select("key", "part", "node").join(comps, "node", "left").select("key", "part", "node", F.coalesce("comp", "node").alias("comp"))
         own = materialize(own, "placed")
         mixed = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("node", "key"), "node", "comp")).alias("hub")).where("a < b")
-        return own, materialize(mixed.select("key", "n", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "mixed-keys")
+        return own, materialize(mixed.select("key", "n", F.ceil(F.col("n") / block).alias("blocks"), (F.col("n") > crowd).alias("many"), F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "mixed-keys")
 
     # 1. a star in each key: its least and its greatest member
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     star = members.where("node > lo").select(*pair("node", "lo")).unionByName(members.where("node < hi").select(*pair("node", "hi"))).distinct()
     links = confirmed(near(star))
-    comps = materialize(components(links), "components")
+    comps = grouped(links)
     # 2. another in the keys whose members are still apart, about a member of each key's own: members get many hubs
     own, mixed = placed(comps)
-    again = own.join(mixed, "key").where("comp <> hub_comp").select(*pair("node", "hub")).distinct()
+    again = spread_join(own, mixed, ["key"], n_members, "n").where("comp <> hub_comp").select(*pair("node", "hub")).distinct()
     links = links.unionByName(confirmed(near(again)))
     drop(own)
-    comps = materialize(components(links), "components")
+    comps = grouped(links)
     # 3. what is still apart: all members of a key meet, block by block
     own, mixed = placed(comps)
-    dealt = own.join(mixed.select("key", F.ceil(F.col("n") / block).alias("blocks"), (F.col("n") > crowd).alias("many")), "key").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.join(texts.select(F.col("doc_id").alias("node"), "sig", "sketch", "n", "prints"), "node")
-    member = F.struct("node", "comp", "sig", "sketch", "n", F.when(F.col("many"), F.col("prints")).alias("prints"))
+    dealt = spread_join(own, mixed, ["key"], n_members, "n").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.join(texts.select("node", "sig", "n", "prints"), "node")
+    member = F.struct("node", "comp", "sig", "n", F.when(F.col("many"), F.col("prints")).alias("prints"))
     blocks = materialize(dealt.groupBy("key", "part", "blocks", "blk").agg(F.collect_list(member).alias("a")), "blocks")
     alone = blocks.select("part", "a", F.lit(None).cast(blocks.schema["a"].dataType).alias("b"))
-    left, right = blocks.where("blocks > 1").select("key", "part", "blk", "a"), blocks.where("blocks > 1").select("key", F.col("blk").alias("other"), F.col("a").alias("b"))
-    meeting = alone.unionByName(left.join(right, "key").where("blk < other").select("part", "a", "b"))
-    rest = materialize(meeting.mapInArrow(_meet(signer, errors, most, within, percent), "u long, v long").distinct(), "unsettled-pairs")
+    left = blocks.where("blk + 1 < blocks").select("key", "part", "a", F.explode(F.sequence(F.col("blk") + 1, F.col("blocks") - 1)).alias("other"))
+    right = blocks.where("blk > 0").select("key", F.col("blk").alias("other"), F.col("a").alias("b"))
+    meeting = alone.unionByName(left.join(right, ["key", "other"]).select("part", "a", "b"))
+    rest = materialize(meeting.mapInArrow(_meet(signer, errors, most, percent), "u long, v long").distinct(), "unsettled-pairs")
     drop(own)
     drop(blocks)
     if not rest.isEmpty():
-        links = links.unionByName(confirmed(rest))
-        comps = materialize(components(links), "components")
+        comps = grouped(links.unionByName(confirmed(rest)))
 
-    of = reps.join(comps, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    of = materialize(of, "set-components").withColumnsRenamed({"s1": "t1", "s2": "t2", "n_shingles": "m"})
-    on = (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_shingles") == F.col("m"))
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
-    return rows.join(of, on, "left").select("doc_id", "rk", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # a component is named by the least id in it
+    named = materialize(nodes.drop("keys").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
+    least = materialize(named.groupBy("comp").agg(F.min("first").alias("top"), F.count(F.lit(1)).alias("n")), "least")
+    of = materialize(spread_join(named, least, ["comp"], nodes.count(), "n").select("s1", "s2", "n_shingles", "c", "top"), "set-components")
+    linked = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    found = spread_join(rows.where(linked), of, ["s1", "s2", "n_shingles"], rows.count(), "c")
+    found = found.select("doc_id", "rk", "n_shingles", F.col("top.doc_id").alias("component_id"), (F.col("doc_id") == F.col("top.doc_id")).alias("kept"), ((F.col("doc_id") == F.col("top.doc_id")) & (F.col("rk") == F.col("top.rk"))).alias("stays"))
+    return found.unionByName(rows.where(~linked).select("doc_id", "rk", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("stays")))
 
 
 def keep_one(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: one document of each component."""
-    stay = verdicts.where("kept").select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")).distinct()
+    """The rows of docs that stay: one document of each component, all its rows where it is repeated."""
+    stay = verdicts.where("stays").select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")).distinct()
     return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]) & (row_key(docs[text_col]) == stay["__rk"]), "left_semi")
