@@ -2,11 +2,13 @@
 
 A digest of each normalised text goes through a streaming aggregation whose keyed state lives in RocksDB and never
 expires: per digest it retains the row that stays (code points, stable identifier, content locator) and how many rows
-came. Every hit is then checked on the full bytes; should two different texts share a digest, they are told apart.
+came. Every hit is then checked on the full bytes; should two different texts share a digest, they are told apart. Rows
+meet the verdict on their digest in a join that a digest with a large share of the rows does not hold up (`spread_join`).
 
 Defined cases: a null text counts as empty. Rows that repeat an id with the same text are one document and get the same
 verdict; an id repeated with other texts names several documents. A null id sorts behind all others and stays only
-where every row of its group has one. An empty table gives an empty result. Columns beyond id and text are ignored.
+where every row of its group has one. Ids are of any type with an order. An empty table gives an empty result. Columns
+beyond id and text are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm._common import SPACE, documents, materialize, row_key, scratch
+from parley.llm._common import SPACE, documents, materialize, row_key, scratch, spread_join
 
 #: Keyed state on disk; without files allocated ahead, which would cost megabytes for each of many partitions.
 _STATE = {
@@ -35,14 +37,17 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def _best() -> Column:
+    """The longest text, then the smallest id; a null id comes last."""
+    return F.min(F.struct((-F.col("n")).alias("short"), F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "rk"))
+
+
 def _state(keyed: DataFrame, files_per_batch: int) -> DataFrame:
     """digest -> best(n, inverse id, locator), size: the state's last word on each digest."""
     spark = keyed.sparkSession
     out, log = scratch(spark, "dedup-state"), scratch(spark, "dedup-log")
     stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", files_per_batch).parquet(keyed._parley_path)
-    # ~id grows as id shrinks, so the greatest struct is the longest text and then the smallest id; null loses
-    best = F.max(F.struct("n", (F.bitwise_not("doc_id")).alias("inv"), "rk"))
-    seen = stream.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
+    seen = stream.groupBy("digest").agg(_best().alias("best"), F.count(F.lit(1)).alias("size"))
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
         spark.conf.set(k, v)
@@ -76,16 +81,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raw.select("doc_id", row_key(F.col("text")).alias("rk"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), digest(norm).alias("digest"), F.unhex(F.sha2(norm, 256)).alias("sha") if digest is not sha256 else F.lit(None).cast("binary").alias("sha")),
         "dedup-keys",
     )
-    state = materialize(_state(keyed, files_per_batch), "dedup-groups")
+    state = materialize(_state(keyed, files_per_batch).withColumn("rows", F.col("size")), "dedup-groups")
+    out = materialize(spread_join(keyed, state, ["digest"], keyed.count(), "rows").select("doc_id", "rk", "n", "sha", "digest", "best", "size"), "dedup-verdicts")
     # hits: rows of groups with more than one; only their texts are compared
-    hits = keyed.join(state.where("size > 1").select("digest"), "digest", "left_semi").select(F.col("doc_id").alias("i"), F.col("rk").alias("k"), "digest").distinct()
+    hits = out.where("size > 1").select(F.col("doc_id").alias("i"), F.col("rk").alias("k"), "digest").distinct()
     keys = raw.select("doc_id", row_key(F.col("text")).alias("rk"), "text")
     texts = keys.join(hits, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("rk") == F.col("k"))).select("digest", norm.alias("norm"))
     clashes = materialize(texts.distinct().groupBy("digest").count().where("count > 1").select("digest"), "dedup-clashes")
-    out = keyed.join(state, "digest").select("doc_id", "rk", "n", "sha", "digest", "best", "size")
     if not clashes.isEmpty():
         out = out.join(clashes, "digest", "left_anti").unionByName(_apart(keyed, raw, clashes))
-    keep = F.bitwise_not(F.col("best.inv"))
+    keep = F.col("best.id")
     return out.select(
         "doc_id",
         "rk",
@@ -102,15 +107,15 @@ def _apart(keyed: DataFrame, raw: DataFrame, clashes: DataFrame) -> DataFrame:
     rows = raw.select(F.col("doc_id").alias("i"), row_key(F.col("text")).alias("k"), norm.alias("norm")).distinct()
     mine = keyed.join(clashes, "digest", "left_semi")
     mine = mine.join(rows, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("rk") == F.col("k"))).drop("i", "k")
-    best = F.max(F.struct("n", F.bitwise_not("doc_id").alias("inv"), "rk"))
-    groups = mine.groupBy("norm").agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
+    groups = mine.groupBy("norm").agg(_best().alias("best"), F.count(F.lit(1)).alias("size"))
     return mine.join(groups, "norm").drop("norm")
 
 
 def keep_first(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay; of rows that repeat an id and text, one."""
-    stay = verdicts.where("kept").select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")).distinct()
-    on = docs[id_col].eqNullSafe(stay["__id"]) & (row_key(docs[text_col]) == stay["__rk"])
-    return docs.join(stay, on, "left_semi").dropDuplicates([id_col, text_col])
-
-
+    stay = verdicts.where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")).agg((F.count(F.lit(1)) > 1).alias("__again"))
+    stay = materialize(stay, "dedup-stay")
+    mine = lambda t: docs[id_col].eqNullSafe(t["__id"]) & (row_key(docs[text_col]) == t["__rk"])
+    once, again = stay.where("NOT __again"), stay.where("__again")
+    kept = docs.join(once, mine(once), "left_semi")
+    return kept if again.isEmpty() else kept.unionByName(docs.join(again, mine(again), "left_semi").dropDuplicates([id_col, text_col]))
