@@ -6,15 +6,18 @@ each slot; the r-th slot of a source takes its r-th block. The last block of a s
 what is taken differs from the target by less than a word.
 
 All running sums have two levels (about the square root of the rows in a group), so that a source with most rows is
-spread over many tasks. No source, block or slot is collected anywhere.
+spread over many tasks. No source, block or slot is collected anywhere. The table of sources itself is ordered in one
+task, so sources are meant to be collections (to some millions), not single pages.
 
 Defined cases: null text has size 0; a null source is one source, last. A source without words has target 0. Rows that
-repeat an id are different documents with their own place in the stream. An empty table gives an empty result.
+repeat an id are different documents with their own place in the stream, equal rows too. Ties in the shuffle go by id. An
+empty table gives an empty result. The result follows from the rows alone, not from how they are dealt to tasks.
 """
 
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,8 +25,9 @@ from pyspark.sql import functions as F
 
 from parley.llm._common import documents, materialize, row_key
 
-#: The golden ratio's fractional part: its multiples are spread as evenly as points of one rule can be.
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: The golden ratio's fractional part in units of 2**-64: its multiples, modulo one, are spread as evenly as points of one
+#: rule can be. In whole numbers they stay exact for any number of slots.
+GOLDEN, ONE = 11400714819323198485, 1 << 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,8 +81,8 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     bounds = need.withColumn("hi", last / F.lit(float(total))).withColumn("lo", (last - F.col("need")) / F.lit(float(total)))
     bounds = bounds.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
     per = max(1, math.isqrt(n))
-    u = (F.col("id") + 0.5) * GOLDEN
-    points = spark.range(n).select(F.col("id").alias("slot"), (u - F.floor(u)).alias("u")).withColumn("cell", F.floor(F.col("u") * cells)).withColumn("chunk", F.floor(F.col("slot") / per))
+    u = (F.col("id").cast("decimal(18,0)") * F.lit(Decimal(GOLDEN))) % F.lit(Decimal(ONE))
+    points = spark.range(n).select(F.col("id").alias("slot"), (u.cast("double") / float(ONE)).alias("u")).withColumn("cell", F.floor(F.col("u") * cells)).withColumn("chunk", F.floor(F.col("slot") / per))
     hit = points.join(bounds, "cell").where("u >= lo AND u < hi").select("slot", "chunk", "src", "need", F.lit(1).alias("one"))
     hit = _two_level(hit, "src", "chunk", ["slot"], "one", "block_no")
     # a share of the points can fall short by a few: those blocks follow at the end, in turn
@@ -88,13 +92,15 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     return drawn.unionByName(late.select((F.lit(n) + F.col("block_no") * F.lit(n_src) + F.col("src")).cast("long").alias("slot"), "src", "block_no"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block: int = 1024, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(mix, sized). mix: slot, doc_id, rk, off (place in the stream), src, from_word, to_word: the pieces of documents in their places, in order of
     (slot, from_word). sized: doc_id, rk, source, size, source_size, target, off for every row of docs.
 
-    weights repeat over the sources in the order of their names. most <= 2: the stream passes twice at most.
+    weights repeat over the sources in the order of their names. most <= 2: the stream passes twice at most. row_col: a
+    column that sized carries along as `row`.
     """
-    rows = documents(docs, id_col, text_col, source=source_col).select("doc_id", row_key(F.col("text")).alias("rk"), "source", words_in(F.col("text")).alias("size"))
+    more = {"row": row_col} if row_col else {}
+    rows = documents(docs, id_col, text_col, source=source_col, **more).select("doc_id", row_key(F.col("text")).alias("rk"), "source", words_in(F.col("text")).alias("size"), *more)
     rows = materialize(rows, "mix-sizes")
     plan = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     n = rows.count()
@@ -111,11 +117,23 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     low, high = F.greatest("a", F.col("block_no") * block), F.least("b", (F.col("block_no") + 1) * block)
     mix = pieces.select("doc_id", "rk", "off", "src", "block_no", (low - F.col("a")).alias("from_word"), (high - F.col("a")).alias("to_word"))
     mix = mix.join(schedule(plan, block), ["src", "block_no"]).select("slot", "doc_id", "rk", "off", "src", "from_word", "to_word")
-    return mix, placed.select("doc_id", "rk", "source", "size", "source_size", "target", "off")
+    return mix, placed.select("doc_id", "rk", "source", "size", "source_size", "target", "off", *more)
 
 
 def taken_words(mix: DataFrame, sized: DataFrame) -> DataFrame:
-    """For each row: doc_id, rk, source, size, source_size, target, taken, first_slot."""
+    """For each row of sized: its columns, taken, first_slot."""
     got = mix.groupBy(F.col("doc_id").alias("__i"), F.col("rk").alias("__k"), F.col("off").alias("__o")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("got"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("__n"))
     same = sized.join(got, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("rk") == F.col("__k")) & (F.col("off") == F.col("__o")), "left")
-    return same.select("doc_id", "rk", "source", "size", "source_size", "target", "off", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    return same.select(*sized.columns, F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "first_slot")
+
+
+def keep_taken(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that the mix takes words of, with size, target, taken and first_slot (`_mix` after a name that docs has).
+
+    Rows are told apart by a number of their own, so equal rows come out once each. how: as for mix_sources()."""
+    have = {c.lower() for c in docs.columns}
+    free = lambda c: c if c not in have else free(f"{c}_mix")
+    row = free("row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")  # the numbers are as written
+    got = taken_words(*mix_sources(numbered, row_col=row, **how)).where("taken > 0").select(F.col("row").alias(row), *(F.col(c).alias(free(c)) for c in ("size", "target", "taken", "first_slot")))
+    return numbered.join(got, row).drop(row)
