@@ -6,7 +6,10 @@ in a hash set of all g-word runs of the benchmark. Blocks that hit keep the word
 verified word for word against the benchmark's windows. Items shorter than n words are windows of their own length and
 have their own block size. Built-in functions only.
 
-The set is broadcast while its measured size is below `most_broadcast` entries; beyond, the same joins are shuffled.
+The set is broadcast while its measured size is below `most_broadcast` entries. Beyond, single blocks with their position
+are shuffled instead (no row is wider than a block), those that a large share of all blocks equals stay where they are
+(`spread_join`), and only documents with a block that hit are cut again for the words around it. Both ways give the same
+rows; a text's number of words is taken from the text itself, outside of any join.
 
 Defined cases: null or empty texts have no words and no hits; items without words are left out; repeated items count
 once per item_id; an item with a null item_id counts as any other, but is not listed. Rows that repeat an id are told apart by their text.
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm._common import documents, materialize, row_key
+from parley.llm._common import HEAVY, documents, materialize, row_key, spread_join
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,42 +54,77 @@ def windows(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str
     return items.select("item_id", size.alias("n"), F.explode(_runs(F.col("w"), size)).alias("window")).distinct()
 
 
+def _blocks(g: int) -> Column:
+    """Aligned blocks of g words of `norm`, each ended by a space; the last may be shorter."""
+    return F.regexp_extract_all("norm", F.lit(rf"(?:[^ ]++ ){{1,{g}}}+"), F.lit(0))
+
+
+def _around(around: int) -> Column:
+    """The text of block k (from 0) of `blocks` with `around` blocks on either side."""
+    return F.concat_ws("", F.slice("blocks", F.greatest(F.col("k") - around + 1, F.lit(1)), F.lit(around + 1) + F.least(F.col("k"), F.lit(around))))
+
+
+def _shuffled(rows: DataFrame, table: DataFrame, key: str, tag: str) -> DataFrame:
+    """rows join table on key, both large: the keys that many rows have are counted first."""
+    rows = materialize(rows, tag)
+    total = rows.count()
+    often = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > total // HEAVY)
+    often = materialize(often, f"{tag}-often")
+    counted = table.join(F.broadcast(often), key, "left").fillna(0, ["__n"])
+    return spread_join(rows, materialize(counted, f"{tag}-table"), [key], total, "__n")
+
+
+def _broadcast_scan(raw: DataFrame, grams: dict[int, DataFrame], around: dict[int, int]) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """(sizes, near by block size) in a scan for each block size; the first one also counts the words."""
+    parts = {}
+    for g, set_of in grams.items():
+        # an entry beyond all blocks of a document carries its number of words; the empty string is its key
+        cut = raw.select("doc_id", "rk", _blocks(g).alias("blocks"))
+        cut = cut.select("doc_id", "rk", "blocks", F.posexplode(F.concat("blocks", F.array(F.lit("")))).alias("k", "block"))
+        if not parts:
+            set_of = set_of.unionByName(raw.sparkSession.createDataFrame([("",)], "block string"))
+        last = F.element_at("blocks", -1)
+        n_words = F.when(F.size("blocks") == 0, 0).otherwise((F.size("blocks") - 1) * g + F.length(last) - F.length(F.replace(last, F.lit(" "), F.lit(""))))
+        hit = cut.join(F.broadcast(set_of.distinct()), "block").select(
+            "doc_id", "rk", (F.greatest(F.col("k") - around[g], F.lit(0)) * g).alias("base"), F.when(F.col("block") == "", n_words.cast("long")).alias("n_words"), F.when(F.col("block") != "", _around(around[g])).alias("near")
+        )
+        parts[g] = materialize(hit, f"bench-scan-{g}")
+    first = next(iter(parts.values()))
+    return first.where("n_words IS NOT NULL").select("doc_id", "rk", "n_words"), {g: p.where("near IS NOT NULL") for g, p in parts.items()}
+
+
+def _shuffled_scan(raw: DataFrame, grams: dict[int, DataFrame], around: dict[int, int]) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """The same where a set is too large to broadcast."""
+    parts = {}
+    for g, set_of in grams.items():
+        cut = raw.select("doc_id", "rk", F.posexplode(_blocks(g)).alias("k", "block"))
+        ks = _shuffled(cut, set_of.distinct(), "block", f"bench-blocks-{g}").groupBy(F.col("doc_id").alias("__i"), F.col("rk").alias("__r")).agg(F.collect_set("k").alias("ks"))
+        again = raw.join(ks, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("rk") == F.col("__r"))).select("doc_id", "rk", _blocks(g).alias("blocks"), F.explode("ks").alias("k"))
+        parts[g] = materialize(again.select("doc_id", "rk", (F.greatest(F.col("k") - around[g], F.lit(0)) * g).alias("base"), _around(around[g]).alias("near")), f"bench-scan-{g}")
+    return raw.select("doc_id", "rk", (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))).cast("long").alias("n_words")), parts
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_broadcast: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(sizes, hits). sizes: doc_id, rk, n_words for each row. hits: doc_id, rk, pos, n, item_id: the windows that occur."""
     wins = materialize(windows(benchmark, n, item_col, item_text), "bench-windows")
     lengths, total = wins.agg(F.collect_set("n"), F.count(F.lit(1))).first()  # at most n lengths
-    put = F.broadcast if total * n <= most_broadcast else (lambda df: df)
+    small = total * n <= most_broadcast
     raw = documents(docs, id_col, text_col).select("doc_id", row_key(F.col("text")).alias("rk"), normal(F.col("text")).alias("norm"))
-    parts = []
-    for k, g in enumerate(sorted({block_size(x) for x in lengths}, reverse=True) or [5]):
-        own = [x for x in lengths if block_size(x) == g]
-        around = max([-(-(x - g) // g) for x in own] + [0])
-        # an entry beyond all blocks of a document carries its number of words; null is its key
-        blocks = F.regexp_extract_all("norm", F.lit(rf"(?:[^ ]++ ){{1,{g}}}+"), F.lit(0))
-        cut = raw.select("doc_id", "rk", blocks.alias("blocks"))
-        cut = cut.select("doc_id", "rk", "blocks", F.posexplode(F.concat("blocks", F.array(F.lit("")))).alias("k", "block"))
-        grams = wins.where(F.col("n").isin(own)).select(F.explode(_runs(F.split(F.rtrim("window"), " "), g)).alias("block")) if own else wins.limit(0).select(F.col("window").alias("block"))
-        if k == 0:
-            grams = grams.unionByName(raw.sparkSession.createDataFrame([("",)], "block string"))
-        near = F.slice("blocks", F.greatest(F.col("k") - around + 1, F.lit(1)), F.lit(around + 1) + F.least(F.col("k"), F.lit(around)))
-        last = F.element_at("blocks", -1)
-        n_words = F.when(F.size("blocks") == 0, 0).otherwise((F.size("blocks") - 1) * g + F.length(last) - F.length(F.replace(last, F.lit(" "), F.lit(""))))
-        hit = cut.join(put(grams.distinct()), "block").select(
-            "doc_id", "rk", F.lit(g).alias("g"), (F.greatest(F.col("k") - around, F.lit(0)) * g).alias("base"),
-            F.when(F.col("block") == "", n_words.cast("long")).alias("n_words"), F.when(F.col("block") != "", F.concat_ws("", near)).alias("near"),
-        )
-        parts.append(materialize(hit, f"bench-scan-{g}"))
-    first = parts[0]
-    sizes = first.where("n_words IS NOT NULL").select("doc_id", "rk", "n_words")
+    of = {g: [x for x in lengths if block_size(x) == g] for g in sorted({block_size(x) for x in lengths}, reverse=True)} or {5: []}
+    grams = {g: wins.where(F.col("n").isin(own)).select(F.explode(_runs(F.split(F.rtrim("window"), " "), g)).alias("block")) if own else wins.limit(0).select(F.col("window").alias("block")) for g, own in of.items()}
+    around = {g: max([-(-(x - g) // g) for x in own] + [0]) for g, own in of.items()}
+    sizes, near = (_broadcast_scan if small else _shuffled_scan)(raw, grams, around)
     hits = None
-    for part, g in zip(parts, sorted({block_size(x) for x in lengths}, reverse=True) or [5], strict=True):
-        for x in [x for x in lengths if block_size(x) == g]:
-            w = part.where("near IS NOT NULL").select("doc_id", "rk", "base", _words(F.col("near")).alias("w")).where(F.size("w") >= x)
+    for g, own in of.items():
+        for x in own:
+            w = near[g].select("doc_id", "rk", "base", _words(F.col("near")).alias("w")).where(F.size("w") >= x)
             at = w.select("doc_id", "rk", "base", F.posexplode(_runs(F.col("w"), x)).alias("p", "window"))
-            ok = at.join(put(wins.where(F.col("n") == x).select("window", "item_id")), "window").select("doc_id", "rk", (F.col("base") + F.col("p")).cast("long").alias("pos"), F.lit(x).alias("n"), "item_id")
+            mine = wins.where(F.col("n") == x).groupBy("window").agg(F.collect_set(F.struct("item_id")).alias("items"))
+            ok = at.join(F.broadcast(mine), "window") if small else _shuffled(at, mine, "window", f"bench-at-{x}")
+            ok = ok.select("doc_id", "rk", (F.col("base") + F.col("p")).cast("long").alias("pos"), F.lit(x).alias("n"), F.explode("items").alias("item")).select("doc_id", "rk", "pos", "n", "item.item_id")
             hits = ok if hits is None else hits.unionByName(ok)
     if hits is None:
-        hits = raw.sparkSession.createDataFrame([], first.select("doc_id", "rk").schema.add("pos", "long").add("n", "integer").add("item_id", wins.schema["item_id"].dataType))
+        hits = raw.sparkSession.createDataFrame([], raw.select("doc_id", "rk").schema.add("pos", "long").add("n", "integer").add("item_id", wins.schema["item_id"].dataType))
     return sizes, materialize(hits.distinct(), "bench-hits")
 
 
