@@ -4,14 +4,17 @@ Reading: one partition per stretch of about `split_bytes` of an archive (the man
 Predicates on the record type, URI and other header fields are pushed into the source. Each record is a gzip member whose
 extra field "sl" holds its packed and unpacked lengths: the reader inflates a member only until the header block ends,
 tests the pushed predicates, and jumps to the next member; a payload is inflated only where it is wanted (option
-payload, default true) and the record passes.
+payload, default true) and the record passes. Archives are fetched `ahead_bytes` at a time, so that small records do not
+cost a request each on an object store.
 
 Writing: each task writes an archive under a name of its own; the commit lists those of the tasks that won in a manifest,
 so what lost or repeated attempts leave behind is never read. Paths are opened by pyarrow's file systems (file, hdfs, s3,
 gs), not by the local open().
 
 Defined cases: a null page is an empty payload; a null page id is the record id <urn:page:null>; equal payloads with
-equal greatest ids are all responses. An empty table makes an archive folder without records.
+equal greatest ids are all responses; repeated rows are records of their own. Outer blanks of a URI come back, line breaks
+in it do not. An empty table makes an archive folder without records. register() leaves Python filter pushdown on in the
+session, which readers need when their query is planned, after this module is done.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from parley.llm._common import materialize, q, scratch
+from parley.llm._common import materialize, q, scratch, spread_join
 
 #: Column -> header field. Columns of the source besides payload.
 FIELDS = {
@@ -41,7 +44,10 @@ FIELDS = {
     "payload_bytes": "X-Payload-Length",
     "refers_to": "WARC-Refers-To",
     "content_type": "Content-Type",
+    "profile": "WARC-Profile",
 }
+#: What a revisit of an equal payload says it is, so that any reader can resolve it.
+IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = ", ".join(f"{c} {'long' if c == 'payload_bytes' else 'string'}" for c in FIELDS) + ", payload binary"
 END = b"\r\n\r\n"
 
@@ -68,10 +74,31 @@ def parse_header(block: bytes) -> dict[str, str]:
     out: dict[str, str] = {}
     for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
         k, _, v = line.partition(":")
-        out[k.strip().lower()] = v.strip()
+        out[k.strip().lower()] = v.removeprefix(" ")
     return out
 
 
+class Ahead:
+    """Reads of a file in order, fetched `size` bytes at a time; a jump inside what is held costs nothing."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.at, self.low, self.held = file, size, 0, 0, b""
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, n: int) -> bytes:
+        if not self.low <= self.at <= self.at + n <= self.low + len(self.held):
+            self.file.seek(self.at)
+            self.low, self.held = self.at, self.file.read(max(n, self.size))
+        out = self.held[self.at - self.low : self.at - self.low + n]
+        self.at += len(out)
+        return out
+
+
 @dataclass
 class Part(InputPartition):
     path: str
@@ -90,6 +117,7 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"].rstrip("/")
         self.split = int(options.get("split_bytes", 32 << 20))
+        self.ahead = int(options.get("ahead_bytes", 4 << 20))
         self.wanted = options.get("payload", "true").lower() != "false"
         self.tests: list[tuple[str, str, tuple[str, ...]]] = []
 
@@ -144,8 +172,8 @@ class Reader(DataSourceReader):
 
     def _records(self, part: Part) -> Iterator[tuple[dict[str, str], bytes | None]]:
         files, path = _open(part.path)
-        with files.open_input_file(path) as f:
-            at = part.start
+        with files.open_input_file(path) as file:
+            f, at = Ahead(file, min(self.ahead, max(part.end - part.start, 1 << 12))), part.start
             while at < part.end:
                 f.seek(at)
                 head = f.read(1 << 12)
@@ -271,9 +299,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     raw = pages.select(q(id_col).cast("long").alias("page_id"), q(html_col).alias("html"), q(url_col).alias("url"))
     rows = raw.select("page_id", "url", html.cast("binary").alias("body"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("sha"))
     long = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "sha")
-    first = long.groupBy(F.col("sha").alias("s")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    first = materialize(first, "payloads")  # so that a payload that very many pages share can be split in the join
-    again = rows.join(first, rows["sha"] == first["s"], "left").withColumn("again", F.coalesce((F.col("first") > F.col("page_id")) & (F.col("payload_bytes") >= least), F.lit(False)))
+    first = long.groupBy("sha").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialize(first, "payloads")
+    again = spread_join(rows, first, ["sha"], pages.count(), "n", "left").withColumn("again", F.coalesce((F.col("first") > F.col("page_id")) & (F.col("payload_bytes") >= least), F.lit(False)))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     return again.select(
         urn(F.col("page_id")).alias("record_id"),
@@ -284,6 +312,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
         "payload_bytes",
         F.when(F.col("again"), urn(F.col("first"))).alias("refers_to"),
         F.lit("text/html").alias("content_type"),
+        F.when(F.col("again"), IDENTICAL).alias("profile"),
         F.when(~F.col("again"), F.col("body")).alias("payload"),
     )
 
