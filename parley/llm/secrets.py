@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm._common import documents, materialize, row_key
+from parley.llm._common import documents, materialize, row_key, spread_join
 from parley.llm.spans import listed, spans
 
 # Fixed values of the contract.
@@ -59,8 +59,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cands = F.concat(*(F.transform(c, one(k)) for k, c in candidates(text).items()))
     rows = materialize(raw.select("doc_id", row_key(F.col("text")).alias("rk"), "owner", "repo", cands.alias("cands")), "secret-candidates")
     flat = rows.where("size(cands) > 0").select("doc_id", "rk", "owner", "repo", F.inline("cands"))
-    known = materialize(ownership(flat), "secret-owners")
-    told = flat.select("doc_id", "rk", "kind", "start", "end", "value").distinct().join(known, "value")
+    known = materialize(ownership(flat).withColumn("n", F.col("repositories")), "secret-owners")
+    # an example that everyone copies is a value of very many rows
+    told = spread_join(flat.select("doc_id", "rk", "kind", "start", "end", "value"), known, ["value"], flat.count(), "n").distinct()
     told = told.withColumn("live", F.col("owners") <= most_owners)
     mine = told.groupBy(F.col("doc_id").alias("__i"), F.col("rk").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "owners", "repositories", "live"))).alias("cands"))
     on = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("rk") == F.col("__k"))
