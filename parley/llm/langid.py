@@ -2,7 +2,9 @@
 
 Row p of the filter is a bitmask with one bit per language, so one look-up of an n-gram's few rows and their conjunction
 returns all languages that contain it. A text's score for a language is the share of its n-grams that the language
-contains, corrected for the filter's rate of false positives; n-grams that fewer languages share weigh more.
+contains, corrected for the filter's rate of false positives; n-grams that fewer languages share weigh more. Per text,
+n-grams are counted by mask, so weights and popcounts are taken once for each mask. The filter's answers for all 2- and
+3-grams are looked up ahead, once in a process, where 64 bits hold the languages.
 
 The n-gram sets are learned from a bounded sample of labelled rows (`sample` rows at most on average, an equal share for
 each language and all rows of one that has fewer, drawn by a hash of the id); those that at least `min_share` of a language's sampled texts contain are kept, so the model's size does not
@@ -16,7 +18,7 @@ Rows are independent.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +29,52 @@ from parley.llm import _words
 from parley.llm._common import documents, row_key, small_batches
 
 ORDERS = (2, 3, 5)
-_MAP = np.arange(256, dtype=np.uint8)
-_MAP[ord("A") : ord("Z") + 1] += 32
-_MAP[:128][[not chr(c).isalpha() for c in range(128)]] = 32
+#: Symbols of n-grams: A-Z and a-z 1 to 26, bytes above ASCII 27 to 154, all else a space, 0.
+_SYMBOL = np.zeros(256, np.uint8)
+_SYMBOL[ord("A") : ord("Z") + 1] = _SYMBOL[ord("a") : ord("z") + 1] = np.arange(1, 27)
+_SYMBOL[128:] = np.arange(27, 155)
+_BASE = 155
 
 
-def ngrams(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of the n-byte runs inside documents, A-Z as a-z, anything else in ASCII as a space, no two spaces."""
+def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the documents, runs of spaces as one, and the documents' bounds in them."""
     lo, hi = int(at[0]), int(at[-1])
-    b = _MAP[data[lo:hi]]
-    if len(b) < n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    space = b == 32
-    bad = np.zeros(len(b), bool)
-    bad[1:] = space[1:] & space[:-1]
-    code = np.zeros(len(b) - n + 1, np.uint64)
-    spoiled = np.zeros(len(code), bool)
-    for j in range(n):
-        code = (code << np.uint64(8)) | b[j : len(b) - n + 1 + j]
-        if j:
-            spoiled |= bad[j : len(b) - n + 1 + j]
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    inside = doc[: len(code)] == doc[n - 1 :]
-    ok = np.flatnonzero(inside & ~spoiled)
-    return doc[ok], _words.mix(code[ok] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))
+    s = _SYMBOL[data[lo:hi]]
+    again = np.zeros(len(s), bool)
+    again[1:] = (s[1:] == 0) & (s[:-1] == 0)
+    first = at[:-1] - lo
+    again[first[first < len(s)]] = False
+    return s[~again], np.concatenate([[0], np.cumsum(~again)])[at - lo]
+
+
+def _codes(s: np.ndarray, n: int) -> np.ndarray:
+    """A number for the n symbols from each place on."""
+    out = s.astype(np.int64)
+    for j in range(1, n):
+        out = out[:-1] * _BASE + s[j:]
+    return out if len(s) >= n else out[:0]
+
+
+def _hashed(code: np.ndarray, n: int) -> np.ndarray:
+    return _words.mix(code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))
+
+
+def _starts(bounds: np.ndarray, n: int) -> np.ndarray:
+    """For each place: the document in which n symbols from there on lie, or the number of documents."""
+    docs = len(bounds) - 1
+    out = np.repeat(np.arange(docs), np.diff(bounds))[: max(int(bounds[-1]) - n + 1, 0)]
+    for j in range(1, n):
+        late = bounds[1:] - j
+        out[late[(late >= bounds[:-1]) & (late < len(out))]] = docs
+    return out
+
+
+def ngrams(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the n-grams inside documents."""
+    s, bounds = symbols(data, at)
+    doc, code = _starts(bounds, n), _codes(s, n)
+    ok = np.flatnonzero(doc < len(at) - 1)
+    return doc[ok], _hashed(code[ok], n)
 
 
 def _batches(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -70,6 +94,7 @@ class Model:
     rows: np.ndarray
     wrong: np.ndarray
     probes: int
+    memo: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
 
     def member(self, h: np.ndarray) -> np.ndarray:
         """Bitmask of the languages that contain each n-gram (all of them, and now and then one more)."""
@@ -80,22 +105,37 @@ class Model:
             out = out & self.rows[((h + step * np.uint64(k)) & size).astype(np.int64)]
         return out
 
+    def masks(self, code: np.ndarray, n: int) -> np.ndarray:
+        """member() of n-grams by their codes."""
+        if n > 3 or self.rows.shape[1] > 1:
+            return self.member(_hashed(code, n))
+        if n not in self.memo:
+            kind = np.min_scalar_type((1 << len(self.languages)) - 1)
+            every = range(0, _BASE**n, 1 << 18)
+            self.memo[n] = np.concatenate([self.member(_hashed(np.arange(a, min(a + (1 << 18), _BASE**n)), n)).astype(kind) for a in every])
+        return self.memo[n][code]
+
     def score(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language number or -1, score) of each document."""
         docs, langs = len(at) - 1, len(self.languages)
         if not langs:
             return np.full(docs, -1), np.zeros(docs)
-        total = np.zeros(docs)
-        hits = np.zeros((docs, langs))
+        s, bounds = symbols(data, at)
+        rows, masks = [], []
         for n in ORDERS:
-            doc, h = ngrams(data, at, n)
-            mask = self.member(h)
-            has = np.stack([(mask[:, x // 64] >> np.uint64(x % 64)) & np.uint64(1) for x in range(langs)], 1).astype(bool)
-            share = has.sum(1)
-            weight = np.where(share > 0, 1.0 / np.maximum(share, 1), 1.0)  # an n-gram that nobody knows counts against all
-            total += np.bincount(doc, weight, docs)
-            for x in range(langs):
-                hits[:, x] += np.bincount(doc, weight * has[:, x], docs)
+            rows.append(_starts(bounds, n))
+            masks.append(self.masks(_codes(s, n), n))
+        if langs <= 8:  # a mask is its own number
+            known = np.arange(256, dtype=np.uint64)[:, None]
+            places = [m[:, 0].astype(np.int64) for m in masks]
+        else:
+            known, place = np.unique(np.concatenate([m.astype(np.uint64) for m in masks]), axis=0, return_inverse=True)
+            places = np.split(place.reshape(-1), np.cumsum([len(m) for m in masks])[:-1])
+        size = max(len(known), 1)
+        counts = sum(np.bincount(r * size + p, minlength=(docs + 1) * size) for r, p in zip(rows, places, strict=True)).reshape(docs + 1, size)[:docs, : len(known)]
+        has = np.stack([(known[:, x // 64] >> np.uint64(x % 64)) & np.uint64(1) for x in range(langs)], 1).astype(float)
+        weight = 1.0 / np.maximum(has.sum(1), 1)  # an n-gram that nobody knows counts against all
+        total, hits = counts @ weight, counts @ (has * weight[:, None])
         seen = hits / np.maximum(total, 1e-9)[:, None]
         right = np.clip((seen - self.wrong) / (1 - self.wrong), 0, 1)
         best = right.argmax(1)

@@ -70,9 +70,36 @@ def test_near_dedup(docs, rows, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(9)
+    a, b = ([f"{x}{rng.randrange(1000)}" for _ in range(80)] for x in "ab")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (5, near(a)), (5, " ".join(b)), (7, near(b))]
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame([((i if kind == "long" else str(i)), t) for i, t in rows], f"doc_id {kind}, text string")
+        got = near_dedup.near_dedup(docs)
+        assert sorted((int(r["doc_id"]), int(r["component_id"]), r["kept"], r["stays"]) for r in got.collect()) == [(1, 1, True, True), (5, 1, False, False), (5, 5, True, True), (7, 5, False, False)]
+        assert sorted(r["text"] for r in near_dedup.keep_one(docs, got).collect()) == sorted([rows[0][1], rows[2][1]])
+
+
+def test_signatures_miss_hardly_any_similar_pair():
+    """Sets of similarity 0.8 exactly, as drawn: the share within the distance; and the chance that the README states."""
+    from math import comb
+
+    rng = np.random.default_rng(3)
+    signer, found, n = near_dedup.Signer(16, 5, 1), 0, 400
+    for _ in range(n):
+        x = rng.integers(0, 1 << 63, 1000, np.uint64)
+        s, t = np.sort(x[:900]), np.sort(x[100:])
+        sig = signer.signature(np.concatenate([s, t]), np.array([0, 900, 1800]))
+        found += int((sig[0] != sig[1]).sum()) <= 31
+    assert found == n
+    assert sum(comb(80, k) * 0.2**k * 0.8 ** (80 - k) for k in range(32, 81)) < 4e-5
+
+
 def test_signatures_guarantee_the_distance():
     rng = np.random.default_rng(1)
-    signer = near_dedup.Signer(16, 5, 1, 8)
+    signer = near_dedup.Signer(16, 5, 1)
     a = rng.integers(0, 1 << 16, (200, 80)).astype(np.uint16)
     b = a.copy()
     for row in b:
@@ -123,9 +150,42 @@ def test_mixing(docs, rows, empty):
         assert sum(r["taken"] for r in mine) == pytest.approx(target[s], abs=1)
     slots = mix.select("slot", "src").distinct().orderBy("slot").collect()
     assert len({r["slot"] for r in slots}) == len(slots)
+    columns = ["doc_id", "rk", "off", "slot", "src", "from_word", "to_word"]
+    again, _ = mixing.mix_sources(docs.repartition(7), block=64)
+    assert sorted(map(tuple, mix.select(columns).collect()), key=str) == sorted(map(tuple, again.select(columns).collect()), key=str)
     assert mixing.taken_words(*mixing.mix_sources(empty)).count() == 0
 
 
+def test_schedule_equals_brute_force(spark):
+    block, targets = 10, {0: 333.5, 1: 0.0, 2: 41.0, 3: 1200.0, 4: 3.0}
+    need = {s: -(-t // block) for s, t in targets.items() if t > 0}
+    total = sum(need.values())
+    bounds, low = {}, 0.0
+    for s in sorted(need):
+        bounds[s] = (low / total, (low + need[s]) / total)
+        low += need[s]
+    n = int(total + 4 * len(need) * (int(np.log2(total + 2)) + 4))
+    want, have = [], dict.fromkeys(need, 0)
+    for i in range(n):
+        u = (i * mixing.GOLDEN % mixing.ONE) / mixing.ONE
+        s = next(s for s, (lo, hi) in bounds.items() if lo <= u < hi)
+        if have[s] < need[s]:
+            want.append((i, s, have[s]))
+        have[s] += 1
+    got = mixing.schedule(spark.createDataFrame(list(targets.items()), "src int, target double"), block)
+    assert sorted(tuple(r) for r in got.select("slot", "src", "block_no").collect()) == want
+    assert all(have[s] >= need[s] for s in need)
+
+
+def test_mix_keeps_equal_rows_and_foreign_columns(spark):
+    rows = [(1, "a b c", "s", 5, "x", "y"), (1, "a b c", "s", 5, "x", "y"), (2, None, None, 1, "", ""), (3, "d " * 40, "t", 1, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, taken string, row string")
+    out = mixing.keep_taken(docs)
+    assert out.columns == [*docs.columns, "size_mix", "target", "taken_mix", "first_slot"]
+    got = sorted(tuple(r) for r in out.select("doc_id", "size", "size_mix", "taken", "row").collect())
+    assert [g for g in got if g[0] == 1] == [(1, 5, 3, "x", "y")] * 2 and 2 not in [g[0] for g in got]
+
+
 def test_decontamination(spark, docs, rows, empty):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     items = [(1, rows[8][1]), (2, "Two words"), (3, None), (4, " ".join((rows[9][1] or "").split()[5:18])), (10, "ONE"), (5, " ".join(rows[10][1].split()[7:13])), (4, "?!")]
@@ -147,6 +207,10 @@ def test_decontamination(spark, docs, rows, empty):
     for most in (1_000_000, 0):  # broadcast and shuffled
         got = decontaminate.digest(decontaminate.verdicts(*decontaminate.scan(docs, bench, most_broadcast=most))).collect()
         assert len(got) == len(rows) and {r["doc_id"]: tuple(r)[1:] for r in got} == want
+    # a long text that the shuffled way must not carry along: no row is wider than a block, or the words around it
+    long = spark.createDataFrame([(1, "w " * 300_000 + items[0][1] + " w" * 1000), (None, items[1][1])], "doc_id long, text string")
+    both = [sorted(map(str, decontaminate.digest(decontaminate.verdicts(*decontaminate.scan(long, bench, most_broadcast=m))).collect())) for m in (1_000_000, 0)]
+    assert both[0] == both[1] and "contaminated=True" in both[0][0]
     assert sorted({r["doc_id"] for r in decontaminate.clean(docs, bench).collect()}) == sorted(d for d, w in want.items() if not w[4])
     left = {r["doc_id"]: r["words"] for r in decontaminate.spans_removed(docs, bench).collect()}
     assert all(len(left[d]) == w[0] - w[1] for d, w in want.items())
@@ -256,6 +320,14 @@ def test_warc_round_trip(spark, tmp_path):
     raw = {r["record_id"]: bytes(r["payload"] or b"") for r in warc.read(spark, path).collect()}
     assert raw["<urn:page:6>"] == pages[5][2].encode()
     assert warc.read(spark, warc.archive(df.limit(0))).count() == 0
+    profiles = {r["profile"] for r in warc.read(spark, path).where("record_type = 'revisit'").collect()}
+    assert profiles == {warc.IDENTICAL}
+    twice = warc.digest(warc.read(spark, warc.archive(df.where("page_id IN (3, 7)").union(df.where("page_id IN (3, 7)")).withColumn("url", F.lit("  u ")))))
+    assert sorted((r["page_id"], r["record_type"]) for r in twice.collect()) == [(3, "response")] * 2 + [(7, "response")] * 2
+    blank = warc.read(spark, warc.archive(df.where("page_id = 3").withColumn("url", F.lit("  u "))))
+    assert [r["target_uri"] for r in blank.collect()] == ["  u "]
+    small = spark.read.format("warc").option("ahead_bytes", "10").load(path)
+    assert sorted(map(str, small.collect())) == sorted(map(str, warc.read(spark, path).collect()))
     # archives of another origin: plain records, and members that don't tell their length
     import gzip
 
@@ -291,6 +363,45 @@ def test_language_id(spark, docs, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+@pytest.mark.parametrize("n_langs", [1, 4, 11, 70])
+def test_language_scores_equal_a_dense_scorer(n_langs):
+    """One language at a time, one n-gram at a time, from the definition: against sets of positions in Python integers."""
+    import pyarrow as pa
+
+    from parley.llm import _words
+
+    rng = random.Random(n_langs)
+    texts = ["", "a", "x  y", "Größe, die   GROSSE! 12", None, "é", *(" ".join("".join(rng.choice("abcde é") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 60))) for _ in range(40))]
+
+    def grams(text, n):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        symbols = [0 if b < 128 and not chr(b).isalpha() else b - 96 if b < 128 else b - 101 for b in re.sub(rb"[^a-z\x80-\xff]+", b" ", low.encode())]
+        return [sum(x * 155 ** (n - 1 - j) for j, x in enumerate(symbols[i : i + n])) for i in range(len(symbols) - n + 1)]
+
+    hashed = lambda codes, n: [int(x) for x in _words.mix(np.array(codes, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))]
+    known = {f"l{k:02}": {h for t in rng.sample(texts[6:], 3) for n in langid.ORDERS for h in hashed(grams(t, n), n)} for k in range(n_langs)}
+    model = langid.build({x: np.array(sorted(v), np.uint64) for x, v in known.items()})
+    size, places = len(model.rows), {}
+    at = lambda h: [(h + k * (h >> 32 | 1)) % (1 << 64) % size for k in range(model.probes)]
+    for x, v in known.items():
+        places[x] = {p for h in v for p in at(h)}
+    best, score = model.score(*_words.buffers(pa.array(texts, pa.string())))
+    for t, b, s in zip(texts, best, score, strict=True):
+        total, hits = 0.0, dict.fromkeys(known, 0.0)
+        for n in langid.ORDERS:
+            for h in hashed(grams(t, n), n):
+                has = [x for x in known if all(p in places[x] for p in at(h))]
+                total += 1 / max(len(has), 1)
+                for x in has:
+                    hits[x] += 1 / len(has)
+        want = {}
+        for x in known:
+            wrong = (len(places[x]) / size) ** model.probes
+            want[x] = min(max((hits[x] / max(total, 1e-9) - wrong) / (1 - wrong), 0), 1)
+        top = max(want.values())
+        assert s == pytest.approx(top, abs=1e-9) and (b < 0 if top <= 0 else want[model.languages[b]] == pytest.approx(top, abs=1e-9))
+
+
 def test_chat(spark, empty):
     rng = random.Random(2)
     say = {"user": lambda: "What " + "x " * rng.randint(1, 20) + "?", "assistant": lambda: "\n".join("y " * 80 for _ in range(rng.randint(1, 4))), "system": lambda: "Be kind."}
