@@ -14,6 +14,9 @@ _ONES = "null ein zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dr
 _TENS = "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split()
 
 
+_LARGE = ((10**18, "eine Trillion", "Trillionen"), (10**15, "eine Billiarde", "Billiarden"), (10**12, "eine Billion", "Billionen"), (10**9, "eine Milliarde", "Milliarden"), (10**6, "eine Million", "Millionen"))
+
+
 def cardinal(n: int) -> str:
     """The German cardinal as transcribers write it ("hundert", not "einhundert")."""
     return re.sub("^ein(?=hundert|tausend)", "", full_cardinal(n))
@@ -47,7 +50,7 @@ def _below_thousand(n: int) -> str:
 
 
 def _millions(n: int) -> str:
-    for size, one, many in ((10**12, "eine Billion", "Billionen"), (10**9, "eine Milliarde", "Milliarden"), (10**6, "eine Million", "Millionen")):
+    for size, one, many in _LARGE:
         head, rest = divmod(n, size)
         if head:
             first = one if head == 1 else f"{full_cardinal(head)} {many}"
@@ -59,8 +62,10 @@ def number_words() -> list[str]:
     return [*(cardinal(i) for i in range(10_000)), *lx.NUMBER_EXTRAS]
 
 
-def cardinal_column(digits: Column) -> Column:
-    """cardinal() of a string of digits below a million, as built-in functions: no look-up table, no UDF."""
+def cardinal_column(digits: Column, full: bool = False) -> Column:
+    """cardinal() of a string of digits below a million, as built-in functions: no look-up table, no UDF.
+
+    full: full_cardinal(), to below 10**21. Larger numbers stay as they are."""
     ones = F.array(*map(F.lit, _ONES))
     tens = F.array(*map(F.lit, _TENS))
     at = lambda a, i: F.element_at(a, (i + 1).cast("int"))
@@ -74,11 +79,20 @@ def cardinal_column(digits: Column) -> Column:
         tail = F.when(rest == 0, "").when((rest == 1) & F.lit(end), "eins").otherwise(below_hundred(rest))
         return F.concat(F.when(head > 0, F.concat(at(ones, head), F.lit("hundert"))).otherwise(""), tail)
 
+    def below_million(n: Column) -> Column:
+        head, rest = F.floor(n / 1000), n % 1000
+        return F.concat(F.when(head > 0, F.concat(below_thousand(head, False), F.lit("tausend"))).otherwise(""), below_thousand(rest, True))
+
     n = digits.try_cast("long")
-    head, rest = F.floor(n / 1000), n % 1000
-    out = F.concat(F.when(head > 0, F.concat(below_thousand(head, False), F.lit("tausend"))).otherwise(""), below_thousand(rest, True))
-    out = F.regexp_replace(F.when(n == 0, "null").otherwise(out), "^ein(?=hundert|tausend)", "")
-    return F.when(n.isNull() | (n >= 10**6), digits).otherwise(out)
+    if not full:
+        out = F.regexp_replace(F.when(n == 0, "null").otherwise(below_million(n)), "^ein(?=hundert|tausend)", "")
+        return F.when(n.isNull() | (n >= 10**6), digits).otherwise(out)
+    bare = F.ltrim(digits, F.lit("0"))
+    three = lambda k: F.substring(F.lpad(bare, 21, "0"), 3 * k + 1, 3).try_cast("int")
+    large = [F.when(three(k) == 1, one).when(three(k) > 1, F.concat(below_thousand(three(k), True), F.lit(f" {many}"))) for k, (_, one, many) in enumerate(_LARGE)]
+    rest = F.substring(F.lpad(bare, 21, "0"), 16, 6).try_cast("int")
+    out = F.concat_ws(" ", *large, F.when(rest > 0, below_million(rest)))
+    return F.when(F.length(bare) > 21, digits).when(bare == "", "null").otherwise(out)
 
 
 def _mapped(tokens: Column, table: dict[str, str]) -> Column:
@@ -128,11 +142,18 @@ def without_repeats(toks: Column) -> Column:
 
 
 def board_words(text: Column) -> Column:
-    """The public leaderboard's rule without compatibility folding (functions.arrow.board_words folds)."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[<\[][^>\]]*[>\]]", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\(([^)]+?)\)", ""), r"[\p{S}\p{P}]", " ")
-    t = F.regexp_replace(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), r"(\d)\s+(\d{3})\b", "$1$2")
-    return F.filter(F.split(t, " "), lambda x: x != "")
+    """Words by the public leaderboard's rule: tags and bracketed asides out, compatibility forms folded, symbols as spaces,
+    thousands joined and numbers spelled out."""
+    from parley.functions.arrow import nfkc
+
+    t = F.lower(F.coalesce(text, F.lit("")))
+    for aside in (r"[<\[][^>\]]*[>\]]", r"\([^)]+\)"):
+        t = F.regexp_replace(t, aside, "")
+    t = F.regexp_replace(F.regexp_replace(F.lower(nfkc(t)), r"[\p{S}\p{P}]", " "), r"(?U)[^\w\s]", "")
+    t = F.regexp_replace(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), r"(?U)(\d) (\d{3})\b", "$1$2")
+    runs = F.regexp_extract_all(t, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    spelled = F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), cardinal_column(x, full=True)).otherwise(x)), "")
+    return F.filter(F.split(spelled, " "), lambda x: x != "")
 
 
 def learn_compounds(words_of: DataFrame, words_col: str = "words", least: int = 8) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions import arrow, german
+from parley.functions import arrow, german, issues
 from parley.functions import lexicon as lx
 from parley.functions import text as tx
 from parley.operators import dialogue as dg
@@ -166,18 +166,18 @@ def sentence_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def transcript_issues(spark: SparkSession, d: str) -> DataFrame:
-    return fx.lines(spark, d).select("doc_id", "line", F.explode(arrow.transcript_issues("text")).alias("i")).select("doc_id", "line", "i.*")
+    return fx.lines(spark, d).select("doc_id", "line", F.explode(issues.issues(F.col("text"))).alias("i")).select("doc_id", "line", "i.*")
 
 
 @query()
 def converted_lines(spark: SparkSession, d: str) -> DataFrame:
-    return fx.lines(spark, d).select("doc_id", "line", arrow.converted("text").alias("converted"))
+    return fx.lines(spark, d).select("doc_id", "line", issues.converted(F.col("text")).alias("converted"))
 
 
 @query()
 def normalised_tokens(spark: SparkSession, d: str) -> DataFrame:
     l = fx.lines(spark, d)
-    return l.select("doc_id", "line", *(F.array_join(german.tokens(F.col("text"), v), " ").alias(v) for v in ("verbatim", "normalized", "norep")), F.array_join(arrow.board_words("text"), " ").alias("board"))
+    return l.select("doc_id", "line", *(F.array_join(german.tokens(F.col("text"), v), " ").alias(v) for v in ("verbatim", "normalized", "norep")), F.array_join(german.board_words(F.col("text")), " ").alias("board"))
 
 
 @query(f"WITH {fx.LINES}, c AS (SELECT doc_id, line, {fx.SQL_WORDS.format('text')} AS w FROM lines) SELECT doc_id, line, CAST(len(w) AS INTEGER) AS n, CAST(len(list_filter(w, lambda x, i: i = 1 OR x <> w[i - 1])) AS INTEGER) AS n_norep FROM c")

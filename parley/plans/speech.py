@@ -118,14 +118,11 @@ def miss_agreement(spark: SparkSession, d: str) -> DataFrame:
     return asr.miss_agreement(missed(spark, d))
 
 
-@query(f"""WITH {_T}, p AS (SELECT word, system, avg(CAST(op = 'equal' AS DOUBLE)) AS r, count(*) AS n FROM toks WHERE word NOT IN {listed(lx.STOP_WORDS)} GROUP BY 1, 2), w AS (SELECT word, round(avg(r), 6) AS mean_recall, max(n) AS n FROM p GROUP BY 1)
-SELECT * FROM w WHERE n >= 3 ORDER BY mean_recall, n DESC, word LIMIT 40""")
+@query(f"""WITH {_T}, p AS (SELECT word, system, avg(CAST(op = 'equal' AS DOUBLE)) AS r, count(*) AS n FROM toks WHERE word NOT IN {listed(lx.STOP_WORDS)} AND word NOT IN {listed([w for w in german.number_words()])} GROUP BY 1, 2), w AS (SELECT word, round(avg(r), 6) AS mean_recall, max(n) AS n FROM p GROUP BY 1)
+SELECT * FROM w WHERE n >= 3 ORDER BY mean_recall, word LIMIT 40""")
 def hard_words(spark: SparkSession, d: str) -> DataFrame:
     """The forty words with the lowest mean recall: a top-k report over all tokens."""
-    t = fx.system_tokens(spark, d)
-    per = t.where(~F.col("word").isin(lx.STOP_WORDS)).groupBy("word", "system").agg(F.avg((F.col("op") == "equal").cast("double")).alias("recall"), F.count(F.lit(1)).alias("n"))
-    w = per.groupBy("word").agg(r6(F.avg("recall"), "mean_recall"), F.max("n").alias("n")).where("n >= 3")
-    return w.orderBy("mean_recall", F.desc("n"), "word").limit(40)
+    return asr.hard_words(fx.system_tokens(spark, d), fx.SYSTEMS).select("word", r6("mean_recall", "mean_recall"), "n")
 
 
 @query(f"WITH {_T}, c AS (SELECT word, alt, count(*) AS n FROM toks WHERE op = 'substitute' GROUP BY 1, 2) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY word ORDER BY n DESC, alt) AS INTEGER) AS rank FROM c) WHERE rank <= 4")

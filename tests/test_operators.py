@@ -42,11 +42,23 @@ def test_pack_windows(spark):
     assert [(x["start"], x["end"]) for x in asr.pack_windows(r, "k").orderBy("win").collect()] == [(0, 10), (20, 40), (41, 55)]
 
 
+def placed(spark, lines, n):
+    """lines: votes of each line as {window: (votes, order of the first)}."""
+    rows = [("d", k, w, c, f) for k, v in enumerate(lines) for w, (c, f) in (v or {None: (None, None)}).items()]
+    votes = spark.createDataFrame(rows, "doc string, line long, win int, n long, first long")
+    got = asr.place_lines(votes, spark.createDataFrame([("d", n)], "doc string, n_windows int")).orderBy("line").collect()
+    return [(r["win"], r["lo"], r["hi"]) for r in got]
+
+
 def test_window_placement(spark):
-    assert asr.window_spans([{0: 3}, {}, {3: 2}], 5)[0] == [0, 1, 3]
-    assert asr.window_spans([{2: 1}, {1: 5}], 4)[0] == [2, 2]
-    assert asr.window_spans([{}, {1: 1}], 3)[0] == [0, 1]
-    assert asr.window_spans([{6: 5, 7: 1, 8: 4}, {9: 3}], 10)[1] == [(6, 8), (9, 9)]
+    assert [p[0] for p in placed(spark, [{1: (4, 0)}, {}, {}, {5: (1, 0)}], 9)] == [1, 2, 3, 5]
+    assert [p[0] for p in placed(spark, [{1: (4, 0)}, {}, {}, {3: (1, 0)}], 9)] == [1, 2, 2, 3]  # fewer windows than lines
+    assert [p[0] for p in placed(spark, [{4: (2, 0)}, {2: (9, 0)}], 9)] == [4, 4]  # never back in time
+    assert [p[0] for p in placed(spark, [{}, {2: (1, 0)}, {}, {}], 4)] == [0, 2, 3, 3]  # before the first and after the last
+    assert [p[0] for p in placed(spark, [{}, {0: (1, 0)}, {}], 1)] == [0, 0, 0]  # nowhere to go
+    assert [p[0] for p in placed(spark, [{}, {}], 5)] == [0, 1]
+    assert placed(spark, [{3: (2, 7), 1: (2, 1)}], 5) == [(1, 1, 3)]  # of a tie, the first that got a vote
+    assert placed(spark, [{6: (5, 0), 7: (1, 1), 9: (4, 2)}, {10: (3, 0), 2: (3, 1)}, {8: (1, 0)}], 12) == [(6, 6, 9), (10, 6, 10), (10, 8, 10)]
     u = spark.createDataFrame([("d", 0, 0), ("d", 0, 2), ("d", 3, 3)], "doc string, lo int, hi int")
     assert [(x["lo"], x["hi"], x["n"]) for x in asr.merge_intervals(u, "doc", "lo", "hi").orderBy("unit").collect()] == [(0, 2, 2), (3, 3, 1)]
 
