@@ -1,11 +1,16 @@
-"""Sentences of role blocks: boundaries, gate and attributes. A boundary depends on the last one accepted, so blocks go
-through an Arrow UDF one by one; a tagger, where there is one, is a function from words to (tag, finite) pairs.
+"""Sentences of role blocks: boundaries, gate and attributes.
+
+A boundary depends on the last one accepted, so a block's words go through an Arrow UDF one by one; what the rules need of
+the open sentence (words, brackets, finite verb, dependent clause) is kept as running state, so the work is linear. A
+tagger, where there is one, is a function from words to Tags; without one, a list of frequent finite verbs and the place
+next to a subject pronoun tell finite verbs, and no parser proposes boundaries.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,56 +22,138 @@ from parley.functions import lexicon as lx
 from parley.functions import text as tx
 
 _WORD = re.compile(r"[^\W_]+")
-_ABBREVIATION = re.compile(r"(?:(?:^|\s|\()(?:bzw|ca|dr|prof|usw|d|z)\.|\bz\.\s?b\.|\d\.\d?)$", re.IGNORECASE)
+_LIKERT = re.compile(lx.LIKERT)
+_ABBREVIATION = re.compile(r"(?:\b(?:bzw|ca|dr|prof|usw|d|z)\.|\b[dz]\s*\.\s*[bh]\.|\d\.\d)$", re.IGNORECASE)
 _BOUNDARY = re.compile(lx.SENTENCE_FINAL)
-#: Endings that finite forms of frequent verbs share; a stand-in where no tagger is given.
-_FINITE = set("bin bist ist sind seid war waren habe hast hat haben hatte hatten werde wird werden wurde wurden kann können konnte muss müssen soll sollen will wollen darf dürfen mag möchte würde würden gibt geht macht finde denke glaube weiß sage sagt kommt war".split())
+_EDGES = ".,;:!?…\"'»«“”„’‘()[]{}"
+#: Finite forms of frequent verbs; with the neighbours of a subject pronoun, a stand-in where no tagger is given.
+_FINITE = set("bin bist ist sind seid war waren habe hast hat haben hatte hatten werde wird werden wurde wurden kann können konnte muss müssen soll sollen will wollen darf dürfen mag möchte würde würden gibt geht macht finde denke glaube weiß sage sagt kommt trifft".split())
+_SUBJECTS = set("ich du er sie es wir ihr man".split())
+_PERSONAL = re.compile(r"[a-zäöüß]{2,}(?:e|en|st|t)$")
+
+
+class Tag(NamedTuple):
+    """What a tagger says of a word. sure: finite by its form, not only by default; starts: a parser begins a sentence here."""
+
+    pos: str = ""
+    tag: str = ""
+    finite: bool = False
+    sure: bool = False
+    starts: bool = False
+
+
+def lexical_tags(words: Sequence[str]) -> list[Tag]:
+    """Tags of bare words without a tagger: finite verbs only."""
+    out = []
+    for k, w in enumerate(words):
+        before, after = words[k - 1].casefold() if k else "", words[k + 1].casefold() if k + 1 < len(words) else ""
+        by_subject = _PERSONAL.match(w) and w not in _SUBJECTS and (after in _SUBJECTS or (before == "ich" and w.endswith("e")))
+        finite = w.casefold() in _FINITE or bool(by_subject)
+        out.append(Tag(finite=finite, sure=finite))
+    return out
+
 
+class _Open:
+    """The sentence that is open: a few facts, brought up to date word by word."""
+
+    def __init__(self) -> None:
+        self.first = self.last = self.text = ""
+        self.count, self.finite, self.clause, self.copula, self.credit = 0, False, False, False, False
+        self.brackets: list[str] = []
+        self.torn, self.likert = False, False
+        self.recent: list[str] = []
+        self.tags: list[Tag] = []
+
+    def add(self, text: str, bare: str, tag: Tag) -> None:
+        words = [w.casefold() for w in _WORD.findall(text)]
+        if not self.text:
+            self.credit = text.casefold().startswith(("untertitel", "©"))
+        for w in words:
+            self.first = self.first or w
+            self.last = w
+            self.recent = [*self.recent[-4:], w]
+            self.copula |= w in ("bin", "bist", "ist", "sind", "war", "waren")
+            self.likert |= w == "zu" and bool(_LIKERT.search(" ".join(self.recent)))
+        self.count += len(words)
+        self.text = text
+        self.tags = [*self.tags[-1:], tag]
+        for c in text:
+            if c in "([{":
+                self.brackets.append(c)
+            elif c in ")]}":
+                self.torn |= not self.brackets or self.brackets.pop() + c not in ("()", "[]", "{}")
+        if bare.casefold() in lx.DEPENDENT_INITIAL:
+            self.clause = True
+        if tag.finite:
+            self.finite, self.clause = True, False
+
+    def unfinished(self) -> bool:
+        """By its last word, or by what a tagger says of it."""
+        last = self.tags[-1]
+        named = last.tag == "ADJA" and len(self.tags) > 1 and self.tags[-2].pos == "DET" and not _BOUNDARY.search(self.text)
+        return not self.count or self.last in lx.UNAMBIGUOUS_INCOMPLETE_FINAL or last.pos in ("ADP", "CCONJ", "DET", "SCONJ") or named
+
+    def whole(self) -> bool:
+        """Can a parser's boundary follow?"""
+        if self.torn or self.brackets or self.unfinished() or self.clause or self.last in lx.PARSER_INCOMPLETE_FINAL:
+            return False
+        return not (self.credit and not _BOUNDARY.search(self.text))
 
-def lexical_finite(word: str) -> bool:
-    return word.casefold() in _FINITE
+    def stub(self, following: Tag) -> bool:
+        """The beginning of a question, which a parser likes to cut off."""
+        verbal = self.tags[-1].pos in ("AUX", "VERB") or self.copula
+        return self.first in ("wann", "warum", "was", "wer", "wie", "wieso", "wo") and self.count <= 6 and verbal and following.pos in ("ADJ", "DET", "NOUN", "PRON", "PROPN")
 
 
-def _balanced(s: str) -> bool:
-    stack, pair = [], {")": "(", "]": "[", "}": "{"}
-    for c in s:
-        if c in "([{":
-            stack.append(c)
-        elif c in pair and (not stack or stack.pop() != pair[c]):
-            return False
-    return not stack
+def _capital_start(word: str, following: list[str], near: bool, at_once: bool) -> bool:
+    return word in lx.RESTARTS and (near or word not in ("Du", "Er", "Es", "Man", "Sie", "Und"))
 
 
-def _complete(left: str) -> bool:
-    ws = [w.casefold() for w in _WORD.findall(left)]
-    return bool(ws) and _balanced(left) and ws[-1] not in lx.UNAMBIGUOUS_INCOMPLETE_FINAL and ws[-1] not in lx.PARSER_INCOMPLETE_FINAL
+#: Lower-case words that start a sentence: which, and what must follow (a finite verb soon, or at once, and certain words).
+_LOWER_STARTS: tuple[tuple[frozenset[str], Callable[[list[str], bool, bool], bool]], ...] = (
+    (frozenset({"wie"}), lambda following, near, at_once: near and following[:1] != [] and following[0].casefold() in ("auch", "häufig", "ist", "oft", "sind", "viel")),
+    (frozenset({"warum", "wieso"}), lambda following, near, at_once: near),
+    (frozenset({"wann", "was", "wer", "wo"}), lambda following, near, at_once: at_once),
+    (frozenset({"du", "er", "es", "ich", "man", "sie", "wir"}), lambda following, near, at_once: near),
+    (frozenset({"also", "danach", "dann", "jetzt"}), lambda following, near, at_once: near),
+)
 
 
-def _restarts(left: str, right: list[str], finite: Callable[[str], bool]) -> bool:
-    """An unpunctuated place where a new sentence clearly starts."""
-    ws = _WORD.findall(left)
-    if len(ws) < 4 or left.rstrip()[-1:] in ",:;/-–—(" or ws[-1].casefold() in lx.PARSER_INCOMPLETE_FINAL or not right or right[0] not in lx.RESTARTS:
+def _restarts(left: _Open, bare: Sequence[str], tags: Sequence[Tag], k: int) -> bool:
+    """Does word k clearly start a sentence although nothing ends the one before?"""
+    following, ahead = list(bare[k + 1 : k + 5]), tags[k + 1 : k + 5]
+    near, at_once = any(t.sure for t in ahead), bool(ahead) and ahead[0].sure
+    capital = _capital_start(bare[k], following, near, at_once)
+    if not capital and not any(bare[k] in words and able(following, near, at_once) for words, able in _LOWER_STARTS):
+        return False
+    if left.count < 4 or not (left.finite or (capital and near and left.count >= 6)):
         return False
-    if not any(map(finite, ws)) and not (ws[0][0].isupper() and len(ws) >= 6):
+    if left.last in lx.PARSER_INCOMPLETE_FINAL or (left.unfinished() and not left.likert) or left.clause:
         return False
-    return any(finite(_WORD.sub(lambda m: m.group(), w).strip(".,;:!?")) for w in right[1:5])
+    return left.text[-1] not in ",:;/-–—("
 
 
-def split_sentences(text: str, finite: Callable[[str], bool] = lexical_finite) -> list[tuple[int, int]]:
+def split_sentences(text: str, tagger: Callable[[Sequence[str]], Sequence[Tag]] = lexical_tags) -> list[tuple[int, int]]:
     """[start, end) of each sentence of a block."""
-    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text or "")]
-    out, start = [], 0
-    for k in range(1, len(words)):
-        left = text[words[start][0] : words[k - 1][1]]
-        if _BOUNDARY.search(left):
-            cut = not _ABBREVIATION.search(left)
-        else:
-            cut = _restarts(left, [text[a:b] for a, b in words[k : k + 5]], finite) and _complete(left)
-        if cut:
-            out.append((words[start][0], words[k - 1][1]))
-            start = k
+    found = list(re.finditer(r"\S+", text or ""))
+    words = [m.group() for m in found]
+    bare = [w.strip(_EDGES) or w for w in words]
+    tags = tagger(bare)
+    out, start, left = [], 0, _Open()
+    for k, word in enumerate(words):
+        if k > start:
+            if _BOUNDARY.search(words[k - 1]):
+                cut = not _ABBREVIATION.search(" ".join(words[max(k - 2, 0) : k]))
+            elif _ABBREVIATION.search(words[k - 1]):
+                cut = False
+            else:
+                cut = (tags[k].starts and left.whole() and not left.stub(tags[k])) or _restarts(left, bare, tags, k)
+            if cut:
+                out.append((found[start].start(), found[k - 1].end()))
+                start, left = k, _Open()
+        left.add(word, bare[k], tags[k])
     if words:
-        out.append((words[start][0], words[-1][1]))
+        out.append((found[start].start(), found[-1].end()))
     return out
 
 

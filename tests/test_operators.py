@@ -30,11 +30,73 @@ def test_bridge_and_blocks(spark):
     assert s["cross_turn_sentence"] and s["reason"] is None and s["source_turns"] == [0, 2]
 
 
-def test_sentence_boundaries():
-    cut = lambda t: [t[a:b] for a, b in sg.split_sentences(t)]
-    assert cut("Das war z. B. gut. Dann ging es weiter.") == ["Das war z. B. gut.", "Dann ging es weiter."]
-    assert cut("Wir haben das gestern gemacht Dann haben wir gegessen.") == ["Wir haben das gestern gemacht", "Dann haben wir gegessen."]
-    assert cut("") == []
+def cut(text, tagger=sg.lexical_tags):
+    return [text[a:b] for a, b in sg.split_sentences(text, tagger)]
+
+
+@pytest.mark.parametrize(
+    ("text", "after"),
+    [
+        ("Das war z. B. neu. Dann ging es weiter!  Und? (Nun ja.) Ende", ["Das war z. B. neu.", "Dann ging es weiter!", "Und?", "(Nun ja.)", "Ende"]),
+        ("Es kostet ca. 5 Euro bzw. mehr, d. h. viel.", None),
+        ("Die Fassung 2.1 läuft.", None),
+        ("Wir haben das gestern gemacht Dann haben wir gegessen.", ["Wir haben das gestern gemacht", "Dann haben wir gegessen."]),
+        # a lower-case discourse word with a verb before its subject
+        ("Wir sind hier durch jetzt schauen wir das Ergebnis an.", ["Wir sind hier durch", "jetzt schauen wir das Ergebnis an."]),
+        # no verb known on the left, but a long left side and a capital
+        ("dort der kleine Garten beim Bahnhof gleich Heute ist er zu.", ["dort der kleine Garten beim Bahnhof gleich", "Heute ist er zu."]),
+        ("dort der kleine Garten Heute ist er zu.", None),
+        # rating answers may end in a word that leaves others unfinished
+        ("trifft er eher nicht zu Trifft überwiegend zu.", ["trifft er eher nicht zu", "Trifft überwiegend zu."]),
+        ("das ist mir zu Ich habe keine Zeit.", None),
+        # questions
+        ("ich bin schon lange da wie ist das bei dir", ["ich bin schon lange da", "wie ist das bei dir"]),
+        ("ich weiß ja nie so wie lange das ist", None),
+        ("wir sind alle schon da wo ist der Rest", ["wir sind alle schon da", "wo ist der Rest"]),
+        ("wir sind alle schon da wo der Rest ist", None),
+        ("das hat er nie gesagt warum macht er das", ["das hat er nie gesagt", "warum macht er das"]),
+        # left sides that cannot end
+        ("Ich habe das gelesen, deshalb denke ich geht es so.", None),
+        ("Wir haben noch Zeit, und wenn ihr nun da seid, ist es gut.", None),
+        ("Wir sind heute hier, dann geht es los.", None),
+        ("Also das ist aber er kommt ja noch.", None),
+        # pronouns and "Und" need a verb soon after
+        ("Das hat er schon gesehen Und weiter nichts", None),
+        ("Das hat er schon gesehen Und das ist gut", ["Das hat er schon gesehen", "Und das ist gut"]),
+        ("", []),
+    ],
+)
+def test_sentence_boundaries(text, after):
+    assert cut(text) == ([text] if after is None else after)
+
+
+def test_parser_boundaries():
+    def tagger(starts, pos=(), finite=(), tag=()):
+        pos, tag = dict(pos), dict(tag)
+        return lambda words: [sg.Tag(pos.get(w, ""), tag.get(w, ""), w in finite, w in finite, w in starts) for w in words]
+
+    assert cut("Der Hund schläft Katzen jagen", tagger({"Katzen"})) == ["Der Hund schläft", "Katzen jagen"]
+    assert cut("Der Hund (schläft Katzen jagen)", tagger({"Katzen"})) == ["Der Hund (schläft Katzen jagen)"]
+    assert cut("Der Hund, weil Katzen jagen", tagger({"Katzen"})) == ["Der Hund, weil Katzen jagen"]
+    assert cut("wenn der Hund Katzen jagt", tagger({"Katzen"}, finite={"jagt"})) == ["wenn der Hund Katzen jagt"]
+    assert cut("wenn der Hund jagt Katzen laufen", tagger({"Katzen"}, finite={"jagt"})) == ["wenn der Hund jagt", "Katzen laufen"]
+    assert cut("Wie hoch ist Lohn heute", tagger({"Lohn"}, pos={"Lohn": "NOUN"})) == ["Wie hoch ist Lohn heute"]
+    assert cut("Wie hoch ist heute so", tagger({"heute"}, pos={"heute": "ADV"})) == ["Wie hoch ist", "heute so"]
+    assert cut("er sah den Hund", tagger({"Hund"}, pos={"den": "DET"})) == ["er sah den Hund"]
+    assert cut("er sah den alten Hund", tagger({"Hund"}, pos={"den": "DET"}, tag={"alten": "ADJA"})) == ["er sah den alten Hund"]
+    assert cut("Untertitelung 2020 Hallo Welt", tagger({"Hallo"})) == ["Untertitelung 2020 Hallo Welt"]
+
+
+def test_sentence_splitting_is_linear():
+    import time
+
+    def seconds(n):
+        t = time.perf_counter()
+        sg.split_sentences("wort " * n)
+        return time.perf_counter() - t
+
+    seconds(1000)
+    assert seconds(80_000) < 40 * max(seconds(8_000), 0.01)
 
 
 def test_pack_windows(spark):
