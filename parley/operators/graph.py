@@ -3,17 +3,48 @@
 Few rounds for any shape (logarithmic in the longest path); each is written to the folder that all executors share
 (spark.checkpoint.dir), so lineage stays short and lost executors cost one round. A hub's links meet its least neighbour
 by broadcast (`spread_join`), so no vertex, whatever its share of the links, puts them all in one task. Only a count and
-a checksum come to the driver.
+a checksum come to the driver. A graph of SMALL links or fewer, counted first, is settled in one task instead: the same
+components without the rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.shared import drop, materialize, spread_join
 
 
+#: Links that one task takes: some megabytes, a second's work.
+SMALL = 100_000
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links -> node, component by union-find; the root of each set is its least node."""
+    root: dict = {}
+
+    def find(x):
+        path = []
+        while (up := root.setdefault(x, x)) != x:
+            path.append(x)
+            x = up
+        for y in path:
+            root[y] = x
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema.field("a").type
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            low, high = sorted((find(x), find(y)))
+            root[high] = low
+    if root:
+        yield pa.RecordBatch.from_arrays([pa.array(list(root), kind), pa.array([find(x) for x in list(root)], kind)], ["node", "component"])
+
+
 def _stars(e: DataFrame, n: int) -> DataFrame:
     """One round: greater neighbours of each vertex to its least one (or itself), then all but the least to the least."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,12 +61,22 @@ def _stars(e: DataFrame, n: int) -> DataFrame:
 def connected(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """links: a, b -> node, component (its least node). nodes: node, also those without links."""
     e = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    if e.count() <= SMALL:
+        kind = e.schema["a"].dataType.simpleString()
+        found = materialize(e.coalesce(1).mapInArrow(_merged, f"node {kind}, component {kind}"), "components")
+        drop(e)
+        return _with(found, nodes)
     state = None
     while (now := tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())) != state and now[0]:
         state, last = now, e
         e = _stars(e, now[0])
         drop(last)
     found = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    return _with(found, nodes)
+
+
+def _with(found: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """found, or the components of the given nodes: those without links are their own."""
     if nodes is None:
         return found
     return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

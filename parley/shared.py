@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Paths written in this process and not deleted yet.
@@ -77,16 +78,42 @@ def _last() -> None:
             pass
 
 
-#: A key with more than a 1/HEAVY part of all rows is joined by broadcast; fewer than HEAVY keys can be such.
-HEAVY = 10_000
+#: A key with more than a 1/HEAVY part of all rows (and more than LEAST) is joined by broadcast; fewer than HEAVY can be such.
+HEAVY, LEAST = 10_000, 200
 
 
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, count: str, how: str = "inner") -> DataFrame:
     """rows join table, inner or left (one row for each key; `count`: how many of the `total` rows have it), whatever a key's share of the rows.
 
     Keys above total / HEAVY rows are fewer than HEAVY, so their part of the table is broadcast and their rows stay where
-    they are; the others are shuffled. `count` is left out of the result. Both inputs are read twice: write them first."""
-    most = total // HEAVY
-    heavy = F.broadcast(table.where(F.col(count) > most).drop(count))
-    few = rows.join(F.broadcast(table.where(F.col(count) > most).select(*on)), on, "left_anti").join(table.where(F.col(count) <= most).drop(count), on, how)
-    return rows.join(heavy, on).unionByName(few)
+    they are; the others are shuffled. Which keys these are comes to the driver as that many hashes; a key that shares one
+    goes the same way. `count` is left out of the result. Without such a key it is an ordinary join. Both inputs are read
+    more than once: write them first."""
+    key = F.xxhash64(*on)
+    heavy = [r[0] for r in table.where(F.col(count) > max(total // HEAVY, LEAST)).select(key).distinct().collect()]
+    table = table.drop(count)
+    if not heavy:
+        return rows.join(table, on, how)
+    often = key.isin(heavy)
+    return rows.where(often).join(F.broadcast(table.where(often)), on, how).unionByName(rows.where(~often).join(table.where(~often), on, how))
+
+
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with `name`: 0, 1, 2, ... in that order, over all rows and without a task that sees them all.
+
+    Rows are dealt by ranges of the order and sorted inside; a row's rank is its place there and the sizes of the ranges before."""
+    spread = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = spread.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # a row for each range
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return spread.join(F.broadcast(before), part == F.col("__part")).withColumn(name, (F.col("__before") + place).cast("long")).drop("__id", "__part", "__before")
+
+
+def group_digests(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """keys -> `name`: SHA-256 over a group's values, the same for the same values in whatever order; groups of any size.
+
+    Values are hashed where they are; hashes meet in 4096 buckets by their first digits, and only a bucket's digests meet."""
+    hashed = df.select(*keys, F.sha2(value, 256).alias("__h"))
+    buckets = hashed.groupBy(*keys, F.substring("__h", 1, 3).alias("__b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__h")), ","), 256).alias("__d"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda x: x["__d"]), ",")
+    return buckets.groupBy(*keys).agg(F.sha2(whole, 256).alias(name))
