@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.operators.graph import connected
+from parley.functions import arrow
 
 GROUPS = "array<struct<cue:array<struct<i:int,start:int,end:int>>,scope:array<struct<i:int,start:int,end:int>>>>"
 
@@ -60,9 +60,12 @@ def overlap_edges(props: DataFrame) -> DataFrame:
 def align_groups(props: DataFrame) -> DataFrame:
     """pid, sentence_id, annotator, cue, scope [, ...] -> group_id, ambiguous, alignment for each proposal.
 
-    Components of overlap edges; one in which an annotator is there twice falls back to groups of exactly equal cues."""
-    comp = connected(overlap_edges(props), props.select(F.col("pid").alias("node")))
-    p = props.join(comp.withColumnsRenamed({"node": "pid"}), "pid")
+    Components of overlap edges; one in which an annotator is there twice falls back to groups of exactly equal cues. Edges
+    never leave a sentence, so a sentence's proposals are grouped together, in one shuffle."""
+    entries = F.collect_list(F.struct(F.col("pid").cast("long").alias("pid"), "annotator", "cue"))
+    by = props.groupBy("sentence_id").agg(entries.alias("e")).select(F.col("e.pid").alias("pids"), arrow.overlap_components("e").alias("comps"))
+    comp = by.select(F.inline(F.arrays_zip("pids", "comps"))).withColumnsRenamed({"pids": "pid", "comps": "component"})
+    p = props.join(comp, "pid")
     of = W.partitionBy("component")
     many = F.count(F.lit(1)).over(of)
     who = F.size(F.collect_set("annotator").over(of))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
+from parley.shared import ranked
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -146,12 +147,12 @@ def resamples(spark: SparkSession, keys: Sequence, n: int, seed: int) -> DataFra
 def lcg_resamples(keys: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """rep, key, mult without a driver loop: draw d of repetition r takes the key whose rank is a hash of (seed, r, d).
 
-    keys: key. For many keys; the ranks are a window over keys (interviews, blocks), the draws a range join by rank."""
+    keys: key. Keys are ranked range by range; draws meet them by rank."""
     spark = keys.sparkSession
     k = keys.count()
-    ranked = keys.select("key", (F.row_number().over(W.orderBy("key")) - 1).cast("long").alias("rank"))
+    numbered = ranked(keys.select("key"), ["key"], "rank")
     draws = spark.range(n * k).select(F.floor(F.col("id") / k).cast("int").alias("rep"), draw_rank(F.col("id"), k, seed).alias("rank"))
-    return draws.groupBy("rep", "rank").agg(F.count(F.lit(1)).alias("mult")).join(ranked, "rank").select("rep", "key", "mult")
+    return draws.groupBy("rep", "rank").agg(F.count(F.lit(1)).alias("mult")).join(numbered, "rank").select("rep", "key", "mult")
 
 
 def draw_rank(i: Column, k: int, seed: int) -> Column:

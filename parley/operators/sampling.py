@@ -1,8 +1,9 @@
 """Stratified sampling under one-per-cluster constraints.
 
-Spark prepares tables of capacities and of (cell, cluster) edges; the driver solves small integer problems on them (their
-size follows interviews and cells, not sentences); Spark draws the rows and checks the result. Two kinds of randomness:
-a numpy generator, in the fixed order of the published procedure, and a SHA-256 ordering that any engine can repeat.
+Quotas are window functions over tables of capacities; the matching of cells and clusters falls into connected parts, each
+of which is a flow problem of its own, solved where its edges are; swaps between roles alone run on the driver, over the
+sample and the few rows that can come in. Two kinds of randomness: a numpy generator, in the fixed order of the published
+procedure, and a SHA-256 ordering that any engine can repeat. sample_run() puts the steps together.
 """
 
 from __future__ import annotations
@@ -11,11 +12,17 @@ from collections import deque
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.functions import arrow
 from parley.functions import lexicon as lx
+from parley.functions import text as tx
+from parley.operators.dialogue import intervening, ordered, turn_context
+from parley.operators.graph import connected
+from parley.shared import materialize, ranked
 
 
 def hash_order(key: Column, seed: int = 42) -> Column:
@@ -45,14 +52,25 @@ def equal_quotas(capacities: Sequence[int], total: int, rng: np.random.Generator
     return out
 
 
-def water_level(capacities: DataFrame, total: int) -> DataFrame:
-    """The limit of equal_quotas() before whole units: quota = min(capacity, level), as one window over the strata."""
-    order = W.orderBy("capacity", "stratum")
-    below = F.coalesce(F.sum("capacity").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rest = F.count(F.lit(1)).over(order.rowsBetween(0, W.unboundedFollowing))
-    c = capacities.withColumn("level", (F.lit(total) - below) / rest).withColumn("full", F.col("capacity") <= F.col("level"))
-    level = F.min(F.when(~F.col("full"), F.struct(F.col("capacity"), F.col("stratum"), F.col("level")))).over(W.partitionBy())["level"]
-    return c.select("stratum", "capacity", F.when(F.col("full"), F.col("capacity").cast("double")).otherwise(level).alias("quota"))
+def shares(df: DataFrame, capacity: str, total: Column, order: Sequence[str], part: Sequence[str] = ()) -> DataFrame:
+    """df with `quota`: equal_quotas() without a generator, for each part at once, as window functions.
+
+    total: a part's total, cut to what its capacities allow. Positions are by `order`. First equal shares, the first rows
+    getting one more; then whole rounds over what has room left, found like a water level; then a last round in order."""
+    w = W.partitionBy(*part)
+    o, all_before = w.orderBy(*order), (W.unboundedPreceding, -1)
+    c = df.withColumn("__total", F.least(total.cast("long"), F.sum(capacity).over(w))).withColumn("__k", F.row_number().over(o) - 1)
+    n = F.count(F.lit(1)).over(w)
+    c = c.withColumn("__share", F.floor(F.col("__total") / n) + (F.col("__k") < F.col("__total") % n).cast("int"))
+    c = c.withColumn("__base", F.least(F.col(capacity), F.col("__share"))).withColumn("__room", F.col(capacity) - F.col("__base")).withColumn("__left", F.col("__total") - F.sum("__base").over(w))
+    r = w.orderBy("__room", "__k")
+    below = F.coalesce(F.sum("__room").over(r.rowsBetween(*all_before)), F.lit(0))
+    c = c.withColumn("__t", F.floor((F.col("__left") - below) / F.count(F.lit(1)).over(r.rowsBetween(0, W.unboundedFollowing))))
+    rounds = F.min(F.when(F.col("__room") > F.col("__t"), F.struct("__room", "__k", "__t"))).over(w)["__t"]
+    c = c.withColumn("__rounds", F.coalesce(rounds, F.max("__room").over(w))).withColumn("__given", F.least("__room", "__rounds"))
+    c = c.withColumn("__open", (F.col("__room") > F.col("__rounds")).cast("int")).withColumn("__rest", F.col("__left") - F.sum("__given").over(w))
+    last = (F.col("__open") == 1) & (F.sum("__open").over(o.rowsBetween(W.unboundedPreceding, 0)) <= F.col("__rest"))
+    return c.withColumn("quota", (F.col("__base") + F.col("__given") + last.cast("int")).cast("long")).drop(*(x for x in c.columns if x.startswith("__")), "__rest")
 
 
 def interview_splits(interviews: DataFrame, seed: int = 42) -> DataFrame:
@@ -162,6 +180,36 @@ def balanced_role_quotas(interviews: Sequence[Mapping], least: int = lx.MIN_ROLE
     return out
 
 
+def balanced(interviews: DataFrame, least: int = lx.MIN_ROLE_SAMPLE) -> DataFrame:
+    """interview_id, interviewer_id, split, quota, a, b (what the roles have) -> with `first`: balanced_role_quotas() without
+    a generator, as aggregates and windows. Steps within an interviewer go to the earlier interviews first."""
+    a, b, quota = F.col("a"), F.col("b"), F.col("quota")
+    some = {x: (F.col(x) > 0).cast("long") for x in "ab"}
+    kept = {x: F.least(F.lit(least), F.col(x)) for x in "ab"}
+    fits = quota >= kept["a"] + kept["b"]
+    strict = {x: F.when(fits, kept[x]).otherwise(some[x]) for x in "ab"}
+    loose = {x: F.when(F.col("split") == "train", some[x]).otherwise(strict[x]) for x in "ab"}
+    iv = interviews.withColumn("want", role_quota_columns(a, b, quota, least)[0])
+    for name, floor in (("strict", strict), ("loose", loose)):
+        iv = iv.withColumn(f"lo_{name}", F.greatest(floor["a"], quota - b)).withColumn(f"hi_{name}", F.least(a, quota - floor["b"]))
+    groups = iv.groupBy("interviewer_id").agg(*(F.sum(c).alias(c) for c in ("want", "lo_strict", "hi_strict", "lo_loose", "hi_loose")))
+    one = groups.agg(F.sum("want").alias("all"), F.count(F.lit(1)).alias("n"), *(f(c).alias(f"__{c}") for f, c in ((F.max, "lo_strict"), (F.min, "hi_strict"), (F.max, "lo_loose"), (F.min, "hi_loose"))))
+    relaxed = F.col("__lo_strict") > F.col("__hi_strict")
+    lo, hi = (F.when(relaxed, F.col(f"__{x}_loose")).otherwise(F.col(f"__{x}_strict")) for x in ("lo", "hi"))
+    mean = F.bround(F.col("all") / F.col("n"), 0).cast("long")
+    aim = F.when(lo <= hi, F.least(F.greatest(mean, lo), hi)).otherwise(F.bround((lo + hi) / 2, 0).cast("long"))
+    iv = iv.crossJoin(F.broadcast(one.select(relaxed.alias("relaxed"), aim.alias("aim"))))
+    w = W.partitionBy("interviewer_id")
+    for x in ("lo", "hi"):
+        iv = iv.withColumn(x, F.when(F.col("relaxed"), F.col(f"{x}_loose")).otherwise(F.col(f"{x}_strict")))
+    iv = iv.withColumn("start", F.least(F.greatest("want", "lo"), F.col("hi")))
+    target = F.least(F.greatest(F.col("aim"), F.sum("lo").over(w)), F.sum("hi").over(w))
+    iv = iv.withColumn("gap", target - F.sum("start").over(w)).withColumn("room", F.when(F.col("gap") > 0, F.col("hi") - F.col("start")).otherwise(F.col("start") - F.col("lo")))
+    before = F.coalesce(F.sum("room").over(w.orderBy("interview_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    step = F.least(F.greatest(F.abs("gap") - before, F.lit(0)), F.col("room"))
+    return iv.withColumn("first", (F.col("start") + F.when(F.col("gap") > 0, step).otherwise(-step)).cast("long")).select(*interviews.columns, "first")
+
+
 # -- one row per cluster ----------------------------------------------------------------------------------------------
 
 
@@ -236,46 +284,73 @@ def match_cells(quotas: Mapping, edges: Sequence[tuple], rng: np.random.Generato
     return flow.run(0, sink), [(a, b) for e, a, b in ids if not flow.room[e]]
 
 
-#: Cells from fine to coarse; the first level whose flow meets the target wins.
-LEVELS = (("interview_id", "role", "position_stratum", "turn"), ("interview_id", "role", "position_stratum"), ("interview_id", "role"), ("interview_id",))
+#: What is kept of the quotas, from most to least; the first level whose flow meets the target wins.
+LEVELS = ("turns and positions", "positions", "roles", "interviews and role minima")
+
+
+def _cells(sentences: DataFrame, role_quota: DataFrame, level: int, least: int) -> DataFrame:
+    """cell, limit, id, cluster: which rows can fill which cells, cells with their quotas."""
+    iv, role, place, turn = "interview_id", "role", "position_stratum", "turn"
+    named = lambda *keys: F.to_json(F.struct(*keys)).alias("cell")
+
+    def split(total: DataFrame, keys: list[str], by: str) -> DataFrame:
+        """Quotas of `keys` shared out over `by` by numbers of sentences."""
+        n = sentences.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("n")).join(total.withColumnRenamed("quota", "of"), keys)
+        return shares(n, "n", F.col("of"), [by], keys).select(*keys, by, "quota")
+
+    def filled(quotas: DataFrame, keys: list[str]) -> DataFrame:
+        return sentences.join(quotas.where("quota > 0"), keys).select(named(*keys), F.col("quota").alias("limit"), "id", "cluster")
 
+    if level < 3:
+        if level == 2:
+            return filled(role_quota, [iv, role])
+        places = split(role_quota, [iv, role], place)
+        return filled(places, [iv, role, place]) if level == 1 else filled(split(places, [iv, role, place], turn), [iv, role, place, turn])
+    # the least that each role must have, over its positions; the rest of an interview's quota from anywhere in it
+    have = sentences.groupBy(iv, role).agg(F.count(F.lit(1)).alias("n"))
+    both = have.withColumn("want", F.least(F.lit(least), F.col("n"))).join(role_quota.groupBy(iv).agg(F.sum("quota").alias("all")), iv)
+    w = W.partitionBy(iv)
+    must = both.withColumn("quota", F.when(F.col("all") >= F.sum("want").over(w), F.col("want")).otherwise(1).cast("long"))
+    free = must.groupBy(iv).agg((F.max("all") - F.sum("quota")).alias("quota"))
+    return filled(split(must.select(iv, role, "quota"), [iv, role], place), [iv, role, place]).unionByName(filled(free, [iv]))
 
-def cell_quotas(sentences: DataFrame, role_quota: DataFrame, level: int) -> DataFrame:
-    """cell (JSON), capacity, parent (JSON), parent_quota at a level: how many clusters each cell could give."""
-    keys = LEVELS[level]
-    cell, parent = F.to_json(F.struct(*keys)), F.to_json(F.struct("interview_id", "role"))
-    return sentences.join(role_quota, ["interview_id", "role"]).groupBy(cell.alias("cell"), parent.alias("parent")).agg(F.count_distinct("cluster").alias("capacity"), F.first("quota").alias("parent_quota"))
 
+def _matched(edges: DataFrame, seed: int) -> DataFrame:
+    """cell, cluster: as many edges as can be, each cluster once, each cell up to its limit. Every connected part of the
+    graph is a flow problem of its own, solved in the task that holds its edges; parts share neither cells nor clusters."""
+    edges = materialize(edges, "cell-edges")
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    parts = connected(edges.select(node("c", "cell").alias("a"), node("k", "cluster").alias("b")))
+    kind = edges.schema["cluster"].dataType.simpleString()
 
-def draw(sentences: DataFrame, role_quota: DataFrame, seed: int = 42) -> DataFrame:
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["order", "cell"])
+        _, chosen = match_cells(dict(zip(pdf["cell"], pdf["limit"].astype(int), strict=True)), list(zip(pdf["cell"], pdf["cluster"], strict=True)))
+        return pd.DataFrame(chosen, columns=["cell", "cluster"])
+
+    told = edges.withColumn("order", hash_order(F.concat("cell", F.col("cluster").cast("string")), seed)).join(parts, node("c", "cell") == F.col("node"))
+    return materialize(told.groupBy("component").applyInPandas(solve, f"cell string, cluster {kind}"), "cell-choices")
+
+
+def draw(sentences: DataFrame, role_quota: DataFrame, seed: int = 42, least: int = lx.MIN_ROLE_SAMPLE, strict: bool = True) -> DataFrame:
     """sentences: id, interview_id, role, position_stratum, turn, cluster; role_quota: interview_id, role, quota ->
-    the drawn rows with `level`, no cluster twice, every (interview, role) at its quota where that is feasible."""
-    spark = sentences.sparkSession
+    the drawn rows with `level` (of LEVELS), no cluster twice, quotas kept as far as the level goes.
+
+    strict: fail where no level meets the total; else the level that comes nearest."""
     target = role_quota.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
-    best: tuple[int, int, list] = (-1, 0, [])
-    for level in range(3):
-        cells = cell_quotas(sentences, role_quota, level).orderBy("parent", "cell").collect()  # one row a cell
-        quotas: dict[str, int] = {}
-        by_parent: dict[str, list] = {}
-        for r in cells:
-            by_parent.setdefault(r["parent"], []).append(r)
-        for rows in by_parent.values():
-            caps = [r["capacity"] for r in rows]
-            for r, k in zip(rows, equal_quotas(caps, min(rows[0]["parent_quota"], sum(caps))), strict=True):
-                if k:
-                    quotas[r["cell"]] = k
-        edges = sentences.select(F.to_json(F.struct(*LEVELS[level])).alias("cell"), "cluster").distinct().orderBy(hash_order(F.concat("cell", F.col("cluster").cast("string")), seed))
-        got, chosen = match_cells(quotas, [(r["cell"], r["cluster"]) for r in edges.toLocalIterator()])
-        if got > best[0]:
-            best = (got, level, chosen)
+    best: tuple = (-1, 0, None, None)
+    for level in range(len(LEVELS)):
+        cells = materialize(_cells(sentences, role_quota, level, least), "cells")
+        chosen = _matched(cells.select("cell", "limit", "cluster").distinct(), seed)
+        if (got := chosen.count()) > best[0]:
+            best = (got, level, cells, chosen)
         if got == target:
             break
-    _, level, chosen = best
-    kind = sentences.schema["cluster"].dataType.simpleString()
-    picked = spark.createDataFrame(chosen, f"cell string, cluster {kind}")
-    w = W.partitionBy("cell", "cluster").orderBy(hash_order(F.col("id"), seed), "id")
-    mine = sentences.withColumn("cell", F.to_json(F.struct(*LEVELS[level]))).join(picked, ["cell", "cluster"])
-    return mine.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k", "cell").withColumn("level", F.lit(level))
+    got, level, cells, chosen = best
+    if strict and got != target:
+        raise ValueError(f"{target} rows are asked for; without two of one cluster, {got} is all that any level gives")
+    one = cells.join(chosen, ["cell", "cluster"]).groupBy("cluster").agg(F.min(F.struct(hash_order(F.col("id"), seed), "id"))["id"].alias("id"))
+    return sentences.join(one.select("id"), "id").withColumn("level", F.lit(level))
 
 
 def rebalance(sample: Sequence[dict], pool: Sequence[dict], least: int = lx.MIN_ROLE_SAMPLE) -> list[dict]:
@@ -320,6 +395,67 @@ def rebalance(sample: Sequence[dict], pool: Sequence[dict], least: int = lx.MIN_
         sample = [r for r in sample if r["id"] != out["id"]] + [into]
 
 
+def rebalanced(sample: DataFrame, pool: DataFrame, least: int = lx.MIN_ROLE_SAMPLE) -> DataFrame:
+    """sample after rebalance(); both with the columns that it names.
+
+    The driver gets the sample, and of the pool what a swap can bring in: rows of interviewers off the mean; of each
+    (interview, role, stratum, turn) as many as there can be swaps, the rarest wording first; and rows whose wording the
+    sample holds now, which a swap may free."""
+    a = lx.ROLES[0]
+    counts = sample.groupBy("interviewer_id").agg(F.count_if(F.col("role") == a).alias("n")).collect()  # a row an interviewer
+    mean = sum(r["n"] for r in counts) / max(len(counts), 1)
+    swaps = int(sum(abs(r["n"] - mean) for r in counts)) + 1
+    off = [r["interviewer_id"] for r in counts if r["n"] != mean]
+    if not off:
+        return sample
+    w = W.partitionBy("interview_id", "role", "position_stratum", "turn").orderBy("cluster_size", F.col("id").cast("string"))
+    taken = sample.select(F.col("cluster").alias("c")).distinct()
+    rest = pool.where(F.col("interviewer_id").isin(off)).join(sample.select("id"), "id", "left_anti").join(taken, F.col("cluster") == F.col("c"), "left")
+    come = rest.withColumn("k", F.row_number().over(w)).where((F.col("k") <= swaps + F.lit(1)) | F.col("c").isNotNull()).drop("k", "c")
+    names = ["id", "interview_id", "interviewer_id", "role", "position_stratum", "turn", "cluster", "cluster_size", "split"]
+    before = [r.asDict() for r in sample.select(names).collect()]
+    after = rebalance(before, [r.asDict() for r in come.select(names).toLocalIterator()], least)
+    stay = sample.sparkSession.createDataFrame([(r["id"],) for r in after], f"id {sample.schema['id'].dataType.simpleString()}")
+    return pool.join(F.broadcast(stay), "id", "left_semi")
+
+
+def metadata(sample: DataFrame, turns: DataFrame, seed: int = 42) -> DataFrame:
+    """What annotators' tables carry beside the drawn rows: speaker, stable id, size, context, order and overlap.
+
+    turns: dialogue.clean_turns(). sample: source_turns are turn_idx of its interview; turn counts within the role."""
+    span = sample.select("id", "interview_id", "source_turns", F.array_min("source_turns").alias("lo"), F.array_max("source_turns").alias("hi"))
+    ctx = turn_context(turns)
+    before = ctx.select("interview_id", F.col("turn_idx").alias("lo"), "previous_turn_role", "previous_turn_text")
+    after = ctx.select("interview_id", F.col("turn_idx").alias("hi"), "following_turn_role", "following_turn_text")
+    own = span.select("id", "interview_id", F.explode("source_turns").alias("turn_idx")).join(turns.select("interview_id", "turn_idx", "text", "source_turn_ids", "chunk_ids"), ["interview_id", "turn_idx"])
+    own = own.groupBy("id").agg(*(ordered([F.col("turn_idx")], F.col(c)).alias(c) for c in ("text", "source_turn_ids", "chunk_ids")))
+    own = own.select("id", F.array_join("text", " ").alias("source_turn_text"), F.array_distinct(F.flatten("source_turn_ids")).alias("source_turn_ids"), F.array_distinct(F.flatten("chunk_ids")).alias("source_chunk_ids"))
+    between = intervening(span.select(F.col("id").alias("item"), "interview_id", "source_turns"), turns).groupBy(F.col("item").alias("id"))
+    between = between.agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_idx", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("intervening_turns"))
+    near = span.join(before, ["interview_id", "lo"], "left").join(after, ["interview_id", "hi"], "left").drop("interview_id", "lo", "hi", "source_turns").join(own, "id", "left").join(between, "id", "left")
+    text = F.col("text")
+    out = sample.join(near, "id").withColumn("speaker_id", F.when(F.col("role") == lx.ROLES[0], F.col("interviewer_id")).otherwise(F.col("interview_id")))
+    out = out.withColumn("item_uuid", arrow.stable_uuid("interview_id", "role", "sentence_index", "text")).withColumn("n_tokens", F.size(tx.words(text))).withColumn("short_responsive", F.coalesce(tx.is_short_response(text), F.lit(False)))
+    out = out.withColumn("cross_turn_sentence", F.size("source_turns") > 1).withColumn("sampling_method", F.lit("one row per similarity cluster by maximum flow")).withColumn("random_seed", F.lit(seed))
+    return presentation(out, sample.count(), seed)
+
+
+def sample_run(sentences: DataFrame, interviews: DataFrame, turns: DataFrame, total: int, seed: int = 42, least: int = lx.MIN_ROLE_SAMPLE, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sample, interviews with splits, quotas): splits, quotas of interviews and roles, the draw, swaps and metadata.
+
+    sentences: id, interview_id, role, sentence_index, position_stratum, turn, source_turns, text, cluster, cluster_size,
+    cluster_interviews. interviews: interview_id, interviewer_id. Capacities are distinct clusters of an interview's role."""
+    split = materialize(interview_splits(interviews, seed), "interview-splits")
+    pool = materialize(sentences.join(split, "interview_id"), "sample-pool")
+    cap = pool.groupBy("interview_id", "interviewer_id", "split").agg(*(F.count_distinct(F.when(F.col("role") == r, F.col("cluster"))).alias(x) for x, r in zip("ab", lx.ROLES, strict=True)))
+    quota = shares(cap.withColumn("both", F.col("a") + F.col("b")), "both", F.lit(total), ["interview_id"]).drop("both")
+    quota = materialize(balanced(quota, least), "sample-quotas")
+    by_role = quota.select("interview_id", F.inline(F.array(*(F.struct(F.lit(r).alias("role"), q.cast("long").alias("quota")) for r, q in zip(lx.ROLES, (F.col("first"), F.col("quota") - F.col("first")), strict=True)))))
+    drawn = materialize(draw(pool, by_role, seed, least, strict), "sample-drawn")
+    final = materialize(rebalanced(drawn.drop("level"), pool, least), "sample-final")
+    return metadata(final, turns, seed), split, quota.select("interview_id", "quota")
+
+
 def stratified(sentences: DataFrame, quota: Column, by: list[str], seed: int = 42) -> DataFrame:
     """Plain stratified draw: the first `quota` rows of each stratum in hash order."""
     w = W.partitionBy(*by).orderBy(hash_order(F.col("id"), seed), "id")
@@ -336,10 +472,12 @@ def overlap_positions(n: int, fraction: float = lx.OVERLAP_FRACTION, offset: flo
 
 
 def presentation(sample: DataFrame, n: int, seed: int = 42, fraction: float = lx.OVERLAP_FRACTION) -> DataFrame:
-    """presentation_order (hash order, 0..n-1) and double_annotate. The sample is what annotators read: a few thousand rows."""
-    order = F.row_number().over(W.orderBy(hash_order(F.col("id"), seed), "id")) - 1
-    twice = overlap_positions(n, fraction)
-    return sample.withColumn("presentation_order", order.cast("long")).withColumn("double_annotate", F.col("presentation_order").isin(twice) if twice else F.lit(False))
+    """presentation_order (hash order, 0..n-1) and double_annotate: position p is in the overlap where a step's start falls into it."""
+    k = round(fraction * n)
+    p, step = F.col("presentation_order"), n / k if k else 1.0
+    first = F.ceil(p / step).cast("long")  # the first step that starts in or after p; doubles are off by a unit at most
+    starts = F.exists(F.sequence(F.greatest(first - 1, F.lit(0)), first + 1), lambda i: (i < k) & (F.floor(i * step) == p)) if k else F.lit(False)
+    return ranked(sample, [hash_order(F.col("id"), seed), F.col("id")], "presentation_order").withColumn("double_annotate", starts)
 
 
 def master_order(sample: DataFrame) -> DataFrame:
@@ -347,16 +485,67 @@ def master_order(sample: DataFrame) -> DataFrame:
     return sample.orderBy(rank, "interview_id", "role", "sentence_index")
 
 
-def violations(sample: DataFrame, pool: DataFrame, role_quota: DataFrame) -> DataFrame:
-    """check, n: how often each rule is broken; a valid sample has only zeros."""
-    dup = lambda *k: sample.groupBy(*k).count().where("count > 1").agg(F.count(F.lit(1)).alias("n"))
-    outside = sample.join(pool.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    over = sample.groupBy("interview_id", "role").agg(F.count(F.lit(1)).alias("k")).join(role_quota, ["interview_id", "role"], "left").where("quota IS NULL OR k > quota").agg(F.count(F.lit(1)).alias("n"))
-    rows = [("duplicate_id", dup("id")), ("duplicate_cluster", dup("cluster")), ("not_in_pool", outside), ("over_quota", over)]
-    out = None
-    for name, df in rows:
-        one = df.select(F.lit(name).alias("check"), F.col("n").cast("long").alias("n"))
-        out = one if out is None else out.unionByName(one)
+def violations(sample: DataFrame, pool: DataFrame, interviews: DataFrame, quotas: DataFrame, role_turns: DataFrame, total: int, least: int = lx.MIN_ROLE_SAMPLE) -> DataFrame:
+    """check, n: how often each rule of a finished sample is broken; a valid one has only zeros.
+
+    sample: id, interview_id, role, speaker_id, sentence_index, turn, source_turns, text, split, cluster, cluster_size,
+    cluster_interviews, item_uuid, presentation_order. pool: id, interview_id, role, cluster. interviews: interview_id,
+    interviewer_id, split. quotas: interview_id, quota. role_turns: interview_id, role, n_turns."""
+    iv, text = "interview_id", F.col("text")
+    sample = sample.select("id", iv, "role", "speaker_id", "sentence_index", "turn", "source_turns", "text", "split", "cluster", "cluster_size", "cluster_interviews", "item_uuid", "presentation_order")
+    known = interviews.withColumnRenamed("split", "own_split")
+    rows = sample.join(F.broadcast(known), iv, "left").join(role_turns, [iv, "role"], "left")
+    speaker = F.when(F.col("role") == lx.ROLES[0], F.col("interviewer_id").cast("string")).otherwise(F.col(iv).cast("string"))
+    broken = {
+        "too_few_words": F.size(tx.words(text)) < lx.MIN_SENTENCE_TOKENS,
+        "no_capital": ~tx.starts_with_capital(text),
+        "no_end": ~tx.ends_sentence(text),
+        "ellipsis": F.rtrim(text).endswith("...") | F.rtrim(text).endswith("…"),
+        "no_cluster": F.coalesce(F.col("cluster").cast("string"), F.lit("")) == "",
+        "cluster_size": F.col("cluster_size") < 1,
+        "cluster_interviews": F.col("cluster_interviews") < 1,
+        "unknown_split": ~F.col("split").isin(*lx.SPLITS),
+        "speaker": F.col("speaker_id").cast("string") != speaker,
+        "source_turns": (F.size("source_turns") < 1) | (F.get("source_turns", F.lit(0)) != F.col("turn")),
+        "turn_range": (F.col("turn") < 0) | (F.col("turn") >= F.col("n_turns")),
+    }
+    n, size = F.count(F.lit(1)), F.least(F.lit(total), pool.select(F.count_distinct("cluster")).scalar())
+    order = F.col("presentation_order")
+    whole = {
+        "size": F.abs(n - size),
+        "presentation_order": ((F.count_distinct(order) != n) | (F.min(order) != 0) | (F.max(order) != n - 1)).cast("long"),
+    }
+    flat = rows.agg(*(F.coalesce(F.count_if(F.coalesce(c, F.lit(True))), F.lit(0)).alias(k) for k, c in broken.items()), *(F.coalesce(c, F.lit(0)).alias(k) for k, c in whole.items()))
+    found = [flat.select(F.inline(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).cast("long").alias("n")) for k in (*broken, *whole)))))]
+
+    def count(name: str, df: DataFrame) -> None:
+        found.append(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n"))
+
+    for name, keys in (("duplicate_sentence", [iv, "role", "sentence_index"]), ("duplicate_cluster", ["cluster"]), ("duplicate_uuid", ["item_uuid"])):
+        count(name, sample.groupBy(*keys).count().where("count > 1"))
+    count("not_in_pool", sample.join(pool.select("id"), "id", "left_anti"))
+    who = interviews.agg(F.count_distinct("interviewer_id").alias("who"), F.count_if(F.col("split") == "test").alias("test"), F.count_if(F.col("split") == "val").alias("val"))
+    count("split_counts", who.select(F.explode(F.array("test", "val")).alias("k"), "who").where("k <> who"))
+    by = sample.groupBy(iv).agg(F.count(F.lit(1)).alias("k"), F.collect_set("split").alias("in"))
+    per = interviews.join(quotas, iv, "left").join(by, iv, "left")
+    count("split_crossed", per.where(~F.coalesce((F.size("in") == 1) & (F.get("in", F.lit(0)) == F.col("split")), F.lit(False))))
+    count("interview_quota", per.where("coalesce(k, 0) = 0 OR k <> coalesce(quota, 0)"))
+    have = pool.groupBy(iv, "role").agg(F.count(F.lit(1)).alias("available")).join(sample.groupBy(iv, "role").agg(F.count(F.lit(1)).alias("k")), [iv, "role"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    w = W.partitionBy(iv)
+    have = have.withColumn("roles", F.count(F.lit(1)).over(w)).withColumn("want", F.least(F.lit(least), F.col("available"))).withColumn("wants", F.sum("want").over(w)).join(per.select(iv, "interviewer_id", "split", "quota"), iv)
+    count("role_missing", have.where("roles = 2 AND k = 0"))
+    count("held_out_minimum", have.where("split IN ('val', 'test') AND quota >= wants AND k < want"))
+    speakers = have.groupBy("role", F.when(F.col("role") == lx.ROLES[0], F.col("interviewer_id").cast("string")).otherwise(F.col(iv).cast("string")).alias("who")).agg(F.sum("available").alias("available"))
+    heard = sample.groupBy("role", F.col("speaker_id").cast("string").alias("who")).agg(F.count(F.lit(1)).alias("k"))
+    met = speakers.join(heard, ["role", "who"], "full")
+    count("speaker_missing", met.where("available IS NULL OR k IS NULL"))
+    count("speaker_minimum", met.where(F.coalesce("k", F.lit(0)) < F.least(F.lit(least), F.col("available"))))
+    held = sample.where((F.col("role") == lx.ROLES[0]) & F.col("split").isin("val", "test")).groupBy("split").agg(F.count_distinct("speaker_id").alias("n"))
+    slots = sample.sparkSession.createDataFrame([("val",), ("test",)], "split string").join(held, "split", "left")
+    count("held_out_interviewers", slots.crossJoin(F.broadcast(who.select("who"))).where("coalesce(n, 0) <> who"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
     return out
 
 

@@ -245,7 +245,8 @@ def pairwise_blocks(spark: SparkSession, d: str) -> DataFrame:
     return ag.pairwise(b).select("who_a", "who_b", "shared_blocks", r6("exact_block_agreement", "exact_block_agreement"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.SQL_WORDS_OF}, w AS (SELECT doc, line, count(*) AS n FROM words GROUP BY 1, 2), r AS (SELECT doc, line, n, 0 AS node, 0 AS depth FROM w WHERE n > 1 UNION ALL SELECT doc, line, n, 2 * node + x, depth + 1 FROM r, (VALUES (0), (1)) AS b(x) WHERE 2 * node + x > 0 AND 2 * node + x < n)
+SELECT doc, line, CAST(node AS INTEGER) AS node, CAST(depth AS INTEGER) AS depth FROM r""")
 def tree_depths(spark: SparkSession, d: str) -> DataFrame:
     """Depths in trees in which word k of a line hangs on word k // 2."""
     w = fx.words(spark, d).groupBy("doc", "line").agg(F.count(F.lit(1)).cast("int").alias("n"))

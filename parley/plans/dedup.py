@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import arrow
@@ -12,6 +13,7 @@ from parley.operators import dialogue as dg
 from parley.operators import sampling as sp
 from parley.operators import similarity as sim
 from parley.operators.graph import connected
+from parley.shared import group_digests, materialize
 from parley.plans import fixtures as fx
 from parley.plans.dialogue import turns
 
@@ -98,7 +100,17 @@ def split_leakage(spark: SparkSession, d: str) -> DataFrame:
     return sim.owned_splits(members(spark, d))
 
 
-@query()
+_MEMBERS = f"""m AS (SELECT doc_id * 1000000 + line AS id, array_to_string({fx.SQL_WORDS.format('text')}, ' ') AS cluster, CASE ascii(substr(source, length(source))) % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM lines)"""
+#: Contested clusters in order, one a step; the counts of clusters that each split owns so far go along.
+_GIVEN = """o AS (SELECT cluster, list_sort(list_distinct(list(split))) AS s FROM m GROUP BY 1), c AS (SELECT cluster, s, row_number() OVER (ORDER BY cluster) AS k FROM o WHERE len(s) > 1),
+h AS (SELECT count(*) FILTER (WHERE s = ['train']) AS train, count(*) FILTER (WHERE s = ['val']) AS val, count(*) FILTER (WHERE s = ['test']) AS test FROM o WHERE len(s) = 1),
+g AS (SELECT CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS cluster, CAST('' AS VARCHAR) AS w, train, val, test FROM h UNION ALL
+SELECT k, cluster, w, train + CAST(w = 'train' AS INTEGER), val + CAST(w = 'val' AS INTEGER), test + CAST(w = 'test' AS INTEGER) FROM (SELECT c.k, c.cluster, g.train, g.val, g.test, CASE
+WHEN list_contains(s, 'train') AND (NOT list_contains(s, 'val') OR g.train / 18.0 <= g.val / 3.0) AND (NOT list_contains(s, 'test') OR g.train / 18.0 <= g.test / 3.0) THEN 'train'
+WHEN list_contains(s, 'val') AND (NOT list_contains(s, 'test') OR g.val <= g.test) THEN 'val' ELSE 'test' END AS w FROM g JOIN c ON c.k = g.k + 1))"""
+
+
+@query(f"WITH RECURSIVE {fx.LINES}, {_MEMBERS}, {_GIVEN} SELECT m.id, m.cluster, m.split FROM m LEFT JOIN g ON g.k > 0 AND g.cluster = m.cluster WHERE g.w IS NULL OR g.w = m.split")
 def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
     return sim.split_disjoint(members(spark, d), {"train": 18, "val": 3, "test": 3})
 
@@ -106,12 +118,13 @@ def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
 _CAP = "cap AS (SELECT source AS stratum, count(*) % 97 + 3 AS capacity FROM documents GROUP BY 1)"
 
 
-@query(f"""WITH {_CAP}, o AS (SELECT *, coalesce(sum(capacity) OVER (ORDER BY capacity, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, count(*) OVER (ORDER BY capacity, stratum ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM cap),
-l AS (SELECT *, (100.0 - below) / rest AS level FROM o), v AS (SELECT arg_min(level, capacity * 1000000000.0 + below) AS level FROM l WHERE capacity > level)
-SELECT l.stratum, l.capacity, CAST(round(CASE WHEN l.capacity <= l.level THEN l.capacity ELSE v.level END, 6) AS DOUBLE) AS quota FROM l, v""")
+@query(f"""WITH {_CAP}, t AS (SELECT *, row_number() OVER (ORDER BY stratum) - 1 AS k, count(*) OVER () AS n, least(100, sum(capacity) OVER ()) AS total FROM cap), b AS (SELECT *, least(capacity, total // n + CAST(k < total % n AS BIGINT)) AS base FROM t),
+r AS (SELECT *, capacity - base AS room, total - sum(base) OVER () AS lft FROM b), g AS (SELECT max(i) AS t FROM (SELECT i, sum(least(room, i)) AS s, any_value(lft) AS lft FROM r, range(101) AS x(i) GROUP BY i) WHERE s <= lft),
+f AS (SELECT r.*, least(room, t) AS given, CAST(room > t AS INTEGER) AS open FROM r, g), h AS (SELECT *, lft - sum(given) OVER () AS rest, sum(open) OVER (ORDER BY stratum) AS nth FROM f)
+SELECT stratum, capacity, CAST(base + given + CASE WHEN open = 1 AND nth <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM h""")
 def equal_quota(spark: SparkSession, d: str) -> DataFrame:
     cap = fx.table(spark, d, "documents").groupBy(F.col("source").alias("stratum")).agg((F.count(F.lit(1)) % 97 + 3).alias("capacity"))
-    return sp.water_level(cap, 100).withColumn("quota", F.round("quota", 6))
+    return sp.shares(cap, "capacity", F.lit(100), ["stratum"])
 
 
 @query("""WITH c AS (SELECT conv_id AS interview_id, count(*) FILTER (WHERE role = 'user') * 3 AS a, count(*) FILTER (WHERE role = 'assistant') * 2 AS b FROM conversations GROUP BY 1), q AS (SELECT *, (a + b) // 2 AS quota FROM c),
@@ -137,13 +150,52 @@ def quotas(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def flow_sample(spark: SparkSession, d: str) -> DataFrame:
-    return sp.draw(pool(spark, d), quotas(spark, d)).drop("text")
+    return sp.draw(pool(spark, d), quotas(spark, d), strict=False).drop("text")
+
+
+def run_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sentences, interviews, turns): a source is an interview, its documents are the turns of two roles in turn, lines that
+    pass the gate are sentences; equal wording is one cluster, within and across interviews."""
+    docs = fx.table(spark, d, "documents").where("text IS NOT NULL AND source IS NOT NULL")
+    raw = docs.select(F.col("source").alias("interview_id"), "doc_id", "text")
+    t = raw.withColumn("turn_idx", (F.row_number().over(W.partitionBy("interview_id").orderBy("doc_id")) - 1).cast("long"))
+    t = t.withColumn("role", F.when(F.col("turn_idx") % 2 == 0, lx.ROLES[0]).otherwise(lx.ROLES[1])).withColumn("role_turn_idx", (F.row_number().over(W.partitionBy("interview_id", "role").orderBy("doc_id")) - 1).cast("long"))
+    t = t.withColumn("source_turn_ids", F.array(F.col("doc_id").cast("string"))).withColumn("chunk_ids", F.array().cast("array<string>"))
+    s = dg.position_strata(t).select("interview_id", "role", "turn_idx", "role_turn_idx", "position_stratum", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(tx.gate_reason(F.col("text")).isNull())
+    s = s.withColumn("cluster", tx.similarity_form(F.col("text"))).withColumn("sentence_index", (F.row_number().over(W.partitionBy("interview_id", "role").orderBy("doc_id", "line")) - 1).cast("long"))
+    size = s.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"), F.count_distinct("interview_id").alias("cluster_interviews"))
+    s = s.select((F.col("doc_id") * 1_000_000 + F.col("line")).alias("id"), "interview_id", "role", "sentence_index", "position_stratum", F.col("role_turn_idx").alias("turn"), F.array("turn_idx").alias("source_turns"), "text", "cluster").join(size, "cluster")
+    return s, s.select("interview_id", F.concat(F.lit("i"), F.pmod(F.crc32("interview_id"), F.lit(3)).cast("string")).alias("interviewer_id")).distinct(), t
+
+
+def sampled(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """A sample of forty rows an interview on average, and what it was drawn from. (From 1000 documents on all quotas and minima can be met.)"""
+    s, iv, t = run_inputs(spark, d)
+    s, iv = materialize(s, "run-sentences"), materialize(iv, "run-interviews")
+    total = 40 * iv.count()
+    out, split, quota = sp.sample_run(s, iv, t, total, strict=False)
+    return out, s, split, quota, t, total
+
+
+@query()
+def sample_run(spark: SparkSession, d: str) -> DataFrame:
+    return sampled(spark, d)[0]
+
+
+_CHECKS = ["too_few_words", "no_capital", "no_end", "ellipsis", "no_cluster", "cluster_size", "cluster_interviews", "unknown_split", "speaker", "source_turns", "turn_range", "size", "presentation_order", "duplicate_sentence", "duplicate_cluster", "duplicate_uuid", "not_in_pool", "split_counts", "split_crossed", "interview_quota", "role_missing", "held_out_minimum", "speaker_missing", "speaker_minimum", "held_out_interviewers"]
 
 
-@query("SELECT * FROM (VALUES ('duplicate_id', CAST(0 AS BIGINT)), ('duplicate_cluster', 0), ('not_in_pool', 0), ('over_quota', 0)) AS v(\"check\", n)")
+def checked(out: DataFrame, s: DataFrame, split: DataFrame, quota: DataFrame, t: DataFrame, total: int, least: int) -> DataFrame:
+    # a turn's index is its sentence's source here, both counted within the role
+    rows = out.withColumn("source_turns", F.array("turn")) if "offset" not in out.columns else out.withColumn("source_turns", F.array(F.col("turn") + F.col("offset")))
+    return sp.violations(rows, s, split, quota, t.groupBy("interview_id", "role").agg(F.count(F.lit(1)).alias("n_turns")), total, least)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', CAST(0 AS BIGINT))" for c in _CHECKS) + ') AS v("check", n)')
 def sample_validation(spark: SparkSession, d: str) -> DataFrame:
-    p, q = pool(spark, d), quotas(spark, d)
-    return sp.violations(sp.draw(p, q), p, q)
+    """Every rule on the sample of sample_run(): none may be broken."""
+    out, s, split, quota, t, total = sampled(spark, d)
+    return checked(out, s, split, quota, t, total, lx.MIN_ROLE_SAMPLE)
 
 
 _POOL = f"{fx.MERGED}, pool AS (SELECT interview_id * 100 + turn_idx AS id, interview_id, role, turn_idx AS turn, CAST(ntile(5) OVER (PARTITION BY interview_id, role ORDER BY role_turn_idx) AS INTEGER) AS position_stratum FROM turns)"
@@ -155,6 +207,58 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return sp.stratified(pool(spark, d), F.lit(2), ["interview_id", "role"]).drop("cluster", "text")
 
 
+#: A sample that breaks each rule now and then: how its columns are spoilt, for both engines.
+_BAD = {
+    "split": "CASE WHEN id % 13 = 0 THEN 'test' WHEN id % 29 = 0 THEN 'dev' ELSE own_split END",
+    "speaker_id": "CASE WHEN id % 17 = 0 THEN -1 WHEN role = 'Interviewer' THEN interviewer_id ELSE interview_id END",
+    "text": "CASE WHEN id % 7 = 0 THEN 'Na.' WHEN id % 7 = 1 THEN 'klein und gut.' WHEN id % 7 = 2 THEN 'Ohne Ende' WHEN id % 7 = 3 THEN 'Es geht ...' ELSE 'Es geht so.' END",
+    "cluster": "CASE WHEN id % 19 = 0 THEN '' WHEN id % 19 < 4 THEN CAST(CAST(floor(id / 40) AS BIGINT) AS STRING) ELSE CAST(id AS STRING) END",
+    "cluster_size": "CASE WHEN id % 23 = 0 THEN 0 ELSE 1 END",
+    "cluster_interviews": "CASE WHEN id % 41 = 0 THEN 0 ELSE 1 END",
+    "item_uuid": "CAST(CAST(floor(id / 2) AS BIGINT) AS STRING)",
+    "presentation_order": "id",
+    "offset": "CASE WHEN id % 31 = 0 THEN 1 ELSE 0 END",
+}
+_BAD_SQL = ", ".join(f'{v} AS "{k}"' for k, v in _BAD.items())
+_UNION = " UNION ALL ".join
+
+
+@query(f"""WITH {fx.MERGED}, {_INTERVIEWS}, {_SPLITS}, p AS (SELECT interview_id * 100 + turn_idx AS id, interview_id, role, role_turn_idx AS turn, turn_idx FROM turns), nt AS (SELECT interview_id, role, count(*) AS n_turns FROM turns GROUP BY 1, 2),
+dr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY interview_id, role ORDER BY sha256(concat('42|', CAST(id AS STRING))), id) AS k FROM p) WHERE k <= 2 AND NOT (id % 43 = 0)),
+own AS (SELECT dr.id, dr.interview_id, dr.role, CASE WHEN dr.id % 37 = 0 THEN 9999 ELSE dr.turn END AS turn, dr.turn AS sentence_index, sp.interviewer_id, sp.split AS own_split FROM dr JOIN sp USING (interview_id)),
+bad AS (SELECT id, interview_id, role, turn, sentence_index, {_BAD_SQL} FROM own UNION ALL SELECT id + 1000000, interview_id, role, turn, sentence_index, {_BAD_SQL} FROM own WHERE id % 47 = 0),
+q AS (SELECT interview_id, count(*) AS quota FROM dr GROUP BY 1), x AS (SELECT bad.*, sp.interviewer_id, sp.split AS own_split, n_turns FROM bad JOIN sp USING (interview_id) LEFT JOIN nt USING (interview_id, role)),
+per AS (SELECT sp.*, quota, k, s FROM sp LEFT JOIN q USING (interview_id) LEFT JOIN (SELECT interview_id, count(*) AS k, list_distinct(list(split)) AS s FROM bad GROUP BY 1) USING (interview_id)),
+hv AS (SELECT a.*, coalesce(k, 0) AS k, least(2, a.n) AS want, count(*) OVER (PARTITION BY interview_id) AS roles, sum(least(2, a.n)) OVER (PARTITION BY interview_id) AS wants FROM (SELECT interview_id, role, count(*) AS n FROM p GROUP BY 1, 2) a LEFT JOIN (SELECT interview_id, role, count(*) AS k FROM bad GROUP BY 1, 2) b USING (interview_id, role)),
+av AS (SELECT role, CASE WHEN role = 'Interviewer' THEN interviewer_id ELSE interview_id END AS who, sum(n) AS n FROM hv JOIN sp USING (interview_id) GROUP BY 1, 2), he AS (SELECT role, speaker_id AS who, count(*) AS k FROM bad GROUP BY 1, 2),
+met AS (SELECT av.n, he.k FROM av FULL JOIN he USING (role, who)), w AS (SELECT count(DISTINCT interviewer_id) AS who, count(*) FILTER (WHERE split = 'test') AS t, count(*) FILTER (WHERE split = 'val') AS v FROM sp)
+""" + _UNION([
+    f"SELECT '{k}' AS \"check\", CAST({v} AS BIGINT) AS n FROM x" for k, v in {
+        "too_few_words": "count(*) FILTER (WHERE text = 'Na.')", "no_capital": "count(*) FILTER (WHERE text = 'klein und gut.')", "no_end": "count(*) FILTER (WHERE text = 'Ohne Ende')", "ellipsis": "count(*) FILTER (WHERE text = 'Es geht ...')",
+        "no_cluster": "count(*) FILTER (WHERE cluster = '')", "cluster_size": "count(*) FILTER (WHERE cluster_size < 1)", "cluster_interviews": "count(*) FILTER (WHERE cluster_interviews < 1)", "unknown_split": "count(*) FILTER (WHERE split = 'dev')",
+        "speaker": "count(*) FILTER (WHERE speaker_id = -1)", "source_turns": "count(*) FILTER (WHERE \"offset\" = 1)", "turn_range": "count(*) FILTER (WHERE turn >= n_turns)", "size": "abs(count(*) - least(500, (SELECT count(*) FROM p)))",
+        "presentation_order": "CASE WHEN count(DISTINCT presentation_order) = count(*) AND min(presentation_order) = 0 AND max(presentation_order) = count(*) - 1 THEN 0 ELSE 1 END",
+    }.items()
+] + [f"SELECT '{k}', count(*) FROM ({v})" for k, v in {
+    "duplicate_sentence": "SELECT 1 FROM bad GROUP BY interview_id, role, sentence_index HAVING count(*) > 1", "duplicate_cluster": "SELECT 1 FROM bad GROUP BY cluster HAVING count(*) > 1", "duplicate_uuid": "SELECT 1 FROM bad GROUP BY item_uuid HAVING count(*) > 1",
+    "not_in_pool": "SELECT 1 FROM bad WHERE id NOT IN (SELECT id FROM p)", "split_counts": "SELECT 1 FROM w WHERE t <> who UNION ALL SELECT 1 FROM w WHERE v <> who", "split_crossed": "SELECT 1 FROM per WHERE NOT coalesce(len(s) = 1 AND s[1] = split, FALSE)",
+    "interview_quota": "SELECT 1 FROM per WHERE coalesce(k, 0) = 0 OR k <> coalesce(quota, 0)", "role_missing": "SELECT 1 FROM hv WHERE roles = 2 AND k = 0", "held_out_minimum": "SELECT 1 FROM hv JOIN per USING (interview_id) WHERE split IN ('val', 'test') AND quota >= wants AND hv.k < want",
+    "speaker_missing": "SELECT 1 FROM met WHERE n IS NULL OR k IS NULL", "speaker_minimum": "SELECT 1 FROM met WHERE coalesce(k, 0) < least(2, n)",
+    "held_out_interviewers": "SELECT 1 FROM (SELECT unnest(['val', 'test']) AS split) s LEFT JOIN (SELECT split, count(DISTINCT speaker_id) AS n FROM bad WHERE role = 'Interviewer' GROUP BY 1) h USING (split), w WHERE coalesce(n, 0) <> who",
+}.items()]))
+def faulty_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule on a sample that is spoilt by rule."""
+    t = turns(spark, d)
+    p = t.select((F.col("interview_id") * 100 + F.col("turn_idx")).alias("id"), "interview_id", "role", F.col("role_turn_idx").alias("turn"))
+    split = splits(spark, d)
+    dr = sp.stratified(p, F.lit(2), ["interview_id", "role"]).where("id % 43 <> 0")
+    own = dr.join(split.withColumnRenamed("split", "own_split"), "interview_id").withColumn("sentence_index", F.col("turn")).withColumn("turn", F.expr("CASE WHEN id % 37 = 0 THEN 9999 ELSE turn END"))
+    keep = ["id", "interview_id", "role", "turn", "sentence_index"]
+    bad = own.selectExpr(*keep, *(f"{v} AS `{k}`" for k, v in _BAD.items()))
+    bad = bad.unionByName(own.where("id % 47 = 0").selectExpr("id + 1000000 AS id", *keep[1:], *(f"{v} AS `{k}`" for k, v in _BAD.items())))
+    return checked(bad, p.withColumn("cluster", F.col("id")), split, dr.groupBy("interview_id").agg(F.count(F.lit(1)).alias("quota")), t, 500, 2)
+
+
 _REPORT = ", ".join(f"count(*) FILTER (WHERE role = '{r}' AND position_stratum = {k} AND kind = '{w}') AS {r.lower()}_s{k}_{w}_n, count(DISTINCT turn) FILTER (WHERE role = '{r}' AND position_stratum = {k} AND kind = '{w}') AS {r.lower()}_s{k}_{w}_turns" for r in lx.ROLES for k in range(1, 6) for w in ("available", "sampled"))
 
 
@@ -177,9 +281,7 @@ def item_uuids(spark: SparkSession, d: str) -> DataFrame:
     return pool(spark, d).select("id", arrow.stable_uuid("interview_id", "role", "turn", "text").alias("item_uuid"))
 
 
-@query("WITH s AS (SELECT doc_id, sha256(concat(CAST(doc_id AS STRING), '|', text)) AS h FROM documents) SELECT sha256(string_agg(h, ',' ORDER BY h)) AS provenance FROM s")
+@query("WITH s AS (SELECT sha256(concat(CAST(doc_id AS STRING), '|', text)) AS h FROM documents), b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, ',' ORDER BY h)) AS d FROM s GROUP BY 1) SELECT sha256(string_agg(d, ',' ORDER BY b)) AS provenance FROM b")
 def provenance(spark: SparkSession, d: str) -> DataFrame:
-    """One digest of all documents: rows are hashed where they are, the digests alone meet, in buckets of their first byte."""
-    h = fx.table(spark, d, "documents").select(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), 256).alias("h"))
-    part = h.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.array_join(F.array_sort(F.collect_list("h")), ",").alias("hs"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "hs"))), lambda x: x["hs"]), ","), 256).alias("provenance"))
+    """One digest of all documents, whatever their order."""
+    return group_digests(fx.table(spark, d, "documents"), [], F.concat_ws("|", F.col("doc_id").cast("string"), "text"), "provenance")

@@ -194,7 +194,16 @@ def learn_compounds(spark: SparkSession, d: str) -> DataFrame:
     return german.learn_compounds(w)
 
 
-@query()
+def _hundred(n: str) -> str:
+    return f"CASE WHEN {n} < 20 THEN ones[{n} + 1] ELSE concat(CASE WHEN {n} % 10 > 0 THEN concat(ones[{n} % 10 + 1], 'und') ELSE '' END, tens[{n} // 10 - 1]) END"
+
+
+def _thousand(n: str, one: str) -> str:
+    return f"concat(CASE WHEN {n} >= 100 THEN concat(ones[{n} // 100 + 1], 'hundert') ELSE '' END, CASE WHEN {n} % 100 = 0 THEN '' WHEN {n} % 100 = 1 THEN '{one}' ELSE {_hundred(f'({n} % 100)')} END)"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9]+')) AS digits FROM documents), n AS (SELECT digits, TRY_CAST(digits AS BIGINT) AS n FROM d), l AS (SELECT n.*, {german._ONES} AS ones, {german._TENS} AS tens, (n // 1000) % 1000 AS h, n % 1000 AS r FROM n)
+SELECT digits, CASE WHEN n IS NULL OR n >= 1000000 THEN digits WHEN n = 0 THEN 'null' ELSE regexp_replace(concat(CASE WHEN h > 0 THEN concat({_thousand('h', 'ein')}, 'tausend') ELSE '' END, {_thousand('r', 'eins')}), '^ein(hundert|tausend)', '\\1') END AS words FROM l""")
 def number_words(spark: SparkSession, d: str) -> DataFrame:
     digits = fx.table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]+"), F.lit(0))).alias("digits")).distinct()
     return digits.select("digits", german.cardinal_column(F.col("digits")).alias("words"))

@@ -105,7 +105,7 @@ def system_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
     """doc, role, hours, ref_text, hyp_text: each line of a turn against its text with every seventh word gone, every fifth
-    doubled and every eleventh another."""
+    doubled and every eleventh another; now and then a passage is said again, or one that nobody said follows."""
     c = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{ROLE} AS role", "text")
     one = c.select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("line", "ref_text"))
     w = F.filter(F.split("ref_text", " "), lambda x: x != "")
@@ -113,5 +113,7 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
     def heard(x, i):
         return F.when((i + F.col("turn")) % 7 == 6, F.lit("")).when((i + F.col("conv_id")) % 5 == 4, F.concat(x, F.lit(" "), x)).when(i % 11 == 10, F.concat(x, F.lit("zz"))).otherwise(x)
 
-    hyp = F.array_join(F.filter(F.transform(w, heard), lambda x: x != ""), " ")
+    n = F.col("conv_id") + F.col("turn") + F.col("line")
+    more = F.when(n % 6 == 0, F.slice(w, F.greatest(F.size(w) - 7, F.lit(1)), F.lit(8))).when(n % 6 == 1, F.split(F.lit("ganz andere worte die hier niemand je gesagt hat"), " ")).otherwise(F.array().cast("array<string>"))
+    hyp = F.array_join(F.concat(F.filter(F.transform(w, heard), lambda x: x != ""), more), " ")
     return one.select(F.lit("s").alias("system"), F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("line").cast("string")).alias("doc"), F.col("conv_id").alias("eid"), "role", (F.length("ref_text") / 36000).alias("hours"), "ref_text", hyp.alias("hyp_text"))

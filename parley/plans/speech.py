@@ -13,6 +13,7 @@ from parley.operators import asr
 from parley.operators import metrics as mt
 from parley.plans import fixtures as fx
 from parley.plans.dialogue import listed
+from parley.shared import materialize
 
 Q, SQL = {}, {}
 
@@ -68,6 +69,10 @@ def cer(spark: SparkSession, d: str) -> DataFrame:
     return p.agg(F.sum(e).cast("long").alias("errors"), F.sum(F.length("a")).alias("chars"))
 
 
+_T = f"{fx.SQL_WORDS_OF}, {fx.SQL_SYSTEMS}"
+_MISSED = "missed AS (SELECT system, doc, line, count(*) AS n, avg(CAST(op = 'delete' AS DOUBLE)) >= 0.8 AS missed FROM toks GROUP BY 1, 2, 3)"
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     return asr.score_documents(asr.alignments(fx.transcripts(spark, d)))
 
@@ -87,6 +92,31 @@ def inserted_passages(spark: SparkSession, d: str) -> DataFrame:
     return asr.inserted_passages(asr.alignments(fx.transcripts(spark, d), variants=("normalized",)))
 
 
+@query()
+def aligned_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Every reference word with its run and what stands for it: what the reports below are made of."""
+    return tokens_of(spark, d)
+
+
+def tokens_of(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of ten reference words."""
+    al = materialize(asr.alignments(fx.transcripts(spark, d), variants=("normalized",)), "alignments")
+    lines = al.select("doc", F.posexplode("ref_normalized").alias("pos", "word")).select("doc", "pos", F.floor(F.col("pos") / 10).cast("long").alias("line"))
+    return asr.reference_tokens(al, lines)
+
+
+@query()
+def aligned_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Missed lines by system, length and role, of real alignments."""
+    m = asr.missed_lines(tokens_of(spark, d)).join(fx.transcripts(spark, d).select("doc", "role").distinct(), "doc")
+    return asr.miss_rates(m, "role").select("system", "size", "lines", r6("miss_rate", "miss_rate"))
+
+
+@query(f"WITH {_T}, {_MISSED} SELECT doc, line, max(n) AS n FROM missed WHERE n >= 3 GROUP BY 1, 2 HAVING count(*) FILTER (WHERE missed) = 6")
+def missed_by_all(spark: SparkSession, d: str) -> DataFrame:
+    return asr.missed_by_all(missed(spark, d), fx.SYSTEMS)
+
+
 @query()
 def hypothesis_by_line(spark: SparkSession, d: str) -> DataFrame:
     al = asr.alignments(fx.transcripts(spark, d), variants=("normalized",))
@@ -94,10 +124,6 @@ def hypothesis_by_line(spark: SparkSession, d: str) -> DataFrame:
     return asr.hypothesis_by_line(al, lines)
 
 
-_T = f"{fx.SQL_WORDS_OF}, {fx.SQL_SYSTEMS}"
-_MISSED = "missed AS (SELECT system, doc, line, count(*) AS n, avg(CAST(op = 'delete' AS DOUBLE)) >= 0.8 AS missed FROM toks GROUP BY 1, 2, 3)"
-
-
 def missed(spark: SparkSession, d: str) -> DataFrame:
     return asr.missed_lines(fx.system_tokens(spark, d))
 
@@ -171,12 +197,12 @@ def interval_units(spark: SparkSession, d: str) -> DataFrame:
     return asr.merge_intervals(w, "user_id", "lo", "hi").withColumn("unit", F.col("unit").cast("long"))
 
 
-@query("""WITH w AS (SELECT user_id AS doc, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS win, event_type AS system, CAST(coalesce(value, 0) > 50 AS INTEGER) AS inserted FROM events), p AS (SELECT doc, win, system, count(*) AS n, sum(inserted) AS ins FROM w GROUP BY 1, 2, 3)
-SELECT doc, win, count(*) FILTER (WHERE n >= 2 AND ins >= 0.5 * n) AS models_hearing FROM p GROUP BY 1, 2 HAVING count(*) FILTER (WHERE n >= 2 AND ins >= 0.5 * n) >= 1""")
+@query("""WITH w AS (SELECT user_id AS doc, CAST(epoch_us(ts) // 864000000000 AS BIGINT) AS win, event_type AS system, CAST(coalesce(value, 0) > 50 AS INTEGER) AS inserted FROM events), p AS (SELECT doc, win, system, count(*) AS n, sum(inserted) AS ins FROM w GROUP BY 1, 2, 3)
+SELECT doc, win, count(*) FILTER (WHERE n >= 2 AND ins >= 0.5 * n) AS models_hearing FROM p GROUP BY 1, 2 HAVING count(*) FILTER (WHERE n >= 2 AND ins >= 0.5 * n) >= 3""")
 def coverage_windows(spark: SparkSession, d: str) -> DataFrame:
-    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("long")
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 864_000_000_000).cast("long")
     w = fx.table(spark, d, "events").select(F.col("user_id").alias("doc"), day.alias("win"), F.col("event_type").alias("system"), (F.coalesce("value", F.lit(0.0)) > 50).cast("int").alias("inserted"))
-    return asr.uncovered_windows(w, models=1)
+    return asr.uncovered_windows(w)
 
 
 @query("""WITH l AS (SELECT user_id AS doc, event_id AS pos, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 1000 AS DOUBLE) END AS s FROM events), t AS (SELECT *, s + 1.5 AS e FROM l),
@@ -199,17 +225,23 @@ def score_quality(spark: SparkSession, d: str) -> DataFrame:
     return asr.score_quality(w, ("event_type",)).select("event_type", "n", r6("median", "median"), r6("low_share", "low_share"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS doc, event_id % 12 AS line, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 9 AS INTEGER) END AS win, event_id FROM events), v AS (SELECT doc, line, win, count(*) AS n, min(event_id) AS f FROM e GROUP BY 1, 2, 3), l AS (SELECT DISTINCT doc, line FROM v),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc, line ORDER BY n DESC, f) AS r FROM v WHERE win IS NOT NULL), p AS (SELECT l.doc, l.line, b.win AS best, row_number() OVER (PARTITION BY l.doc ORDER BY l.line) AS k FROM l LEFT JOIN b ON b.doc = l.doc AND b.line = l.line AND b.r = 1),
+h AS (SELECT a.doc, a.line, a.k, max(b.best) AS here FROM p a LEFT JOIN p b ON b.doc = a.doc AND b.k <= a.k AND a.best IS NOT NULL GROUP BY 1, 2, 3),
+g AS (SELECT h.doc, h.line, h.k, h.here, coalesce(max(x.here) FILTER (WHERE x.k < h.k), -1) AS low, coalesce(min(x.here) FILTER (WHERE x.k > h.k), 9) AS high, coalesce(max(x.k) FILTER (WHERE x.k < h.k AND x.here IS NOT NULL), 0) AS kl FROM h LEFT JOIN h x ON x.doc = h.doc GROUP BY 1, 2, 3, 4),
+w AS (SELECT doc, line, k, CAST(CASE WHEN here IS NOT NULL THEN here WHEN high - low > 1 THEN low + least(k - kl, high - low - 1) ELSE greatest(low, 0) END AS INTEGER) AS win FROM g), t AS (SELECT doc, line, sum(n) AS total FROM v WHERE win IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT w.doc, w.line, w.k, w.win, least(w.win, coalesce(min(v.win) FILTER (WHERE 4 * v.n >= t.total), w.win)) AS lo, greatest(w.win, coalesce(max(v.win) FILTER (WHERE 4 * v.n >= t.total), w.win)) AS hi FROM w LEFT JOIN t USING (doc, line) LEFT JOIN v ON v.doc = w.doc AND v.line = w.line AND v.win IS NOT NULL GROUP BY 1, 2, 3, 4)
+SELECT a.doc, a.line, a.win, CAST(least(max(b.lo), a.win) AS INTEGER) AS lo, CAST(a.hi AS INTEGER) AS hi FROM s a JOIN s b ON b.doc = a.doc AND b.k <= a.k GROUP BY a.doc, a.line, a.win, a.hi""")
 def placed_lines(spark: SparkSession, d: str) -> DataFrame:
     e = fx.table(spark, d, "events").select(F.col("user_id").alias("doc"), (F.col("event_id") % 12).alias("line"), F.when(F.col("event_id") % 4 != 0, (F.col("event_id") % 9).cast("int")).alias("win"), "event_id")
     votes = e.groupBy("doc", "line", "win").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
     return asr.place_lines(votes, e.select("doc").distinct().withColumn("n_windows", F.lit(9)))
 
 
-@query("""WITH f AS (SELECT 'a' AS annotator, doc_id AS doc, n_chars AS words, n_chars % 17 AS edits, n_chars % 11 AS errors FROM documents), i AS (SELECT doc_id AS doc, count(*) AS anchors FROM labels WHERE toxic = 1 GROUP BY 1), u AS (SELECT user_id AS doc, sum(coalesce(value, 0)) AS seconds FROM events GROUP BY 1)
+@query("""WITH f AS (SELECT source AS annotator, doc_id AS doc, n_chars AS words, n_chars % 17 AS edits, n_chars % 11 AS errors FROM documents), i AS (SELECT doc_id AS doc, count(*) AS anchors FROM labels WHERE toxic = 1 GROUP BY 1), u AS (SELECT user_id AS doc, sum(coalesce(value, 0)) AS seconds FROM events GROUP BY 1)
 SELECT annotator, count(*) AS docs, round(sum(edits) / CAST(sum(words) AS DOUBLE), 6) AS edit_rate, round(sum(errors) / CAST(sum(words) AS DOUBLE), 6) AS model_wer, CAST(round(coalesce(sum(anchors), 0) * 1000.0 / sum(words), 6) AS DOUBLE) AS anchors_per_1k, round(coalesce(sum(seconds), 0) / 60, 4) AS missed_minutes FROM f LEFT JOIN i USING (doc) LEFT JOIN u USING (doc) GROUP BY 1""")
 def reference_quality(spark: SparkSession, d: str) -> DataFrame:
-    docs = fx.table(spark, d, "documents").select(F.lit("a").alias("annotator"), F.col("doc_id").alias("doc"), F.col("n_chars").alias("words"), (F.col("n_chars") % 17).alias("edits"), (F.col("n_chars") % 11).alias("errors"))
+    docs = fx.table(spark, d, "documents").select(F.col("source").alias("annotator"), F.col("doc_id").alias("doc"), F.col("n_chars").alias("words"), (F.col("n_chars") % 17).alias("edits"), (F.col("n_chars") % 11).alias("errors"))
     issues = fx.table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("doc"), F.lit("anchoring_suspect").alias("category"))
     gone = fx.table(spark, d, "events").select(F.col("user_id").alias("doc"), F.coalesce("value", F.lit(0.0)).alias("seconds"))
     q = asr.reference_quality(docs, issues, gone)

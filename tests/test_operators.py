@@ -196,6 +196,75 @@ def test_flow_takes_each_cluster_once():
     assert got == 3 and len({c for _, c in chosen}) == 3
 
 
+def test_shares_equal_the_rule_in_every_part(spark):
+    rng = np.random.default_rng(3)
+    parts = {p: ([int(x) for x in rng.integers(0, 12, rng.integers(1, 9))], int(rng.integers(0, 40))) for p in range(60)}
+    df = spark.createDataFrame([(p, k, c, t) for p, (caps, t) in parts.items() for k, c in enumerate(caps)], "p int, k int, c long, t long")
+    got: dict = {}
+    for r in sp.shares(df, "c", F.col("t"), ["k"], ["p"]).orderBy("p", "k").collect():
+        got.setdefault(r["p"], []).append(r["quota"])
+    assert got == {p: sp.equal_quotas(caps, min(t, sum(caps))) for p, (caps, t) in parts.items()}
+
+
+def test_balanced_equals_the_rule(spark):
+    rng = np.random.default_rng(5)
+    for groups, relax in ((2, False), (3, True), (3, False)):
+        rows = []
+        for k in range(12):
+            a, b = (int(x) for x in rng.integers(1, 40, 2))
+            rows.append((k, f"g{k % groups}", ("test", "val", "train")[k // groups] if k // groups < 3 else "train", int(rng.integers(2 if not relax else (a + b) // 2, a + b + 1)), a, b))
+        want = sp.balanced_role_quotas([{"group": g, "quota": q, "available": {"Interviewer": a, "Interviewee": b}, "split": s} for _, g, s, q, a, b in rows], 5)
+        got = sp.balanced(spark.createDataFrame(rows, "interview_id int, interviewer_id string, split string, quota long, a long, b long"), 5).orderBy("interview_id").collect()
+        assert [r["first"] for r in got] == want
+
+
+def test_draw_falls_back_level_by_level(spark):
+    def drawn(rows, quotas, **how):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, interview_id int, role string, position_stratum int, turn int, cluster string")
+        return sp.draw(df, spark.createDataFrame([(1, r, q) for r, q in quotas.items()], "interview_id int, role string, quota long"), **how).collect()
+
+    a, b = "Interviewer", "Interviewee"
+    free = [(1, a, 1, t, f"c{t}") for t in range(4)]
+    assert {r["level"] for r in drawn(free, {a: 4})} == {0}
+    # two turns of one wording: a third turn of the stratum gives two
+    assert {r["level"] for r in drawn([(1, a, 1, 0, "x"), (1, a, 1, 1, "x"), (1, a, 1, 2, "y"), (1, a, 1, 2, "z")], {a: 3})} == {1}
+    # two strata of one wording: a third stratum does
+    assert {r["level"] for r in drawn([(1, a, 1, 0, "x"), (1, a, 2, 1, "x"), (1, a, 3, 2, "y"), (1, a, 3, 2, "z")], {a: 3})} == {2}
+    # a role that cannot meet its quota: the other role gives the rest, above the least
+    got = drawn([(1, a, 1, 0, "x"), (1, a, 1, 1, "x"), (1, b, 1, 2, "y"), (1, b, 1, 3, "z"), (1, b, 1, 4, "v")], {a: 2, b: 2}, least=1)
+    assert {r["level"] for r in got} == {3} and len(got) == 4 and sum(r["role"] == a for r in got) == 1
+    with pytest.raises(ValueError, match="3 rows"):
+        drawn([(1, a, 1, 0, "x"), (1, a, 1, 1, "x"), (1, a, 1, 2, "y")], {a: 3})
+    assert len(drawn([(1, a, 1, 0, "x"), (1, a, 1, 1, "x"), (1, a, 1, 2, "y")], {a: 3}, strict=False)) == 2
+
+
+def test_draw_is_a_maximum_matching(spark):
+    """Against augmenting paths, one cluster at a time, over several connected parts."""
+    rng = np.random.default_rng(11)
+    rows = [(i, int(i // 20), "Interviewer", 1, 0, int(i // 40) * 100 + int(rng.integers(0, 14))) for i in range(120)]
+    quota = {k: int(rng.integers(5, 12)) for k in range(6)}
+    edges: dict = {}
+    for _, iv, *_, c in rows:
+        edges.setdefault(c, set()).add(iv)
+    slots = [(iv, k) for iv, q in quota.items() for k in range(q)]
+    held: dict = {}
+
+    def place(c, seen):
+        for s in slots:
+            if s[0] in edges[c] and s not in seen:
+                seen.add(s)
+                if s not in held or place(held[s], seen):
+                    held[s] = c
+                    return True
+        return False
+
+    most = sum(place(c, set()) for c in sorted(edges))
+    df = spark.createDataFrame(rows, "id long, interview_id int, role string, position_stratum int, turn int, cluster long")
+    got = sp.draw(df, spark.createDataFrame([(iv, "Interviewer", q) for iv, q in quota.items()], "interview_id int, role string, quota long"), least=0, strict=False).collect()
+    assert len(got) == most == len({r["cluster"] for r in got})
+    assert all(sum(r["interview_id"] == iv for r in got) <= q for iv, q in quota.items())
+
+
 def test_rebalance_levels_interviewers():
     row = lambda i, who, role, cl, pos=1, turn=None: {"id": i, "interview_id": who, "interviewer_id": who, "role": role, "position_stratum": pos, "turn": turn or i, "cluster": cl, "cluster_size": 1, "split": "train"}
     sample = [row(i, "x", "Interviewer", i) for i in range(6)] + [row(10 + i, "y", "Interviewee", 10 + i) for i in range(6)] + [row(20, "x", "Interviewee", 20), row(21, "y", "Interviewer", 21)]
