@@ -173,6 +173,14 @@ def decide_scopes(ratings: DataFrame, model: Mapping, unit: tuple[str, ...] = ("
     return g.withColumn("label", F.when(~F.col("disputed"), F.col("lo")).otherwise((p >= 0.5).cast("int"))).withColumn("low_confidence", F.col("disputed") & p.between(0.4, 0.6)).select(*unit, "n", "disputed", "posterior", "label", "low_confidence", F.col("hi").alias("union_label"), F.col("lo").alias("intersection_label"))
 
 
+def split_counters(aligned: DataFrame, decided: DataFrame) -> DataFrame:
+    """split -> groups, tokens, disputed and positive tokens, and those that a vote for the union or intersection would change."""
+    of = aligned.select("group_id", "split").distinct()
+    groups = of.groupBy("split").agg(F.count(F.lit(1)).alias("groups"))
+    words = decided.join(of, "group_id").groupBy("split").agg(F.count(F.lit(1)).alias("tokens"), F.count_if("disputed").alias("disputed"), F.count_if(F.col("label") == 1).alias("in_scope"), F.count_if(F.col("label") != F.col("union_label")).alias("union_changes"), F.count_if(F.col("label") != F.col("intersection_label")).alias("intersection_changes"))
+    return groups.join(words, "split", "left")
+
+
 def aggregation_report(aligned: DataFrame, decided: DataFrame) -> DataFrame:
     """One row of counters over groups and tokens."""
     g = aligned.groupBy("group_id", "ambiguous", "alignment").agg(F.count(F.lit(1)).alias("k"), F.size(F.collect_set(F.to_json("scope"))).alias("scopes"))

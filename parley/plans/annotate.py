@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import arrow
 from parley.operators import agreement as ag
 from parley.operators import annotations as an
+from parley.operators import evaluation as ev
 from parley.operators import metrics as mt
 from parley.plans import fixtures as fx
 
@@ -104,6 +106,12 @@ def aggregation_report(spark: SparkSession, d: str) -> DataFrame:
     return an.aggregation_report(al, an.decide_scopes(ratings, m))
 
 
+@query()
+def split_counters(spark: SparkSession, d: str) -> DataFrame:
+    al, ratings, m = _model(spark, d)
+    return an.split_counters(al, an.decide_scopes(ratings, m))
+
+
 _PAIR = """SELECT *, count(*) OVER () AS x FROM labels"""
 
 
@@ -253,3 +261,68 @@ def tree_depths(spark: SparkSession, d: str) -> DataFrame:
     e = F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1)))
     t = w.where("n > 1").select("doc", "line", arrow.tree_depths(F.transform(e, lambda k: F.floor(k / 2).cast("int")), e).alias("depth"))
     return t.select("doc", "line", F.explode("depth").alias("node", "depth"))
+
+
+# -- evaluation as a whole: blocks and predictions of several models --------------------------------------------------
+
+_JUDGED = f"""{_PREDS}, r AS (SELECT concat('m', CAST(run % 2 AS STRING), '_s', CAST(run AS STRING)) AS model, doc, line, pos, gold, CASE WHEN (doc + line + run) % 9 = 0 AND pos % 10 >= 6 THEN 0 ELSE pred END AS pred, (doc + line + run) % 9 = 0 AND count(*) OVER (PARTITION BY run, doc, line) > 6 AS cut FROM preds)"""
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as blocks, runs as models; every ninth line is cut off after six words."""
+    p = predictions(spark, d).withColumn("model", F.concat(F.lit("m"), (F.col("run") % 2).cast("string"), F.lit("_s"), F.col("run").cast("string")))
+    by_pos = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
+    b = p.groupBy("model", "run", "doc", "line").agg(by_pos("word").alias("tokens"), by_pos("gold").alias("cue_masks"), by_pos("pred").alias("pred")).withColumn("block_id", F.concat_ws("-", "doc", "line"))
+    cut = F.when((F.col("doc") + F.col("line") + F.col("run")) % 9 == 0, F.slice("pred", 1, 6)).otherwise(F.col("pred"))
+    blocks = b.where("run = 0").select("block_id", F.col("block_id").alias("sentence_id"), "tokens", "cue_masks")
+    return ev.judged(blocks, b.select("model", "block_id", cut.alias("pred")), "cue")
+
+
+@query(f"""WITH {_JUDGED}, c AS (SELECT model, {_PRF} FROM r GROUP BY 1), b AS (SELECT model, doc, line, bool_and(gold = pred) AS same, bool_or(cut) AS cut FROM r GROUP BY 1, 2, 3), x AS (SELECT model, round(avg(CAST(same AS DOUBLE)), 6) AS exact_match, count(*) AS blocks, count(*) FILTER (WHERE cut) AS truncated_blocks FROM b GROUP BY 1)
+SELECT model, tp, fp, fn, tn, {_RATES}, exact_match, blocks, truncated_blocks FROM c JOIN x USING (model)""")
+def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = ev.scores(judged(spark, d))
+    return s.select("model", "tp", "fp", "fn", "tn", *(r6(c, c) for c in ("precision", "recall", "f1", "accuracy")), "support", r6("exact_match", "exact_match"), "blocks", "truncated_blocks")
+
+
+@query(f"""WITH {_JUDGED}, c AS (SELECT model, {_PRF} FROM r GROUP BY 1), b AS (SELECT model, doc, line, bool_and(gold = pred) AS same, bool_or(cut) AS cut FROM r GROUP BY 1, 2, 3), x AS (SELECT model, avg(CAST(same AS DOUBLE)) AS exact_match, count(*) FILTER (WHERE cut) AS truncated_blocks FROM b GROUP BY 1),
+m AS (SELECT regexp_replace(model, '_s[0-9]+$', '') AS model, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(tp + fn AS DOUBLE) AS recall, 2.0 * tp / CAST(2 * tp + fp + fn AS DOUBLE) AS f1, exact_match, truncated_blocks FROM c JOIN x USING (model))
+SELECT model, count(*) AS n, CAST(sum(truncated_blocks) AS BIGINT) AS truncated_blocks, {', '.join(f"round(avg({x}), 6) AS {x}_mean, round(coalesce(stddev_samp({x}), 0), 6) AS {x}_std" for x in ("precision", "recall", "f1", "exact_match"))} FROM m GROUP BY 1""")
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    c = ev.comparison(ev.scores(judged(spark, d)))
+    return c.select("model", "n", "truncated_blocks", *(r6(f"{m}_{k}", f"{m}_{k}") for m in ev.METRICS for k in ("mean", "std")))
+
+
+def _strata_sql(stratum: str) -> str:
+    return f"""x AS (SELECT concat({stratum}, '_', gold) AS label, CAST(gold = pred AS INTEGER) AS tp, 1 AS g, 0 AS p FROM w UNION ALL SELECT concat({stratum}, '_', pred), CAST(gold = pred AS INTEGER), 0, 1 FROM w),
+c AS (SELECT label, sum(tp * g) AS tp, sum(g) AS support, sum(p) AS predicted FROM x GROUP BY 1), f AS (SELECT *, coalesce(2.0::DOUBLE * tp / nullif(support + predicted, 0), 0) AS f1 FROM c), t AS (SELECT sum(support) AS s, sum(support * f1) AS w FROM f)
+SELECT split_part(label, '_', 1) AS stratum, split_part(label, '_', 2) AS gold, round(coalesce(tp / CAST(nullif(predicted, 0) AS DOUBLE), 0), 6) AS precision, round(tp / CAST(support AS DOUBLE), 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support, round((t.w - support * f1) / nullif(s - support, 0) - t.w / s, 6) + 0.0 AS delta_if_removed FROM f, t WHERE support > 0"""
+
+
+def _stratum_columns(df: DataFrame) -> DataFrame:
+    return df.select("stratum", "gold", *(r6(c, c) for c in ("precision", "recall", "f1")), "support", (F.round("delta_if_removed", 6) + F.lit(0.0)).alias("delta_if_removed"))
+
+
+@query(f"WITH {_PREDS}, w AS (SELECT CAST(CASE WHEN k = 0 THEN 0 ELSE floor(log2(k)) + 1 END AS BIGINT) AS depth, gold, pred FROM (SELECT *, pos % 10 AS k, count(*) OVER (PARTITION BY run, doc, line) AS n FROM preds) WHERE run = 0 AND n > 1 UNION ALL SELECT -1, gold, pred FROM (SELECT *, count(*) OVER (PARTITION BY run, doc, line) AS n FROM preds) WHERE run = 0 AND n = 1), " + _strata_sql("depth"))
+def strata_by_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Words by their depth in the trees of tree_depths(); lines of one word have no tree."""
+    p = predictions(spark, d).where("run = 0").withColumn("node", (F.col("pos") % 10).cast("int"))
+    return _stratum_columns(ev.strata(ev.by_depth(p, tree_depths(spark, d), ["doc", "line", "node"]), F.col("depth")))
+
+
+@query(f"WITH {_PREDS}, w AS (SELECT CAST(sum(gold) OVER (PARTITION BY doc, line) AS BIGINT) AS cues, gold, pred FROM preds WHERE run = 0), " + _strata_sql("cues"))
+def strata_by_cues(spark: SparkSession, d: str) -> DataFrame:
+    p = predictions(spark, d).where("run = 0").withColumn("cues", F.sum("gold").over(W.partitionBy("doc", "line")))
+    return _stratum_columns(ev.strata(p, F.col("cues")))
+
+
+@query("SELECT t.task, a.arch, s.dataset, CAST(k.seed AS INTEGER) AS seed FROM (VALUES ('cue'), ('scope')) t(task), (VALUES ('plain'), ('gat')) a(arch), (SELECT DISTINCT source AS dataset FROM documents) s, (VALUES (42), (43), (44)) k(seed)")
+def model_grid(spark: SparkSession, d: str) -> DataFrame:
+    names = [r[0] for r in fx.table(spark, d, "documents").select("source").distinct().collect()]  # some dozen data sets
+    return ev.grid(spark, ["cue", "scope"], ["plain", "gat"], names, [42, 43, 44])
+
+
+@query(f"WITH {_PREDS}, b AS (SELECT doc, line, count(*) AS n, sum(gold) AS c, sum(pred) AS s FROM preds WHERE run = 0 GROUP BY 1, 2) SELECT CASE doc % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, count(*) AS blocks, count(*) FILTER (WHERE n < 0) AS uneven, count(*) FILTER (WHERE n = 0) AS empty, count(*) FILTER (WHERE c = 0) AS without_cue, count(*) FILTER (WHERE c > 0 AND s = 0) AS cue_without_scope FROM b GROUP BY 1")
+def dataset_sanity(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d).where("run = 0").select(F.expr("CASE doc % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END").alias("split"), F.col("gold").alias("tokens"), F.col("gold").alias("cue_masks"), F.col("pred").alias("scope_masks"))
+    return ev.sanity(b)

@@ -10,6 +10,7 @@ from parley.functions import arrow
 from parley.functions import lexicon as lx
 from parley.functions import text as tx
 from parley.operators import dialogue as dg
+from parley.operators import reports as rp
 from parley.operators import sampling as sp
 from parley.operators import similarity as sim
 from parley.operators.graph import connected
@@ -223,6 +224,36 @@ _BAD_SQL = ", ".join(f'{v} AS "{k}"' for k, v in _BAD.items())
 _UNION = " UNION ALL ".join
 
 
+_REPORTED = f"""{fx.MERGED}, p AS (SELECT interview_id * 100 + turn_idx AS id, interview_id, interview_id % 3 AS interviewer_id, role, role_turn_idx AS turn, array_to_string({fx.SQL_WORDS.format('text')}, ' ') AS cluster FROM turns),
+dr AS (SELECT *, CASE interview_id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY interview_id, role ORDER BY sha256(concat('42|', CAST(id AS STRING))), id) AS k FROM p) WHERE k <= 2)"""
+
+
+def reported(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(pool, sample) of the corpus reports: turns, and two of each role of an interview."""
+    p = turns(spark, d).select((F.col("interview_id") * 100 + F.col("turn_idx")).alias("id"), "interview_id", (F.col("interview_id") % 3).alias("interviewer_id"), "role", F.col("role_turn_idx").alias("turn"), tx.similarity_form(F.col("text")).alias("cluster"))
+    s = sp.stratified(p, F.lit(2), ["interview_id", "role"]).withColumn("split", F.expr("CASE interview_id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END"))
+    return p, s.withColumn("double_annotate", F.col("id") % 10 == 0).withColumn("cross_turn_sentence", F.col("id") % 7 == 0)
+
+
+@query(f"""WITH {_REPORTED}, b AS (SELECT role, interviewer_id, interview_id, 1 AS a, 0 AS s FROM p UNION ALL SELECT role, interviewer_id, interview_id, 0, 1 FROM dr)
+SELECT role, CAST(CASE WHEN role = 'Interviewer' THEN interviewer_id ELSE interview_id END AS STRING) AS speaker, count(DISTINCT interview_id) AS interviews, CAST(sum(a) AS BIGINT) AS available, CAST(sum(s) AS BIGINT) AS sampled, round(sum(s) / CAST(sum(a) AS DOUBLE), 6) AS sampled_share FROM b GROUP BY 1, 2""")
+def speaker_report(spark: SparkSession, d: str) -> DataFrame:
+    return rp.speakers(*reported(spark, d)).withColumn("sampled_share", F.round("sampled_share", 6))
+
+
+@query(f"""WITH {_REPORTED}, o AS (SELECT interviewer_id, count(DISTINCT interview_id) AS interviews, count(*) AS available FROM p GROUP BY 1), s AS (SELECT interviewer_id, count(*) FILTER (WHERE role = 'Interviewer') AS a, count(*) FILTER (WHERE role = 'Interviewee') AS b FROM dr GROUP BY 1)
+SELECT interviewer_id, interviews, available, coalesce(a, 0) AS sampled_interviewer, coalesce(b, 0) AS sampled_interviewee, round(a / CAST(a + b AS DOUBLE), 6) AS interviewer_share FROM o LEFT JOIN s USING (interviewer_id)""")
+def interviewer_report(spark: SparkSession, d: str) -> DataFrame:
+    return rp.interviewers(*reported(spark, d)).withColumn("interviewer_share", F.round("interviewer_share", 6))
+
+
+@query(f"""WITH {_REPORTED}, a AS (SELECT count(*) AS available_sentences, count(DISTINCT interview_id) AS interviews, count(DISTINCT cluster) AS clusters, count(*) FILTER (WHERE role = 'Interviewer') AS available_interviewer, count(*) FILTER (WHERE role = 'Interviewee') AS available_interviewee, count(DISTINCT concat(interview_id, '|', role, '|', turn)) AS available_turns FROM p),
+s AS (SELECT count(*) AS sampled_sentences, count(*) FILTER (WHERE role = 'Interviewer') AS sampled_interviewer, count(*) FILTER (WHERE role = 'Interviewee') AS sampled_interviewee, count(DISTINCT concat(interview_id, '|', role, '|', turn)) AS sampled_turns, count(*) FILTER (WHERE split = 'train') AS sampled_train, count(*) FILTER (WHERE split = 'val') AS sampled_val, count(*) FILTER (WHERE split = 'test') AS sampled_test, count(*) FILTER (WHERE id % 10 = 0) AS double_annotated, count(*) FILTER (WHERE id % 7 = 0) AS cross_turn_sentences FROM dr)
+SELECT *, available_sentences - clusters AS redundant_sentences, round(sampled_sentences / CAST(available_sentences AS DOUBLE), 6) AS sampled_share FROM a, s""")
+def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rp.corpus_summary(*reported(spark, d)).withColumn("sampled_share", F.round("sampled_share", 6))
+
+
 @query(f"""WITH {fx.MERGED}, {_INTERVIEWS}, {_SPLITS}, p AS (SELECT interview_id * 100 + turn_idx AS id, interview_id, role, role_turn_idx AS turn, turn_idx FROM turns), nt AS (SELECT interview_id, role, count(*) AS n_turns FROM turns GROUP BY 1, 2),
 dr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY interview_id, role ORDER BY sha256(concat('42|', CAST(id AS STRING))), id) AS k FROM p) WHERE k <= 2 AND NOT (id % 43 = 0)),
 own AS (SELECT dr.id, dr.interview_id, dr.role, CASE WHEN dr.id % 37 = 0 THEN 9999 ELSE dr.turn END AS turn, dr.turn AS sentence_index, sp.interviewer_id, sp.split AS own_split FROM dr JOIN sp USING (interview_id)),

@@ -87,6 +87,26 @@ def wer_summary(spark: SparkSession, d: str) -> DataFrame:
     return asr.summarize(scored(spark, d))
 
 
+@query()
+def norm_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Error rates under other normalisers, and under ours with one step off; two more systems are made of the first."""
+    p = systems_of(spark, d)
+    return asr.norm_rates(p).select("system", "norm", "errors", "words", r6("wer", "wer"))
+
+
+@query()
+def norm_agreement(spark: SparkSession, d: str) -> DataFrame:
+    rates = materialize(asr.norm_rates(systems_of(spark, d)), "norm-rates")
+    return asr.norm_agreement(rates).select("norm", r6("tau", "tau"))
+
+
+def systems_of(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.transcripts(spark, d).select("ref_text", "hyp_text")
+    upper = t.select(F.lit("upper").alias("system"), "ref_text", F.upper("ref_text").alias("hyp_text"))
+    short = t.select(F.lit("short").alias("system"), "ref_text", F.substring_index("ref_text", ",", 1).alias("hyp_text"))
+    return t.select(F.lit("s").alias("system"), "ref_text", "hyp_text").unionByName(upper).unionByName(short)
+
+
 @query()
 def inserted_passages(spark: SparkSession, d: str) -> DataFrame:
     return asr.inserted_passages(asr.alignments(fx.transcripts(spark, d), variants=("normalized",)))

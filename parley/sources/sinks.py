@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.operators.evaluation import prediction_text
+
 
 def json_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """The given fields in order, others dropped, missing ones null; arrays, maps and structs as JSON text."""
@@ -47,9 +49,37 @@ def write_sample(sample: DataFrame, root: str, fields: Sequence[str], blinded: S
 
 
 def write_by_split(tables: dict[str, DataFrame], root: str) -> None:
-    """Aggregation outputs: each table as JSON lines, a folder per split."""
+    """Aggregation outputs: each table as JSON lines, whole (all) and in a folder per split; rows keep their split."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{root}/{name}/all")
+        df.withColumn("part", F.col("split")).write.mode("overwrite").partitionBy("part").json(f"{root}/{name}/by_split")
+
+
+def write_json(value: dict, spark: SparkSession, path: str) -> None:
+    """A report as one JSON file in a folder, keys in order."""
+    text = json.dumps(value, sort_keys=True, ensure_ascii=False, indent=2)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_evaluation(rows: DataFrame, scored: DataFrame, table: DataFrame, root: str, task: str) -> None:
+    """Predictions as text, a folder per model; metrics as JSON lines; the comparison as JSON lines and CSV."""
+    text = rows.repartition("model").sortWithinPartitions("model", "block_id").select("model", prediction_text(task).alias("value"))
+    text.write.mode("overwrite").partitionBy("model").option("lineSep", "").text(f"{root}/predictions")
+    scored.coalesce(1).write.mode("overwrite").json(f"{root}/metrics")
+    table.coalesce(1).write.mode("overwrite").json(f"{root}/comparison")
+    write_csv(table, f"{root}/comparison_csv", single=True)
+
+
+def write_asr(tables: dict[str, DataFrame], root: str) -> None:
+    """The tables of a transcript benchmark, each a CSV under its name."""
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy("split").json(f"{root}/{name}")
+        write_csv(df, f"{root}/{name}", single=True)
+
+
+def rebuild(blocks: DataFrame, path: str) -> DataFrame:
+    """A dataset written anew as Parquet by split, never taken from what was there before, and read back."""
+    blocks.write.mode("overwrite").partitionBy("split").parquet(path)
+    return blocks.sparkSession.read.parquet(path)
 
 
 def markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:

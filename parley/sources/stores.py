@@ -82,6 +82,12 @@ def finished_transcripts(spark: SparkSession, path: str, line: str = "array<stru
     return t.select(F.col("doc_id").alias("doc"), "annotator", F.posexplode(F.from_json("lines_json", line)).alias("line", "l")).select("doc", "annotator", "line", "l.*")
 
 
+def timed_words(spark: SparkSession, path: str, word: str = "array<struct<word:string,start:double,end:double>>") -> DataFrame:
+    """id, eid, role, pos, word, start, end of all documents' word lists."""
+    t = read_sqlite(spark, path, "documents")
+    return t.select("id", "eid", "role", F.posexplode(F.from_json("words_json", word)).alias("pos", "w")).select("id", "eid", "role", "pos", "w.*")
+
+
 # -- servers ----------------------------------------------------------------------------------------------------------
 
 TRANSIENT = (ConnectionError, TimeoutError, OSError)
