@@ -7,8 +7,8 @@ With the defaults (16 chunks of 5, one error) the distance is 31 of 80: two sets
 average and in more than 31 with a chance of 3e-5. Every pair within the distance is confirmed on the full shingle sets
 of whole texts; the only thing that may spare it the look is a bound that no similar pair can fail.
 
-No group is expanded into pairs. Equal sets are one node. Each key first links its members to the least and the greatest
-of them (a star), then those still in other components to a member drawn for the key. Only where a key's members are
+No group is expanded into pairs. Equal sets are one node. Each key first links its members to the least of them (a star),
+then those still in other components to a member drawn for the key. Only where a key's members are
 apart even then do all of them meet, in blocks of bounded size inside a numpy kernel that puts out the pairs of different
 components within the distance, each at the first key the two share. So no link between components is lost, while a
 group of n copies costs in the order of n links. (A key of n members that are all apart costs in the order of n squared
@@ -305,9 +305,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mixed = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("node", "key"), "node", "comp")).alias("hub")).where("a < b")
         return own, materialize(mixed.select("key", "n", F.ceil(F.col("n") / block).alias("blocks"), (F.col("n") > crowd).alias("many"), F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "mixed-keys")
 
-    # 1. a star in each key: its least and its greatest member
+    # 1. a star in each key about its least member
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    star = members.where("node > lo").select(*pair("node", "lo")).unionByName(members.where("node < hi").select(*pair("node", "hi"))).distinct()
+    star = members.where("node > lo").select(*pair("node", "lo")).distinct()
     links = confirmed(near(star))
     comps = grouped(links)
     # 2. another in the keys whose members are still apart, about a member of each key's own: members get many hubs
