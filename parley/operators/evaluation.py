@@ -101,7 +101,7 @@ def chained(blocks: DataFrame, cue_model, scope_model, special: str, replace: bo
 def subword_labels(word_ids: Column, labels: Column, ignore: int = -100) -> Column:
     """A label for each subword: its word's at the word's first piece, `ignore` at others and at special pieces (null ids)."""
     before = F.concat(F.array(F.lit(None).cast("int")), word_ids)
-    return F.transform(F.arrays_zip(word_ids.alias("w"), F.slice(before, F.lit(1), F.size(word_ids)).alias("p")), lambda z: F.when(z["0"].isNull() | z["0"].eqNullSafe(z["1"]), F.lit(ignore)).otherwise(F.get(labels, z["0"])))
+    return F.transform(F.zip_with(word_ids, F.slice(before, F.lit(1), F.size(word_ids)), lambda w, p: F.struct(w.alias("w"), p.alias("p"))), lambda z: F.when(z["w"].isNull() | z["w"].eqNullSafe(z["p"]), F.lit(ignore)).otherwise(F.get(labels, z["w"])))
 
 
 def grid(spark: SparkSession, tasks: Sequence[str], archs: Sequence[str], datasets: Sequence[str], seeds: Sequence[int] = (0,)) -> DataFrame:

@@ -53,13 +53,6 @@ def wer_by_role(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("role").agg(F.count(F.lit(1)).alias("pairs"), F.sum("e").alias("errors"), F.sum("n").alias("words"), r6(mt.ratio(F.col("e"), F.col("n")), "wer"))
 
 
-@query("WITH l AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z ]', '', 'g') AS a FROM documents WHERE length(text) < 2000), p AS (SELECT a, regexp_replace(a, 'th|on', 'x', 'g') AS b FROM l) SELECT CAST(sum(levenshtein(a, b)) AS BIGINT) AS errors, CAST(sum(length(a)) AS BIGINT) AS chars FROM p")
-def cer_short(spark: SparkSession, d: str) -> DataFrame:
-    a = F.regexp_replace(F.lower("text"), "[^a-z ]", "")
-    p = fx.table(spark, d, "documents").where(F.length("text") < 2000).select(a.alias("a"), F.regexp_replace(a, "th|on", "x").alias("b"))
-    return p.agg(F.sum(F.levenshtein("a", "b")).cast("long").alias("errors"), F.sum(F.length("a")).alias("chars"))
-
-
 @query("WITH l AS (SELECT regexp_replace(lower(text), '[^a-z ]', '', 'g') AS a FROM documents), p AS (SELECT a, regexp_replace(a, 'th|on', 'x', 'g') AS b FROM l) SELECT CAST(sum(levenshtein(a, b)) AS BIGINT) AS errors, CAST(sum(length(a)) AS BIGINT) AS chars FROM p")
 def cer(spark: SparkSession, d: str) -> DataFrame:
     """Character errors of all documents, each whole. A replacement shortens the text by one and costs two edits at most."""
@@ -285,7 +278,7 @@ def _draws(keys: str, n: int) -> str:
 dr AS (SELECT CAST(i // k AS INTEGER) AS rep, {_RANK} AS rank FROM (SELECT k, unnest(range({n} * k)) AS i FROM kk)), draws AS (SELECT rep, key, count(*) AS mult FROM dr JOIN ks USING (rank) GROUP BY 1, 2)"""
 
 
-_N = 200
+_N = 10_000
 
 
 def _ci(n: int) -> str:
@@ -299,13 +292,8 @@ def interval(spark: SparkSession, d: str, n: int) -> DataFrame:
     return mt.ratio_interval(f, draws, n).select("system", r6("lo", "lo"), r6("hi", "hi"))
 
 
-@query(_ci(_N))
-def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return interval(spark, d, _N)
-
-
 @query(_ci(1000))
-def bootstrap_ci_1000(spark: SparkSession, d: str) -> DataFrame:
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """As many resamples of conversations as the reference draws."""
     return interval(spark, d, 1000)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import wave
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,15 +42,6 @@ def read_references(spark: SparkSession, root: str) -> DataFrame:
     return df.select("doc", F.split_part("doc", F.lit("_"), F.lit(1)).alias("eid"), F.split_part("doc", F.lit("_"), F.lit(2)).alias("role"), F.posexplode(full).alias("line", "text"))
 
 
-@F.arrow_udf(T.StructType([T.StructField("rate", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("hours", T.DoubleType())]))
-def wav_header(content: pa.Array) -> pa.Array:
-    rows = []
-    for b in content.to_pylist():
-        with wave.open(io.BytesIO(b)) as w:
-            rows.append({"rate": w.getframerate(), "channels": w.getnchannels(), "width": w.getsampwidth(), "hours": w.getnframes() / w.getframerate() / 3600})
-    return pa.array(rows, pa.struct([("rate", pa.int32()), ("channels", pa.int32()), ("width", pa.int32()), ("hours", pa.float64())]))
-
-
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def wav_samples(content: pa.Array) -> pa.Array:
     """16 kHz mono 16-bit audio as floats in [-1, 1); other formats are errors."""
@@ -65,8 +58,20 @@ def wav_samples(content: pa.Array) -> pa.Array:
 
 def read_audio(spark: SparkSession, root: str) -> DataFrame:
     """doc, rate, channels, width, hours from the headers of root/*.wav."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(root)
-    return df.select(_stem(F.col("path"), "wav").alias("doc"), wav_header("content").alias("h")).select("doc", "h.*")
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(root).select("path")  # no content is read
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path in b.column("path").to_pylist():
+                files, p = fs.FileSystem.from_uri(path)
+                with files.open_input_file(p) as f, wave.open(f) as w:
+                    rows.append((path, w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes() / w.getframerate() / 3600))
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["path", "rate", "channels", "width", "hours"])
+
+    found = paths.mapInArrow(run, "path string, rate int, channels int, width int, hours double")
+    return found.select(_stem(F.col("path"), "wav").alias("doc"), "rate", "channels", "width", "hours")
 
 
 def with_override(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

@@ -63,8 +63,9 @@ def write_json(value: dict, spark: SparkSession, path: str) -> None:
 
 def write_evaluation(rows: DataFrame, scored: DataFrame, table: DataFrame, root: str, task: str) -> None:
     """Predictions as text, a folder per model; metrics as JSON lines; the comparison as JSON lines and CSV."""
-    text = rows.repartition("model").sortWithinPartitions("model", "block_id").select("model", prediction_text(task).alias("value"))
-    text.write.mode("overwrite").partitionBy("model").option("lineSep", "").text(f"{root}/predictions")
+    block = F.left(prediction_text(task), F.length(prediction_text(task)) - 1)  # the writer ends each value with a line break
+    text = rows.repartition("model").sortWithinPartitions("model", "block_id").select("model", block.alias("value"))
+    text.write.mode("overwrite").partitionBy("model").text(f"{root}/predictions")
     scored.coalesce(1).write.mode("overwrite").json(f"{root}/metrics")
     table.coalesce(1).write.mode("overwrite").json(f"{root}/comparison")
     write_csv(table, f"{root}/comparison_csv", single=True)

@@ -63,22 +63,30 @@ def test_scores_of_a_document(spark):
 
 
 def dense(ref, hyp):
-    """Steps of the alignment that a whole table gives, traced from its end: diagonal before deletion before insertion."""
+    """Steps of the alignment that a whole table gives between what both sides begin and end with, traced from its end: a
+    deletion, an insertion that is cheaper than the diagonal, the diagonal."""
+    head = next((k for k, (a, b) in enumerate(zip(ref, hyp)) if a != b), min(len(ref), len(hyp)))
+    tail = next((k for k, (a, b) in enumerate(zip(ref[head:][::-1], hyp[head:][::-1])) if a != b), min(len(ref), len(hyp)) - head)
+    inner = middle(ref[head : len(ref) - tail], hyp[head : len(hyp) - tail])
+    return [("equal", k, k) for k in range(head)] + [(op, i + head, j + head) for op, i, j in inner] + [("equal", len(ref) - tail + k, len(hyp) - tail + k) for k in range(tail)]
+
+
+def middle(ref, hyp):
     cost = [[i + j if not i or not j else 0 for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
     for i, a in enumerate(ref, 1):
         for j, b in enumerate(hyp, 1):
             cost[i][j] = min(cost[i - 1][j - 1] + (a != b), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
     i, j, steps = len(ref), len(hyp), []
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
-            i, j = i - 1, j - 1
-            steps.append(("equal" if ref[i] == hyp[j] else "substitute", i, j))
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        if i and (not j or cost[i][j] == cost[i - 1][j] + 1):
             i -= 1
             steps.append(("delete", i, j))
-        else:
+        elif not i or cost[i][j - 1] < cost[i - 1][j - 1]:
             j -= 1
             steps.append(("insert", i, j))
+        else:
+            i, j = i - 1, j - 1
+            steps.append(("equal" if ref[i] == hyp[j] else "substitute", i, j))
     return steps[::-1]
 
 

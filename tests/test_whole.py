@@ -69,5 +69,5 @@ def test_interval_of_a_thousand_resamples(spark, tmp_path):
         x = x * 48271 % 2147483647
     at = (x // 7 % 30).reshape(1000, 30)
     v = np.sort(num[at].sum(1) / den[at].sum(1))
-    got = __spark_entry__.queries()["bootstrap_ci_1000"](spark, str(tmp_path)).first()
+    got = __spark_entry__.queries()["bootstrap_ci"](spark, str(tmp_path)).first()
     assert (got["lo"], got["hi"]) == pytest.approx((v[25], v[974]), abs=1e-6)
