@@ -25,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, most: int = 1000) -> None:
-    """Let Arrow batches have `most` rows at most: a row here is a whole text, and a worker holds a batch at once."""
+def small_batches(spark: SparkSession, most: int = 1000, size: str = "4m") -> None:
+    """Let Arrow batches have `most` rows and `size` bytes at most: a row here is a whole text, and a worker holds a batch
+    at once. The session keeps this, since plans read it when they run, after the operator is done."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= most:
         spark.conf.set(key, str(most))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def row_key(text: Column) -> Column:

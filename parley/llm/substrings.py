@@ -36,7 +36,7 @@ from parley.llm import _words
 from parley.llm._common import documents, drop, materialize, row_key, small_batches, spread_join
 
 #: Bytes of packed strings that are sorted, or held back for one Arrow batch, at once.
-HELD = 1 << 22
+HELD = 1 << 20
 
 
 def _sliding(g: np.ndarray, span: int) -> np.ndarray:
