@@ -113,3 +113,26 @@ def test_streaming_pack_equals_batch(spark, tmp_path):
     q = sd.pack_stream(stream, idle=None).writeStream.format("memory").queryName("packed").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["start"], r["end"]) for r in spark.table("packed").collect()) == [(0, 10), (20, 40), (41, 55)]
+
+
+def test_streaming_merge_equals_batch(spark, tmp_path):
+    from parley.operators import dialogue as dg
+
+    rows = [(1, 0, "Interviewer", "Ja"), (1, 1, "Interviewer", ", gut ."), (1, 2, "System", "x"), (1, 3, "Interviewer", "so"), (1, 4, "Interviewee", " "), (1, 5, "Interviewee", "Nein"), (1, 6, "Interviewer", "Ende"), (2, 0, "Interviewee", "a"), (2, 1, "Interviewer", "b")]
+    kind = "interview_id long, pos long, role string, text string"
+    df = spark.createDataFrame(rows, kind)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = sd.merge_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), idle=None).writeStream.format("memory").queryName("merged").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["interview_id"], r["role"], r["text"], r["first_pos"]) for r in spark.table("merged").collect()}
+    whole = dg.clean_turns(df).orderBy("interview_id", "turn_idx").collect()
+    last = {r["interview_id"]: r["turn_idx"] for r in whole}
+    assert got == {(r["interview_id"], r["role"], r["text"], r["first_pos"]) for r in whole if r["turn_idx"] < last[r["interview_id"]]} and len(got) == 3
+
+
+def test_arrivals_are_scored_once(spark, tmp_path):
+    source, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    for k in range(2):
+        spark.createDataFrame([(k,)], "k int").write.mode("append").parquet(source)
+        sd.score_arrivals(spark.readStream.schema("k int").parquet(source), lambda df: df.selectExpr("k", "k * 10 AS score"), out, log).awaitTermination(120)
+    assert sorted(map(tuple, spark.read.parquet(f"{out}/batch=*").collect())) == [(0, 0), (1, 10)]
