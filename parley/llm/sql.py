@@ -111,4 +111,10 @@ l AS (SELECT c.*, owners <= 2 AS live, CASE kind {' '.join(f"WHEN '{k}' THEN {i}
 n AS (SELECT doc_id, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) FILTER (WHERE rank < 3 OR live) AS spans, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) FILTER (WHERE rank < 3) AS base, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_example FROM l GROUP BY 1)
 SELECT f.doc_id, CAST(len(assign) AS BIGINT) AS n_assign, CAST(len(access) AS BIGINT) AS n_access, CAST(len(hex) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM f LEFT JOIN n USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1, "op2_exact_dedup": OP2, "op5_decontamination": OP5, "op6_pii": OP6, "op7_warc": OP7, "op8_substrings": OP8, "op9_secrets": OP9}
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+OP11 = f"""WITH t AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_TERM}') AS w FROM documents), d AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM t WHERE len(w) > 0), c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_FOLD}, '{_TERM}')) AS term FROM benchmark), f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term, n_docs), s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN d USING (doc_id), c GROUP BY 1, 2),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 50"""
+
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1, "op2_exact_dedup": OP2, "op5_decontamination": OP5, "op6_pii": OP6, "op7_warc": OP7, "op8_substrings": OP8, "op9_secrets": OP9, "op11_search": OP11}
