@@ -117,4 +117,25 @@ q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_FOLD}, '{_TERM}')) AS
 w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term, n_docs), s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN d USING (doc_id), c GROUP BY 1, 2),
 r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 50"""
 
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1, "op2_exact_dedup": OP2, "op5_decontamination": OP5, "op6_pii": OP6, "op7_warc": OP7, "op8_substrings": OP8, "op9_secrets": OP9, "op11_search": OP11}
+
+
+def _codes(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """Plain Lloyd rounds: every part against every entry of its codebook."""
+    width = f"(len(embedding) // {parts})"
+    out = [
+        "k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, p, embedding[p * {width} + 1:(p + 1) * {width}] AS x FROM k, range({parts}) AS r(p))",
+        f"s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT {entries})",
+        "b0 AS (SELECT p, e, x FROM p JOIN s USING (vec_id))",
+    ]
+    for i in range(rounds + 1):
+        out.append(f"a{i} AS MATERIALIZED (SELECT vec_id, p, v.x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT vec_id, v.p, v.x, e, list_sum(list_transform(list_zip(v.x, b{i}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p AS v JOIN b{i} ON v.p = b{i}.p) AS v GROUP BY 1, 2, 3)")
+        if i < rounds:
+            mean = f"SELECT p, e, list(m ORDER BY j) AS x FROM (SELECT p, e, j, CAST(floor(sum(c) / count(*)) AS BIGINT) AS m FROM (SELECT p, e, unnest(x) AS c, unnest(range(len(x))) AS j FROM a{i}) GROUP BY 1, 2, 3) GROUP BY 1, 2"
+            out.append(f"b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, b{i}.x) AS x FROM b{i} LEFT JOIN ({mean}) AS m USING (p, e))")
+    out.append(f"c AS (SELECT vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)")
+    out.append(f"h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM b{rounds})")
+    return f"WITH {', '.join(out)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM c JOIN k USING (vec_id), h"
+
+
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1, "op2_exact_dedup": OP2, "op5_decontamination": OP5, "op6_pii": OP6, "op7_warc": OP7, "op8_substrings": OP8, "op9_secrets": OP9, "op11_search": OP11, "op13_codes": _codes()}
