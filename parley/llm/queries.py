@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chat, codes, decontaminate, exact_dedup, langid, mixing, near_dedup, pii, search, secrets, substrings, warc
+from parley.llm import chat, codes, decontaminate, exact_dedup, langid, mixing, near_dedup, pii, search, secrets, substrings, urls, warc
 from parley.llm._common import table
 
 
@@ -63,6 +63,10 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.digest(*codes.compress(table(spark, sf_dir, "embeddings")))
 
@@ -79,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
     "op11_search": op11_search,
+    "op12_urls": op12_urls,
     "op13_codes": op13_codes,
 }

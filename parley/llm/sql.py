@@ -4,7 +4,7 @@ Left out: the schedule of op4 and the models of op3 and op10 (they are tested ag
 
 from __future__ import annotations
 
-from parley.llm import pii, secrets
+from parley.llm import pii, secrets, urls
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')"
@@ -138,4 +138,43 @@ def _codes(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
     return f"WITH {', '.join(out)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM c JOIN k USING (vec_id), h"
 
 
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1, "op2_exact_dedup": OP2, "op5_decontamination": OP5, "op6_pii": OP6, "op7_warc": OP7, "op8_substrings": OP8, "op9_secrets": OP9, "op11_search": OP11, "op13_codes": _codes()}
+def _urls() -> str:
+    """The rules, and the tree level by level: wildcards, then branches of siblings that the tests do not tell apart."""
+    r = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    fits = [(f"(host = '{x.host}' OR ends_with(host, '.{x.host}')) AND starts_with(path, '{x.path}')", x) for x in sorted(urls.RULES, key=lambda x: -len(x.host + x.path))]
+    case = lambda f: f"CASE {' '.join(f'WHEN {c} THEN {f(x)!r}' for c, x in fits)} END"
+    shape = f"CASE WHEN length(s) > {urls.LONG} THEN '~' WHEN length(s) >= 16 AND regexp_matches(s, '^[0-9a-fA-F-]+$') AND regexp_matches(s, '[0-9]') THEN 'x' ELSE regexp_replace(s, '[0-9]+', '0', 'g') END"
+    cut = "string_split(substr(path, 2), '/')"
+    sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in urls.SUMS)
+    number = "last = '0' AND NOT contains(last, '.')"
+    out = [
+        f"u AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{_UP}', '{_LOW}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce({r}, '') AS r FROM pages))",
+        f"g AS (SELECT *, {case(lambda x: x.host + x.path)} AS rule, {case(lambda x: x.verdict)} AS told, list_concat(list_transform({cut}[1:{urls.DEPTH}], lambda s: {shape}), CASE WHEN len({cut}) > {urls.DEPTH} THEN ['**'] ELSE [] END) AS segs FROM u)",
+        f"z AS (SELECT *, CAST(contains(last, '.') AS INT) AS f_file, CAST(last = '' AS INT) AS f_dir, CAST({number} AS INT) AS f_number, CAST(NOT (contains(last, '.') OR last = '' OR {number}) AS INT) AS f_name, 1 AS n, CAST(coalesce(told = 'block', FALSE) AS INT) AS n_block, CAST(told IS NOT NULL AS INT) AS n_label FROM (SELECT *, segs[-1] AS last FROM g))",
+        f"s0 AS MATERIALIZED (SELECT host, segs, '' AS t, {sums} FROM z GROUP BY 1, 2)",
+    ]
+    unequal = lambda f: f"((CAST({f} AS DOUBLE) * p_n - CAST(p_{f} AS DOUBLE) * n) * (CAST({f} AS DOUBLE) * p_n - CAST(p_{f} AS DOUBLE) * n) / (CAST(n AS DOUBLE) * p_n * ({f} + p_{f})))"
+    forms = " + ".join(f"CASE WHEN {f} + p_{f} > 0 THEN {unequal(f)} ELSE 0 END" for f in urls.FORMS)
+    diff = "(CAST(n_block AS DOUBLE) * p_n_label - CAST(p_n_block AS DOUBLE) * n_label)"
+    labels = f"CASE WHEN n_label > 0 AND p_n_label > 0 AND n_block + p_n_block > 0 AND n_block + p_n_block < n_label + p_n_label THEN {diff} * {diff} * (n_label + p_n_label) / (CAST(n_label AS DOUBLE) * p_n_label * (n_block + p_n_block) * (n_label + p_n_label - n_block - p_n_block)) ELSE 0 END"
+    order = "PARTITION BY host, t ORDER BY n_label > 0, CASE WHEN n_label > 0 THEN n_block / n_label ELSE 0 END, seg"
+    for k in range(urls.DEPTH + 1):
+        lags = ", ".join(f"lag({c}) OVER ({order}) AS p_{c}" for c in urls.SUMS)
+        out += [
+            f"c{k} AS (SELECT host, t, segs[{k + 1}] AS seg, {sums} FROM s{k} WHERE len(segs) > {k} GROUP BY 1, 2, 3)",
+            f"h{k} AS (SELECT *, {lags} FROM (SELECT * FROM c{k} QUALIFY count(*) OVER (PARTITION BY host, t) <= {urls.MANY} OR n * {urls.SHARE} >= sum(n) OVER (PARTITION BY host, t)))",
+            f"d{k} AS (SELECT *, sum(CASE WHEN p_n IS NULL OR (n_label > 0) <> (p_n_label > 0) OR {labels} > {urls.LABELS_DIFFER} OR {forms} > {urls.FORMS_DIFFER} THEN 1 ELSE 0 END) OVER ({order} ROWS UNBOUNDED PRECEDING) AS branch FROM h{k})",
+            f"b{k} AS (SELECT host, t, seg, min(seg) OVER (PARTITION BY host, t, branch) AS name FROM d{k})",
+            f"s{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (t, t{k}), concat(t, coalesce('/' || t{k}, '')) AS t, t{k} FROM (SELECT s.*, CASE WHEN len(segs) > {k} THEN coalesce(name, '*') END AS t{k} FROM s{k} AS s LEFT JOIN b{k} AS b ON b.host = s.host AND b.t = s.t AND b.seg = segs[{k + 1}]))",
+        ]
+    top = f"s{urls.DEPTH + 1}"
+    steps = [f"t{i}" for i in range(urls.DEPTH + 1)]
+    out.append(f"q0 AS (SELECT host, t, {', '.join(steps)}, sum(n_block) AS x, sum(n_label) AS y, CASE WHEN sum(sum(n_label)) OVER () > 0 THEN (sum(sum(n_block)) OVER () + 1.0) / (sum(sum(n_label)) OVER () + 2) ELSE 0 END AS purity FROM {top} GROUP BY ALL)")
+    for k in range(urls.DEPTH + 2):
+        node = f"(PARTITION BY {', '.join(['host', *steps[:k]])})"
+        below = f"(sum(x) OVER {node} + {urls.PRIOR} * purity) / (sum(y) OVER {node} + {urls.PRIOR})"
+        out.append(f"q{k + 1} AS (SELECT * EXCLUDE (purity), {below if k == 0 else f'CASE WHEN t{k - 1} IS NULL THEN purity ELSE {below} END'} AS purity FROM q{k})")
+    return f"WITH {', '.join(out)} SELECT page_id, g.host, path, rule, coalesce(told, CASE WHEN CAST(purity AS DOUBLE) >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, q.t AS template, CAST(purity AS DOUBLE) AS purity FROM g JOIN {top} AS s ON s.host = g.host AND s.segs = g.segs JOIN q{urls.DEPTH + 2} AS q ON q.host = g.host AND q.t = s.t"
+
+
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1, "op2_exact_dedup": OP2, "op5_decontamination": OP5, "op6_pii": OP6, "op7_warc": OP7, "op8_substrings": OP8, "op9_secrets": OP9, "op11_search": OP11, "op12_urls": _urls(), "op13_codes": _codes()}
