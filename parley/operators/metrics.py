@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
-from parley.shared import ranked
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -144,74 +145,94 @@ def resamples(spark: SparkSession, keys: Sequence, n: int, seed: int) -> DataFra
     return spark.createDataFrame(rows, f"rep int, key {'long' if keys and isinstance(keys[0], int) else 'string'}, mult int")
 
 
-def lcg_resamples(keys: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """rep, key, mult without a driver loop: draw d of repetition r takes the key whose rank is a hash of (seed, r, d).
+#: Where a 32-bit hash starts to count for one more: the distribution of Poisson draws with mean 1.
+POISSON = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+#: What a repetition adds to a key's hash, and the multipliers of the mix (any engine with 64-bit whole numbers repeats them).
+STEP, MIX = 0x9E3779B9, (0x7FEB352D, 0x846CA68B)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(MIX[0])
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(MIX[1])
+    return x ^ (x >> np.uint32(16))
+
+
+def weights(first: np.ndarray, second: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """How often each repetition takes each key: a row for a key, a column for a repetition. A key is the two halves of a hash."""
+    x = _mixed(first.astype(np.uint32)[:, None] + reps.astype(np.uint32) * np.uint32(STEP)) ^ second.astype(np.uint32)[:, None]
+    return np.searchsorted(np.array(POISSON, np.uint64), _mixed(x), side="right")
+
+
+def _vectors(by: Sequence[str], values: Sequence[str], n: int):
+    """Rows -> for each group the vector of its n weighted sums; one set of vectors a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        step = max(1, 2_000_000 // n)
+        for b in batches:
+            group = pa.StructArray.from_arrays([b.column(c) for c in by], list(by)).to_pylist() if by else [{}] * b.num_rows
+            rows: dict[tuple, list[int]] = {}
+            for i, g in enumerate(group):
+                rows.setdefault(tuple(g.values()), []).append(i)
+            first, second = (b.column(c).to_numpy() for c in ("__a", "__b"))
+            worth = np.stack([b.column(c).to_numpy() for c in values])
+            for g, own in rows.items():
+                held = total.setdefault(g, np.zeros((len(values), n), np.int64))
+                for k in range(0, len(own), step):
+                    at = np.array(own[k : k + step])
+                    held += worth[:, at] @ weights(first[at], second[at], np.arange(n))
+        if total:
+            kinds = [b.schema.field(c).type for c in by]
+            keys = [pa.array([g[i] for g in total], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array([v[i].tolist() for v in total.values()], pa.list_(pa.int64())) for i in range(len(values)))], [*by, *values])
+
+    return run
+
+
+def weighted_sums(facts: DataFrame, by: Sequence[str], values: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """facts: key, `by` and whole-number `values` -> by, rep and the sums of the values in each of n resamples.
+
+    Resampling by counters: repetition r takes a key as often as a hash of (seed, key, r) says, Poisson with mean 1, which is
+    drawing with replacement where the number of draws is itself as good as the number of keys. A key has the same weight in every row and group, so
+    weights are made where the rows are, without a table of draws, a count or a join; a task sends one vector a group.
+    Null keys are one key."""
+    h = F.sha2(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("key").cast("string"), F.lit(""))), 256)
+    half = lambda i: F.conv(F.substring(h, i, 8), 16, 10).cast("long")
+    rows = facts.select(*by, half(1).alias("__a"), half(9).alias("__b"), *(F.coalesce(F.col(v).cast("long"), F.lit(0)).alias(v) for v in values))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema] if by else []
+    parts = rows.mapInArrow(_vectors(by, values, n), ", ".join([*kinds, *(f"{v} array<long>" for v in values)]))
+    flat = parts.select(*by, F.posexplode(F.arrays_zip(*values)).alias("rep", "x"))
+    return flat.groupBy(*by, "rep").agg(*(F.sum(f"x.{v}").alias(v) for v in values))
+
+
+def _ends(stat: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """rep, v -> lo, hi: elements int(.025 n) and int(.975 n) - 1 of the sorted values; a resample that took nothing counts lowest."""
+    r = stat.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy(F.asc_nulls_first("v"), "rep")) - 1)  # n rows a group
+    lo, hi = int(0.025 * n), int(0.975 * n) - 1
+    return r.groupBy(*by).agg(F.max(F.when(F.col("k") == lo, F.col("v"))).alias("lo"), F.max(F.when(F.col("k") == hi, F.col("v"))).alias("hi"))
+
 
-    keys: key. Keys are ranked range by range; draws meet them by rank."""
-    spark = keys.sparkSession
-    k = keys.count()
-    numbered = ranked(keys.select("key"), ["key"], "rank")
-    draws = spark.range(n * k).select(F.floor(F.col("id") / k).cast("int").alias("rep"), draw_rank(F.col("id"), k, seed).alias("rank"))
-    return draws.groupBy("rep", "rank").agg(F.count(F.lit(1)).alias("mult")).join(numbered, "rank").select("rep", "key", "mult")
+def ratio_bounds(facts: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """system, key, num, den -> system, lo, hi of the ratio of sums over n resamples of keys; any number of keys."""
+    sums = weighted_sums(facts, ["system"], ["num", "den"], n, seed)
+    return _ends(sums.withColumn("v", F.try_divide(F.col("num").cast("double"), F.col("den"))), ["system"], n)
 
 
-def draw_rank(i: Column, k: int, seed: int) -> Column:
-    """A linear congruential mix of a counter, in 31-bit arithmetic that any engine repeats exactly."""
-    x = (i * 48271 + seed * 69621 + 12345) % 2147483647
-    for _ in range(2):
-        x = (x * 48271) % 2147483647
-    return (F.floor(x / 7) % k).cast("long")
+def paired_bounds(blocks: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """side (a, b), run, key, tp, fp, fn -> delta_f1, lo, hi of mean F1(a) - mean F1(b) over runs, for n resamples of keys."""
+    f1 = lambda tp, fp, fn: share(2.0 * tp, 2 * tp + fp + fn)
+    d = F.avg(F.when(F.col("side") == "a", F.col("f"))) - F.avg(F.when(F.col("side") == "b", F.col("f")))
+    seen = blocks.groupBy("side", "run").agg(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("f")).agg(d.alias("delta_f1"))
+    sums = weighted_sums(blocks, ["side", "run"], ["tp", "fp", "fn"], n, seed)
+    reps = sums.withColumn("f", f1(F.col("tp"), F.col("fp"), F.col("fn"))).groupBy("rep").agg(d.alias("v"))
+    return seen.crossJoin(F.broadcast(_ends(reps, [], n)))
 
 
 def ratio_interval(facts: DataFrame, draws: DataFrame, n: int) -> DataFrame:
-    """key, num, den [by system] and draws -> lo, hi: elements int(.025 n) and int(.975 n) - 1 of the sorted ratios."""
+    """The same for listed draws (resamples()), which repeat published figures; for as many keys as the driver lists."""
     per = facts.groupBy("system", "key").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     stat = per.join(draws, "key").groupBy("system", "rep").agg((F.sum(F.col("num") * F.col("mult")).cast("double") / F.sum(F.col("den") * F.col("mult"))).alias("v"))
-    r = stat.withColumn("k", F.row_number().over(W.partitionBy("system").orderBy("v", "rep")) - 1)
-    lo, hi = int(0.025 * n), int(0.975 * n) - 1
-    return r.groupBy("system").agg(F.max(F.when(F.col("k") == lo, F.col("v"))).alias("lo"), F.max(F.when(F.col("k") == hi, F.col("v"))).alias("hi"))
-
-
-def paired_difference(blocks: DataFrame, draws: DataFrame, n: int) -> DataFrame:
-    """side (a, b), run, key, tp, fp, fn and draws -> delta_f1, lo, hi of mean F1(a) - mean F1(b) over runs."""
-    f1 = lambda tp, fp, fn: share(2.0 * tp, 2 * tp + fp + fn)
-    d = F.avg(F.when(F.col("side") == "a", F.col("f"))) - F.avg(F.when(F.col("side") == "b", F.col("f")))
-    seen = blocks.groupBy("side", "run").agg(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("f")).agg(d.alias("delta_f1"))
-    m = F.col("mult")
-    reps = blocks.join(draws, "key").groupBy("rep", "side", "run").agg(f1(F.sum(F.col("tp") * m), F.sum(F.col("fp") * m), F.sum(F.col("fn") * m)).alias("f")).groupBy("rep").agg(d.alias("v"))
-    k = F.row_number().over(W.orderBy("v", "rep")) - 1  # one row per repetition
-    lo, hi = int(0.025 * n), int(0.975 * n) - 1
-    ends = reps.withColumn("k", k).agg(F.max(F.when(F.col("k") == lo, F.col("v"))).alias("lo"), F.max(F.when(F.col("k") == hi, F.col("v"))).alias("hi"))
-    return seen.crossJoin(F.broadcast(ends))
-
-
-def paired_resampled(blocks: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """side (a, b), run, key, tp, fp, fn -> delta_f1, lo, hi as paired_difference() gives them, over n resamples of all keys.
-
-    What a resample gives depends only on how often it takes keys of each kind (keys of one kind have equal counts), and
-    that is a multinomial draw: the driver draws it for a table whose size follows the distinct counts, not the keys."""
-    counts = F.array_sort(F.collect_list(F.struct("side", "run", "tp", "fp", "fn")))
-    kinds = sorted((tuple(map(tuple, r["counts"])), r["k"]) for r in blocks.groupBy("key").agg(counts.alias("counts")).groupBy("counts").agg(F.count(F.lit(1)).alias("k")).collect())
-    keys = sum(k for _, k in kinds)
-    if not keys:
-        return blocks.sparkSession.createDataFrame([], "delta_f1 double, lo double, hi double")
-    runs = {x: i for i, x in enumerate(sorted({c[:2] for counts, _ in kinds for c in counts}))}
-    worth = np.zeros((len(kinds), len(runs), 3))
-    for i, (counts, _) in enumerate(kinds):
-        for side, run, *x in counts:
-            worth[i, runs[side, run]] += x
-    of = {s: [i for (side, _), i in runs.items() if side == s] for s in "ab"}
-
-    def delta(taken: np.ndarray) -> np.ndarray:
-        tp, fp, fn = np.moveaxis(np.tensordot(taken, worth, 1), 2, 0)
-        f1 = 2 * tp / np.maximum(2 * tp + fp + fn, 1)
-        return f1[:, of["a"]].mean(1) - f1[:, of["b"]].mean(1)
-
-    share_of, rng = np.array([k / keys for _, k in kinds]), np.random.default_rng(seed)
-    step = max(1, 2_000_000 // len(kinds))
-    v = np.sort(np.concatenate([delta(rng.multinomial(keys, share_of, min(step, n - i)).astype(float)) for i in range(0, n, step)]))
-    seen = delta(np.array([[k for _, k in kinds]], float))[0]
-    return blocks.sparkSession.createDataFrame([(float(seen), float(v[int(0.025 * n)]), float(v[int(0.975 * n) - 1]))], "delta_f1 double, lo double, hi double")
+    return _ends(stat, ["system"], n)
 
 
 def kendall_tau(ranks: DataFrame) -> DataFrame:

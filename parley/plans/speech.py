@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.functions import german
+from parley.functions import arrow, german
 from parley.functions import lexicon as lx
 from parley.functions import text as tx
 from parley.operators import asr
@@ -55,11 +55,10 @@ def wer_by_role(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH l AS (SELECT regexp_replace(lower(text), '[^a-z ]', '', 'g') AS a FROM documents), p AS (SELECT a, regexp_replace(a, 'th|on', 'x', 'g') AS b FROM l) SELECT CAST(sum(levenshtein(a, b)) AS BIGINT) AS errors, CAST(sum(length(a)) AS BIGINT) AS chars FROM p")
 def cer(spark: SparkSession, d: str) -> DataFrame:
-    """Character errors of all documents, each whole. A replacement shortens the text by one and costs two edits at most."""
+    """Character errors of all documents, each whole."""
     a = F.regexp_replace(F.lower("text"), "[^a-z ]", "")
     p = fx.table(spark, d, "documents").select(a.alias("a")).withColumn("b", F.regexp_replace("a", "th|on", "x"))
-    e = asr.char_errors(F.col("a"), F.col("b"), (F.length("a") - F.length("b")) * 2, "thon")
-    return p.agg(F.sum(e).cast("long").alias("errors"), F.sum(F.length("a")).alias("chars"))
+    return p.agg(F.sum(arrow.edit_distance("a", "b")).cast("long").alias("errors"), F.sum(F.length("a")).alias("chars"))
 
 
 _T = f"{fx.SQL_WORDS_OF}, {fx.SQL_SYSTEMS}"
@@ -77,7 +76,9 @@ def document_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def wer_summary(spark: SparkSession, d: str) -> DataFrame:
-    return asr.summarize(scored(spark, d))
+    """Rates of the system with the bounds of its word error rate over 1000 resamples of documents."""
+    scores = materialize(scored(spark, d), "document-scores")
+    return asr.with_intervals(asr.summarize(scores), scores)
 
 
 @query()
@@ -269,27 +270,28 @@ def issue_counts(spark: SparkSession, d: str) -> DataFrame:
 
 # -- bootstrap, ranks, vectors ------------------------------------------------------------------------------------------
 
-_LCG = "(({0} * 48271 + 42 * 69621 + 12345) % 2147483647)"
-_RANK = f"CAST((((({_LCG.format('i')} * 48271) % 2147483647) * 48271) % 2147483647) // 7 % k AS BIGINT)"
-
 
 def _draws(keys: str, n: int) -> str:
-    return f"""ks AS (SELECT key, CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT) AS rank FROM (SELECT DISTINCT {keys})), kk AS (SELECT count(*) AS k FROM ks),
-dr AS (SELECT CAST(i // k AS INTEGER) AS rep, {_RANK} AS rank FROM (SELECT k, unnest(range({n} * k)) AS i FROM kk)), draws AS (SELECT rep, key, count(*) AS mult FROM dr JOIN ks USING (rank) GROUP BY 1, 2)"""
+    """draws: rep, key, mult, where a hash of key and repetition reaches so many of the Poisson bounds."""
+    half = lambda i: f"CAST('0x' || substr(h, {i}, 8) AS UBIGINT)"
+    x = f"SELECT key, rep, b, (a + CAST(rep AS UBIGINT) * {mt.STEP}) % 4294967296 AS x FROM halves, (SELECT unnest(range({n})) AS rep)"
+    mix = lambda t: f"SELECT key, rep, b, xor(x, x >> 16) AS x FROM (SELECT key, rep, b, xor(x, x >> 15) * {mt.MIX[1]} % 4294967296 AS x FROM (SELECT key, rep, b, xor(x, x >> 16) * {mt.MIX[0]} % 4294967296 AS x FROM ({t})))"
+    x = mix(f"SELECT key, rep, b, xor(x, b) AS x FROM ({mix(x)})")
+    return f"""ks AS (SELECT key, sha256(concat('42|', CAST(key AS STRING))) AS h FROM (SELECT DISTINCT {keys})), halves AS (SELECT key, {half(1)} AS a, {half(9)} AS b FROM ks),
+draws AS (SELECT key, CAST(rep AS INTEGER) AS rep, {' + '.join(f'CAST(x >= {t} AS BIGINT)' for t in mt.POISSON)} AS mult FROM ({x}))"""
 
 
 _N = 10_000
 
 
 def _ci(n: int) -> str:
-    return f"""WITH {_PAIRS}, {_draws('conv_id AS key FROM dist', n)}, p AS (SELECT conv_id AS key, sum(e) AS num, sum(n) AS den FROM dist GROUP BY 1), st AS (SELECT rep, CAST(sum(num * mult) AS DOUBLE) / sum(den * mult) AS v FROM p JOIN draws USING (key) GROUP BY 1),
-k AS (SELECT v, row_number() OVER (ORDER BY v, rep) - 1 AS k FROM st) SELECT 'all' AS system, round(max(v) FILTER (WHERE k = {int(0.025 * n)}), 6) AS lo, round(max(v) FILTER (WHERE k = {int(0.975 * n) - 1}), 6) AS hi FROM k"""
+    return f"""WITH {_PAIRS}, {_draws('conv_id AS key FROM dist', n)}, p AS (SELECT conv_id AS key, sum(e) AS num, sum(n) AS den FROM dist GROUP BY 1), st AS (SELECT rep, CAST(sum(num * mult) AS DOUBLE) / nullif(sum(den * mult), 0) AS v FROM p JOIN draws USING (key) GROUP BY 1),
+k AS (SELECT v, row_number() OVER (ORDER BY v NULLS FIRST, rep) - 1 AS k FROM st) SELECT 'all' AS system, round(max(v) FILTER (WHERE k = {int(0.025 * n)}), 6) AS lo, round(max(v) FILTER (WHERE k = {int(0.975 * n) - 1}), 6) AS hi FROM k"""
 
 
 def interval(spark: SparkSession, d: str, n: int) -> DataFrame:
     f = line_pairs(spark, d).select(F.lit("all").alias("system"), F.col("conv_id").alias("key"), F.col("e").alias("num"), F.col("n").alias("den"))
-    draws = mt.lcg_resamples(f.select("key").distinct(), n)
-    return mt.ratio_interval(f, draws, n).select("system", r6("lo", "lo"), r6("hi", "hi"))
+    return mt.ratio_bounds(f, n).select("system", r6("lo", "lo"), r6("hi", "hi"))
 
 
 @query(_ci(1000))
@@ -303,7 +305,7 @@ def _f1(x: str, m: str) -> str:
 
 
 _B = "CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END"
-_SIDES = f"""b AS (SELECT lang AS key, CAST(sum(quality * toxic) AS BIGINT) AS tpa, CAST(sum((1 - quality) * toxic) AS BIGINT) AS fpa, CAST(sum(quality * (1 - toxic)) AS BIGINT) AS fna, CAST(sum(quality * ({_B})) AS BIGINT) AS tpb, CAST(sum((1 - quality) * ({_B})) AS BIGINT) AS fpb, CAST(sum(quality * (1 - ({_B}))) AS BIGINT) AS fnb FROM (SELECT l.*, concat(source, lang) AS lang FROM labels l JOIN documents USING (doc_id)) GROUP BY 1)"""
+_SIDES = f"""b AS (SELECT own AS key, CAST(sum(quality * toxic) AS BIGINT) AS tpa, CAST(sum((1 - quality) * toxic) AS BIGINT) AS fpa, CAST(sum(quality * (1 - toxic)) AS BIGINT) AS fna, CAST(sum(quality * ({_B})) AS BIGINT) AS tpb, CAST(sum((1 - quality) * ({_B})) AS BIGINT) AS fpb, CAST(sum(quality * (1 - ({_B}))) AS BIGINT) AS fnb FROM (SELECT l.*, {{0}} AS own FROM labels l JOIN documents USING (doc_id)) GROUP BY 1)"""
 
 
 def sides(spark: SparkSession, d: str, key: Column) -> DataFrame:
@@ -313,18 +315,21 @@ def sides(spark: SparkSession, d: str, key: Column) -> DataFrame:
     return two.groupBy("key", F.col("x.side").alias("side"), F.lit(0).alias("run")).agg(F.sum(g * p).alias("tp"), F.sum((1 - g) * p).alias("fp"), F.sum(g * (1 - p)).alias("fn"))
 
 
-@query(f"""WITH {_SIDES}, {_draws('key FROM b', _N)}, o AS (SELECT {_f1('a', '')} - {_f1('b', '')} AS delta FROM b), st AS (SELECT rep, {_f1('a', ' * mult')} - {_f1('b', ' * mult')} AS v FROM b JOIN draws USING (key) GROUP BY 1),
-k AS (SELECT v, row_number() OVER (ORDER BY v, rep) - 1 AS k FROM st) SELECT CAST(round(any_value(delta), 6) AS DOUBLE) AS delta_f1, CAST(round(max(v) FILTER (WHERE k = {int(0.025 * _N)}), 6) AS DOUBLE) AS lo, CAST(round(max(v) FILTER (WHERE k = {int(0.975 * _N) - 1}), 6) AS DOUBLE) AS hi FROM k, o""")
+def _paired(key: str) -> str:
+    return f"""WITH {_SIDES.format(key)}, {_draws('key FROM b', _N)}, o AS (SELECT {_f1('a', '')} - {_f1('b', '')} AS delta FROM b), st AS (SELECT rep, {_f1('a', ' * mult')} - {_f1('b', ' * mult')} AS v FROM b JOIN draws USING (key) GROUP BY 1),
+k AS (SELECT v, row_number() OVER (ORDER BY v NULLS FIRST, rep) - 1 AS k FROM st) SELECT CAST(round(any_value(delta), 6) AS DOUBLE) AS delta_f1, CAST(round(max(v) FILTER (WHERE k = {int(0.025 * _N)}), 6) AS DOUBLE) AS lo, CAST(round(max(v) FILTER (WHERE k = {int(0.975 * _N) - 1}), 6) AS DOUBLE) AS hi FROM k, o"""
+
+
+@query(_paired("concat(source, lang)"))
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     blocks = sides(spark, d, F.concat("source", "lang"))
-    draws = mt.lcg_resamples(blocks.select("key").distinct(), _N)
-    return mt.paired_difference(blocks, draws, _N).select(r6("delta_f1", "delta_f1"), r6("lo", "lo"), r6("hi", "hi"))
+    return mt.paired_bounds(blocks, _N).select(r6("delta_f1", "delta_f1"), r6("lo", "lo"), r6("hi", "hi"))
 
 
-@query()
+@query(_paired("doc_id"))
 def paired_bootstrap_10000(spark: SparkSession, d: str) -> DataFrame:
     """Single documents, as many resamples as the reference draws."""
-    return mt.paired_resampled(sides(spark, d, F.col("doc_id")), 10_000).select(r6("delta_f1", "delta_f1"), r6("lo", "lo"), r6("hi", "hi"))
+    return mt.paired_bounds(sides(spark, d, F.col("doc_id")), _N).select(r6("delta_f1", "delta_f1"), r6("lo", "lo"), r6("hi", "hi"))
 
 
 @query("""WITH s AS (SELECT lang AS system, avg(n_chars) AS a, avg(CAST(doc_id % 97 AS DOUBLE)) AS b FROM documents GROUP BY 1 UNION ALL SELECT source, avg(n_chars), avg(CAST(doc_id % 97 AS DOUBLE)) FROM documents GROUP BY 1)

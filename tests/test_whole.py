@@ -1,12 +1,15 @@
 """Queries that take whole tables, whole texts and as many resamples as the reference."""
 
+import hashlib
+import math
 import random
 
 import numpy as np
 import pytest
 
 import __spark_entry__
-from parley.operators import asr
+from parley.functions import arrow
+from parley.operators import metrics as mt
 from pyspark.sql import functions as F
 
 
@@ -31,11 +34,34 @@ def test_cer_scores_long_documents_whole(spark, tmp_path):
     assert list(__spark_entry__.queries()["cer"](spark, str(tmp_path)).first()) == want
 
 
-def test_char_errors_fall_back_where_the_bounds_differ(spark):
+def edited(rng, text, share):
+    """text with about that share of its characters gone, doubled or replaced."""
+    return "".join(rng.choice(("", c + c, "q")) if rng.random() < share else c for c in text)
+
+
+def test_edit_distance_equals_the_plain_table(spark):
     rng = random.Random(3)
-    rows = [tuple("".join(rng.choice("thonx") for _ in range(rng.randrange(12))) for _ in "ab") for _ in range(200)]
-    df = spark.createDataFrame(rows, "a string, b string").withColumn("e", asr.char_errors(F.col("a"), F.col("b"), F.greatest(F.length("a"), F.length("b")), "thon"))
-    assert all(r["e"] == distance(r["a"], r["b"]) for r in df.collect())
+    rows = [(None, "a"), ("a", None), ("", ""), ("", "abc"), ("x" * 300, "y" * 200), ("ab" * 300, "ba" * 300), ("a😀b" * 20, "a😀c" * 30)]
+    for n in range(300):
+        a = "".join(rng.choice("ab" if n % 3 else "abcdefgh \u00e9\U0001f600") for _ in range(rng.randrange(300)))
+        rows.append((a, edited(rng, a, rng.random() / 2) if n % 2 else "".join(rng.choice("ab") for _ in range(rng.randrange(300)))))
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", arrow.edit_distance("a", "b").alias("e"), arrow.edit_distance("b", "a").alias("back"))
+    for r in df.collect():
+        want = None if r["a"] is None or r["b"] is None else distance(r["a"], r["b"])
+        assert r["e"] == want == r["back"], (r["a"], r["b"])
+
+
+def test_edit_distance_of_long_texts():
+    """200 kB against a copy with errors at known places, far enough apart that none of them helps another."""
+    rng = random.Random(8)
+    a = "".join(rng.choice("etaoinshrdlu ") for _ in range(200_000))
+    at = range(50, 200_000, 100)
+    b = list(a)
+    for i in at:
+        b[i] = "#"
+    assert arrow.distance(a, "".join(b)) == len(at)
+    assert arrow.distance(a, a[:70_000] + a[70_500:]) == 500
+    assert arrow.distance(a, a + a[:900]) == 900
 
 
 def test_paired_resampling_takes_single_documents(spark, tmp_path):
@@ -64,10 +90,50 @@ def test_interval_of_a_thousand_resamples(spark, tmp_path):
         for ref, hyp in zip(ln, ln[1:]):
             num[c] += distance(ref, hyp)
             den[c] += len(ref)
-    x = (np.arange(1000 * 30) * 48271 + 42 * 69621 + 12345) % 2147483647
-    for _ in range(2):
-        x = x * 48271 % 2147483647
-    at = (x // 7 % 30).reshape(1000, 30)
-    v = np.sort(num[at].sum(1) / den[at].sum(1))
+    w = np.array([[poisson(c, r) for c in range(30)] for r in range(1000)])
+    v = np.sort((w * num).sum(1) / (w * den).sum(1))
     got = __spark_entry__.queries()["bootstrap_ci"](spark, str(tmp_path)).first()
     assert (got["lo"], got["hi"]) == pytest.approx((v[25], v[974]), abs=1e-6)
+
+
+def poisson(key, rep, seed=42):
+    """How often a repetition takes a key, by whole numbers of any size."""
+
+    def mixed(x):
+        x = (x ^ x >> 16) * 0x7FEB352D % 2**32
+        x = (x ^ x >> 15) * 0x846CA68B % 2**32
+        return x ^ x >> 16
+
+    h = hashlib.sha256(f"{seed}|{key}".encode()).hexdigest()
+    x = mixed(mixed((int(h[:8], 16) + rep * 0x9E3779B9) % 2**32) ^ int(h[8:16], 16)) / 2**32
+    k, p = 0, math.exp(-1)
+    while x >= p:
+        k += 1
+        p += math.exp(-1) / math.factorial(k)
+    return k
+
+
+def test_weights_are_those_of_draws_with_replacement(spark):
+    """Mean and variance one, keys and repetitions unrelated; an interval like that of the generator's draws."""
+    h = np.random.default_rng(2).integers(0, 2**32, (2, 400))
+    w = mt.weights(h[0], h[1], np.arange(2000))
+    assert w.mean() == pytest.approx(1, abs=0.005) and w.var() == pytest.approx(1, abs=0.01)
+    assert [(w == k).mean() for k in range(4)] == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(4)], abs=0.003)
+    keys, reps = np.corrcoef(w), np.corrcoef(w.T[:400])
+    assert np.abs(keys - np.eye(400)).max() < 0.13 and np.abs(reps - np.eye(400)).max() < 0.3
+    rng = random.Random(1)
+    rows = [("s", k, rng.randrange(5), rng.randrange(5, 15)) for k in range(200)]
+    facts = spark.createDataFrame(rows, "system string, key long, num int, den int")
+    mine, drawn = mt.ratio_bounds(facts, 1000).first(), mt.ratio_interval(facts, mt.resamples(spark, list(range(200)), 1000, 1), 1000).first()
+    assert (mine["lo"], mine["hi"]) == pytest.approx((drawn["lo"], drawn["hi"]), abs=0.006)
+
+
+def test_weighted_sums_of_rows_that_share_a_key(spark):
+    """Rows of one key have one weight, wherever they are; null keys are one key, null values nothing; groups may be null."""
+    rows = [("a", 1, 2, 3), ("a", 1, 5, 7), ("b", 1, 1, 1), (None, None, 4, None), (None, None, 6, 1)]
+    facts = spark.createDataFrame(rows, "system string, key long, num int, den int").repartition(4)
+    got = {(r["system"], r["rep"]): (r["num"], r["den"]) for r in mt.weighted_sums(facts, ["system"], ["num", "den"], 40).collect()}
+    for r in range(40):
+        k, x = poisson(1, r), poisson("", r)
+        assert got["a", r] == (7 * k, 10 * k) and got["b", r] == (k, k) and got[None, r] == (10 * x, x)
+    assert mt.ratio_bounds(facts.limit(0), 40).count() == 0
