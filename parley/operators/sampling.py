@@ -1,18 +1,15 @@
 """Stratified sampling under one-per-cluster constraints.
 
-Quotas are window functions over tables of capacities; the matching of cells and clusters falls into connected parts, each
-of which is a flow problem of its own, solved where its edges are; swaps between roles alone run on the driver, over the
-sample and the few rows that can come in. Two kinds of randomness: a numpy generator, in the fixed order of the published
+Quotas are window functions over tables of capacities; cells and clusters are matched by rounds of joins (operators.matching);
+swaps between roles alone run on the driver, over the sample and the few rows that can come in. Two kinds of randomness: a numpy generator, in the fixed order of the published
 procedure, and a SHA-256 ordering that any engine can repeat. sample_run() puts the steps together.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +18,7 @@ from parley.functions import arrow
 from parley.functions import lexicon as lx
 from parley.functions import text as tx
 from parley.operators.dialogue import intervening, ordered, turn_context
-from parley.operators.graph import connected
+from parley.operators.matching import match, shortfall
 from parley.shared import materialize, ranked
 
 
@@ -213,77 +210,6 @@ def balanced(interviews: DataFrame, least: int = lx.MIN_ROLE_SAMPLE) -> DataFram
 # -- one row per cluster ----------------------------------------------------------------------------------------------
 
 
-class Flow:
-    """Maximum flow by levels and blocking paths (Dinic), with integer capacities."""
-
-    def __init__(self, n: int):
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.out: list[list[int]] = [[] for _ in range(n)]
-
-    def edge(self, a: int, b: int, room: int) -> int:
-        for x, y, r in ((a, b, room), (b, a, 0)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-        return len(self.to) - 2
-
-    def run(self, s: int, t: int) -> int:
-        total = 0
-        while True:
-            level = [-1] * len(self.out)
-            level[s], queue = 0, deque([s])
-            while queue:
-                a = queue.popleft()
-                for e in self.out[a]:
-                    if self.room[e] and level[self.to[e]] < 0:
-                        level[self.to[e]] = level[a] + 1
-                        queue.append(self.to[e])
-            if level[t] < 0:
-                return total
-            at = [0] * len(self.out)
-            while path := self._path(s, t, level, at):
-                push = min(self.room[e] for e in path)
-                for e in path:
-                    self.room[e] -= push
-                    self.room[e ^ 1] += push
-                total += push
-
-    def _path(self, s: int, t: int, level: list[int], at: list[int]) -> list[int]:
-        path: list[int] = []
-        a = s
-        while a != t:
-            while at[a] < len(self.out[a]):
-                e = self.out[a][at[a]]
-                if self.room[e] and level[self.to[e]] == level[a] + 1:
-                    break
-                at[a] += 1
-            else:
-                if not path:
-                    return []
-                a = self.to[path.pop() ^ 1]
-                at[a] += 1
-                continue
-            path.append(self.out[a][at[a]])
-            a = self.to[path[-1]]
-        return path
-
-
-def match_cells(quotas: Mapping, edges: Sequence[tuple], rng: np.random.Generator | None = None) -> tuple[int, list[tuple]]:
-    """(rows matched, chosen (cell, cluster) edges): every cluster at most once, every cell at most its quota."""
-    cells, clusters = sorted(quotas, key=str), sorted({c for _, c in edges}, key=str)
-    number = {("cell", c): i + 1 for i, c in enumerate(cells)} | {("cluster", c): len(cells) + 1 + i for i, c in enumerate(clusters)}
-    sink = len(number) + 1
-    flow = Flow(sink + 1)
-    for c in cells:
-        flow.edge(0, number["cell", c], quotas[c])
-    order = list(edges) if rng is None else [edges[int(i)] for i in rng.permutation(len(edges))]
-    ids = [(flow.edge(number["cell", a], number["cluster", b], 1), a, b) for a, b in order if a in quotas]
-    for c in clusters:
-        flow.edge(number["cluster", c], sink, 1)
-    return flow.run(0, sink), [(a, b) for e, a, b in ids if not flow.room[e]]
-
-
 #: What is kept of the quotas, from most to least; the first level whose flow meets the target wins.
 LEVELS = ("turns and positions", "positions", "roles", "interviews and role minima")
 
@@ -315,44 +241,39 @@ def _cells(sentences: DataFrame, role_quota: DataFrame, level: int, least: int)
     return filled(split(must.select(iv, role, "quota"), [iv, role], place), [iv, role, place]).unionByName(filled(free, [iv]))
 
 
-def _matched(edges: DataFrame, seed: int) -> DataFrame:
-    """cell, cluster: as many edges as can be, each cluster once, each cell up to its limit. Every connected part of the
-    graph is a flow problem of its own, solved in the task that holds its edges; parts share neither cells nor clusters."""
-    edges = materialize(edges, "cell-edges")
-    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    parts = connected(edges.select(node("c", "cell").alias("a"), node("k", "cluster").alias("b")))
-    kind = edges.schema["cluster"].dataType.simpleString()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "cell"])
-        _, chosen = match_cells(dict(zip(pdf["cell"], pdf["limit"].astype(int), strict=True)), list(zip(pdf["cell"], pdf["cluster"], strict=True)))
-        return pd.DataFrame(chosen, columns=["cell", "cluster"])
-
-    told = edges.withColumn("order", hash_order(F.concat("cell", F.col("cluster").cast("string")), seed)).join(parts, node("c", "cell") == F.col("node"))
-    return materialize(told.groupBy("component").applyInPandas(solve, f"cell string, cluster {kind}"), "cell-choices")
-
-
-def draw(sentences: DataFrame, role_quota: DataFrame, seed: int = 42, least: int = lx.MIN_ROLE_SAMPLE, strict: bool = True) -> DataFrame:
-    """sentences: id, interview_id, role, position_stratum, turn, cluster; role_quota: interview_id, role, quota ->
-    the drawn rows with `level` (of LEVELS), no cluster twice, quotas kept as far as the level goes.
-
-    strict: fail where no level meets the total; else the level that comes nearest."""
+def _drawn(sentences: DataFrame, role_quota: DataFrame, seed: int, least: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """(cells of the level that comes nearest, its matching, the level, what is missing of the total)."""
     target = role_quota.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     best: tuple = (-1, 0, None, None)
     for level in range(len(LEVELS)):
         cells = materialize(_cells(sentences, role_quota, level, least), "cells")
-        chosen = _matched(cells.select("cell", "limit", "cluster").distinct(), seed)
+        chosen = match(cells.select("cell", "limit", "cluster").distinct(), seed)
         if (got := chosen.count()) > best[0]:
             best = (got, level, cells, chosen)
         if got == target:
             break
     got, level, cells, chosen = best
-    if strict and got != target:
-        raise ValueError(f"{target} rows are asked for; without two of one cluster, {got} is all that any level gives")
+    return cells, chosen, level, target - got
+
+
+def draw(sentences: DataFrame, role_quota: DataFrame, seed: int = 42, least: int = lx.MIN_ROLE_SAMPLE, strict: bool = True) -> DataFrame:
+    """sentences: id, interview_id, role, position_stratum, turn, cluster; role_quota: interview_id, role, quota ->
+    the drawn rows with `level` (of LEVELS), no cluster twice, quotas kept as far as the level goes.
+
+    strict: fail where no level meets the total; else the level that comes nearest (draw_shortfall() says what it lacks)."""
+    cells, chosen, level, missing = _drawn(sentences, role_quota, seed, least)
+    if strict and missing:
+        raise ValueError(f"{missing + chosen.count()} rows are asked for; without two of one cluster, {chosen.count()} is all that any level gives")
     one = cells.join(chosen, ["cell", "cluster"]).groupBy("cluster").agg(F.min(F.struct(hash_order(F.col("id"), seed), "id"))["id"].alias("id"))
     return sentences.join(one.select("id"), "id").withColumn("level", F.lit(level))
 
 
+def draw_shortfall(sentences: DataFrame, role_quota: DataFrame, seed: int = 42, least: int = lx.MIN_ROLE_SAMPLE) -> DataFrame:
+    """cell, limit, matched, lacking, level for each cell of the level that draw() takes where it isn't strict."""
+    cells, chosen, level, _ = _drawn(sentences, role_quota, seed, least)
+    return shortfall(cells, chosen).withColumn("level", F.lit(level))
+
+
 def rebalance(sample: Sequence[dict], pool: Sequence[dict], least: int = lx.MIN_ROLE_SAMPLE) -> list[dict]:
     """Swaps inside interviews that bring interviewers' first-role counts together; quotas, floors and clusters hold.
 

@@ -154,6 +154,12 @@ def flow_sample(spark: SparkSession, d: str) -> DataFrame:
     return sp.draw(pool(spark, d), quotas(spark, d), strict=False).drop("text")
 
 
+@query()
+def flow_shortfall(spark: SparkSession, d: str) -> DataFrame:
+    """What each cell of that draw asks for, gets and lacks."""
+    return sp.draw_shortfall(pool(spark, d), quotas(spark, d))
+
+
 def run_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sentences, interviews, turns): a source is an interview, its documents are the turns of two roles in turn, lines that
     pass the gate are sentences; equal wording is one cluster, within and across interviews."""

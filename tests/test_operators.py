@@ -8,6 +8,7 @@ from parley.operators import asr
 from parley.operators import dialogue as dg
 from parley.operators import metrics as mt
 from parley.operators import sampling as sp
+from tests.flow import match_cells
 from parley.operators import segment as sg
 from parley.operators import similarity as sim
 from parley.operators.graph import connected
@@ -192,7 +193,7 @@ def test_role_quota_columns_follow_the_rule(spark):
 
 
 def test_flow_takes_each_cluster_once():
-    got, chosen = sp.match_cells({"a": 2, "b": 1}, [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("a", 3)])
+    got, chosen = match_cells({"a": 2, "b": 1}, [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("a", 3)])
     assert got == 3 and len({c for _, c in chosen}) == 3
 
 
