@@ -1,65 +1,48 @@
 """Bipartite matching with limits, on tables: cells take clusters, each cluster once, each cell up to its limit, as many as can be.
 
-First what no maximal choice can lose by: a cell whose clusters are no more than its limit takes them all, and a cluster that
-has one cell left goes to it. What then remains is matched by push-relabel rounds: a cell that lacks clusters pushes its
-need to clusters that are free, or held by a cell one step nearer to a free cluster, which gives them up and pushes on. Steps
-(the labels) are found anew by a breadth-first search when no push is left; a need without a way to a free cluster ends there.
-Every round is a few joins and groupings of the edge table; needs and labels are columns. Only counts come to the driver, and no
-cell, cluster or connected part is ever one task's work, whatever its size.
+Push-relabel rounds: a cell that lacks clusters pushes its need to clusters that are free, or held by a cell one step nearer
+to a free cluster, which gives them up and pushes on; clusters that few cells can use are asked first. Steps (the labels) are
+found anew by a breadth-first search when no push is left; a need without a way to a free cluster ends there, which is what makes the
+result as large as any. Every round is a few joins and groupings of the edge table; needs and labels are columns. Only counts
+come to the driver, and no cell, cluster or connected part is one task's work, whatever its size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.shared import drop, materialize, ranked, spread_join, swept
 
-#: Rounds of the safe choices; the pushes finish whatever they leave.
-SAFE_ROUNDS = 4
+#: Rows of a key that a window takes; those of larger keys are ranked range by range.
+CROWD = 100_000
 
 
-def firsts(rows: DataFrame, key: str, order: str, limit: str) -> DataFrame:
-    """The rows whose place among those of their key, in that order, is below their `limit`; keys of any size."""
-    sizes = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.max(limit).alias("__l")), "sizes")
-    total = rows.count()
-    whole = spread_join(rows, sizes.where("__n <= __l").drop("__l"), [key], total, "__n")
-    over = materialize(spread_join(rows, sizes.where("__n > __l").drop("__l"), [key], total, "__n"), "over")
-    if over.isEmpty():
-        return whole
-    placed = ranked(over, [key, order], "__rank")
-    start = materialize(placed.groupBy(key).agg(F.min("__rank").alias("__start"), F.count(F.lit(1)).alias("__n")), "starts")
-    cut = spread_join(placed, start, [key], total, "__n").where(F.col("__rank") - F.col("__start") < F.col(limit))
-    return whole.unionByName(cut.drop("__rank", "__start"))
+def firsts(rows: DataFrame, key: str, order: str, limit: str, size: str, crowd: int = CROWD) -> DataFrame:
+    """The rows whose place among those of their key, in that order, is below their `limit`; keys of any size.
 
+    size: a column that is no less than the number of rows of the key."""
+    few = rows.where(F.col(size) <= crowd).withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy(order))).where(F.col("__k") <= F.col(limit)).drop("__k")
+    if rows.where(F.col(size) > crowd).isEmpty():
+        return few
+    placed = ranked(rows.where(F.col(size) > crowd), [key, order], "__rank")
+    start = materialize(placed.groupBy(key).agg(F.min("__rank").alias("__start"), F.count(F.lit(1)).alias("__n")), "starts")
+    cut = spread_join(placed, start, [key], rows.count(), "__n").where(F.col("__rank") - F.col("__start") < F.col(limit))
+    return few.unionByName(cut.drop("__rank", "__start"))
 
-def _order(seed: int):
-    return F.sha2(F.concat(F.lit(f"{seed}|"), F.col("cell").cast("string"), F.lit("|"), F.col("cluster").cast("string")), 256)
 
-
-def _safe(edges: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round of safe choices: (chosen, edges left, cells left). edges: cell, cluster, o; cells: cell, need."""
-    total = edges.count()
-    of_cell = materialize(edges.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(cells, "cell"), "cells")
-    of_cluster = materialize(edges.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "clusters")
-    wide = spread_join(edges, of_cell.withColumn("all", F.col("n") <= F.col("need")), ["cell"], total, "n")
-    wide = materialize(spread_join(wide, of_cluster.select("cluster", (F.col("n") == 1).alias("one"), "n"), ["cluster"], total, "n"), "wide")
-    first = wide.where("all").groupBy("cluster").agg(F.min(F.struct("o", "cell")).alias("x")).select("x.cell", "cluster")
-    only = firsts(materialize(wide.where("one AND NOT all"), "only"), "cell", "o", "need").select("cell", "cluster")
-    chosen = materialize(first.unionByName(only), "chosen")
-    got = chosen.groupBy("cell").agg(F.count(F.lit(1)).alias("got"))
-    rest = materialize(of_cell.where("n > need").join(got, "cell", "left").select("cell", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), "n").where("need > 0"), "cells")
-    gone = materialize(chosen.select("cluster", F.lit(True).alias("gone")).join(of_cluster, "cluster"), "gone")
-    left = spread_join(edges, rest.select("cell", "n"), ["cell"], total, "n")
-    left = materialize(spread_join(left, gone, ["cluster"], total, "n", how="left").where("gone IS NULL").drop("gone"), "edges")
-    return chosen, left, rest.drop("n")
+def _order(seed: int) -> Column:
+    """Clusters that few cells can use come first, others by a hash."""
+    h = F.sha2(F.concat(F.lit(f"{seed}|"), F.col("cell").cast("string"), F.lit("|"), F.col("cluster").cast("string")), 256)
+    return F.concat(F.lpad(F.col("degree").cast("string"), 12, "0"), h)
 
 
 def _labels(edges: DataFrame, held: DataFrame, needs: DataFrame, total: int) -> DataFrame:
-    """cell, label: how many steps a cell is from a free cluster, as far as the needs ask. held: cluster, owner, n."""
-    arcs = spread_join(edges.select("cell", "cluster"), held, ["cluster"], total, "n", how="left")
+    """cell, label: how many steps a cell is from a free cluster, as far as the needs ask. held: cluster, owner, degree."""
+    arcs = spread_join(edges.select("cell", "cluster"), held, ["cluster"], total, "degree", how="left")
     arcs = materialize(arcs.where("owner IS NULL OR owner <> cell").select("cell", "owner").distinct(), "arcs")
-    found = materialize(arcs.where("owner IS NULL").select("cell", F.lit(1).alias("label")).distinct(), "labels")
+    found = materialize(arcs.where("owner IS NULL").select("cell", F.lit(1).alias("label")), "labels")
     last, step = found, 1
     while not last.isEmpty() and not needs.join(found, "cell", "left_anti").isEmpty():
         step += 1
@@ -67,62 +50,53 @@ def _labels(edges: DataFrame, held: DataFrame, needs: DataFrame, total: int) ->
         last = materialize(ahead.withColumn("label", F.lit(step)), "labels")
         found = found.unionByName(last)
     drop(arcs)
-    return materialize(found, "labels")
+    return found
 
 
 def _needs(cells: DataFrame, held: DataFrame) -> DataFrame:
-    """cell, need, n: the cells that lack clusters."""
+    """The cells that lack clusters, with how many."""
     got = held.groupBy(F.col("owner").alias("cell")).agg(F.count(F.lit(1)).alias("got"))
-    return materialize(cells.join(got, "cell", "left").select("cell", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), "n").where("need > 0"), "needs")
+    return cells.join(got, "cell", "left").withColumn("need", F.col("need") - F.coalesce("got", F.lit(0))).drop("got").where("need > 0")
 
 
-def _pushed(edges: DataFrame, cells: DataFrame) -> DataFrame:
-    """cluster, owner: push-relabel rounds over edges (cell, cluster, o) until no need has a way left."""
+def _pushed(edges: DataFrame, cells: DataFrame, crowd: int) -> DataFrame:
+    """cluster, owner, degree: rounds over edges (cell, cluster, degree, o) until no need has a way left. cells: cell, need, n."""
     total = edges.count()
-    cells = materialize(edges.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(cells, "cell"), "cells")
-    degree = materialize(edges.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "degrees")
-    held = materialize(degree.select("cluster", F.lit(None).cast(edges.schema["cell"].dataType).alias("owner"), "n").limit(0), "held")
-    needs = _needs(cells, held)
-    while True:
-        labels = _labels(edges, held, needs, total)
-        active = materialize(needs.join(labels, "cell"), "active")
-        if active.isEmpty():
-            return held.drop("n")
+    held = materialize(edges.select("cluster", F.col("cell").alias("owner"), "degree").limit(0), "held")
+    labels = cells.select("cell", F.lit(1).alias("label"))  # all clusters are free
+    active = materialize(_needs(cells, held).join(labels, "cell"), "active")
+    while not active.isEmpty():
         steps = labels.select(F.col("cell").alias("owner"), F.col("label").alias("under"))
-        while True:
-            mine = spread_join(edges, active, ["cell"], total, "n")
-            mine = spread_join(materialize(mine, "mine"), held, ["cluster"], total, "n", how="left").where("owner IS NULL OR owner <> cell").join(steps, "owner", "left")
+        while not active.isEmpty():
+            mine = spread_join(spread_join(edges, active.withColumn("size", F.col("n")), ["cell"], total, "n"), held.withColumnRenamed("degree", "d"), ["cluster"], total, "d", how="left")
+            mine = mine.where("owner IS NULL OR owner <> cell").join(steps, "owner", "left")
             down = F.when(F.col("owner").isNull(), 0).otherwise(F.col("under")) == F.col("label") - 1
-            bids = firsts(materialize(mine.where(down).select("cell", "cluster", "o", "need"), "ways"), "cell", "o", "need")
-            won = bids.groupBy("cluster").agg(F.min(F.struct("o", "cell"))["cell"].alias("owner")).join(degree, "cluster")
-            won = materialize(won, "won")
+            ways = materialize(mine.where(down).select("cell", "cluster", "degree", "o", "need", "size"), "ways")
+            bids = firsts(ways, "cell", "o", "need", "size", crowd)
+            won = materialize(bids.groupBy("cluster").agg(F.min(F.struct("o", "cell"))["cell"].alias("owner"), F.max("degree").alias("degree")), "won")
             if won.isEmpty():
                 break
-            before, held = held, materialize(held.join(won, "cluster", "left_anti").unionByName(won.select(*held.columns)), "held")
+            before, held = held, materialize(held.join(won, "cluster", "left_anti").unionByName(won), "held")
             drop(before)
-            needs = _needs(cells, held)
-            active = materialize(needs.join(labels, "cell"), "active")
-            if active.isEmpty():
-                break
+            active = materialize(_needs(cells, held).join(labels, "cell"), "active")
+        needs = materialize(_needs(cells, held), "needs")
+        labels = materialize(_labels(edges, held, needs, total), "labels")
+        active = materialize(needs.join(labels, "cell"), "active")
+    return held
+
 
+def match(edges: DataFrame, seed: int = 42, crowd: int = CROWD) -> DataFrame:
+    """edges: cell, limit, cluster -> cell, cluster: as many as can be, the same at every run. Nulls match nothing.
 
-def match(edges: DataFrame, seed: int = 42) -> DataFrame:
-    """edges: cell, limit, cluster -> cell, cluster: as many as can be, the same at every run. Nulls match nothing."""
+    An edge that is listed more than once counts once, a cell has the greatest limit that is listed."""
     with swept() as keep:
-        edges = materialize(edges.where("cell IS NOT NULL AND cluster IS NOT NULL AND limit > 0").select("cell", "cluster", F.col("limit").cast("long").alias("need")).distinct(), "cell-edges")
-        cells = materialize(edges.groupBy("cell").agg(F.max("need").alias("need")), "cells")
-        rest = materialize(edges.select("cell", "cluster").distinct().withColumn("o", _order(seed)), "edges")
-        out = rest.select("cell", "cluster").limit(0)
-        for _ in range(SAFE_ROUNDS):
-            if rest.isEmpty():
-                break
-            chosen, rest, cells = _safe(rest, cells)
-            out = out.unionByName(chosen)
-            if chosen.isEmpty():
-                break
-        if not rest.isEmpty():
-            out = out.unionByName(_pushed(rest, cells).select(F.col("owner").alias("cell"), "cluster"))
-        out = materialize(out, "matching")
+        rows = edges.where("cell IS NOT NULL AND cluster IS NOT NULL AND limit > 0")
+        cells = materialize(rows.groupBy("cell").agg(F.max("limit").cast("long").alias("need"), F.count_distinct("cluster").alias("n")), "cells")
+        pairs = materialize(rows.select("cell", "cluster").distinct(), "edges")
+        degrees = materialize(pairs.groupBy("cluster").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+        pairs = spread_join(pairs, degrees.withColumn("d", F.col("degree")), ["cluster"], pairs.count(), "d")
+        held = _pushed(materialize(pairs.withColumn("o", _order(seed)), "edges"), cells, crowd)
+        out = materialize(held.select(F.col("owner").alias("cell"), "cluster"), "matching")
         keep.append(out)
     return out
 

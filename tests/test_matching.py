@@ -38,10 +38,20 @@ def test_match_is_as_large_as_the_flow(spark):
     assert matching.match(edges.limit(0)).count() == 0
 
 
+def test_crowded_cells_and_long_ways(spark):
+    """Cells above the bound of a window, and a chain along which every cluster has to move on."""
+    rows = [("hub", 700, k) for k in range(900)] + [(f"own {k}", 2, k) for k in range(0, 900, 3)]
+    rows += [(f"chain {i}", 1, 2000 + k) for i in range(6) for k in ((i, i + 1) if i < 5 else (i,))]
+    df = spark.createDataFrame(rows, "cell string, limit int, cluster int")
+    got = [(r["cell"], r["cluster"]) for r in matching.match(df, crowd=100).collect()]
+    assert len({k for _, k in got}) == len(got) == 900 + 6 and 600 <= sum(c == "hub" for c, _ in got) <= 700
+
+
 def test_firsts_of_a_crowded_key(spark):
-    rows = spark.range(3000).select(F.when(F.col("id") < 2500, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k"), F.hash("id").alias("o"), F.lit(60).alias("l"))
-    got = matching.firsts(rows, "k", "o", "l").collect()
+    rows = spark.range(3000).select(F.when(F.col("id") < 2500, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k"), F.hash("id").alias("o"), F.lit(60).alias("l"), F.when(F.col("id") < 2500, 2500).otherwise(100).alias("n"))
     by = {}
     for r in rows.collect():
         by.setdefault(r["k"], []).append(r["o"])
-    assert {k: sorted(r["o"] for r in got if r["k"] == k) for k in by} == {k: sorted(v)[:60] for k, v in by.items()}
+    for crowd in (50, 1000, 10_000):
+        got = matching.firsts(rows, "k", "o", "l", "n", crowd).collect()
+        assert {k: sorted(r["o"] for r in got if r["k"] == k) for k in by} == {k: sorted(v)[:60] for k, v in by.items()}
