@@ -2,8 +2,8 @@
 
 Few rounds for any shape (logarithmic in the longest path); each is written to the folder that all executors share
 (spark.checkpoint.dir), so lineage stays short and lost executors cost one round. A hub's links meet its least neighbour
-by broadcast (`spread_join`), so no vertex, whatever its share of the links, puts them all in one task. Only a count and
-a checksum come to the driver.
+by broadcast (`spread_join`), so no vertex, whatever its share of the links, puts them all in one task. Only counts
+come to the driver.
 """
 
 from __future__ import annotations
@@ -27,13 +27,18 @@ def _stars(e: DataFrame, n: int) -> DataFrame:
     return out
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether all links lead straight to a root: no vertex has two lesser neighbours, or one that has a lesser one."""
+    above = e.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
+    roots = e.select("b").distinct().withColumnRenamed("b", "a")
+    return above.where("n > 1").isEmpty() and e.select("a").distinct().join(roots, "a", "left_semi").isEmpty()
+
+
 def connected(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """links: a, b -> node, component (its least node). nodes: node, also those without links."""
     e = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
-    while (now := tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())) != state and now[0]:
-        state, last = now, e
-        e = _stars(e, now[0])
+    while not _settled(e):
+        last, e = e, _stars(e, e.count())
         drop(last)
     found = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
     return _with(found, nodes)

@@ -98,6 +98,18 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, co
     return rows.where(often).join(F.broadcast(table.where(often)), on, how).unionByName(rows.where(~often).join(table.where(~often), on, how))
 
 
+def salted_join(rows: DataFrame, table: DataFrame, on: str, other: str, per: int = 1000) -> DataFrame:
+    """rows join table (one row for each key), where a table's row may be too large to broadcast and a key may have any share of the rows.
+
+    A key's rows are dealt into groups of about `per` by `other`, and its row of the table goes once to each group. rows are read
+    more than once: write them first."""
+    count = materialize(rows.groupBy(on).agg(F.count(F.lit(1)).alias("__n")), "counts")
+    salts = count.where(F.col("__n") > per).select(on, "__n", F.ceil(F.col("__n") / per).alias("__salts"))
+    dealt = spread_join(rows, salts, [on], rows.count(), "__n", how="left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("__salts")), F.lit(0).cast("long")))
+    copies = table.join(count, on).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.greatest(F.col("__n"), F.lit(1)) / per) - 1))).drop("__n")
+    return dealt.drop("__salts").join(copies, [on, "__salt"]).drop("__salt")
+
+
 def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
     """df with `name`: 0, 1, 2, ... in that order, over all rows and without a task that sees them all.
 

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley import shared
-from parley.operators import graph
 from parley.operators.graph import connected
 
 
@@ -20,9 +19,8 @@ def test_spread_join_equals_a_join(spark, monkeypatch, how):
     assert sorted(map(str, got.select("k", "v", "top").collect())) == sorted(map(str, want.select("k", "v", "top").collect()))
 
 
-@pytest.mark.parametrize(("heavy", "small"), [(10_000, 0), (2, 0), (2, 100_000)], ids=["no hub", "hubs", "one task"])
-def test_components(spark, monkeypatch, heavy, small):
-    monkeypatch.setattr(graph, "SMALL", small)
+@pytest.mark.parametrize("heavy", [10_000, 2], ids=["no hub", "hubs"])
+def test_components(spark, monkeypatch, heavy):
     monkeypatch.setattr(shared, "HEAVY", heavy)
     monkeypatch.setattr(shared, "LEAST", 2)
     rng = random.Random(4)
@@ -45,6 +43,15 @@ def test_components(spark, monkeypatch, heavy, small):
     assert names == {f"n{x:03}": f"n{root(x):03}" for x in linked}
 
 
+@pytest.mark.parametrize("per", [1000, 7])
+def test_salted_join_equals_a_join(spark, per):
+    rows = spark.createDataFrame([(0 if i % 2 else i % 7, i) for i in range(100)], "k int, v int")
+    table = spark.createDataFrame([(k, f"text {k}") for k in (0, 1, 2, 3, 99)], "k int, t string")
+    got, want = shared.salted_join(rows, table, "k", "v", per), rows.join(table, "k")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert shared.salted_join(rows.limit(0), table, "k", "v", per).count() == 0
+
+
 def test_ranked_counts_through_all_ranges(spark):
     rng = random.Random(7)
     rows = [(rng.randrange(50), i) for i in range(500)]
