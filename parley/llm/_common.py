@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.shared import HEAVY, drop, materialize, scratch, spread_join, swept  # noqa: F401
+from parley.shared import HEAVY, drop, materialize, salted_join, scratch, spread_join, swept  # noqa: F401
 
 #: The white space that separates words in every contract of this folder: space, tab, LF, VT, FF, CR.
 SPACE = " \t\n\x0b\x0c\r"

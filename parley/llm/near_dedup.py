@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import _words
-from parley.llm._common import documents, drop, materialize, row_key, small_batches, spread_join
+from parley.llm._common import documents, drop, materialize, row_key, salted_join, small_batches, spread_join
 from parley.operators.graph import connected
 
 
@@ -259,10 +259,15 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
+#: Bytes of signatures and prints that a block of members has on average, at most.
+BLOCK_BYTES = 8 << 20
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunks: int = 16, width: int = 5, errors: int = 1, block: int = 1024, crowd: int = 32) -> DataFrame:
     """doc_id, rk, n_shingles, component_id, kept, stays for each row of docs.
 
-    kept: the id is the component's; stays: so is the text, where ids repeat. block: members of a key that meet at once.
+    kept: the id is the component's; stays: so is the text, where ids repeat. block: members of a key that meet at once, fewer
+    where they have more than BLOCK_BYTES.
     crowd: in keys of more members, these bring the prints of their whole sets, which rule pairs out without a look at the texts."""
     small_batches(docs.sparkSession)
     most = (errors + 1) * chunks - 1
@@ -277,7 +282,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialize(signed.select("doc_id", "rk", "n_shingles", "s1", "s2"), "rows")
     drop(signed)
 
-    filed = nodes.select("node", F.posexplode("keys").alias("part", "key"))
+    filed = nodes.select("node", F.col("n_shingles").alias("size"), F.posexplode("keys").alias("part", "key"))
     shared = materialize(filed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi"), "keys")
     members = materialize(spread_join(filed, shared, ["key"], nodes.count() * len(signer.parts), "c"), "members")
     n_members = members.count()
@@ -285,25 +290,33 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = nodes.join(ids, F.col("node") == F.col("m"), "left_semi").select("node", F.col("first.doc_id").alias("i"), F.col("first.rk").alias("k"))
     shown = raw.join(first, (raw["doc_id"] == F.col("i")) & (raw["rk"] == F.col("k"))).dropDuplicates(["i", "k"]).select("node", "text")
     texts = materialize(shown.mapInArrow(_signatures(shingle, signer), "node long, text string, sig binary, n long, prints binary"), "candidate-texts")
+    sigs = texts.select("node", "sig")
 
     def near(pairs: DataFrame) -> DataFrame:
-        ku, kv = (texts.select(F.col("node").alias(c), F.col("sig").alias(k)) for c, k in (("u", "ku"), ("v", "kv")))
-        return pairs.join(ku, "u").join(kv, "v").select("u", "v", "ku", "kv").mapInArrow(_near(signer, most), "u long, v long").distinct()
+        """Pairs within the distance; signatures are short, so those of hubs are broadcast."""
+        pairs = materialize(pairs, "pairs")
+        total = pairs.count()
+        for c, k in (("u", "ku"), ("v", "kv")):
+            of = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("__n")).join(sigs.select(F.col("node").alias(c), F.col("sig").alias(k)), c)
+            pairs = spread_join(pairs, materialize(of, "pair-signatures"), [c], total, "__n")
+        return pairs.select("u", "v", "ku", "kv").mapInArrow(_near(signer, most), "u long, v long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (u, v), on the full shingle sets of whole texts."""
+        """Links among pairs (u, v), on the full shingle sets of whole texts; a hub's text goes once to each thousand of its pairs."""
+        pairs = materialize(pairs, "near-pairs")
         tu, tv = (texts.select(F.col("node").alias(c), F.col("text").alias(t)) for c, t in (("u", "tu"), ("v", "tv")))
-        return materialize(pairs.join(tu, "u").join(tv, "v").select("u", "v", "tu", "tv").mapInArrow(_confirm(shingle, percent), "u long, v long"), "confirmed")
+        one = materialize(salted_join(pairs, tv, "v", "u"), "pair-texts")
+        return materialize(salted_join(one, tu, "u", "v").select("u", "v", "tu", "tv").mapInArrow(_confirm(shingle, percent), "u long, v long"), "confirmed")
 
     def grouped(links: DataFrame) -> DataFrame:
         return materialize(connected(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("component", "comp"), "components")
 
     def placed(comps: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members with their component, and the keys whose members are in several, with their number of members."""
-        own = members.select("key", "part", "node").join(comps, "node", "left").select("key", "part", "node", F.coalesce("comp", "node").alias("comp"))
+        own = members.select("key", "part", "node", "size").join(comps, "node", "left").select("key", "part", "node", "size", F.coalesce("comp", "node").alias("comp"))
         own = materialize(own, "placed")
-        mixed = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("node", "key"), "node", "comp")).alias("hub")).where("a < b")
-        return own, materialize(mixed.select("key", "n", F.ceil(F.col("n") / block).alias("blocks"), (F.col("n") > crowd).alias("many"), F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "mixed-keys")
+        mixed = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.least(F.col("size"), F.lit(1 << 16)) * 2 + 4 * signer.size).alias("bytes"), F.max(F.struct(F.xxhash64("node", "key"), "node", "comp")).alias("hub")).where("a < b")
+        return own, materialize(mixed.select("key", "n", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / BLOCK_BYTES)).alias("blocks"), (F.col("n") > crowd).alias("many"), F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "mixed-keys")
 
     # 1. a star in each key about its least member
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
