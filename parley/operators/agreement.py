@@ -61,3 +61,12 @@ def pairwise(blocks: DataFrame) -> DataFrame:
     for x in "ab":
         out = out.join(F.broadcast(n.select(F.col("annotator").alias(f"who_{x}"), F.col("blocks").alias(f"blocks_{x}"))), f"who_{x}")  # a row per annotator
     return out.withColumn("unmatched_a", F.col("blocks_a") - F.col("shared_blocks")).withColumn("unmatched_b", F.col("blocks_b") - F.col("shared_blocks"))
+
+
+def report(blocks: DataFrame, raters: int) -> DataFrame:
+    """blocks: key, annotator, labels -> a row for each two annotators (pairwise()) and one over all, where who_a and who_b are null:
+    tokens with two ratings or more, tokens with all, nominal alpha and kappa over these."""
+    ratings = blocks.select("key", "annotator", F.posexplode("labels").alias("pos", "value")).select(F.concat_ws("|", F.col("key").cast("string"), F.col("pos").cast("string")).alias("unit"), "annotator", "value")
+    n = ratings.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") >= 2).alias("tokens"), F.count_if(F.col("n") == raters).alias("tokens_with_all"))
+    one = n.crossJoin(F.broadcast(krippendorff_alpha(ratings).select("alpha"))).crossJoin(F.broadcast(fleiss_kappa(ratings, raters).select(F.col("kappa").alias("fleiss_kappa"))))  # a row each
+    return pairwise(blocks).unionByName(one, allowMissingColumns=True)

@@ -151,8 +151,10 @@ def fit_from(ratings: DataFrame, unit: list[str], **options) -> dict:
 
 
 def variants(ratings: DataFrame, unit: list[str], strength: float = 10.0) -> dict[str, dict]:
-    """The model and its four sensitivity refits."""
-    return {"model": fit_from(ratings, unit, strength=strength)} | {name: fit_from(ratings, unit, **o) for name, o in (("weaker_prior", {"strength": strength / 2}), ("stronger_prior", {"strength": strength * 2}), ("initial_accuracy_0.7", {"strength": strength, "accuracy": 0.7}), ("initial_accuracy_0.97", {"strength": strength, "accuracy": 0.97}))}
+    """The model and its four sensitivity refits; patterns are counted once for all."""
+    names = [r[0] for r in ratings.select("annotator").distinct().collect()]
+    patterns = {r["pattern"]: r["n"] for r in response_patterns(ratings, unit).collect()}
+    return {"model": fit_latent(patterns, names, strength)} | {name: fit_latent(patterns, names, **o) for name, o in (("weaker_prior", {"strength": strength / 2}), ("stronger_prior", {"strength": strength * 2}), ("initial_accuracy_0.7", {"strength": strength, "accuracy": 0.7}), ("initial_accuracy_0.97", {"strength": strength, "accuracy": 0.97}))}
 
 
 def log_odds(annotator: Column, value: Column, model: Mapping) -> Column:
@@ -173,6 +175,17 @@ def decide_scopes(ratings: DataFrame, model: Mapping, unit: tuple[str, ...] = ("
     return g.withColumn("label", F.when(~F.col("disputed"), F.col("lo")).otherwise((p >= 0.5).cast("int"))).withColumn("low_confidence", F.col("disputed") & p.between(0.4, 0.6)).select(*unit, "n", "disputed", "posterior", "label", "low_confidence", F.col("hi").alias("union_label"), F.col("lo").alias("intersection_label"))
 
 
+def changed_by(ratings: DataFrame, models: Mapping[str, Mapping], unit: tuple[str, ...] = ("group_id", "tok")) -> DataFrame:
+    """variant, disputed, changed: how many disputed tokens each of the other models labels otherwise than "model" does; one pass."""
+    odds = {name: F.sum(log_odds(F.col("annotator"), F.col("value"), m)) + F.lit(math.log(m["prevalence"] / (1 - m["prevalence"]))) for name, m in models.items()}
+    g = ratings.groupBy(*unit).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), *(c.alias(f"odds_{k}") for k, (_, c) in enumerate(odds.items()))).where("lo <> hi")
+    at = {name: F.col(f"odds_{k}") >= 0 for k, name in enumerate(odds)}
+    others = [name for name in models if name != "model"]
+    one = g.agg(F.count(F.lit(1)).alias("disputed"), *(F.count_if(at[name] != at["model"]).alias(f"changed_{k}") for k, name in enumerate(others)))
+    rows = F.array(*(F.struct(F.lit(name).alias("variant"), F.col("disputed"), F.col(f"changed_{k}").alias("changed")) for k, name in enumerate(others)))
+    return one.select(F.inline(rows))
+
+
 def split_counters(aligned: DataFrame, decided: DataFrame) -> DataFrame:
     """split -> groups, tokens, disputed and positive tokens, and those that a vote for the union or intersection would change."""
     of = aligned.select("group_id", "split").distinct()

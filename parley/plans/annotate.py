@@ -12,6 +12,7 @@ from parley.operators import annotations as an
 from parley.operators import evaluation as ev
 from parley.operators import metrics as mt
 from parley.plans import fixtures as fx
+from parley.shared import materialize
 
 Q, SQL = {}, {}
 
@@ -100,6 +101,14 @@ def scope_decisions(spark: SparkSession, d: str) -> DataFrame:
     return an.decide_scopes(ratings, m)
 
 
+@query()
+def scope_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """Disputed tokens that the model's refits, with other priors and other starts, would label otherwise."""
+    al = aligned(spark, d)
+    ratings = materialize(an.scope_ratings(al), "ratings")
+    return an.changed_by(ratings, an.variants(ratings.where("NOT ambiguous"), ["group_id", "tok"]))
+
+
 @query()
 def aggregation_report(spark: SparkSession, d: str) -> DataFrame:
     al, ratings, m = _model(spark, d)
@@ -326,3 +335,45 @@ def model_grid(spark: SparkSession, d: str) -> DataFrame:
 def dataset_sanity(spark: SparkSession, d: str) -> DataFrame:
     b = blocks(spark, d).where("run = 0").select(F.expr("CASE doc % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END").alias("split"), F.col("gold").alias("tokens"), F.col("gold").alias("cue_masks"), F.col("pred").alias("scope_masks"))
     return ev.sanity(b)
+
+
+#: Typed spans: runs of three words, cue or scope by rule; predictions lose a word now and then, or change its type.
+_TYPED = "CASE ((doc + pos // 3) % 4) WHEN 0 THEN CASE WHEN pos % 3 = 0 THEN 'B-CUE' ELSE 'I-CUE' END WHEN 1 THEN 'I-SCOPE' WHEN 2 THEN CASE WHEN pos % 3 = 1 THEN 'B-SCOPE' ELSE 'O' END ELSE 'O' END"
+_GUESSED = "CASE WHEN (pos * 31 + doc * 7) % 17 = 0 THEN 'O' WHEN (pos * 13 + doc * 5) % 23 = 0 THEN 'I-SCOPE' ELSE gold END"
+_RUNS = """t_{0} AS (SELECT doc, line, pos, CASE WHEN {0} LIKE '_-%' THEN substr({0}, 1, 1) ELSE 'I' END AS mark, CASE WHEN {0} = 'O' THEN NULL WHEN {0} LIKE '_-%' THEN substr({0}, 3) ELSE {0} END AS type FROM typed),
+n_{0} AS (SELECT *, CASE WHEN mark = 'B' OR lag(type) OVER w IS DISTINCT FROM type OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS fresh FROM t_{0} WINDOW w AS (PARTITION BY doc, line ORDER BY pos)),
+e_{0} AS (SELECT doc, line, type, min(pos) AS s, max(pos) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc, line ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM n_{0}) WHERE type IS NOT NULL GROUP BY doc, line, type, run)"""
+_RATIO = "CASE WHEN {1} = 0 THEN 0 ELSE {0} / CAST({1} AS DOUBLE) END"
+
+
+@query(f"""WITH {fx.SQL_WORDS_OF}, typed AS (SELECT *, {_GUESSED} AS pred FROM (SELECT doc, line, pos, {_TYPED} AS gold FROM words)), {_RUNS.format('gold')}, {_RUNS.format('pred')},
+c AS (SELECT coalesce(g.type, p.type) AS type, g.s IS NOT NULL AS g, p.s IS NOT NULL AS p FROM e_gold g FULL JOIN e_pred p ON g.doc = p.doc AND g.line = p.line AND g.type = p.type AND g.s = p.s AND g.e = p.e),
+k AS (SELECT CASE WHEN grouping(type) = 1 THEN 'all' ELSE type END AS type, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE p) AS predicted, count(*) FILTER (WHERE g) AS gold FROM c GROUP BY GROUPING SETS ((type), ()))
+SELECT type, tp, predicted, gold, round({_RATIO.format('tp', 'predicted')}, 6) AS precision, round({_RATIO.format('tp', 'gold')}, 6) AS recall, round({_RATIO.format('2 * tp', '(predicted + gold)')}, 6) AS f1, round((SELECT avg(CAST(gold = pred AS DOUBLE)) FROM typed), 6) AS accuracy FROM k""")
+def entity_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Typed spans in all turns, line by line."""
+    t = fx.words(spark, d).withColumn("gold", F.expr(_TYPED.replace("pos // 3", "pos div 3"))).withColumn("pred", F.expr(_GUESSED))
+    out = mt.entity_scores(t, ["doc", "line"])
+    return out.select("type", "tp", "predicted", "gold", *(r6(c, c) for c in ("precision", "recall", "f1", "accuracy")))
+
+
+#: Three annotators, of whom the third skips every fifth line.
+_RATED = "run < 2 OR (doc + line) % 5 <> 0"
+
+
+@query(f"""WITH {_PREDS}, {_BLOCK}, x AS (SELECT * FROM blocks WHERE {_RATED}), nb AS (SELECT run, count(*) AS n FROM x GROUP BY 1),
+p AS (SELECT a.run AS ra, b.run AS rb, a.pred AS la, b.pred AS lb FROM x a JOIN x b ON a.doc = b.doc AND a.line = b.line AND a.run < b.run),
+s AS (SELECT ra, rb, count(*) AS shared_blocks, avg(CAST(la = lb AS DOUBLE)) AS exact FROM p GROUP BY 1, 2), q AS (SELECT ra, rb, unnest(la) AS a, unnest(lb) AS b FROM p),
+m AS (SELECT ra, rb, CAST(count(*) AS DOUBLE) AS n, CAST(sum(a) AS DOUBLE) AS a1, CAST(sum(b) AS DOUBLE) AS b1, CAST(count(*) FILTER (WHERE a = b) AS DOUBLE) AS same, CAST(count(*) FILTER (WHERE a = 1 AND b = 1) AS DOUBLE) AS xx FROM q GROUP BY 1, 2),
+r AS (SELECT ra, rb, n, same / n AS o, (a1 * b1 + (n - a1) * (n - b1)) / (n * n) AS e, (n - same) * 2 / (2 * n) AS dis, 1 - ((a1 + b1) * (a1 + b1 - 1) + (2 * n - a1 - b1) * (2 * n - a1 - b1 - 1)) / (2 * n * (2 * n - 1)) AS de, 2 * xx / (a1 + b1) AS dice FROM m),
+u AS (SELECT doc, line, i, list(v) AS vs FROM (SELECT doc, line, unnest(pred) AS v, unnest(range(len(pred))) AS i FROM x) GROUP BY 1, 2, 3), c AS (SELECT CAST(len(vs) AS DOUBLE) AS m, CAST(list_sum(vs) AS DOUBLE) AS y FROM u WHERE len(vs) >= 2),
+ka AS (SELECT count(*) AS tokens, count(*) FILTER (WHERE m = 3) AS full_tokens, sum(m) AS t, sum((m * m - y * y - (m - y) * (m - y)) / (m - 1)) AS d, sum(y) AS y1, sum(m - y) AS y0 FROM c),
+fk AS (SELECT avg((y * (y - 1) + (3 - y) * (2 - y)) / 6) AS o, sum(y) AS y1, sum(3 - y) AS y0, count(*) * 3.0 AS t FROM c WHERE m = 3)
+SELECT CAST(r.ra AS STRING) AS who_a, CAST(r.rb AS STRING) AS who_b, shared_blocks, ba.n - shared_blocks AS unmatched_a, bb.n - shared_blocks AS unmatched_b, round(exact, 6) AS exact_block_agreement, CAST(r.n AS BIGINT) AS tokens, NULL AS tokens_with_all, round(o, 6) AS observed_agreement, round((o - e) / (1 - e), 6) AS cohen_kappa, round(1 - dis / de, 6) AS alpha, NULL AS fleiss_kappa, round(dice, 6) AS positive_dice
+FROM r JOIN s ON s.ra = r.ra AND s.rb = r.rb JOIN nb ba ON ba.run = r.ra JOIN nb bb ON bb.run = r.rb
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, tokens, full_tokens, NULL, NULL, round(1 - (d / ka.t) / ((ka.t * ka.t - ka.y1 * ka.y1 - ka.y0 * ka.y0) / (ka.t * (ka.t - 1))), 6), round((o - (fk.y1 * fk.y1 + fk.y0 * fk.y0) / (fk.t * fk.t)) / (1 - (fk.y1 * fk.y1 + fk.y0 * fk.y0) / (fk.t * fk.t)), 6), NULL FROM ka, fk""")
+def agreement_report(spark: SparkSession, d: str) -> DataFrame:
+    """Each two annotators with what they do not share, and all of them."""
+    b = blocks(spark, d).where(_RATED).select(F.concat_ws("-", F.col("doc").cast("string"), F.col("line").cast("string")).alias("key"), F.col("run").cast("string").alias("annotator"), F.col("pred").alias("labels"))
+    rates = ("exact_block_agreement", "observed_agreement", "cohen_kappa", "alpha", "fleiss_kappa", "positive_dice")
+    return ag.report(b, 3).select("who_a", "who_b", "shared_blocks", "unmatched_a", "unmatched_b", "tokens", "tokens_with_all", *(r6(c, c) for c in rates))

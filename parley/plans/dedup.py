@@ -66,7 +66,8 @@ def near_dup_ratio(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT a AS node, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.node WHERE r.c < u.b)
 SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
-    return connected(sim.candidates(_forms(spark, d)).where("10 * shared >= 5 * (n_a + n_b - shared)").select("a", "b"))
+    f = sim.spread(_forms(spark, d).where(F.size("toks") >= lx.NEAR_MIN_TOKENS))
+    return connected(sim.similar_sets(f.select("id", F.array_distinct(sim.ngrams(F.col("toks"), 3)).alias("g")), 50).select("a", "b"))
 
 
 @query()
@@ -75,6 +76,16 @@ def similarity_clusters(spark: SparkSession, d: str) -> DataFrame:
     return sim.clusters(s, sim.near_links(s), role_col="lang", index_col="line").drop("form")
 
 
+@query(f"""WITH {fx.LINES}, {_FORMS}, s AS (SELECT l.doc_id * 1000000 + l.line AS id, l.source, l.lang, l.line, array_to_string({fx.SQL_WORDS.format('l.text')}, ' ') AS form FROM lines l),
+k AS (SELECT form, min(id) AS component, count(*) AS n, count(DISTINCT source) AS iv, substr(sha256(concat('[', string_agg(concat('["\\"', source, '\\"","', lang, '",', line, ',"', form, '"]'), ',' ORDER BY source, lang, line), ']')), 1, 24) AS cid FROM s GROUP BY 1)
+SELECT s.id, s.source, s.lang AS role, component, cid AS similarity_cluster_id, n AS similarity_cluster_size, iv AS similarity_cluster_interview_count, iv >= 3 AS scripted_recurrence FROM s JOIN k USING (form)""")
+def exact_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of equal wording alone, under the ids that their members give."""
+    s = sentences(spark, d)
+    none = spark.createDataFrame([], "a long, b long")
+    return sim.clusters(s, none, role_col="lang", index_col="line").drop("form")
+
+
 _INTERVIEWS = "iv AS (SELECT DISTINCT conv_id AS interview_id, conv_id % 3 AS interviewer_id FROM conversations)"
 _SPLITS = "sp AS (SELECT interview_id, interviewer_id, CASE row_number() OVER (PARTITION BY interviewer_id ORDER BY sha256(concat('42|', CAST(interview_id AS STRING))), interview_id) WHEN 1 THEN 'test' WHEN 2 THEN 'val' ELSE 'train' END AS split FROM iv)"
 

@@ -371,3 +371,39 @@ def semdist_summary(spark: SparkSession, d: str) -> DataFrame:
 def blind_spot(spark: SparkSession, d: str) -> DataFrame:
     l = fx.lines(spark, d).select((F.col("doc_id") * 1_000_000 + F.col("line")).alias("line"), german.tokens(F.col("text")).alias("tokens"))
     return asr.blind_spot(l).select("line", F.array_join("without_cue", " ").alias("without_cue"), F.array_join("without_other", " ").alias("without_other"))
+
+
+# -- words and time windows -------------------------------------------------------------------------------------------------
+
+#: A word's time, and windows that leave gaps and overlap.
+_WIN = "(SELECT doc, CAST(k AS INTEGER) AS win, k * 3.0 AS lo, k * 3.0 + CASE WHEN k % 4 = 0 THEN 2.25 ELSE 3.5 END AS hi FROM (SELECT doc, unnest(range(n)) AS k FROM (SELECT doc, CAST(max(pos) * 0.375 / 3 AS BIGINT) + 1 AS n FROM words GROUP BY 1)))"
+
+
+@query(f"WITH {fx.SQL_WORDS_OF}, v AS {_WIN} SELECT w.doc, w.pos, v.win FROM words w JOIN v ON v.doc = w.doc AND w.pos * 0.375 >= v.lo AND w.pos * 0.375 < v.hi")
+def token_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Each word of the turns with the time windows that hold it."""
+    w = fx.words(spark, d).withColumn("at", F.col("pos") * 0.375)
+    n = w.groupBy("doc").agg((F.round(F.max("pos") * 0.375 / 3).cast("long") + 1).alias("n"))
+    k = n.select("doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    v = k.select("doc", F.col("k").cast("int").alias("win"), (F.col("k") * 3.0).alias("lo"), (F.col("k") * 3.0 + F.when(F.col("k") % 4 == 0, 2.25).otherwise(3.5)).alias("hi"))
+    return asr.in_intervals(w, v, "at", "lo", "hi", ["doc"], 3.0).select("doc", "pos", "win")
+
+
+@query(f"""WITH {_T}, h AS (SELECT system, doc, line, pos, row_number() OVER (PARTITION BY system, doc ORDER BY pos) - 1 AS hyp_pos FROM toks WHERE op <> 'delete')
+SELECT doc, line, CAST(hyp_pos // 8 AS INTEGER) AS win, count(*) AS n FROM h GROUP BY 1, 2, 3""")
+def window_votes(spark: SparkSession, d: str) -> DataFrame:
+    """How many words of the six systems put each line into each window of eight heard words."""
+    t = fx.system_tokens(spark, d)
+    heard = t.where("op <> 'delete'").withColumn("hyp_pos", F.row_number().over(W.partitionBy("system", "doc").orderBy("pos")) - 1)
+    matched = heard.select("system", "doc", "pos", "hyp_pos")
+    wins = heard.select("system", "doc", "hyp_pos", F.floor(F.col("hyp_pos") / 8).cast("int").alias("win"))
+    return asr.window_votes(matched, fx.words(spark, d).select("doc", "pos", "line"), wins)
+
+
+@query()
+def heard_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The same from real alignments: windows of eight words of the hypothesis, lines of ten of the reference."""
+    al = materialize(asr.alignments(fx.transcripts(spark, d), variants=("normalized",)), "alignments")
+    wins = al.select("system", "doc", F.posexplode("hyp_normalized").alias("hyp_pos", "w")).select("system", "doc", "hyp_pos", F.floor(F.col("hyp_pos") / 8).cast("int").alias("win"))
+    lines = al.select("doc", F.posexplode("ref_normalized").alias("pos", "w")).select("doc", "pos", F.floor(F.col("pos") / 10).cast("long").alias("line"))
+    return asr.window_votes(asr.matched_positions(al), lines, wins)

@@ -39,8 +39,34 @@ def test_near_links_equal_all_pairs(spark):
             x, y = (f, g) if first[f] == a else (g, f)
             if (r := SequenceMatcher(None, x, y, autojunk=False).ratio()) >= 0.92:
                 want[a, b] = r
-    got = {(r["a"], r["b"]): r["ratio"] for r in sim.near_links(df).collect()}
-    assert len(want) > 20 and got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    for common in (1000, 3, 0):  # no trigram, some, and all of them meet by their rarest runs of characters
+        got = {(r["a"], r["b"]): r["ratio"] for r in sim.near_links(df, common=common).collect()}
+        assert len(want) > 20 and got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_lines_that_thousands_vary_meet_in_small_groups(spark):
+    """A fixed sentence with two free words: the runs by which its forms meet grow with the forms, their pairs do not with the square."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(8))
+
+    def keys(n):
+        rows = [(i, f"thank you for calling the office of {word()} {word()}") for i in range(n)]
+        f = spark.createDataFrame(rows, "id long, form string")
+        tokens = sim._prefixes(f, 0.92, 3).groupBy("token").count()
+        return tokens.agg(F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
+
+    (rows, pairs), (more_rows, more_pairs) = keys(200), keys(800)
+    assert 3.9 < more_rows / rows < 4.1 and more_pairs < 0.25 * 800 * 800 * 20
+
+
+def test_similar_sets_equal_all_pairs(spark):
+    rng = random.Random(5)
+    sets = [{rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))} | {"common"} for _ in range(90)] + [set(), {"common"}, {"common"}]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, g array<string>")
+    for percent in (50, 80, 100):
+        want = {(i, j): (len(a & b), len(a), len(b)) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if a and 100 * len(a & b) >= percent * len(a | b)}
+        assert {(r["a"], r["b"]): tuple(r)[2:] for r in sim.similar_sets(df, percent).collect()} == want and want
+    assert sim.similar_sets(df.limit(0), 50).count() == 0
 
 
 def test_cluster_ids_follow_the_members(spark):
