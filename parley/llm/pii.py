@@ -1,7 +1,9 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
-Kinds with a fixed contract (email, ip, card, phone) always stand; the method adds IBANs that pass mod-97 and card
-numbers of 13 to 15 digits that pass Luhn and have a card word nearby. Built-in functions only.
+A span's score is in whole hundredths: what its kind's form is worth, what a checksum adds, what a context word nearby adds.
+Kinds with a fixed contract (email, ip, card, phone) stand at any score; the method adds spans of other kinds that reach
+NEEDED: IBANs (unbroken, or printed in groups of four) that pass mod-97, and card numbers of 13 to 15 digits that pass
+Luhn, whose weaker form needs a card word nearby. Built-in functions only.
 
 Defined cases: a null text counts as empty; a long text is read whole (every pattern is linear in it: possessive, and
 not tried again inside a run that failed). Rows are independent, so repeated rows and ids do no harm.
@@ -22,6 +24,8 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
+#: In groups of four; a shorter group may come last.
+GROUPED = r"[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3}(?![A-Za-z0-9_]))?"
 SHORT_CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 
 #: Words that speak for a kind when they stand within WINDOW code points of the span.
@@ -33,8 +37,12 @@ CONTEXT = {
     "iban": "iban|account|bank|konto|compte|cuenta",
 }
 WINDOW = 40
-#: What a kind's form alone is worth, what its checksum adds, what a context word adds, and what a span needs.
-FORM, CHECKSUM, NEARBY, NEEDED = 0.4, 0.3, 0.2, 0.7
+#: In hundredths: what a kind's form is worth (with its checksum, where it has one), what a context word adds, and what an added kind needs.
+WORTH = {"email": 70, "ip": 40, "card": 70, "phone": 40, "iban": 80, "grouped_iban": 80, "short_card": 70}
+NEARBY, NEEDED = 20, 80
+#: The kind whose context words count.
+WORDS_OF = {"grouped_iban": "iban", "short_card": "card"}
+BASE = ("email", "ip", "card", "phone")
 
 
 def luhn(digits: Column) -> Column:
@@ -80,36 +88,35 @@ def found(text: Column) -> dict[str, Column]:
     card = F.filter(spans(text, CARD, has_digit), lambda s: F.length(digits(s)).between(16, 19) & luhn(digits(s)))
     small = lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3  # noqa: E731  so that the cast cannot overflow
     ip = F.filter(spans(text, IP, has_digit), lambda s: F.forall(parts(s), lambda p: small(p) & (F.when(small(p), p.cast("int")).otherwise(256) <= 255)))
-    score = lambda s, kind: FORM + CHECKSUM + F.when(_near(text, s, kind), NEARBY).otherwise(0.0)
-    return {
-        "email": spans(text, EMAIL, text.contains("@")),
-        "ip": ip,
-        "card": card,
-        "phone": F.filter(spans(text, PHONE, text.contains("+")), lambda s: F.length(digits(s)).between(8, 15)),
-        "iban": F.filter(spans(text, IBAN, has_digit), lambda s: _alone(text, s) & mod97(s["value"]) & (score(s, "iban") >= NEEDED)),
-        # a short number passes Luhn once in ten: it needs a word nearby
-        "short_card": F.filter(spans(text, SHORT_CARD, has_digit), lambda s: F.length(digits(s)).between(13, 15) & _alone(text, s) & luhn(digits(s)) & (score(s, "card") >= NEEDED + NEARBY)),
+    joined = lambda s: F.replace(s["value"], F.lit(" "), F.lit(""))
+    added = {
+        "iban": F.filter(spans(text, IBAN, has_digit), lambda s: _alone(text, s) & mod97(s["value"])),
+        "grouped_iban": F.filter(spans(text, GROUPED, has_digit), lambda s: _alone(text, s) & F.length(joined(s)).between(15, 34) & mod97(joined(s))),
+        # a short number passes Luhn once in ten: its form alone is not enough
+        "short_card": F.filter(spans(text, SHORT_CARD, has_digit), lambda s: F.length(digits(s)).between(13, 15) & _alone(text, s) & luhn(digits(s))),
     }
+    phone = F.filter(spans(text, PHONE, text.contains("+")), lambda s: F.length(digits(s)).between(8, 15))
+    out = {"email": spans(text, EMAIL, text.contains("@")), "ip": ip, "card": card, "phone": phone}
+    with_score = lambda k: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _score(text, s, k).alias("score"))
+    out = {k: F.transform(c, with_score(k)) for k, c in (out | added).items()}
+    return out | {k: F.filter(out[k], lambda s: s["score"] >= NEEDED) for k in added}
+
+
+def _score(text: Column, s: Column, kind: str) -> Column:
+    return F.lit(WORTH[kind]) + F.when(_near(text, s, WORDS_OF.get(kind, kind)), NEARBY).otherwise(0)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and one array of spans (start, end, value, part) for each kind."""
+    """doc_id and one array of spans (start, end, value, score) for each kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return documents(docs, id_col, text_col).select("doc_id", *(c.alias(k) for k, c in found(text).items()))
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, kind, start, end, value, score: one row for each span, with the score that nearby words adjust."""
+    """doc_id, kind, start, end, value, score: one row for each span."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    checked = {"card", "iban", "short_card"}
-
-    def of(kind: str, spans_of: Column) -> Column:
-        word = "card" if kind == "short_card" else kind
-        score = lambda s: F.lit(FORM + CHECKSUM * (kind in checked)) + F.when(_near(text, s, word), NEARBY).otherwise(0.0)
-        return F.transform(spans_of, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score(s).alias("score")))
-
-    all_of = [of(k, c) for k, c in found(text).items()]
-    return documents(docs, id_col, text_col).select("doc_id", F.inline(F.concat(*all_of)))
+    named = lambda k: lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["score"].alias("score"))
+    return documents(docs, id_col, text_col).select("doc_id", F.inline(F.concat(*(F.transform(c, named(k)) for k, c in found(text).items()))))
 
 
 def redact(docs: DataFrame, mask: str = "<{}>", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,11 +135,12 @@ def redact(docs: DataFrame, mask: str = "<{}>", id_col: str = "doc_id", text_col
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """The contract's columns from what find_pii() returns."""
-    base = [(k, F.col(k)) for k in ("email", "ip", "card", "phone")]
+    """The contract's columns from what find_pii() returns, and the scores of all spans in their order."""
+    every = [(k, F.col(k)) for k in WORTH]
     return rows.select(
         "doc_id",
-        *(F.size(c).cast("long").alias(f"n_{k}") for k, c in base),
-        F.sha2(listed(base), 256).alias("base_sha256"),
-        listed([*base, ("iban", F.col("iban")), ("short_card", F.col("short_card"))]).alias("spans"),
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE),
+        F.sha2(listed(every[:4]), 256).alias("base_sha256"),
+        listed(every).alias("spans"),
+        F.array_join(F.concat(*(F.transform(k, lambda s: s["score"].cast("string")) for k in WORTH)), ",").alias("scores"),
     )

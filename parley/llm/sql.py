@@ -50,16 +50,25 @@ def _digits(v: str, lo: int, hi: int) -> str:
 
 
 _ALONE = "NOT regexp_matches(concat(CASE WHEN s > 0 THEN substr(t, CAST(s AS BIGINT), 1) ELSE '' END, ' ', substr(t, CAST(s + length(v) + 1 AS BIGINT), 1)), '[A-Za-z0-9]')"
-_NEAR = f"regexp_matches(concat_ws(' ', substr(t, CAST(greatest(s - {pii.WINDOW} + 1, 1) AS BIGINT), CAST(least(s, {pii.WINDOW}) AS BIGINT)), substr(t, CAST(s + length(v) + 1 AS BIGINT), {pii.WINDOW})), '(?i)({pii.CONTEXT['card']})')"
-_C = "substr(concat(substr(v, 5), substr(v, 1, 4)), CAST(k AS BIGINT), 1)"
-_MOD97 = f"list_reduce(list_concat([0], list_transform(range(1, length(v) + 1), lambda k: CASE WHEN ascii({_C}) < 58 THEN ascii({_C}) - 48 ELSE ascii({_C}) - 55 END)), lambda a, x: (a * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1"
+
+
+def _scored(kind: str, spans: str) -> str:
+    """The spans with the score that nearby words adjust."""
+    near = f"regexp_matches(concat_ws(' ', substr(t, CAST(greatest(x.s - {pii.WINDOW} + 1, 1) AS BIGINT), CAST(least(x.s, {pii.WINDOW}) AS BIGINT)), substr(t, x.e + 1, {pii.WINDOW})), '(?i)({pii.CONTEXT[pii.WORDS_OF.get(kind, kind)]})')"
+    return f"list_transform({spans}, lambda x: struct_pack(s := x.s, e := x.e, z := {pii.WORTH[kind]} + CASE WHEN {near} THEN {pii.NEARBY} ELSE 0 END))"
+
+
+_V = "replace(v, ' ', '')"
+_C = f"substr(concat(substr({_V}, 5), substr({_V}, 1, 4)), CAST(k AS BIGINT), 1)"
+_MOD97 = f"list_reduce(list_concat([0], list_transform(range(1, length({_V}) + 1), lambda k: CASE WHEN ascii({_C}) < 58 THEN ascii({_C}) - 48 ELSE ascii({_C}) - 55 END)), lambda a, x: (a * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1"
 _KINDS = {
     "email": _spans(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     "ip": _spans(r"[0-9]+(?:\.[0-9]+){3}", "coalesce(list_bool_and(list_transform(string_split(v, '.'), lambda x: coalesce(TRY_CAST(x AS INTEGER) <= 255, FALSE))), FALSE)"),
     "card": _spans(r"[0-9](?:[\x20-]?[0-9])+", f"{_digits('v', 16, 19)} AND {_luhn('v')}"),
     "phone": _spans(r"\+[0-9][\x20().0-9-]+[0-9]", _digits("v", 8, 15)),
     "iban": _spans("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", f"{_ALONE} AND {_MOD97}"),
-    "short_card": _spans(r"[0-9](?:[\x20-]?[0-9])+", f"{_digits('v', 13, 15)} AND {_ALONE} AND {_luhn('v')} AND {_NEAR}"),
+    "grouped_iban": _spans(r"[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3}\b)?", f"{_ALONE} AND length({_V}) BETWEEN 15 AND 34 AND {_MOD97}"),
+    "short_card": _spans(r"[0-9](?:[\x20-]?[0-9])+", f"{_digits('v', 13, 15)} AND {_ALONE} AND {_luhn('v')}"),
 }
 
 
@@ -77,8 +86,10 @@ def _listed(kinds: list[str], by_start: bool = False) -> str:
 
 
 _BASE6 = ["email", "ip", "card", "phone"]
-OP6 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, {', '.join(f'{c} AS {k}' for k, c in _KINDS.items())} FROM d)
-SELECT doc_id, {', '.join(f'CAST(len({k}) AS BIGINT) AS n_{k}' for k in _BASE6)}, sha256({_listed(_BASE6)}) AS base_sha256, {_listed(list(_KINDS))} AS spans FROM f"""
+_SCORED = {k: _scored(k, k) if k in _BASE6 else f"list_filter({_scored(k, k)}, lambda x: x.z >= {pii.NEEDED})" for k in _KINDS}
+_ALL6 = ", ".join(f"list_transform({k}, lambda x: CAST(x.z AS VARCHAR))" for k in _KINDS)
+OP6 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS MATERIALIZED (SELECT doc_id, t, {', '.join(f'{c} AS {k}' for k, c in _KINDS.items())} FROM d), f AS (SELECT doc_id, {', '.join(f'{c} AS {k}' for k, c in _SCORED.items())} FROM p)
+SELECT doc_id, {', '.join(f'CAST(len({k}) AS BIGINT) AS n_{k}' for k in _BASE6)}, sha256({_listed(_BASE6)}) AS base_sha256, {_listed(list(_KINDS))} AS spans, coalesce(array_to_string(flatten([{_ALL6}]), ','), '') AS scores FROM f"""
 
 OP7 = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)

@@ -237,11 +237,27 @@ def test_pii(spark, empty):
         assert got[i]["base_sha256"] == hashlib.sha256(",".join(x for s in spans for x in s).encode()).hexdigest()
         assert got[i]["spans"].startswith(",".join(x for s in spans for x in s))
     assert got[7]["spans"] == "iban:5:27" and "short_card" in got[4]["spans"] and "short_card" not in got[5]["spans"]
-    assert [round(r["score"], 6) for r in pii.scored(df).where("kind = 'iban'").collect()] == [0.9]
+    assert [r["score"] for r in pii.scored(df).where("kind = 'iban'").collect()] == [100] and got[7]["scores"] == "100"
     assert pii.redact(df).where("doc_id = 7").first()["text"] == "IBAN <iban> and DE89370400440532013001"
     assert pii.digest(pii.find_pii(empty)).count() == 0
 
 
+def test_context_tips_a_span(spark):
+    """The same number stands with a word nearby and not without; scores are those of the spans, in their order; IBANs in groups."""
+    rows = [
+        ("378282246310005 is an order", "", ""),
+        ("378282246310005 is an Amex", "short_card:0:15", "90"),
+        ("378282246310005" + " " * 41 + "amex", "", ""),
+        ("DE89 3704 0044 0532 0130 00, so", "grouped_iban:0:27", "80"),
+        ("account DE89 3704 0044 0532 0130 00", "grouped_iban:8:35", "100"),
+        ("DE89 3704 0044 0532 0130 01 xDE89 3704 0044 0532 0130 00", "", ""),
+        ("NO93 8601 1117 947 and BE68 5390 0754 7034", "grouped_iban:0:18,grouped_iban:23:42", "80,80"),
+        ("a@b.cd, contact 1.2.3.4 host", "email:0:6,ip:16:23", "90,60"),
+    ]
+    got = pii.digest(pii.find_pii(spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert [(r["spans"], r["scores"]) for r in got] == [r[1:] for r in rows]
+
+
 def test_secrets(spark, empty):
     key = "ghp_" + "a1B2" * 10
     texts = [None, "", "Password: 'hunter22' TOKEN==abc password = x", "AKIA" + "Q" * 16 + " AKIA" + "Q" * 15, "f" * 24 + " 😀 " + "0a" * 11 + "z", f"see {key}", "api-key api_key=abcdef apikey:\"zzzzzz\"", "token" + " " * 20_000 + "= secret=abcdef123"]
@@ -303,6 +319,28 @@ def test_substrings_of_long_repetitive_texts(spark):
     assert got == {1: (n, 0), 2: (n + 1, n), 3: (50, 0)}
 
 
+def test_warc_inflates_no_payload_of_a_rejected_record(tmp_path):
+    """Headers alone, some bytes more at most, whatever the payload; all of it where the record passes."""
+    body = [bytes([65 + i % 3]) * n for i, n in enumerate((7_800, 3_000_000, 50_000_000, 10))]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(warc.member(warc.record({"WARC-Type": "response" if i < 3 else "revisit", "WARC-Target-URI": f"u{i}"}, b)) for i, b in enumerate(body)))
+    part = warc.Part(str(path), 0, path.stat().st_size)
+    none, one, bare = warc.Reader({"path": str(tmp_path)}), warc.Reader({"path": str(tmp_path)}), warc.Reader({"path": str(tmp_path), "payload": "false"})
+    none.tests, one.tests = [("warc-type", "is", ("metadata",))], [("warc-target-uri", "is", ("u1",))]
+    assert not list(none._records(part)) and none.inflated <= 4 * 1024
+    assert [(h["warc-target-uri"], p) for h, p in one._records(part)] == [("u1", body[1])] and one.inflated <= len(body[1]) + 5 * 1024
+    assert len(list(bare._records(part))) == 4 and bare.inflated <= 4 * 1024
+
+
+def test_warc_of_text_ids_and_a_large_page(spark):
+    big = "x y " * 12_500_000
+    rows = [("a:b>c", "p" * 2000), ("ä z", "p" * 2000), ("null", "q" * 1500), (None, "q" * 1500), ("big", big), ("", "short")]
+    df = spark.createDataFrame(rows[:4] + rows[5:], "page_id string, html string").unionByName(spark.createDataFrame([("big",)], "page_id string").withColumn("html", F.repeat(F.lit("x y "), 12_500_000))).withColumn("url", F.lit("http://u/"))
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.digest(warc.read(spark, warc.archive(df)), "string").collect() if r["page_id"] or r["payload_bytes"] > 1000}
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert got == {"a:b>c": (2000, sha(rows[0][1]), "revisit", "ä z"), "ä z": (2000, sha(rows[0][1]), "response", None), "null": (1500, sha(rows[2][1]), "response", None), None: (1500, sha(rows[2][1]), "response", None), "big": (50_000_000, sha(big), "response", None)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>ä</p>" * 300
     pages = [(1, "u1", long), (2, "u2", long), (3, "u3", "short"), (4, "u4", "short"), (5, "u\r\n5", None), (6, None, "x\r\n\r\nWARC/1.1" * 200), (7, "u2/7", long), (None, "n", "null id")]
