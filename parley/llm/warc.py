@@ -2,8 +2,8 @@
 
 Reading: one partition per stretch of about `split_bytes` of an archive (the manifest knows where records begin).
 Predicates on the record type, URI and other header fields are pushed into the source. Each record is a gzip member whose
-extra field "sl" holds its packed and unpacked lengths: the reader inflates a member only until the header block ends,
-tests the pushed predicates, and jumps to the next member; a payload is inflated only where it is wanted (option
+extra field "sl" holds its packed and unpacked lengths: the reader inflates a member STEP bytes at a time until the header
+block ends, tests the pushed predicates, and jumps to the next member; a payload is inflated only where it is wanted (option
 payload, default true) and the record passes. Archives are fetched `ahead_bytes` at a time, so that small records do not
 cost a request each on an object store.
 
@@ -11,7 +11,8 @@ Writing: each task writes an archive under a name of its own; the commit lists t
 so what lost or repeated attempts leave behind is never read. Paths are opened by pyarrow's file systems (file, hdfs, s3,
 gs), not by the local open().
 
-Defined cases: a null page is an empty payload; a null page id is the record id <urn:page:null>; equal payloads with
+Defined cases: a null page is an empty payload; a null page id is the record id <urn:page>, any other is part of it as
+in a URL, so ids may be of any type with an order (an empty text comes back as null); equal payloads with
 equal greatest ids are all responses; repeated rows are records of their own. Outer blanks of a URI come back, line breaks
 in it do not. An empty table makes an archive folder without records. register() leaves Python filter pushdown on in the
 session, which readers need when their query is planned, after this module is done.
@@ -50,6 +51,8 @@ FIELDS = {
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = ", ".join(f"{c} {'long' if c == 'payload_bytes' else 'string'}" for c in FIELDS) + ", payload binary"
 END = b"\r\n\r\n"
+#: Bytes that are inflated at a time while a header is looked for.
+STEP = 512
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -120,6 +123,7 @@ class Reader(DataSourceReader):
         self.ahead = int(options.get("ahead_bytes", 4 << 20))
         self.wanted = options.get("payload", "true").lower() != "false"
         self.tests: list[tuple[str, str, tuple[str, ...]]] = []
+        self.inflated = 0  # bytes, by this copy of the reader
 
     def pushFilters(self, filters):  # noqa: N802  Spark's name
         for f in filters:
@@ -183,24 +187,27 @@ class Reader(DataSourceReader):
                 length = None
                 if head[3] & 4 and head[12:14] == b"sl":
                     length = struct.unpack("<I", head[16:20])[0]
-                inflate = zlib.decompressobj(31)
-                data, ended = inflate.decompress(head), False
+                inflate, data, feed = zlib.decompressobj(31), b"", head
                 while END not in data and not inflate.eof:
-                    more = f.read(1 << 12)
-                    ended = not more
-                    if ended:
-                        break
-                    data += inflate.decompress(more)
+                    got = inflate.decompress(feed, STEP)
+                    feed = inflate.unconsumed_tail
+                    if not got and not feed:
+                        feed = f.read(1 << 12)
+                        if not feed:
+                            break
+                    data += got
+                self.inflated += len(data)
                 block, _, rest = data.partition(END)
                 header = parse_header(block)
                 passes = self._passes(header)
                 if length is None or (passes and self.wanted):
-                    parts, more = [rest], b""
+                    parts = [rest]
                     while not inflate.eof:
-                        more = f.read(1 << 16)
-                        if not more:
+                        feed = inflate.unconsumed_tail or feed or f.read(1 << 16)
+                        if not feed:
                             break
-                        got = inflate.decompress(more)
+                        got, feed = inflate.decompress(feed, 1 << 20), b""
+                        self.inflated += len(got)
                         if passes and self.wanted:
                             parts.append(got)
                     if length is None:
@@ -296,13 +303,13 @@ def register(spark: SparkSession) -> None:
 def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", least: int = 1000) -> DataFrame:
     """One record for each page: a payload of at least `least` bytes that a greater id also has becomes a revisit of it."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    raw = pages.select(q(id_col).cast("long").alias("page_id"), q(html_col).alias("html"), q(url_col).alias("url"))
+    raw = pages.select(q(id_col).alias("page_id"), q(html_col).alias("html"), q(url_col).alias("url"))
     rows = raw.select("page_id", "url", html.cast("binary").alias("body"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("sha"))
     long = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "sha")
     first = long.groupBy("sha").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = materialize(first, "payloads")
     again = spread_join(rows, first, ["sha"], pages.count(), "n", "left").withColumn("again", F.coalesce((F.col("first") > F.col("page_id")) & (F.col("payload_bytes") >= least), F.lit(False)))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    urn = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">")), F.lit("<urn:page>"))
     return again.select(
         urn(F.col("page_id")).alias("record_id"),
         F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"),
@@ -331,9 +338,11 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def digest(records: DataFrame) -> DataFrame:
-    """The contract's columns, from records as read back: of responses by their payloads, of revisits by their headers."""
-    number = lambda c: F.try_element_at(F.split(c, "[:>]"), F.lit(3)).try_cast("long")
+def digest(records: DataFrame, kind: str = "long") -> DataFrame:
+    """The contract's columns, from records as read back: of responses by their payloads, of revisits by their headers.
+
+    kind: the type of the pages' ids."""
+    number = lambda c: F.url_decode(F.nullif(F.regexp_extract(c, "(?s)^<urn:page:(.*)>$", 1), F.lit(""))).cast(kind)
     full = F.col("record_type") == "response"
     return records.select(
         number(F.col("record_id")).alias("page_id"),
