@@ -293,20 +293,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sigs = texts.select("node", "sig")
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Pairs within the distance; signatures are short, so those of hubs are broadcast."""
+        """Pairs (u, v) within the distance. v is a hub, of any number of pairs; signatures are short, so those of hubs are
+        broadcast. u has a pair for each of its keys at most."""
         pairs = materialize(pairs, "pairs")
-        total = pairs.count()
-        for c, k in (("u", "ku"), ("v", "kv")):
-            of = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("__n")).join(sigs.select(F.col("node").alias(c), F.col("sig").alias(k)), c)
-            pairs = spread_join(pairs, materialize(of, "pair-signatures"), [c], total, "__n")
-        return pairs.select("u", "v", "ku", "kv").mapInArrow(_near(signer, most), "u long, v long")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (u, v), on the full shingle sets of whole texts; a hub's text goes once to each thousand of its pairs."""
+        hubs = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("__n")).join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("kv")), "v")
+        both = spread_join(pairs, materialize(hubs, "hub-signatures"), ["v"], pairs.count(), "__n").join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("ku")), "u")
+        return both.select("u", "v", "ku", "kv").mapInArrow(_near(signer, most), "u long, v long")
+
+    def confirmed(pairs: DataFrame, any_hub: bool = False) -> DataFrame:
+        """Links among pairs (u, v), on the full shingle sets of whole texts; the text of a hub v goes once to each thousand of its
+        pairs. any_hub: u may be one too."""
         pairs = materialize(pairs, "near-pairs")
         tu, tv = (texts.select(F.col("node").alias(c), F.col("text").alias(t)) for c, t in (("u", "tu"), ("v", "tv")))
-        one = materialize(salted_join(pairs, tv, "v", "u"), "pair-texts")
-        return materialize(salted_join(one, tu, "u", "v").select("u", "v", "tu", "tv").mapInArrow(_confirm(shingle, percent), "u long, v long"), "confirmed")
+        one = salted_join(pairs, tv, "v", "u")
+        both = salted_join(materialize(one, "pair-texts"), tu, "u", "v") if any_hub else one.join(tu, "u")
+        return materialize(both.select("u", "v", "tu", "tv").mapInArrow(_confirm(shingle, percent), "u long, v long"), "confirmed")
 
     def grouped(links: DataFrame) -> DataFrame:
         return materialize(connected(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("component", "comp"), "components")
@@ -319,16 +320,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return own, materialize(mixed.select("key", "n", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / BLOCK_BYTES)).alias("blocks"), (F.col("n") > crowd).alias("many"), F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "mixed-keys")
 
     # 1. a star in each key about its least member
-    pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    star = members.where("node > lo").select(*pair("node", "lo")).distinct()
+    star = members.where("node > lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).distinct()
     links = confirmed(near(star))
     comps = grouped(links)
     # 2. another in the keys whose members are still apart, about a member of each key's own: members get many hubs
     own, mixed = placed(comps)
-    again = spread_join(own, mixed, ["key"], n_members, "n").where("comp <> hub_comp").select(*pair("node", "hub")).distinct()
-    links = links.unionByName(confirmed(near(again)))
+    again = spread_join(own, mixed, ["key"], n_members, "n").where("comp <> hub_comp").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    more = confirmed(near(again))
     drop(own)
-    comps = grouped(links)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comps = grouped(links)
     # 3. what is still apart: all members of a key meet, block by block
     own, mixed = placed(comps)
     dealt = spread_join(own, mixed, ["key"], n_members, "n").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -342,8 +344,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = materialize(meeting.mapInArrow(_meet(signer, errors, most, percent), "u long, v long").distinct(), "unsettled-pairs")
     drop(own)
     drop(blocks)
-    if not rest.isEmpty():
-        comps = grouped(links.unionByName(confirmed(rest)))
+    if not rest.isEmpty() and not (more := confirmed(rest, any_hub=True)).isEmpty():
+        comps = grouped(links.unionByName(more))
 
     # a component is named by the least id in it
     named = materialize(nodes.drop("keys").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
