@@ -80,6 +80,8 @@ def _pushed(edges: DataFrame, cells: DataFrame, crowd: int) -> DataFrame:
             drop(before)
             active = materialize(_needs(cells, held).join(labels, "cell"), "active")
         needs = materialize(_needs(cells, held), "needs")
+        if needs.isEmpty():
+            break
         labels = materialize(_labels(edges, held, needs, total), "labels")
         active = materialize(needs.join(labels, "cell"), "active")
     return held
