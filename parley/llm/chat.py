@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from parley.llm._common import materialize, q
+from parley.llm._common import materialize, q, spread_join
 
 # What speakers are called at the start of a unit, by role.
 NAMES = {
@@ -78,10 +78,13 @@ class Model:
 
 
 def units(rows: DataFrame, id_col: str, pos_col: str, text_col: str, block: int, role_col: str | None = None) -> DataFrame:
-    """conv, pos, text, role, block and the features of each row."""
+    """conv, pos, text, role, block and the features of each row. A transcript opens with its least position, whatever that is."""
     raw = rows.select(q(id_col).alias("conv"), q(pos_col).cast("long").alias("pos"), q(text_col).alias("text"), (q(role_col) if role_col else F.lit(None).cast("string")).alias("role"))
-    first = F.coalesce(F.col("pos"), F.lit(-1)) <= 0
-    return raw.withColumn("block", F.floor(F.coalesce("pos", F.lit(-1)) / block).cast("long")).select("*", *(c.alias(k) for k, c in features(F.col("text"), first).items()))
+    least = materialize(raw.where("conv IS NOT NULL AND pos IS NOT NULL").groupBy("conv").agg(F.min("pos").alias("least"), F.count(F.lit(1)).alias("n")), "openings")
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    raw = spread_join(raw, least, ["conv"], total, "n", how="left")
+    first = F.col("pos").isNull() | (F.col("pos") <= F.coalesce("least", F.lit(0)))
+    return raw.withColumn("first", first).drop("least").withColumn("block", F.floor(F.coalesce("pos", F.lit(-1)) / block).cast("long")).select("*", *(c.alias(k) for k, c in features(F.col("text"), F.col("first")).items())).drop("first")
 
 
 def fit(labelled: DataFrame, id_col: str = "conv_id", pos_col: str = "turn", text_col: str = "text", role_col: str = "role", block: int = 256, weight: float = 0.5) -> Model:

@@ -58,6 +58,16 @@ def test_turns_that_tie_or_repeat(spark):
     assert none.count() == 0
 
 
+def test_transcripts_may_start_anywhere(spark):
+    """Positions from 0, 1 or 1000 on: the same roles, since the first unit opens a transcript; units without a transcript or place too."""
+    labelled = [(k, t, r, x) for k in range(6) for t, (r, x) in enumerate([("user", "What now?"), ("assistant", "y " * 80)] * 2)]
+    table = lambda rows: spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    models = [chat.fit(table([(k, t + at, r, x) for k, t, r, x in labelled])) for at in (0, 1, 1000)]
+    assert all((m.emit["opens"] == models[0].emit["opens"]).all() for m in models)
+    opened = chat.units(table([(1, 5, None, "a"), (1, 6, None, "b"), (2, 0, None, "c"), (None, 0, None, "d"), (3, None, None, "e"), (4, -7, None, "f")]), "conv_id", "turn", "text", 256)
+    assert {r["text"]: r["opens"] for r in opened.collect()} == {"a": 1, "b": 0, "c": 1, "d": 1, "e": 1, "f": 1}
+
+
 def test_ties_go_to_the_language_that_sorts_first(spark):
     same = [(2 * k + j, f"la casa {k}", x) for k in range(8) for j, x in enumerate(["pt", "es"])]
     model = langid.fit(spark.createDataFrame(same, "doc_id long, text string, lang string"))
