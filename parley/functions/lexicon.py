@@ -11,6 +11,21 @@ UNAMBIGUOUS_INCOMPLETE_FINAL = "als aber also am an auf das dass dem den der die
 PARSER_INCOMPLETE_FINAL = "darf denke denken dürfte glaube glauben kann könnte mag meine meinen möchte muss müsste sage sagen soll sollte will würde".split()
 DEPENDENT_INITIAL = "als dass falls indem nachdem ob obgleich obwohl seitdem sobald sofern solange während weil wenn wobei".split()
 RESTARTS = "Aber Also Danke Danach Dann Das Dazu Du Er Es Genau Gut Hallo Haben Heute Ich Inwieweit Ja Jetzt Kann Können Man Möchten Nein Okay Sie Trifft Und Wann Warum Was Welche Welcher Welches Wem Wen Wer Wie Wieso Wir Wo Wodurch Womit Würden".split()
+# Of RESTARTS, the words that need a finite verb among the next four; lower-case words that start a sentence too, how
+# near that verb has to be, and the words of which the next must be one (none: any); the words a question starts with; what a
+# question's second part may be; what is an abbreviation before a full stop.
+VERBAL_RESTARTS = "Du Er Es Man Sie Und".split()
+LOWER_RESTARTS = [
+    ("wie", 4, "auch häufig ist oft sind viel"),
+    ("warum wieso", 4, ""),
+    ("wann was wer wo", 1, ""),
+    ("du er es ich man sie wir", 4, ""),
+    ("also danach dann jetzt", 4, ""),
+]
+QUESTION_WORDS = "wann warum was wer wie wieso wo".split()
+QUESTION_GOES_ON = "ADJ DET NOUN PRON PROPN".split()
+ABBREVIATED = "bzw ca d dr prof usw z".split()
+JOINING = ",:;/-–—("
 
 NEGATION_CUES = "nicht nichts nie niemals niemand nirgends nirgendwo kein keine keinen keinem keiner keines nein nee weder ohne".split()
 YES_NO = "ja nein nee jein jo jep doch".split()

@@ -23,7 +23,7 @@ from parley.functions import text as tx
 
 _WORD = re.compile(r"[^\W_]+")
 _LIKERT = re.compile(lx.LIKERT)
-_ABBREVIATION = re.compile(r"(?:\b(?:bzw|ca|dr|prof|usw|d|z)\.|\b[dz]\s*\.\s*[bh]\.|\d\.\d)$", re.IGNORECASE)
+_ABBREVIATION = re.compile(rf"(?:\b(?:{'|'.join(lx.ABBREVIATED)})\.|\b[dz]\s*\.\s*[bh]\.|\d\.\d)$", re.IGNORECASE)
 _BOUNDARY = re.compile(lx.SENTENCE_FINAL)
 _EDGES = ".,;:!?…\"'»«“”„’‘()[]{}"
 #: Finite forms of frequent verbs; with the neighbours of a subject pronoun, a stand-in where no tagger is given.
@@ -87,50 +87,61 @@ class _Open:
         if tag.finite:
             self.finite, self.clause = True, False
 
-    def unfinished(self) -> bool:
-        """By its last word, or by what a tagger says of it."""
+    def bars(self) -> set[str]:
+        """What speaks against an end here, by name."""
         last = self.tags[-1]
-        named = last.tag == "ADJA" and len(self.tags) > 1 and self.tags[-2].pos == "DET" and not _BOUNDARY.search(self.text)
-        return not self.count or self.last in lx.UNAMBIGUOUS_INCOMPLETE_FINAL or last.pos in ("ADP", "CCONJ", "DET", "SCONJ") or named
-
-    def whole(self) -> bool:
-        """Can a parser's boundary follow?"""
-        if self.torn or self.brackets or self.unfinished() or self.clause or self.last in lx.PARSER_INCOMPLETE_FINAL:
-            return False
-        return not (self.credit and not _BOUNDARY.search(self.text))
-
-    def stub(self, following: Tag) -> bool:
-        """The beginning of a question, which a parser likes to cut off."""
-        verbal = self.tags[-1].pos in ("AUX", "VERB") or self.copula
-        return self.first in ("wann", "warum", "was", "wer", "wie", "wieso", "wo") and self.count <= 6 and verbal and following.pos in ("ADJ", "DET", "NOUN", "PRON", "PROPN")
-
-
-def _capital_start(word: str, following: list[str], near: bool, at_once: bool) -> bool:
-    return word in lx.RESTARTS and (near or word not in ("Du", "Er", "Es", "Man", "Sie", "Und"))
-
-
-#: Lower-case words that start a sentence: which, and what must follow (a finite verb soon, or at once, and certain words).
-_LOWER_STARTS: tuple[tuple[frozenset[str], Callable[[list[str], bool, bool], bool]], ...] = (
-    (frozenset({"wie"}), lambda following, near, at_once: near and following[:1] != [] and following[0].casefold() in ("auch", "häufig", "ist", "oft", "sind", "viel")),
-    (frozenset({"warum", "wieso"}), lambda following, near, at_once: near),
-    (frozenset({"wann", "was", "wer", "wo"}), lambda following, near, at_once: at_once),
-    (frozenset({"du", "er", "es", "ich", "man", "sie", "wir"}), lambda following, near, at_once: near),
-    (frozenset({"also", "danach", "dann", "jetzt"}), lambda following, near, at_once: near),
-)
-
-
-def _restarts(left: _Open, bare: Sequence[str], tags: Sequence[Tag], k: int) -> bool:
-    """Does word k clearly start a sentence although nothing ends the one before?"""
-    following, ahead = list(bare[k + 1 : k + 5]), tags[k + 1 : k + 5]
-    near, at_once = any(t.sure for t in ahead), bool(ahead) and ahead[0].sure
-    capital = _capital_start(bare[k], following, near, at_once)
-    if not capital and not any(bare[k] in words and able(following, near, at_once) for words, able in _LOWER_STARTS):
-        return False
-    if left.count < 4 or not (left.finite or (capital and near and left.count >= 6)):
-        return False
-    if left.last in lx.PARSER_INCOMPLETE_FINAL or (left.unfinished() and not left.likert) or left.clause:
-        return False
-    return left.text[-1] not in ",:;/-–—("
+        attribute = last.tag == "ADJA" and len(self.tags) > 1 and self.tags[-2].pos == "DET" and not _BOUNDARY.search(self.text)
+        hangs = not self.count or self.last in lx.UNAMBIGUOUS_INCOMPLETE_FINAL or last.pos in ("ADP", "CCONJ", "DET", "SCONJ") or attribute
+        named = {
+            "bracket": self.torn or bool(self.brackets),
+            "hangs": hangs and not self.likert,
+            "scale": hangs and self.likert,  # "trifft eher zu" ends in a word that elsewhere waits for more
+            "clause": self.clause,
+            "opinion": self.last in lx.PARSER_INCOMPLETE_FINAL,
+            "credit": self.credit and not _BOUNDARY.search(self.text),
+            "short": self.count < 4,
+            "verbless": not self.finite and self.count >= 6,
+            "verbless and short": not self.finite and self.count < 6,
+            "joined": self.text[-1] in lx.JOINING,
+        }
+        return {name for name, holds in named.items() if holds}
+
+    def asks(self, following: Tag) -> bool:
+        """Only the beginning of a question, which a parser likes to cut off."""
+        verbal = self.copula or self.tags[-1].pos in ("AUX", "VERB")
+        return verbal and self.count <= 6 and self.first in lx.QUESTION_WORDS and following.pos in lx.QUESTION_GOES_ON
+
+
+#: What keeps an end from each kind of start: one that a parser proposes, a word that may start a sentence, and one that surely does.
+_KEEPS = {
+    "parser": {"bracket", "hangs", "scale", "clause", "opinion", "credit"},
+    "may": {"hangs", "clause", "opinion", "short", "verbless", "verbless and short", "joined"},
+    "sure": {"hangs", "clause", "opinion", "short", "verbless and short", "joined"},
+}
+
+
+class _Start(NamedTuple):
+    """A word that starts sentences: how far ahead its finite verb may be (0: it needs none), what may be next (empty: anything)."""
+
+    reach: int
+    then: frozenset[str]
+    capital: bool
+
+
+_STARTS = {w: _Start(4 if w in lx.VERBAL_RESTARTS else 0, frozenset(), True) for w in lx.RESTARTS}
+_STARTS |= {w: _Start(reach, frozenset(then.split()), False) for words, reach, then in lx.LOWER_RESTARTS for w in words.split()}
+
+
+def openings(bare: Sequence[str], tags: Sequence[Tag]) -> list[str]:
+    """For each word whether it "may" start a sentence without punctuation before it, is "sure" to, or neither (""); one pass
+    from the end, which knows how far ahead the next finite verb is."""
+    out, verb = [""] * len(bare), len(bare) + 5
+    for k in range(len(bare) - 1, -1, -1):
+        s = _STARTS.get(bare[k])
+        if s and (not s.reach or verb <= s.reach) and (not s.then or k + 1 < len(bare) and bare[k + 1].casefold() in s.then):
+            out[k] = "sure" if s.capital and verb <= 4 else "may"
+        verb = 1 if tags[k].sure else verb + 1
+    return out
 
 
 def split_sentences(text: str, tagger: Callable[[Sequence[str]], Sequence[Tag]] = lexical_tags) -> list[tuple[int, int]]:
@@ -139,6 +150,7 @@ def split_sentences(text: str, tagger: Callable[[Sequence[str]], Sequence[Tag]]
     words = [m.group() for m in found]
     bare = [w.strip(_EDGES) or w for w in words]
     tags = tagger(bare)
+    opening = openings(bare, tags)
     out, start, left = [], 0, _Open()
     for k, word in enumerate(words):
         if k > start:
@@ -147,7 +159,9 @@ def split_sentences(text: str, tagger: Callable[[Sequence[str]], Sequence[Tag]]
             elif _ABBREVIATION.search(words[k - 1]):
                 cut = False
             else:
-                cut = (tags[k].starts and left.whole() and not left.stub(tags[k])) or _restarts(left, bare, tags, k)
+                ways = [w for w in ("parser" if tags[k].starts and not left.asks(tags[k]) else "", opening[k]) if w]
+                bars = left.bars() if ways else set()
+                cut = any(not _KEEPS[w] & bars for w in ways)
             if cut:
                 out.append((found[start].start(), found[k - 1].end()))
                 start, left = k, _Open()
