@@ -67,6 +67,20 @@ def _bridged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return t, dg.bridges(t, most=60)
 
 
+#: Lines of documents as turns of two: every second is a few words, and what follows it goes on in lower case, or does not.
+_SPOKEN = "turns AS (SELECT doc_id AS interview_id, line AS turn_idx, CASE WHEN line % 2 = 0 THEN 'Interviewee' ELSE 'Interviewer' END AS role, CASE WHEN line % 2 = 1 THEN array_to_string(string_split(text, ' ')[1:CAST(4 + line % 9 AS INTEGER)], ' ') WHEN line % 4 = 2 THEN lower(text) ELSE rtrim(text, '.') END AS text FROM lines)"
+
+
+@query(f"WITH {fx.LINES}, {_SPOKEN}, {_BRIDGES.replace('<= 60', f'<= {lx.MAX_INTERRUPTION_TOKENS}')} SELECT * FROM bridges")
+def short_interruptions(spark: SparkSession, d: str) -> DataFrame:
+    """Turns that go on after an interruption of eight words or less."""
+    few = F.array_join(F.slice(F.split("text", " "), F.lit(1), (F.col("line") % 9 + 4).cast("int")), " ")
+    text = F.when(F.col("line") % 2 == 1, few).when(F.col("line") % 4 == 2, F.lower("text")).otherwise(F.regexp_replace("text", r"\.+$", ""))
+    t = fx.lines(spark, d).select(F.col("doc_id").alias("interview_id"), F.col("line").alias("turn_idx"), F.when(F.col("line") % 2 == 0, "Interviewee").otherwise("Interviewer").alias("role"), text.alias("text"))
+    t = t.withColumn("source_turn_ids", F.array(F.col("turn_idx").cast("string")))
+    return dg.bridges(t, most=lx.MAX_INTERRUPTION_TOKENS).drop("interrupted_by")
+
+
 @query(f"WITH {fx.MERGED}, {_BRIDGES} SELECT * FROM bridges")
 def interruption_bridge(spark: SparkSession, d: str) -> DataFrame:
     return _bridged(spark, d)[1].drop("interrupted_by")
