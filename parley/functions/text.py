@@ -14,8 +14,8 @@ def squeeze(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)[^\W_]+"), F.lit(0))
+    """Lower-cased runs of letters and numbers of any kind; Java's \\w would add marks and joiners, and leave out ² and the like."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def similarity_form(text: Column) -> Column:
