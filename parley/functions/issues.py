@@ -47,6 +47,10 @@ def _elision(w: Column) -> Column:
 RULES: dict[str, Callable[[Column], Column]] = {"digit_1_13": _small_number, "unk_marker": _marker, "elision": _elision}
 
 
+#: What any of RULES can tell: other words need not be put to them.
+_TOLD = r"(?iu)^(?:[1-9][0-9]?|\[unk\*?\]|(?s:.*'.*)|" + "|".join(lx.ISSUE_ELISION) + ")$"
+
+
 def _cut(text: Column) -> tuple[Column, Column]:
     """(words, what lies before, between and after them): one more gap than words."""
     line = F.coalesce(text, F.lit(""))
@@ -68,7 +72,9 @@ def _told(text: Column) -> Column:
         ruled = F.coalesce(*(F.when(s.isNotNull(), F.struct(F.lit(k).alias("category"), s.alias("suggestion"))) for k, s in ((k, rule(w)) for k, rule in RULES.items())))
         return F.struct(w["word"].alias("word"), ruled["category"].alias("category"), ruled["suggestion"].alias("suggestion"))
 
-    return F.transform(seen, judged)
+    none = F.lit(None).cast("string")
+    untold = lambda w: F.struct(w["word"].alias("word"), none.alias("category"), none.alias("suggestion"))
+    return F.transform(seen, lambda w: F.when(w["word"].rlike(_TOLD), judged(w)).otherwise(untold(w)))
 
 
 def _listed(words: Column, gaps: Column, told: Column) -> Column:

@@ -11,6 +11,7 @@ from parley.functions import text as tx
 from parley.operators import dialogue as dg
 from parley.operators import segment as sg
 from parley.plans import fixtures as fx
+from parley.shared import spread
 
 Q, SQL = {}, {}
 
@@ -180,18 +181,21 @@ def sentence_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def transcript_issues(spark: SparkSession, d: str) -> DataFrame:
-    return fx.lines(spark, d).select("doc_id", "line", F.explode(issues.issues(F.col("text"))).alias("i")).select("doc_id", "line", "i.*")
+    # explode() would have the issues computed again, in a filter pushed below them
+    l = spread(fx.lines(spark, d).select("doc_id", "line", "text"))
+    return l.select("doc_id", "line", F.explode_outer(issues.issues(F.col("text"))).alias("i")).where("i IS NOT NULL").select("doc_id", "line", "i.*")
 
 
 @query()
 def converted_lines(spark: SparkSession, d: str) -> DataFrame:
-    return fx.lines(spark, d).select("doc_id", "line", issues.converted(F.col("text")).alias("converted"))
+    return spread(fx.lines(spark, d).select("doc_id", "line", "text")).select("doc_id", "line", issues.converted(F.col("text")).alias("converted"))
 
 
 @query()
 def normalised_tokens(spark: SparkSession, d: str) -> DataFrame:
-    l = fx.lines(spark, d)
-    return l.select("doc_id", "line", *(F.array_join(german.tokens(F.col("text"), v), " ").alias(v) for v in ("verbatim", "normalized", "norep")), F.array_join(german.board_words(F.col("text")), " ").alias("board"))
+    l = spread(fx.lines(spark, d).select("doc_id", "line", "text")).withColumn("words", german.tokens(F.col("text")))
+    variants = {"verbatim": german.tokens(F.col("text"), "verbatim"), "normalized": F.col("words"), "norep": german.without_repeats(F.col("words")), "board": german.board_words(F.col("text"))}
+    return l.select("doc_id", "line", *(F.array_join(c, " ").alias(v) for v, c in variants.items()))
 
 
 @query(f"WITH {fx.LINES}, c AS (SELECT doc_id, line, {fx.SQL_WORDS.format('text')} AS w FROM lines) SELECT doc_id, line, CAST(len(w) AS INTEGER) AS n, CAST(len(list_filter(w, lambda x, i: i = 1 OR x <> w[i - 1])) AS INTEGER) AS n_norep FROM c")

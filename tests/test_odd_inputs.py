@@ -39,3 +39,31 @@ def test_word_errors_of_missing_turns_and_odd_letters(spark, tmp_path):
     said = ["cafe\u0301 und tee. x\u00b2 und y", "a\u200db c. a b c", "ja. nein doch", "drei \u2167 vier. ende"]
     rows = [(c, None if c % 3 == 0 and k == 1 else k, ("user", "assistant")[k % 2], said[(c + k) % 4]) for c in range(6) for k in range(4)]
     agree(spark, tmp_path, "wer_by_role", conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+
+
+def test_short_tables_are_kept_by_columns(monkeypatch):
+    """A line's alignment is some operations a word; the band by rows is left to long texts. Both give the same runs."""
+    ref = [f"w{k * k % 13}" for k in range(90)]
+    hyp = [x for k, x in enumerate(ref) if k % 7 != 6 for x in ([x, x] if k % 5 == 4 else [x])]
+    monkeypatch.setattr(arrow, "_WHOLE", 0)
+    by_rows, far = arrow.edit_ops(ref, hyp), arrow.words_apart(ref, hyp)
+    monkeypatch.undo()
+    monkeypatch.setattr(arrow, "_planes", None)
+    assert arrow.edit_ops(ref, hyp) == by_rows
+    assert arrow.words_apart(ref, hyp) == far == sum(max(b - a, d - c) for op, a, b, c, d in by_rows if op != "equal")
+
+
+def test_one_file_of_transcripts_is_spread(spark, tmp_path):
+    from parley.plans import fixtures as fx
+
+    rows = [(c, 0, "user", "Eins zwei drei.\nVier fünf.") for c in range(50)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    at = fx.transcripts(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert at >= spark.sparkContext.defaultParallelism
+
+
+def test_capitals_are_scored_as_they_are_written(spark):
+    """lower(upper(x)) is no lower(x): a system that writes ß as SS has another word."""
+    text = spark.createDataFrame([("der fuß",)], "ref_text string")
+    pairs = text.select(F.lit("upper").alias("system"), "ref_text", F.upper("ref_text").alias("hyp_text"))
+    assert {(r["norm"], r["errors"]) for r in asr.norm_rates(pairs, names=["raw", "ours"]).collect()} == {("raw", 1), ("ours", 1)}
