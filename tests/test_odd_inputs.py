@@ -67,3 +67,22 @@ def test_capitals_are_scored_as_they_are_written(spark):
     text = spark.createDataFrame([("der fuß",)], "ref_text string")
     pairs = text.select(F.lit("upper").alias("system"), "ref_text", F.upper("ref_text").alias("hyp_text"))
     assert {(r["norm"], r["errors"]) for r in asr.norm_rates(pairs, names=["raw", "ours"]).collect()} == {("raw", 1), ("ours", 1)}
+
+
+def test_long_forms_meet_the_ratio_without_the_square_of_their_length(monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    for k in range(200):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randrange(60)))
+        b = "".join(c for c in a if rng.random() > 0.1) if k % 2 else "".join(rng.choice("abcd ") for _ in range(rng.randrange(60)))
+        monkeypatch.setattr(arrow, "_LONG", 1)
+        ratio = SequenceMatcher(None, a, b, autojunk=False).ratio()
+        assert arrow.matching_ratio(a, b) == ratio
+        assert ratio < 0.8 or arrow.able_to_match(a, b, 0.8)
+    monkeypatch.setattr(arrow, "SequenceMatcher", None)  # a long pair goes without difflib's table
+    monkeypatch.setattr(arrow, "_LONG", 1)
+    a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(20_000))
+    assert arrow.matching_ratio(a, a[:9_000] + a[9_010:]) == 2 * 19_990 / 39_990
+    assert not arrow.able_to_match(a, a[::-1], 0.92)
