@@ -69,6 +69,29 @@ def test_similar_sets_equal_all_pairs(spark):
     assert sim.similar_sets(df.limit(0), 50).count() == 0
 
 
+def test_pairs_meet_without_a_shuffle_of_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [[rng.choice("abcd") for _ in range(rng.randint(5, 12))] + ["x", "y", "z"] * (i % 2) for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, toks array<string>")
+    grams = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} if len(t) >= 6 else set() for t in texts]
+    want = {(i, j): (len(a & b), len(a), len(b)) for (i, a), (j, b) in itertools.combinations(enumerate(grams), 2) if a & b}
+    for block, chunk in ((sim.BLOCK, sim.CHUNK), (100, 50)):
+        monkeypatch.setattr(sim, "BLOCK", block)
+        monkeypatch.setattr(sim, "CHUNK", chunk)
+        out = sim.candidates(df)
+        rows = out.collect()
+        assert {(r["a"], r["b"]): tuple(r)[2:] for r in rows} == want and len(rows) == len(want)
+    plan = sim.candidates(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a" not in plan and "hashpartitioning(cell" in plan
+
+
+def test_sets_are_shuffled_as_kinds_of_shared_elements(spark):
+    """What only one set has is not compared, and what the same sets have is one entry with a weight."""
+    sets = [["p", "q", "r"] + [f"own{i}-{k}" for k in range(i)] for i in range(1, 6)]
+    flat = spark.createDataFrame([(i, len(s), g) for i, s in enumerate(sets) for g in s], "id long, n int, gram string")
+    assert {(r["id"], r["n"], len(r["x"]), tuple(r["w"])) for r in sim._kinds(flat).collect()} == {(i, len(s), 1, (3,)) for i, s in enumerate(sets)}
+
+
 def test_cluster_ids_follow_the_members(spark):
     rows = [(1, "a", "r", 0, "eins zwei drei"), (2, "b", "r", 0, "eins zwei drei"), (3, "a", "r", 1, "vier fünf sechs")]
     df = spark.createDataFrame(rows, "id long, interview_id string, role string, sentence_index long, text string")
