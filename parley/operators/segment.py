@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from parley.functions import lexicon as lx
 from parley.functions import text as tx
+from parley.shared import materialize, spread
 
 _WORD = re.compile(r"[^\W_]+")
 _LIKERT = re.compile(lx.LIKERT)
@@ -190,13 +191,15 @@ def segment(offsets: DataFrame) -> DataFrame:
 
     offsets: turns with block_idx, role_turn_idx, span_start, span_end, text (dialogue.block_offsets())."""
     keys = ["interview_id", "role", "block_idx"]
-    sents = block_texts(offsets).select(*keys, F.explode(sentences_of("text")).alias("s")).select(*keys, F.col("s.start").alias("sent_start"), F.col("s.end").alias("sent_end"), tx.strip_credits(F.col("s.text")).alias("sentence"))
+    # dear for each block, however few bytes; explode() would have them cut again, in a filter pushed below
+    sents = spread(block_texts(offsets)).select(*keys, F.explode_outer(sentences_of("text")).alias("s")).where("s IS NOT NULL").select(*keys, F.col("s.start").alias("sent_start"), F.col("s.end").alias("sent_end"), tx.strip_credits(F.col("s.text")).alias("sentence"))
     pieces = offsets.select(*keys, "turn_idx", "role_turn_idx", "span_start", "span_end")
     hit = (F.col("sent_start") < F.col("span_end")) & (F.col("sent_end") > F.col("span_start"))
     by = sents.join(pieces, keys).where(hit).groupBy(*keys, "sent_start", "sent_end", "sentence").agg(
         F.min("role_turn_idx").alias("primary_turn_index_within_role"), F.array_sort(F.collect_set("turn_idx")).alias("source_turns"), (F.count(F.lit(1)) > 1).alias("cross_turn_sentence")
     )
-    ok = by.where(~tx.is_artifact(F.col("sentence"))).withColumn("reason", tx.gate_reason(F.col("sentence")))
+    # written: both those that stay and those that do not are made of it
+    ok = materialize(by.where(~tx.is_artifact(F.col("sentence"))).withColumn("reason", tx.gate_reason(F.col("sentence"))), "sentences")
     w = W.partitionBy("interview_id", "role").orderBy("block_idx", "sent_start")
     kept = ok.where("reason IS NULL").withColumn("sentence_index_within_role", (F.row_number().over(w) - 1).cast("long"))
     return attributes(kept).unionByName(ok.where("reason IS NOT NULL"), allowMissingColumns=True)
