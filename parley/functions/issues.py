@@ -57,24 +57,22 @@ def _cut(text: Column) -> tuple[Column, Column]:
     return F.regexp_extract_all(line, F.lit(_PIECE), F.lit(0)), F.split(line, _PIECE)
 
 
-def _told(text: Column) -> Column:
-    """array<struct<word, category, suggestion>> over all words of a line."""
-    words, gaps = _cut(text)
-    nothing = F.array(F.lit(None).cast("string"))
-    beside = F.arrays_zip(words, F.concat(nothing, words), F.concat(F.slice(words, F.lit(2), F.size(words)), nothing), gaps)
+def _told(words: Column, gaps: Column) -> Column:
+    """array<struct<word, category, suggestion>> over all words of a line. What stands beside a word is looked up where a rule may tell."""
     ich = lambda c: F.coalesce(F.lower(c) == "ich", F.lit(False))
-    seen = F.transform(
-        F.filter(beside, lambda z: z["0"].isNotNull()),
-        lambda z: F.struct(z["0"].alias("word"), (ich(z["1"]) | ich(z["2"])).alias("by_ich"), (z["3"].rlike(r"(?U)[.?!]\s*$") | (z["1"].isNull() & z["3"].rlike(r"(?U)^\s*$"))).alias("opens")),
-    )
+
+    def seen(word: Column, i: Column) -> Column:
+        gap = F.get(gaps, i)
+        opens = gap.rlike(r"(?U)[.?!]\s*$") | ((i == 0) & gap.rlike(r"(?U)^\s*$"))
+        return F.struct(word.alias("word"), (ich(F.get(words, i - 1)) | ich(F.get(words, i + 1))).alias("by_ich"), opens.alias("opens"))
 
     def judged(w: Column) -> Column:
         ruled = F.coalesce(*(F.when(s.isNotNull(), F.struct(F.lit(k).alias("category"), s.alias("suggestion"))) for k, s in ((k, rule(w)) for k, rule in RULES.items())))
         return F.struct(w["word"].alias("word"), ruled["category"].alias("category"), ruled["suggestion"].alias("suggestion"))
 
     none = F.lit(None).cast("string")
-    untold = lambda w: F.struct(w["word"].alias("word"), none.alias("category"), none.alias("suggestion"))
-    return F.transform(seen, lambda w: F.when(w["word"].rlike(_TOLD), judged(w)).otherwise(untold(w)))
+    untold = lambda word: F.struct(word.alias("word"), none.alias("category"), none.alias("suggestion"))
+    return F.transform(words, lambda word, i: F.when(word.rlike(_TOLD), german.let(seen(word, i), judged)).otherwise(untold(word)))
 
 
 def _listed(words: Column, gaps: Column, told: Column) -> Column:
@@ -92,11 +90,17 @@ def issues(text: Column) -> Column:
     line = F.coalesce(text, F.lit(""))
     garbled = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
     as_told = F.transform(garbled, lambda g: F.struct(g.alias("word"), F.lit("video_garble").alias("category"), F.lit("Videotelefonat?").alias("suggestion")))
-    return F.concat(_listed(words, gaps, _told(text)), _listed(garbled, F.split(line, pattern), as_told))
+    cut = german.let(F.struct(words.alias("words"), gaps.alias("gaps")), lambda c: F.struct(c["words"].alias("words"), c["gaps"].alias("gaps"), _told(c["words"], c["gaps"]).alias("told")))
+    ruled = german.let(cut, lambda c: _listed(c["words"], c["gaps"], c["told"]))
+    return F.concat(ruled, _listed(garbled, F.split(line, pattern), as_told))
 
 
 def converted(text: Column) -> Column:
     """The line with the suggestions of RULES in place; null stays null."""
-    _, gaps = _cut(text)
-    fixed = F.concat(F.transform(_told(text), lambda t: F.coalesce(t["suggestion"], t["word"])), F.array(F.lit("")))
-    return F.when(text.isNotNull(), F.array_join(F.zip_with(gaps, fixed, lambda g, w: F.concat(g, w)), ""))
+    words, gaps = _cut(text)
+
+    def put(c: Column) -> Column:
+        fixed = F.concat(F.transform(_told(c["words"], c["gaps"]), lambda t: F.coalesce(t["suggestion"], t["word"])), F.array(F.lit("")))
+        return F.array_join(F.zip_with(c["gaps"], fixed, lambda g, w: F.concat(g, w)), "")
+
+    return F.when(text.isNotNull(), german.let(F.struct(words.alias("words"), gaps.alias("gaps")), put))

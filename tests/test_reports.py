@@ -222,3 +222,36 @@ def test_files_and_plans(spark, tmp_path):
     docs = [{"doc": f"d{k}", "eid": k % 3, "annotator": "AB"[k % 2]} for k in range(6)]
     plan = asr.double_correction(docs, 3)
     assert len({d["eid"] for d in plan}) == 3 and {d["annotator"] for d in plan} == {"A", "B"} and plan == asr.double_correction(docs[::-1], 3)
+
+
+def test_what_is_dear_is_computed_once_and_after_the_rows_are_dealt(spark):
+    from parley.functions import german, issues
+    from parley.operators import asr
+    from parley.plans import speech
+
+    lines = spark.createDataFrame([(k, ["das", "ist", "nicht", "gut", w]) for w in "ab" for k in (9, 3, 7)], "line long, tokens array<string>").repartition(3)
+    assert [r["line"] for r in asr.blind_spot(lines).collect()] == [3, 3]  # of equal lines the least
+    plan = speech.blind_spot(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("REPARTITION_BY_NUM") :]
+    assert "regexp_extract_all" not in below
+    assert spark.range(5).select(german.let(F.rand(), lambda x: x == x).alias("same")).where("same").count() == 5
+    said = spark.createDataFrame([("m_m mhm m[x]h HM! hm-hm ge- 3m z. B. 1.000 s okay",), (None,), ("",)], "t string")
+    assert [r[0] for r in said.select(german.tokens(F.col("t"), "verbatim")).collect()] == ["<fil> <fil> <fil> <fil> h <fil> <fil> <fil> ge drei <fil> zum beispiel tausend s ok".split(), [], []]
+    told = issues._told(F.array(*map(F.lit, ("3", "hab", "ich"))), F.array(*map(F.lit, ("", " ", " ", ""))))
+    assert [x["suggestion"] for x in spark.range(1).select(told).first()[0]] == ["Drei", "habe", None]
+
+
+def test_entities_of_both_sides_take_one_sort(spark):
+    from parley.operators import metrics as mt
+
+    rows = [(1, k, g, p) for k, (g, p) in enumerate(zip("O B-X I-X O B-Y B-Y E-Y X X".split(), "O B-X I-X I-X B-Y I-Y I-Y X X".split(), strict=True))] + [(2, 0, "X", "O"), (3, 0, None, "Y")]
+    out = mt.entity_scores(spark.createDataFrame(rows, "doc long, pos int, gold string, pred string"), ["doc"])
+    assert {r["type"]: (r["tp"], r["predicted"], r["gold"]) for r in out.collect()} == {"X": (1, 2, 3), "Y": (0, 2, 2), "all": (1, 4, 5)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 2 and "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentences_are_cut_once(spark):
+    from parley.plans import dialogue
+
+    plan = dialogue.sentence_segments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sentences_of" not in plan
