@@ -255,3 +255,13 @@ def test_sentences_are_cut_once(spark):
 
     plan = dialogue.sentence_segments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "sentences_of" not in plan
+
+
+def test_cluster_members_are_not_written_with_their_forms(spark, monkeypatch):
+    written = []
+    keep = sim.materialize
+    monkeypatch.setattr(sim, "materialize", lambda df, tag: written.append(df.columns) or keep(df, tag))
+    rows = spark.createDataFrame([(1, "a", "r", 0, "Gut so."), (2, "b", "r", 0, "gut so"), (3, "a", "r", 1, "Nein.")], "id long, interview_id string, role string, sentence_index int, text string")
+    out = sim.clusters(rows, spark.createDataFrame([], "a long, b long"))
+    assert {(r["id"], r["component"], r["similarity_cluster_size"]) for r in out.collect()} == {(1, 1, 2), (2, 1, 2), (3, 3, 1)}
+    assert written and not any("form" in c for c in written)
