@@ -32,10 +32,35 @@ def firsts(rows: DataFrame, key: str, order: str, limit: str, size: str, crowd:
     return few.unionByName(cut.drop("__rank", "__start"))
 
 
-def _order(seed: int) -> Column:
-    """Clusters that few cells can use come first, others by a hash."""
+def named(cluster: Column, kind: str) -> Column:
+    """What stands for a cluster of that type where it is shuffled: of a text, which may be long, 128 bits of hash."""
+    return F.unhex(F.md5(cluster)) if kind == "string" else cluster
+
+
+def _hash(seed: int) -> Column:
     h = F.sha2(F.concat(F.lit(f"{seed}|"), F.col("cell").cast("string"), F.lit("|"), F.col("cluster").cast("string")), 256)
-    return F.concat(F.lpad(F.col("degree").cast("string"), 12, "0"), h)
+    return F.unhex(F.substring(h, 1, 32))
+
+
+def _order() -> Column:
+    """Clusters that few cells can use come first, others by a hash."""
+    return F.concat(F.lpad(F.col("degree").cast("string"), 12, "0"), F.hex("h"))
+
+
+def _nearest(edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """Of each cell's edges the first in order, as many as all cells can hold together, and those that share their degree and the first
+    byte of their hash with the last of these. The others change nothing.
+
+    No more clusters than that are held at a time, those that a cell still lacks included, so a cell that has more edges finds what it
+    lacks, free, among these: there it asks the same clusters, and its label stays 1."""
+    most = cells.agg(F.sum(F.least("need", "n"))).first()[0]
+    if cells.where(F.col("n") > F.lit(most)).isEmpty():
+        return edges
+    part = F.conv(F.hex(F.substring("h", 1, 1)), 16, 10).cast("int").alias("part")
+    sizes = edges.groupBy("cell", "degree", part).agg(F.count(F.lit(1)).alias("k"))
+    before = F.coalesce(F.sum("k").over(W.partitionBy("cell").orderBy("degree", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = sizes.withColumn("before", before).where(F.col("before") < most).groupBy("cell").agg(F.max(F.struct("degree", "part")).alias("last"))
+    return edges.join(materialize(last, "last"), "cell").where(F.struct("degree", part) <= F.col("last")).drop("last")
 
 
 def _labels(edges: DataFrame, held: DataFrame, needs: DataFrame, total: int) -> DataFrame:
@@ -90,15 +115,20 @@ def _pushed(edges: DataFrame, cells: DataFrame, crowd: int) -> DataFrame:
 def match(edges: DataFrame, seed: int = 42, crowd: int = CROWD) -> DataFrame:
     """edges: cell, limit, cluster -> cell, cluster: as many as can be, the same at every run. Nulls match nothing.
 
-    An edge that is listed more than once counts once, a cell has the greatest limit that is listed."""
+    An edge that is listed more than once counts once, a cell has the greatest limit that is listed. Clusters that are texts are
+    shuffled as hashes. edges are read twice: write them first, where they are dear."""
+    kind = edges.schema["cluster"].dataType.simpleString()
     with swept() as keep:
-        rows = edges.where("cell IS NOT NULL AND cluster IS NOT NULL AND limit > 0")
-        cells = materialize(rows.groupBy("cell").agg(F.max("limit").cast("long").alias("need"), F.count_distinct("cluster").alias("n")), "cells")
-        pairs = materialize(rows.select("cell", "cluster").distinct(), "edges")
-        degrees = materialize(pairs.groupBy("cluster").agg(F.count(F.lit(1)).alias("degree")), "degrees")
-        pairs = spread_join(pairs, degrees.withColumn("d", F.col("degree")), ["cluster"], pairs.count(), "d")
-        held = _pushed(materialize(pairs.withColumn("o", _order(seed)), "edges"), cells, crowd)
-        out = materialize(held.select(F.col("owner").alias("cell"), "cluster"), "matching")
+        rows = edges.where("cell IS NOT NULL AND cluster IS NOT NULL AND limit > 0").withColumn("name", named(F.col("cluster"), kind))
+        pairs = materialize(rows.groupBy("cell", F.col("name").alias("cluster"), _hash(seed).alias("h")).agg(F.max("limit").cast("long").alias("limit")), "edges")
+        cells = materialize(pairs.groupBy("cell").agg(F.max("limit").alias("need"), F.count(F.lit(1)).alias("n")), "cells")
+        degrees = materialize(pairs.groupBy("cluster").agg(F.count(F.lit(1)).alias("degree")).where("degree > 1"), "degrees")
+        pairs = spread_join(pairs.drop("limit"), degrees.withColumn("d", F.col("degree")), ["cluster"], pairs.count(), "d", how="left")
+        pairs = materialize(pairs.withColumn("degree", F.coalesce("degree", F.lit(1).cast("long"))), "edges")
+        held = _pushed(materialize(_nearest(pairs, cells).select("cell", "cluster", "degree", _order().alias("o")), "edges"), cells, crowd)
+        won = held.select(F.col("owner").alias("cell"), F.col("cluster").alias("name"))
+        out = rows.join(won, ["cell", "name"]).select("cell", "cluster").distinct() if kind == "string" else won.withColumnRenamed("name", "cluster")
+        out = materialize(out, "matching")
         keep.append(out)
     return out
 

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from parley.operators import matching
+from parley.shared import materialize
 from tests.flow import match_cells
 
 
@@ -55,3 +56,29 @@ def test_firsts_of_a_crowded_key(spark):
     for crowd in (50, 1000, 10_000):
         got = matching.firsts(rows, "k", "o", "l", "n", crowd).collect()
         assert {k: sorted(r["o"] for r in got if r["k"] == k) for k in by} == {k: sorted(v)[:60] for k, v in by.items()}
+
+
+def moved(spark) -> int:
+    """Bytes shuffled, spilled and written by all stages so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in (stages.apply(i) for i in range(stages.size())))
+
+
+def test_long_clusters_are_not_shuffled_and_surplus_edges_end_early(spark):
+    """Cells that could take far more clusters than all cells together ask for: texts stay where they are, and the rounds see few edges."""
+    text = F.concat_ws(" ", *(F.sha2(F.concat_ws("|", F.lit(k), F.col("c").cast("string")), 256) for k in range(10)))
+    edges = materialize(spark.range(12_000).select(F.concat(F.lit("cell "), (F.col("id") % 3).cast("string")).alias("cell"), F.lit(4).alias("limit"), F.floor(F.col("id") / 2).alias("c")).select("cell", "limit", text.alias("cluster")), "edges")
+    before = moved(spark)
+    got = [(r["cell"], r["cluster"]) for r in matching.match(edges).collect()]
+    assert len(got) == 12 == len(set(k for _, k in got)) and {c: sum(x == c for x, _ in got) for c, _ in got} == {f"cell {k}": 4 for k in range(3)}
+    assert moved(spark) - before < 6000 * 649 / 2  # half of the clusters' texts, once
+
+
+def test_nearest_edges_give_the_same_matching(spark, monkeypatch):
+    """Ordered by degree and hash, the edges beyond what all cells can hold change nothing."""
+    rng = random.Random(8)
+    rows = [(f"c{c}", n, f"k{k}") for c, (n, of) in enumerate([(3, 900), (5, 1500), (2, 30), (4, 6), (6, 5), (1, 700)]) for k in {rng.randrange(of) for _ in range(of)}]
+    df = spark.createDataFrame(rows, "cell string, limit int, cluster string")
+    few = sorted(map(tuple, matching.match(df).collect()))
+    monkeypatch.setattr(matching, "_nearest", lambda edges, cells: edges)
+    assert few == sorted(map(tuple, matching.match(df).collect())) and len(few) == 17  # 11 of the large cells, 6 clusters of the two small ones
