@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import arrow
+from parley.shared import materialize
 
 GROUPS = "array<struct<cue:array<struct<i:int,start:int,end:int>>,scope:array<struct<i:int,start:int,end:int>>>>"
 
@@ -96,6 +97,37 @@ def scope_ratings(aligned: DataFrame) -> DataFrame:
     return aligned.select("group_id", "ambiguous", "annotator", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - 1)).alias("tok"), "scope").select("group_id", "ambiguous", "tok", "annotator", F.array_contains("scope", F.col("tok")).cast("int").alias("value"))
 
 
+def token_classes(aligned: DataFrame) -> DataFrame:
+    """group_id, ratings, tokens: how many tokens of a group have these ratings (array<struct<annotator, value>>, sorted).
+
+    What scope_ratings() says token by token: tokens in a scope are looked at one by one, the others only counted, for each number of
+    tokens that the group's rows have. A group meets once, and no token is shuffled."""
+    by = aligned.groupBy("group_id").agg(F.collect_list(F.struct("annotator", "scope", "n_tokens")).alias("s"))
+    ends = F.array_sort(F.array_distinct(F.transform("s", lambda x: F.greatest(x["n_tokens"], F.lit(0)))))
+    marked = F.array_distinct(F.flatten(F.transform("s", lambda x: F.filter(F.coalesce(x["scope"], F.array().cast("array<int>")), lambda t: (t >= 0) & (t < x["n_tokens"])))))
+    by = by.withColumn("marked", marked).withColumn("ends", ends)
+
+    def rest(end: Column, k: Column) -> Column:
+        start = F.when(k > 0, F.get("ends", k - 1)).otherwise(0)
+        return F.struct((end - 1).alias("tok"), (end - start - F.size(F.filter("marked", lambda t: (t >= start) & (t < end)))).cast("long").alias("n"), F.lit(0).alias("in"))
+
+    each = F.transform("marked", lambda t: F.struct(t.alias("tok"), F.lit(1).cast("long").alias("n"), F.lit(1).alias("in")))
+    kinds = by.select("group_id", "s", F.explode(F.concat(each, F.transform("ends", rest))).alias("c")).where("c.n > 0")
+    rated = F.transform(F.filter("s", lambda x: x["n_tokens"] > F.col("c.tok")), lambda x: F.struct(x["annotator"].alias("annotator"), (F.array_contains(x["scope"], F.col("c.tok")).cast("int") * F.col("c.in")).alias("value")))
+    return kinds.select("group_id", F.array_sort(rated).alias("ratings"), F.col("c.n").alias("tokens"))
+
+
+def class_patterns(aligned: DataFrame) -> DataFrame:
+    """response_patterns() of the groups' tokens, from token_classes()."""
+    rated = F.array_join(F.array_sort(F.transform("ratings", lambda x: F.concat_ws("=", x["annotator"], x["value"].cast("string")))), ",")
+    return token_classes(aligned).where(F.size("ratings") >= 2).groupBy(rated.alias("pattern")).agg(F.sum("tokens").alias("n"))
+
+
+def class_ratings(classes: DataFrame) -> DataFrame:
+    """unit, tokens, annotator, value: the ratings of each kind of token and how many are of it, a few rows for any number of tokens."""
+    return classes.groupBy(F.col("ratings").alias("unit")).agg(F.sum("tokens").alias("tokens")).select("unit", "tokens", F.inline("unit"))
+
+
 def response_patterns(ratings: DataFrame, unit: list[str]) -> DataFrame:
     """pattern (annotator=value, sorted, comma-joined), n: equal response patterns of units rated at least twice."""
     per = ratings.groupBy(*unit).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "annotator", F.col("value").cast("string")))), ",").alias("pattern"), F.count(F.lit(1)).alias("k"))
@@ -150,10 +182,29 @@ def fit_from(ratings: DataFrame, unit: list[str], **options) -> dict:
     return fit_latent({r["pattern"]: r["n"] for r in response_patterns(ratings, unit).collect()}, names, **options)
 
 
+def fit_aligned(aligned: DataFrame, **options) -> dict:
+    """fit_from() on the scope ratings of aligned groups. aligned is read twice: write it first."""
+    names, patterns = _aligned_patterns(aligned)
+    return fit_latent(patterns, names, **options)
+
+
+def _aligned_patterns(aligned: DataFrame) -> tuple[list[str], dict[str, int]]:
+    names = [r[0] for r in aligned.where("n_tokens > 0").select("annotator").distinct().collect()]
+    return names, {r["pattern"]: r["n"] for r in class_patterns(aligned).collect()}
+
+
 def variants(ratings: DataFrame, unit: list[str], strength: float = 10.0) -> dict[str, dict]:
     """The model and its four sensitivity refits; patterns are counted once for all."""
     names = [r[0] for r in ratings.select("annotator").distinct().collect()]
-    patterns = {r["pattern"]: r["n"] for r in response_patterns(ratings, unit).collect()}
+    return _refits(names, {r["pattern"]: r["n"] for r in response_patterns(ratings, unit).collect()}, strength)
+
+
+def variants_aligned(aligned: DataFrame, strength: float = 10.0) -> dict[str, dict]:
+    """variants() on the scope ratings of aligned groups. aligned is read twice: write it first."""
+    return _refits(*_aligned_patterns(aligned), strength)
+
+
+def _refits(names: Sequence[str], patterns: Mapping[str, int], strength: float) -> dict[str, dict]:
     return {"model": fit_latent(patterns, names, strength)} | {name: fit_latent(patterns, names, **o) for name, o in (("weaker_prior", {"strength": strength / 2}), ("stronger_prior", {"strength": strength * 2}), ("initial_accuracy_0.7", {"strength": strength, "accuracy": 0.7}), ("initial_accuracy_0.97", {"strength": strength, "accuracy": 0.97}))}
 
 
@@ -175,28 +226,43 @@ def decide_scopes(ratings: DataFrame, model: Mapping, unit: tuple[str, ...] = ("
     return g.withColumn("label", F.when(~F.col("disputed"), F.col("lo")).otherwise((p >= 0.5).cast("int"))).withColumn("low_confidence", F.col("disputed") & p.between(0.4, 0.6)).select(*unit, "n", "disputed", "posterior", "label", "low_confidence", F.col("hi").alias("union_label"), F.col("lo").alias("intersection_label"))
 
 
+def _tokens(df: DataFrame, *conditions: Column) -> Column:
+    """How many tokens meet the conditions; a row is one, or as many as its column `tokens` says."""
+    n = F.col("tokens") if "tokens" in df.columns else F.lit(1)
+    for c in conditions:
+        n = F.when(c, n)
+    return F.coalesce(F.sum(n), F.lit(0)).cast("long")
+
+
 def changed_by(ratings: DataFrame, models: Mapping[str, Mapping], unit: tuple[str, ...] = ("group_id", "tok")) -> DataFrame:
-    """variant, disputed, changed: how many disputed tokens each of the other models labels otherwise than "model" does; one pass."""
+    """variant, disputed, changed: how many disputed tokens each of the other models labels otherwise than "model" does; one pass.
+
+    With class_ratings(), the unit is ("unit", "tokens")."""
     odds = {name: F.sum(log_odds(F.col("annotator"), F.col("value"), m)) + F.lit(math.log(m["prevalence"] / (1 - m["prevalence"]))) for name, m in models.items()}
     g = ratings.groupBy(*unit).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), *(c.alias(f"odds_{k}") for k, (_, c) in enumerate(odds.items()))).where("lo <> hi")
     at = {name: F.col(f"odds_{k}") >= 0 for k, name in enumerate(odds)}
     others = [name for name in models if name != "model"]
-    one = g.agg(F.count(F.lit(1)).alias("disputed"), *(F.count_if(at[name] != at["model"]).alias(f"changed_{k}") for k, name in enumerate(others)))
+    one = g.agg(_tokens(g).alias("disputed"), *(_tokens(g, at[name] != at["model"]).alias(f"changed_{k}") for k, name in enumerate(others)))
     rows = F.array(*(F.struct(F.lit(name).alias("variant"), F.col("disputed"), F.col(f"changed_{k}").alias("changed")) for k, name in enumerate(others)))
     return one.select(F.inline(rows))
 
 
-def split_counters(aligned: DataFrame, decided: DataFrame) -> DataFrame:
-    """split -> groups, tokens, disputed and positive tokens, and those that a vote for the union or intersection would change."""
+def split_counters(aligned: DataFrame, model: Mapping) -> DataFrame:
+    """split -> groups, tokens, disputed and positive tokens, and those that a vote for the union or intersection would change.
+
+    aligned is read more than once: write it first."""
     of = aligned.select("group_id", "split").distinct()
     groups = of.groupBy("split").agg(F.count(F.lit(1)).alias("groups"))
-    words = decided.join(of, "group_id").groupBy("split").agg(F.count(F.lit(1)).alias("tokens"), F.count_if("disputed").alias("disputed"), F.count_if(F.col("label") == 1).alias("in_scope"), F.count_if(F.col("label") != F.col("union_label")).alias("union_changes"), F.count_if(F.col("label") != F.col("intersection_label")).alias("intersection_changes"))
+    classes = token_classes(aligned).join(of, "group_id").groupBy("split", "ratings").agg(F.sum("tokens").alias("tokens"))
+    classes = materialize(classes, "classes")  # a row for each split and pattern of ratings
+    decided = decide_scopes(class_ratings(classes), model, ("unit",)).join(classes.withColumnRenamed("ratings", "unit"), "unit")
+    words = decided.groupBy("split").agg(*(_tokens(decided, *c).alias(k) for k, c in {"tokens": (), "disputed": (F.col("disputed"),), "in_scope": (F.col("label") == 1,), "union_changes": (F.col("label") != F.col("union_label"),), "intersection_changes": (F.col("label") != F.col("intersection_label"),)}.items()))
     return groups.join(words, "split", "left")
 
 
 def aggregation_report(aligned: DataFrame, decided: DataFrame) -> DataFrame:
-    """One row of counters over groups and tokens."""
+    """One row of counters over groups and tokens. decided: from decide_scopes(), a row for each token or, with `tokens`, for so many."""
     g = aligned.groupBy("group_id", "ambiguous", "alignment").agg(F.count(F.lit(1)).alias("k"), F.size(F.collect_set(F.to_json("scope"))).alias("scopes"))
     a = g.agg(F.count(F.lit(1)).alias("scope_groups"), F.count_if(F.col("k") == 1).alias("single_source_scope_groups"), F.count_if((F.col("k") > 1) & (F.col("scopes") == 1)).alias("agreed_scope_groups"), F.count_if((F.col("k") > 1) & (F.col("scopes") > 1)).alias("probabilistic_scope_groups"), F.count_if("ambiguous").alias("ambiguous_alignment_groups"), F.count_if(F.col("alignment") == "overlap_union").alias("overlap_union_groups"))
-    d = decided.agg(F.count_if("disputed").alias("disputed_scope_tokens"), F.count_if("low_confidence").alias("low_confidence_disputed_scope_tokens"), F.count_if(F.col("label") != F.col("union_label")).alias("scope_union_changes"), F.count_if(F.col("label") != F.col("intersection_label")).alias("scope_intersection_changes"))
+    d = decided.agg(*(_tokens(decided, c).alias(k) for k, c in {"disputed_scope_tokens": F.col("disputed"), "low_confidence_disputed_scope_tokens": F.col("low_confidence"), "scope_union_changes": F.col("label") != F.col("union_label"), "scope_intersection_changes": F.col("label") != F.col("intersection_label")}.items()))
     return a.crossJoin(F.broadcast(d))  # one row each

@@ -79,46 +79,45 @@ def aligned_groups(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_ALIGNED}, rt AS (SELECT group_id, annotator, unnest(range(n_tokens)) AS tok, scope FROM al WHERE NOT ambiguous), v AS (SELECT group_id, tok, annotator, CAST(list_contains(scope, tok) AS INTEGER) AS value FROM rt),
 u AS (SELECT group_id, tok, string_agg(concat(annotator, '=', CAST(value AS STRING)), ',' ORDER BY annotator) AS pattern, count(*) AS k FROM v GROUP BY 1, 2) SELECT pattern, count(*) AS n FROM u WHERE k >= 2 GROUP BY 1""")
 def response_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return an.response_patterns(an.scope_ratings(aligned(spark, d)).where("NOT ambiguous"), ["group_id", "tok"])
+    return an.class_patterns(aligned(spark, d).where("NOT ambiguous"))
 
 
-def _model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict]:
-    al = aligned(spark, d)
-    ratings = an.scope_ratings(al)
-    return al, ratings, an.fit_from(ratings.where("NOT ambiguous"), ["group_id", "tok"])
+def _model(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    """The aligned groups, which are made once, and the model of their scopes."""
+    al = materialize(aligned(spark, d).select("group_id", "split", "ambiguous", "alignment", "annotator", "n_tokens", "scope"), "aligned")
+    return al, an.fit_aligned(al.where("NOT ambiguous"))
 
 
 @query()
 def dawid_skene(spark: SparkSession, d: str) -> DataFrame:
-    _, _, m = _model(spark, d)
+    _, m = _model(spark, d)
     rows = [(a, x["sensitivity"], x["specificity"], m["prevalence"], m["iterations"]) for a, x in m["annotators"].items()]
     return spark.createDataFrame(rows, "annotator string, sensitivity double, specificity double, prevalence double, iterations int")
 
 
 @query()
 def scope_decisions(spark: SparkSession, d: str) -> DataFrame:
-    _, ratings, m = _model(spark, d)
-    return an.decide_scopes(ratings, m)
+    al, m = _model(spark, d)
+    return an.decide_scopes(an.scope_ratings(al), m)
 
 
 @query()
 def scope_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """Disputed tokens that the model's refits, with other priors and other starts, would label otherwise."""
-    al = aligned(spark, d)
-    ratings = materialize(an.scope_ratings(al), "ratings")
-    return an.changed_by(ratings, an.variants(ratings.where("NOT ambiguous"), ["group_id", "tok"]))
+    al = materialize(aligned(spark, d).select("group_id", "ambiguous", "annotator", "n_tokens", "scope"), "aligned")
+    return an.changed_by(an.class_ratings(an.token_classes(al)), an.variants_aligned(al.where("NOT ambiguous")), ("unit", "tokens"))
 
 
 @query()
 def aggregation_report(spark: SparkSession, d: str) -> DataFrame:
-    al, ratings, m = _model(spark, d)
-    return an.aggregation_report(al, an.decide_scopes(ratings, m))
+    al, m = _model(spark, d)
+    ratings = an.class_ratings(an.token_classes(al))
+    return an.aggregation_report(al, an.decide_scopes(ratings, m, ("unit", "tokens")))
 
 
 @query()
 def split_counters(spark: SparkSession, d: str) -> DataFrame:
-    al, ratings, m = _model(spark, d)
-    return an.split_counters(al, an.decide_scopes(ratings, m))
+    return an.split_counters(*_model(spark, d))
 
 
 _PAIR = """SELECT *, count(*) OVER () AS x FROM labels"""

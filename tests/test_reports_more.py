@@ -85,6 +85,25 @@ def test_refits_and_the_tokens_they_change(spark):
     assert got == want and got["wild"][1] > 0
 
 
+def test_tokens_of_one_kind_are_counted_not_listed(spark):
+    """Against the ratings token by token: rows of several lengths, an annotator twice, scopes beyond the end; then a text too long to list."""
+    rng = random.Random(9)
+    rows = [(g, g % 3 == 0, a, rng.choice((0, 3, 7, 7, 7)) if g % 4 == 0 else 7, [rng.randrange(9) for _ in range(rng.randrange(4))]) for g in range(40) for a in rng.choices("ABC", k=rng.randint(1, 4))]
+    kind = "group_id int, ambiguous boolean, annotator string, n_tokens int, scope array<int>"
+    al = spark.createDataFrame(rows, kind)
+    ratings = al.where("n_tokens > 0").transform(an.scope_ratings)
+    plain = {tuple(r) for r in an.response_patterns(ratings, ["group_id", "tok"]).collect()}
+    assert {tuple(r) for r in an.class_patterns(al).collect()} == plain and len(plain) > 5
+    m = an.fit_from(ratings, ["group_id", "tok"])
+    assert an.fit_aligned(al) == m and an.variants_aligned(al)["model"] == m
+    names = ("disputed", "label", "low_confidence", "union_label", "intersection_label")
+    one = an.decide_scopes(ratings, m).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    few = an.decide_scopes(an.class_ratings(an.token_classes(al)), m, ("unit", "tokens")).groupBy(*names).agg(F.sum("tokens").alias("n"))
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in one.collect()}
+    long = spark.createDataFrame([(1, False, "A", 2_000_000_000, [5, 6]), (1, False, "B", 2_000_000_000, [6])], kind)
+    assert {tuple(r) for r in an.class_patterns(long).collect()} == {("A=0,B=0", 1_999_999_998), ("A=1,B=0", 1), ("A=1,B=1", 1)}
+
+
 def test_points_in_intervals_equal_the_plain_join(spark):
     rng = random.Random(6)
     points = spark.createDataFrame([(rng.choice("ab"), rng.uniform(-20, 60)) for _ in range(400)] + [("a", 0.0), ("a", 10.0), ("b", None)], "doc string, t double")
