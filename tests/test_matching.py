@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from parley.operators import matching
+from parley.operators import sampling as sp
 from parley.shared import materialize
 from tests.flow import match_cells
 
@@ -82,3 +83,21 @@ def test_nearest_edges_give_the_same_matching(spark, monkeypatch):
     few = sorted(map(tuple, matching.match(df).collect()))
     monkeypatch.setattr(matching, "_nearest", lambda edges, cells: edges)
     assert few == sorted(map(tuple, matching.match(df).collect())) and len(few) == 17  # 11 of the large cells, 6 clusters of the two small ones
+
+
+def test_metadata_fetches_the_texts_it_needs(spark):
+    """Turns in order by number alone: of 300 long turns the sample's and their neighbours' are fetched; texts may be a table of their own."""
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.sha2(F.concat_ws("|", "id", k.cast("string")), 256)))
+    turns = spark.range(300).select(F.lit(1).alias("interview_id"), F.col("id").alias("turn_idx"), F.when(F.col("id") % 2 == 0, "Interviewer").otherwise("Interviewee").alias("role"), words.alias("text"), F.array(F.col("id").cast("string")).alias("source_turn_ids"), F.array().cast("array<string>").alias("chunk_ids"))
+    turns = materialize(turns, "turns")
+    rows = [(7, 1, 9, "Interviewer", 0, [0, 2], "Eins."), (8, 1, 9, "Interviewee", 1, [299], "Zwei.")]
+    sample = spark.createDataFrame(rows, "id long, interview_id int, interviewer_id int, role string, sentence_index long, source_turns array<long>, text string")
+    before = moved(spark)
+    got = {r["id"]: r for r in sp.metadata(sample, turns).collect()}
+    assert moved(spark) - before < 300 * 12_999 / 4
+    text = {r["turn_idx"]: r["text"] for r in turns.select("turn_idx", "text").collect()}
+    assert [got[7][c] for c in ("previous_turn_text", "following_turn_text", "source_turn_text")] == [None, text[3], f"{text[0]} {text[2]}"]
+    assert [(x["role"], x["text"]) for x in got[7]["intervening_turns"]] == [("Interviewee", text[1])]
+    assert [got[8][c] for c in ("previous_turn_text", "following_turn_text", "source_turn_text")] == [text[298], None, text[299]]
+    apart = sp.metadata(sample, turns.drop("text"), texts=turns.select("interview_id", "turn_idx", "text"))
+    assert {r["id"]: r for r in apart.collect()} == got
