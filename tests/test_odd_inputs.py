@@ -86,3 +86,21 @@ def test_long_forms_meet_the_ratio_without_the_square_of_their_length(monkeypatc
     a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(20_000))
     assert arrow.matching_ratio(a, a[:9_000] + a[9_010:]) == 2 * 19_990 / 39_990
     assert not arrow.able_to_match(a, a[::-1], 0.92)
+
+
+def test_pairs_that_cannot_reach_the_ratio_leave_no_cell(spark):
+    """A fixed phrase in lines of other words: all of them share a trigram, and none is a pair to be compared."""
+    import random
+
+    from parley.operators import similarity as sim
+
+    rng = random.Random(3)
+    say = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    rows = [(i, f"wie schon gesagt {say()} {say()} {say()} {say()}") for i in range(60)]
+    rows += [(100 + i, t[:-1] + "ä") for i, t in rows[:5]]
+    f = spark.createDataFrame(rows, "id long, form string")
+    grams = f.select("id", F.length("form").alias("n"), F.explode(sim.ngrams(F.split("form", " "), 3)).alias("gram"))
+    sets = sim._kinds(grams).join(f.select("id", arrow.character_counts("form").alias("bag")), "id")
+    met = {(r["a"], r["b"]) for r in sim._cells(sets, threshold=0.92).collect()}
+    assert {(i, 100 + i) for i in range(5)} <= met and len(met) < 40
+    assert {(r["a"], r["b"]) for r in sim.near_links(f.withColumnRenamed("form", "text")).collect()} == {(i, 100 + i) for i in range(5)}
