@@ -104,3 +104,14 @@ def test_pairs_that_cannot_reach_the_ratio_leave_no_cell(spark):
     met = {(r["a"], r["b"]) for r in sim._cells(sets, threshold=0.92).collect()}
     assert {(i, 100 + i) for i in range(5)} <= met and len(met) < 40
     assert {(r["a"], r["b"]) for r in sim.near_links(f.withColumnRenamed("form", "text")).collect()} == {(i, 100 + i) for i in range(5)}
+
+
+def test_equal_pairs_are_scored_once(spark, monkeypatch):
+    from parley.operators import asr as module
+
+    pairs = spark.createDataFrame([("s", "eins zwei drei", "eins drei")] * 40 + [("s", "vier", None), ("t", "eins zwei drei", "eins drei")], "system string, ref_text string, hyp_text string")
+    rows, kept = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, tag: (out := kept(df, tag), rows.append(out.count()))[0])
+    got = {(r["system"], r["norm"]): (r["errors"], r["words"]) for r in asr.norm_rates(pairs, names=["raw", "ours", "ours_compounds"]).collect()}
+    assert got == {("s", n): (41, 121) for n in ("raw", "ours", "ours_compounds")} | {("t", n): (1, 3) for n in ("raw", "ours", "ours_compounds")}
+    assert rows == [3]
